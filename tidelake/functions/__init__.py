@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.functions.dialect import register
+from tidelake.functions.dialect import ensure, register  # noqa: F401
 
 
 def _col(c) -> Column:
@@ -27,7 +27,7 @@ def _col(c) -> Column:
 def _call(name: str, *args) -> Column:
     spark = SparkSession.getActiveSession()
     if spark is not None:
-        register(spark)
+        ensure(spark, name)
     return F.call_function(name, *[_col(a) for a in args])
 
 

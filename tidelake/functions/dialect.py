@@ -204,21 +204,46 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
 }
 
 _lock = threading.Lock()
-_registered: set[int] = set()
+_registered: dict[int, set[str]] = {}
 
 
-def register(spark: SparkSession, force: bool = False) -> None:
-    """Create every dialect function as a temporary SQL function.
+def _dependencies(name: str) -> list[str]:
+    body = DEFINITIONS[name][2]
+    return [d for d in DEFINITIONS if d != name and f"{d}(" in body]
+
+
+def ensure(spark: SparkSession, name: str) -> None:
+    """Register one function (and the functions its body calls) if the
+    session does not have it yet."""
+    key = id(spark)
+    done = _registered.setdefault(key, set())
+    if name in done:
+        return
+    with _lock:
+        for dep in _dependencies(name):
+            ensure_locked(spark, dep, done)
+        ensure_locked(spark, name, done)
 
-    Idempotent per session; ``force`` re-runs the DDL (for example after a
-    ``spark.newSession()`` that shares the context but not temp functions).
-    """
+
+def ensure_locked(spark: SparkSession, name: str, done: set[str]) -> None:
+    if name in done:
+        return
+    for dep in _dependencies(name):
+        ensure_locked(spark, dep, done)
+    params, ret, body = DEFINITIONS[name]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} RETURN {body}")
+    done.add(name)
+
+
+def register(spark: SparkSession, force: bool = False) -> None:
+    """Create every dialect function as a temporary SQL function, so SQL
+    text can call them.  Idempotent per session; ``force`` re-runs the DDL
+    (for example after ``spark.newSession()``, which shares the context but
+    not temporary functions)."""
     key = id(spark)
+    if force:
+        _registered.pop(key, None)
+    done = _registered.setdefault(key, set())
     with _lock:
-        if key in _registered and not force:
-            return
-        for name, (params, ret, body) in DEFINITIONS.items():
-            spark.sql(
-                f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} RETURN {body}"
-            )
-        _registered.add(key)
+        for name in DEFINITIONS:
+            ensure_locked(spark, name, done)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.functions.dialect import register
 from tidelake.operators.events import as_json_text, decompose
 from tidelake.sources.landing import hourly_load_time, landing_records, raw_from_records
 from tidelake.sources.tables import read_table
@@ -17,8 +16,7 @@ from tidelake.sources.tables import read_table
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw events table as an hourly loader would have filled it."""
-    register(spark)
-    records = landing_records(read_table(spark, sf_dir, "events"))
+    records = landing_records(read_table(spark, sf_dir, "events", spread=True))
     return raw_from_records(records, hourly_load_time(F.col("event_ts")))
 
 
@@ -28,6 +26,184 @@ def events_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json_text(events)
 
 
+# ---------------------------------------------------------------------------
+# Column-function jobs: map-only projections (or a partially aggregated
+# groupBy), so every row is handled where it is read and nothing gathers a
+# hot key in one task.
+# ---------------------------------------------------------------------------
+import tidelake.functions as W  # noqa: E402
+
+
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MD5 family per document."""
+    docs = read_table(spark, sf_dir, "documents", spread=True)
+    text = W.to_binary_utf8("text")
+    return docs.select(
+        "doc_id",
+        W.md5("text").alias("md5"),
+        F.hex(W.md5_binary(text)).alias("md5_binary_hex"),
+        W.md5_number_lower64(text).alias("md5_lower64"),
+        W.md5_number_upper64(text).alias("md5_upper64"),
+        W.octet_length("text").cast("bigint").alias("n_bytes"),
+    )
+
+
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-duplicate groups by content hash.  A groupBy with map-side
+    partial aggregation: a hash shared by a third of all documents still
+    shuffles one partial row per map task, not its documents."""
+    docs = read_table(spark, sf_dir, "documents", spread=True)
+    return (docs.groupBy(W.md5("text").alias("md5"))
+            .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc_id"),
+                 F.sum("n_chars").alias("total_chars"))
+            .where(F.col("n_docs") > 1))
+
+
+def binary_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hex and base64 codecs over whole texts, with round-trip checks
+    (F15-F22).  Long encodings are reported by their MD5 and length."""
+    docs = read_table(spark, sf_dir, "documents", spread=True)
+    b = W.to_binary_utf8("text")
+    hex_text = W.hex_encode(b)
+    b64_text = W.base64_encode(b)
+    return docs.select(
+        "doc_id",
+        W.md5(hex_text).alias("hex_md5"),
+        F.length(hex_text).cast("bigint").alias("hex_len"),
+        W.md5(b64_text).alias("b64_md5"),
+        F.length(b64_text).cast("bigint").alias("b64_len"),
+        (W.hex_decode_string(hex_text) == F.col("text")).alias("hex_roundtrip_ok"),
+        (W.base64_decode_string(b64_text) == F.col("text")).alias("b64_roundtrip_ok"),
+        (F.hex(W.hex_decode_binary(hex_text)) == hex_text).alias("hex_binary_ok"),
+        W.bit_length("text").cast("bigint").alias("n_bits"),
+    )
+
+
+def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points, lengths, affixes and positions per document (F1, F3-F6,
+    F10, F11, F14-F16) on multilingual text."""
+    docs = read_table(spark, sf_dir, "documents", spread=True)
+    t = F.col("text")
+    return docs.select(
+        "doc_id", "lang",
+        W.ascii_code(t).cast("bigint").alias("first_code"),
+        F.length(t).cast("bigint").alias("n_chars"),
+        W.rtrimmed_length(t).cast("bigint").alias("rtrimmed_len"),
+        W.octet_length(t).cast("bigint").alias("n_octets"),
+        W.left(t, F.lit(12)).alias("prefix"),
+        W.right(t, F.lit(12)).alias("suffix"),
+        W.charindex(F.lit("the"), t).cast("bigint").alias("pos_the"),
+        W.charindex(F.lit("the"), t, F.lit(100)).cast("bigint").alias("pos_the_from_100"),
+        W.position(F.lit("é"), t).cast("bigint").alias("pos_e_acute"),
+        W.contains(t, F.lit("password")).alias("has_password"),
+        W.endswith(t, F.lit(".")).alias("ends_with_period"),
+    )
+
+
+def text_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT, padding, REPEAT, CHR and INITCAP on part names (F2, F9,
+    F12, F13, F27)."""
+    part = read_table(spark, sf_dir, "part")
+    name = F.col("p_name")
+    gap = W.charindex(F.lit(" "), name)
+    return part.select(
+        "p_partkey",
+        W.insert(name, gap + 1, F.lit(0), F.concat(F.col("p_type"), F.lit(" "))).alias("typed_name"),
+        W.insert(name, F.lit(1), gap - 1, F.upper(F.col("p_brand"))).alias("branded_name"),
+        F.concat(name, W.space(F.greatest(F.lit(14) - F.length(name), F.lit(0)))).alias("padded_name"),
+        W.repeat(W.left("p_type", F.lit(2)), F.col("p_size") % 4 + 1).alias("type_stamp"),
+        W.chr_(F.col("p_size") * 150 + 32).alias("size_glyph"),
+        W.initcap(name).alias("title_name"),
+    )
+
+
+def url_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regular-expression functions over whole pages."""
+    pages = read_table(spark, sf_dir, "pages", spread=True)
+    html, url = F.col("html"), F.col("url")
+    link = F.lit('href="/[[:alnum:]]+"')
+    return pages.select(
+        "page_id",
+        F.size(W.regexp_substr_all(html, link)).cast("bigint").alias("n_links"),
+        F.size(W.regexp_substr_all(html, link, F.lit(1), F.lit(3))).cast("bigint").alias("n_links_from_3rd"),
+        F.size(W.regexp_substr_all(html, link, F.lit(500))).cast("bigint").alias("n_links_after_500"),
+        W.regexp_substr(html, F.lit('href="/([[:alnum:]]+)"'), F.lit(1), F.lit(1), F.lit(1)).alias("first_link"),
+        W.regexp_substr(html, F.lit('href="/([[:alnum:]]+)"'), F.lit(1), F.lit(2), F.lit(1)).alias("second_link"),
+        W.regexp_instr(html, F.lit("<li>")).cast("bigint").alias("pos_li_1"),
+        W.regexp_instr(html, F.lit("<li>"), F.lit(1), F.lit(3)).cast("bigint").alias("pos_li_3"),
+        W.regexp_instr(html, F.lit("<li>"), F.lit(200)).cast("bigint").alias("pos_li_after_200"),
+        W.regexp_like(url, F.lit("https://.*")).alias("is_https"),
+        W.strtok(url, F.lit("/"), F.lit(2)).alias("host"),
+        W.strtok(url, F.lit("/?#"), F.lit(3)).alias("path_head"),
+        F.length(W.regexp_replace(html, F.lit("<[^>]+>"), "")).cast("bigint").alias("text_len"),
+        W.regexp_substr(url, F.lit("/([[:lower:]]{2})/"), F.lit(1), F.lit(1), F.lit(1)).alias("lang_code"),
+    )
+
+
+def safe_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIV0 and EXP/LN per order line (M1-M3).  The line/order join shuffles
+    both sides on the order key (sort-merge); AQE may turn it into a
+    broadcast only when the order side is measured small enough."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    j = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
+    return j.select(
+        "l_orderkey", "l_linenumber",
+        W.div0("l_discount", "l_tax").alias("discount_per_tax"),
+        W.div0("l_tax", "l_discount").alias("tax_per_discount"),
+        W.div0("l_extendedprice", "o_totalprice").alias("share_of_order"),
+        F.round(W.exp(W.ln("l_quantity")), 6).alias("quantity_roundtrip"),
+    )
+
+
+def fuzzy_part_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance, plain and capped (F7, F8): each part name against its
+    type and against the next part's name.  The neighbour is an equi-join
+    on key + 1, so every part meets exactly one partner."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    nxt = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    j = part.join(nxt, "p_partkey", "left")
+    return j.select(
+        "p_partkey",
+        W.editdistance("p_name", "p_type").cast("bigint").alias("name_type_distance"),
+        W.editdistance("p_name", "p_type", F.lit(3)).cast("bigint").alias("name_type_distance_cap3"),
+        W.editdistance("p_name", "next_name").cast("bigint").alias("next_distance"),
+        W.editdistance("p_name", "next_name", F.lit(2)).cast("bigint").alias("next_distance_cap2"),
+    )
+
+
+def json_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-key JSON type counts over event documents.
+
+    Each event becomes one VARIANT document; ``variant_explode`` lists its
+    keys and TYPEOF names each value.  The count per (key, type) is a
+    partially aggregated groupBy."""
+    ev = read_table(spark, sf_dir, "events", spread=True)
+    doc = F.to_json(F.struct(
+        F.parse_json("props").alias("props"),
+        F.col("value").alias("value"),
+        F.col("user_id").alias("user_id"),
+        F.col("event_type").alias("event_type"),
+        W.array_construct(F.col("event_type"), F.col("user_id").cast("string")).alias("tags"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("refund"),
+    ), {"ignoreNullFields": "false"})
+    docs = ev.select(F.parse_json(doc).alias("doc"))
+    kv = docs.select(F.explode(F.try_variant_get("doc", "$", "map<string,variant>")).alias("key", "value"))
+    return (kv.groupBy("key", W.typeof_variant("value").alias("type_name"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 REGISTRY = {
     "events_decompose": events_decompose,
+    "content_fingerprint": content_fingerprint,
+    "duplicate_groups": duplicate_groups,
+    "binary_codecs": binary_codecs,
+    "text_shape": text_shape,
+    "text_edit": text_edit,
+    "url_pattern_mining": url_pattern_mining,
+    "safe_ratios": safe_ratios,
+    "fuzzy_part_match": fuzzy_part_match,
+    "json_type_profile": json_type_profile,
 }

@@ -29,3 +29,124 @@ FROM events
 ORACLES = {
     "events_decompose": EVENTS_DECOMPOSED,
 }
+
+CONTENT_FINGERPRINT = """
+SELECT doc_id, md5(text) AS md5, hex(unhex(md5(text))) AS md5_binary_hex,
+  CAST(CAST(concat('0x', right(md5(text), 16)) AS UBIGINT) AS DECIMAL(20,0)) AS md5_lower64,
+  CAST(CAST(concat('0x', left(md5(text), 16)) AS UBIGINT) AS DECIMAL(20,0)) AS md5_upper64,
+  CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes
+FROM documents
+"""
+
+DUPLICATE_GROUPS = """
+SELECT md5(text) AS md5, count(*) AS n_docs, min(doc_id) AS first_doc_id, sum(n_chars) AS total_chars
+FROM documents GROUP BY md5(text) HAVING count(*) > 1
+"""
+
+BINARY_CODECS = """
+SELECT doc_id,
+  md5(hex(text)) AS hex_md5, CAST(length(hex(text)) AS BIGINT) AS hex_len,
+  md5(to_base64(encode(text))) AS b64_md5, CAST(length(to_base64(encode(text))) AS BIGINT) AS b64_len,
+  decode(unhex(hex(text))) = text AS hex_roundtrip_ok,
+  decode(from_base64(to_base64(encode(text)))) = text AS b64_roundtrip_ok,
+  hex(unhex(hex(text))) = hex(text) AS hex_binary_ok,
+  CAST(octet_length(encode(text)) * 8 AS BIGINT) AS n_bits
+FROM documents
+"""
+
+TEXT_SHAPE = """
+SELECT doc_id, lang,
+  CAST(CASE WHEN text = '' THEN 0 ELSE ord(text) END AS BIGINT) AS first_code,
+  CAST(length(text) AS BIGINT) AS n_chars,
+  CAST(length(rtrim(text, ' ')) AS BIGINT) AS rtrimmed_len,
+  CAST(octet_length(encode(text)) AS BIGINT) AS n_octets,
+  left(text, 12) AS prefix, right(text, 12) AS suffix,
+  CAST(instr(text, 'the') AS BIGINT) AS pos_the,
+  CAST(CASE WHEN instr(substr(text, 100), 'the') = 0 THEN 0
+            ELSE instr(substr(text, 100), 'the') + 99 END AS BIGINT) AS pos_the_from_100,
+  CAST(instr(text, 'é') AS BIGINT) AS pos_e_acute,
+  contains(text, 'password') AS has_password,
+  ends_with(text, '.') AS ends_with_period
+FROM documents
+"""
+
+TEXT_EDIT = """
+SELECT p_partkey,
+  left(p_name, instr(p_name, ' ')) || p_type || ' ' || substr(p_name, instr(p_name, ' ') + 1) AS typed_name,
+  upper(p_brand) || substr(p_name, instr(p_name, ' ')) AS branded_name,
+  p_name || repeat(' ', greatest(14 - length(p_name), 0)) AS padded_name,
+  repeat(left(p_type, 2), p_size % 4 + 1) AS type_stamp,
+  chr(p_size * 150 + 32) AS size_glyph,
+  array_to_string(list_transform(string_split(lower(p_name), ' '),
+                  lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS title_name
+FROM part
+"""
+
+URL_PATTERN_MINING = """
+SELECT page_id,
+  CAST(len(regexp_extract_all(html, 'href="/[[:alnum:]]+"')) AS BIGINT) AS n_links,
+  CAST(greatest(len(regexp_extract_all(html, 'href="/[[:alnum:]]+"')) - 2, 0) AS BIGINT) AS n_links_from_3rd,
+  CAST(len(regexp_extract_all(substr(html, 500), 'href="/[[:alnum:]]+"')) AS BIGINT) AS n_links_after_500,
+  regexp_extract_all(html, 'href="/([[:alnum:]]+)"', 1)[1] AS first_link,
+  regexp_extract_all(html, 'href="/([[:alnum:]]+)"', 1)[2] AS second_link,
+  CAST(instr(html, '<li>') AS BIGINT) AS pos_li_1,
+  CAST(CASE WHEN len(string_split(html, '<li>')) > 3
+            THEN length(array_to_string(string_split(html, '<li>')[1:3], '<li>')) + 1
+            ELSE 0 END AS BIGINT) AS pos_li_3,
+  CAST(CASE WHEN instr(substr(html, 200), '<li>') = 0 THEN 0
+            ELSE instr(substr(html, 200), '<li>') + 199 END AS BIGINT) AS pos_li_after_200,
+  regexp_full_match(url, 'https://.*') AS is_https,
+  list_filter(string_split(url, '/'), lambda x: x <> '')[2] AS host,
+  list_filter(regexp_split_to_array(url, '[/?#]'), lambda x: x <> '')[3] AS path_head,
+  CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS BIGINT) AS text_len,
+  regexp_extract_all(url, '/([[:lower:]]{2})/', 1)[1] AS lang_code
+FROM pages
+"""
+
+SAFE_RATIOS = """
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_tax = 0 THEN 0.0 ELSE l_discount / l_tax END AS discount_per_tax,
+  CASE WHEN l_discount = 0 THEN 0.0 ELSE l_tax / l_discount END AS tax_per_discount,
+  CASE WHEN o_totalprice = 0 THEN 0.0 ELSE l_extendedprice / o_totalprice END AS share_of_order,
+  round(exp(ln(l_quantity)), 6) AS quantity_roundtrip
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+
+FUZZY_PART_MATCH = """
+SELECT a.p_partkey,
+  CAST(levenshtein(a.p_name, a.p_type) AS BIGINT) AS name_type_distance,
+  CAST(least(levenshtein(a.p_name, a.p_type), 3) AS BIGINT) AS name_type_distance_cap3,
+  CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS next_distance,
+  CAST(CASE WHEN b.p_name IS NOT NULL THEN least(levenshtein(a.p_name, b.p_name), 2) END AS BIGINT)
+    AS next_distance_cap2
+FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1
+"""
+
+JSON_TYPE_PROFILE = """
+WITH docs AS (
+  SELECT json_object('props', json(props), 'value', value, 'user_id', user_id, 'event_type', event_type,
+                     'tags', json_array(event_type, CAST(user_id AS VARCHAR)), 'ok', event_type <> 'error',
+                     'refund', CASE WHEN event_type = 'purchase' THEN value END) AS doc
+  FROM events),
+kv AS (SELECT unnest(json_keys(doc)) AS key, doc FROM docs)
+SELECT key,
+  CASE json_type(doc, '$.' || key)
+    WHEN 'NULL' THEN 'NULL_VALUE' WHEN 'BOOLEAN' THEN 'BOOLEAN'
+    WHEN 'UBIGINT' THEN 'INTEGER' WHEN 'BIGINT' THEN 'INTEGER'
+    WHEN 'DOUBLE' THEN 'DECIMAL' WHEN 'VARCHAR' THEN 'VARCHAR'
+    WHEN 'ARRAY' THEN 'ARRAY' WHEN 'OBJECT' THEN 'OBJECT' END AS type_name,
+  count(*) AS n
+FROM kv GROUP BY ALL
+"""
+
+ORACLES.update({
+    "content_fingerprint": CONTENT_FINGERPRINT,
+    "duplicate_groups": DUPLICATE_GROUPS,
+    "binary_codecs": BINARY_CODECS,
+    "text_shape": TEXT_SHAPE,
+    "text_edit": TEXT_EDIT,
+    "url_pattern_mining": URL_PATTERN_MINING,
+    "safe_ratios": SAFE_RATIOS,
+    "fuzzy_part_match": FUZZY_PART_MATCH,
+    "json_type_profile": JSON_TYPE_PROFILE,
+})

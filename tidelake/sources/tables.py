@@ -10,9 +10,29 @@ TEST_TABLES = [
 ]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the parquet test tables under ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the parquet test tables under ``sf_dir``.
+
+    ``spread=True`` is for jobs whose per-row work is CPU-heavy (JSON,
+    regex, hashing of whole texts): see :func:`spread_scan`.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_scan(spark, df) if spread else df
+
+
+def spread_scan(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per executor core.
+
+    A file that is a single row group can only be read by one task, so a
+    CPU-heavy projection over it would run on one core.  When the scan has
+    fewer splits than the cluster's default parallelism, a round-robin
+    repartition spreads the rows first.  On a large input the scan already
+    has thousands of splits, the check is false and no shuffle is added.
+    """
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=None) -> None:
