@@ -195,6 +195,59 @@ def json_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+# ---------------------------------------------------------------------------
+# Pipeline jobs: they write under a fresh folder of the session's shared
+# folder (spark.checkpoint.dir) and return a DataFrame over what they wrote.
+# ---------------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA  # noqa: E402
+from tidelake.session import run_dir  # noqa: E402
+from tidelake.sources.landing import write_landing  # noqa: E402
+from tidelake.streaming import ingest  # noqa: E402
+
+# Fixed clock for the jobs: loads happen at LOAD_TIME; the landing zone is
+# split at LATE_DROP_FROM to simulate files whose notification was lost.
+LOAD_TIME = _dt.datetime(2024, 2, 1, 0, 0, 0)
+LATE_DROP_FROM = _dt.datetime(2024, 1, 20, 0, 0, 0)
+
+
+def _lit_ts(value: _dt.datetime):
+    return F.lit(value).cast("timestamp_ntz")
+
+
+def events_stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing files -> raw -> events with two ``availableNow`` streams.
+
+    Reruns of both streams then find nothing new (W2)."""
+    base = run_dir(spark, "stream-load")
+    write_landing(landing_records(read_table(spark, sf_dir, "events", spread=True)), f"{base}/landing")
+    ingest.run_once(ingest.start_raw_load(spark, f"{base}/landing", f"{base}/raw", f"{base}/ckpt/raw",
+                                          load_time=_lit_ts(LOAD_TIME)))
+    ingest.run_once(ingest.start_decompose(spark, f"{base}/raw", f"{base}/events", f"{base}/ckpt/events"))
+    events = spark.read.parquet(f"{base}/events")
+    return as_json_text(events.select(*EVENT_COLUMNS_WITH_METADATA))
+
+
+def refresh_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missed-file refresh (S6, W11): the pipe loads the first drop; the
+    late drop lands without a notification; a batch refresh over files
+    modified in the last day + 5 minutes loads exactly the missing ones.
+    Returns row counts per cell and event date of the raw table."""
+    base = run_dir(spark, "refresh")
+    records = landing_records(read_table(spark, sf_dir, "events", spread=True))
+    early = records.where(F.col("event_ts") < _lit_ts(LATE_DROP_FROM))
+    late = records.where(F.col("event_ts") >= _lit_ts(LATE_DROP_FROM))
+    landing, raw = f"{base}/landing", f"{base}/raw"
+    write_landing(early, landing)
+    ingest.run_once(ingest.start_raw_load(spark, landing, raw, f"{base}/ckpt/raw", load_time=_lit_ts(LOAD_TIME)))
+    write_landing(late, landing)
+    cutoff = (_dt.datetime.now(_dt.timezone.utc) - _dt.timedelta(days=1, minutes=5)).strftime("%Y-%m-%dT%H:%M:%S")
+    ingest.refresh_missed_files(spark, landing, raw, cutoff, load_time=_lit_ts(LOAD_TIME))
+    return (spark.read.parquet(raw).groupBy("cell", "event_date")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 REGISTRY = {
     "events_decompose": events_decompose,
     "content_fingerprint": content_fingerprint,
@@ -206,4 +259,6 @@ REGISTRY = {
     "safe_ratios": safe_ratios,
     "fuzzy_part_match": fuzzy_part_match,
     "json_type_profile": json_type_profile,
+    "events_stream_load": events_stream_load,
+    "refresh_missing_files": refresh_missing_files,
 }

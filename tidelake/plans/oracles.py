@@ -150,3 +150,18 @@ ORACLES.update({
     "fuzzy_part_match": FUZZY_PART_MATCH,
     "json_type_profile": JSON_TYPE_PROFILE,
 })
+
+EVENTS_STREAM_LOAD = EVENTS_DECOMPOSED.replace(
+    "date_trunc('hour', ts) + INTERVAL 1 HOUR AS insertion_timestamp",
+    "TIMESTAMP '2024-02-01 00:00:00' AS insertion_timestamp")
+
+REFRESH_MISSING_FILES = """
+SELECT 'c' || lpad(CAST(user_id % 8 AS VARCHAR), 2, '0') AS cell, CAST(ts AS DATE) AS event_date,
+       count(*) AS n_rows
+FROM events GROUP BY ALL
+"""
+
+ORACLES.update({
+    "events_stream_load": EVENTS_STREAM_LOAD,
+    "refresh_missing_files": REFRESH_MISSING_FILES,
+})
