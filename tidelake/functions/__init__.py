@@ -25,8 +25,11 @@ def _col(c) -> Column:
 
 
 def _call(name: str, *args) -> Column:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
+    # The active session can be a streaming query's clone (inside
+    # foreachBatch); register in the default session as well.
+    sessions = {id(s): s for s in (SparkSession.getActiveSession(), SparkSession._instantiatedSession)
+                if s is not None}
+    for spark in sessions.values():
         ensure(spark, name)
     return F.call_function(name, *[_col(a) for a in args])
 

@@ -248,6 +248,85 @@ def refresh_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+
+# ---------------------------------------------------------------------------
+# Table maintenance jobs.
+# ---------------------------------------------------------------------------
+import uuid as _uuid  # noqa: E402
+
+from tidelake.operators import maintenance, retention  # noqa: E402
+
+WORK_SCHEMA = "tidelake_work"
+INFRA_SCHEMA = "tidelake_infra"
+# Retention runs "a year later"; the transform lag is observed while the
+# copy task has consumed loads up to CONSUMED_UNTIL.
+TRIM_AS_OF = _dt.datetime(2025, 1, 15, 0, 0, 0)
+CONSUMED_UNTIL = _dt.datetime(2024, 1, 25, 0, 0, 0)
+LAG_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
+
+
+def _table_name(prefix: str) -> str:
+    return f"{WORK_SCHEMA}.{prefix}_{_uuid.uuid4().hex[:10]}"
+
+
+def _materialize_lake(spark: SparkSession, sf_dir: str, base: str) -> tuple[str, str]:
+    """Raw and typed events written as event_date-partitioned parquet."""
+    raw_path, events_path = f"{base}/raw", f"{base}/events"
+    raw_events(spark, sf_dir).write.mode("overwrite").partitionBy("event_date").parquet(raw_path)
+    decompose(spark.read.parquet(raw_path)).write.mode("overwrite").partitionBy("event_date").parquet(events_path)
+    return raw_path, events_path
+
+
+def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 with K10: the events table is created before ``metadata``
+    existed, the column is added with ALTER TABLE (old rows read NULL),
+    then filled from the raw records, objects only."""
+    base = run_dir(spark, "backfill")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    raw = raw_events(spark, sf_dir)
+    table = _table_name("events")
+    maintenance.save_external_table(decompose(raw, with_metadata=False), table, f"{base}/events",
+                                    partition_by=["event_date"])
+    spark.sql(f"ALTER TABLE {table} ADD COLUMNS (metadata VARIANT)")
+    filled = maintenance.backfill_metadata(spark.table(table), raw, mode="keyed")
+    return filled.select("uuid", "event_type", F.to_json("metadata").alias("metadata"))
+
+
+def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W9 (W7 + W8 + K15): trim both tables to one year before TRIM_AS_OF,
+    record the cleanup history, report deleted and kept rows per table."""
+    base = run_dir(spark, "retention")
+    raw_path, events_path = _materialize_lake(spark, sf_dir, base)
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    history = _table_name("sensitive_cleanup_history")
+    retention.create_history_table(spark, history, f"{base}/history")
+    retention.trim_old_sensitive_data(spark, raw_path, events_path, f"{base}/history", TRIM_AS_OF)
+    kept = retention.kept_rows(spark, {"sensitive.raw_events": raw_path, "sensitive.events": events_path})
+    return spark.table(history).join(kept, "table_name").select(
+        "table_name", "execution_time", "deleted_records", "kept_records")
+
+
+def transform_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6/W12 per cell: the copy task has consumed loads up to
+    CONSUMED_UNTIL; lag observed at LAG_AS_OF."""
+    raw = raw_events(spark, sf_dir)
+    events = decompose(raw.where(F.col("insertion_timestamp") <= _lit_ts(CONSUMED_UNTIL)))
+    return maintenance.transform_lag(raw, events, as_of=_lit_ts(LAG_AS_OF), by=["cell"])
+
+
+def reduced_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimal-column views with a comment over catalog tables."""
+    base = run_dir(spark, "views")
+    raw_path, events_path = _materialize_lake(spark, sf_dir, base)
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    raw_t, ev_t = _table_name("raw_events"), _table_name("events")
+    for name, path in ((raw_t, raw_path), (ev_t, events_path)):
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+        spark.sql(f"REPAIR TABLE {name}")  # register the event_date partitions found on disk
+    ev_view, _ = maintenance.create_reduced_views(spark, ev_t, raw_t, INFRA_SCHEMA)
+    return spark.table(ev_view)
+
+
 REGISTRY = {
     "events_decompose": events_decompose,
     "content_fingerprint": content_fingerprint,
@@ -261,4 +340,8 @@ REGISTRY = {
     "json_type_profile": json_type_profile,
     "events_stream_load": events_stream_load,
     "refresh_missing_files": refresh_missing_files,
+    "metadata_backfill": metadata_backfill,
+    "retention_trim": retention_trim,
+    "transform_lag": transform_lag,
+    "reduced_events_view": reduced_events_view,
 }

@@ -165,3 +165,49 @@ ORACLES.update({
     "events_stream_load": EVENTS_STREAM_LOAD,
     "refresh_missing_files": REFRESH_MISSING_FILES,
 })
+
+_CELL = "'c' || lpad(CAST(user_id % 8 AS VARCHAR), 2, '0')"
+_LOAD = "date_trunc('hour', ts) + INTERVAL 1 HOUR"
+
+METADATA_BACKFILL = """
+SELECT CAST(event_id AS VARCHAR) AS uuid, event_type,
+       CASE WHEN ts < TIMESTAMP '2024-01-08' THEN NULL ELSE CAST(json(props) AS VARCHAR) END AS metadata
+FROM events
+"""
+
+RETENTION_TRIM = """
+SELECT t.table_name, TIMESTAMP '2025-01-15 00:00:00' AS execution_time,
+       CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS DECIMAL(38,0)) AS deleted_records,
+       count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS kept_records
+FROM events, (VALUES ('sensitive.raw_events'), ('sensitive.events')) AS t(table_name)
+GROUP BY t.table_name
+"""
+
+TRANSFORM_LAG = f"""
+WITH r AS (SELECT {_CELL} AS cell, {_LOAD} AS ins FROM events),
+a AS (
+  SELECT cell,
+         count(*) FILTER (WHERE ins > TIMESTAMP '2024-01-25 00:00:00') AS pending_rows,
+         max(ins) FILTER (WHERE ins <= TIMESTAMP '2024-01-25 00:00:00') AS last_consumed,
+         min(ins) FILTER (WHERE ins > TIMESTAMP '2024-01-25 00:00:00') AS first_pending
+  FROM r GROUP BY cell)
+SELECT cell, pending_rows, coalesce(last_consumed, first_pending) AS offset_time,
+       CASE WHEN pending_rows > 0
+            THEN CAST(date_diff('minute', coalesce(last_consumed, first_pending),
+                                TIMESTAMP '2024-01-31 00:00:00') AS DOUBLE)
+            ELSE 0.0 END AS lag_minutes
+FROM a
+"""
+
+REDUCED_EVENTS_VIEW = f"""
+SELECT {_LOAD} AS insertion_timestamp, {_CELL} AS cell, CAST(event_id AS VARCHAR) AS uuid,
+       'org-' || CAST(user_id AS VARCHAR) AS org_id
+FROM events
+"""
+
+ORACLES.update({
+    "metadata_backfill": METADATA_BACKFILL,
+    "retention_trim": RETENTION_TRIM,
+    "transform_lag": TRANSFORM_LAG,
+    "reduced_events_view": REDUCED_EVENTS_VIEW,
+})

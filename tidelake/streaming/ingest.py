@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidelake.functions.dialect import register
 from tidelake.operators.events import decompose
 from tidelake.sources.landing import RAW_SCHEMA, enrich, scan_landing
 from tidelake.util import list_dirs, path_exists
@@ -120,6 +121,7 @@ def start_raw_load(spark: SparkSession, landing_path: str, raw_path: str, checkp
                    load_time: Column | None = None, available_now: bool = True,
                    processing_time: str = "1 minute") -> StreamingQuery:
     """The pipe (S2): landing files -> raw events, incrementally."""
+    register(spark)
     raw = enrich(landing_stream(spark, landing_path), load_time)
     writer = (raw.writeStream.foreachBatch(lambda df, _id: append_new_files(df, raw_path))
               .option("checkpointLocation", checkpoint))
@@ -131,6 +133,7 @@ def start_decompose(spark: SparkSession, raw_path: str, events_path: str, checkp
                     with_metadata: bool = True, available_now: bool = True,
                     processing_time: str = "1 hour") -> StreamingQuery:
     """The copy task (W3/W4) on the raw table's new files."""
+    register(spark)
     raw = spark.readStream.schema(RAW_SCHEMA).parquet(raw_path)
     # Files rewritten by a retention trim hold rows decomposed before.
     raw = raw.where(~F.col("_metadata.file_path").contains(f"/{REWRITE_PREFIX}"))
