@@ -327,6 +327,84 @@ def reduced_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(ev_view)
 
 
+
+# ---------------------------------------------------------------------------
+# Catalog, typed tables and parameterised SQL.
+# ---------------------------------------------------------------------------
+from tidelake.operators import catalog  # noqa: E402
+from tidelake.operators.sqltext import run_template  # noqa: E402
+from tidelake.plans import passthrough  # noqa: E402
+
+STAR_SCHEMA = "tidelake_star"
+LAKE_SCHEMA = "tidelake_lake"
+STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+LAKE_TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+TZ_OFFSET_MINUTES = -480  # the session zone's offset in the reference's tests
+
+TYPED_ORDERS_DDL = ("order_key DECIMAL(38,0), cust_key DECIMAL(10,1), total_price DECIMAL(20,2), "
+                    "total_price_3 NUMERIC(30,3), status VARCHAR(1), priority VARCHAR(15), "
+                    "order_date TIMESTAMP_NTZ, order_tz STRUCT<ts: TIMESTAMP_NTZ, offset_min: INT>")
+
+
+def typed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared types survive a write and read back."""
+    base = run_dir(spark, "typed")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    table = _table_name("typed_orders")
+    catalog.create_or_replace_table(spark, table, TYPED_ORDERS_DDL, location=f"{base}/typed_orders")
+    o = read_table(spark, sf_dir, "orders")
+    rows = o.select(
+        F.col("o_orderkey").cast("decimal(38,0)"), F.col("o_custkey").cast("decimal(10,1)"),
+        F.col("o_totalprice").cast("decimal(20,2)"),
+        F.col("o_totalprice").cast("decimal(20,2)").cast("decimal(30,3)"),
+        F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderdate"),
+        F.struct(F.col("o_orderdate").alias("ts"), F.lit(TZ_OFFSET_MINUTES).alias("offset_min")))
+    catalog.insert(rows, table)
+    back = spark.sql(f"SELECT * FROM {table} ORDER BY order_date ASC NULLS LAST, order_key")
+    return back.select(
+        "order_key", "cust_key", "total_price", "total_price_3", "status", "priority", "order_date",
+        F.col("order_tz.offset_min").alias("order_tz_offset_min"),
+        F.timestamp_add("MINUTE", -F.col("order_tz.offset_min"), F.col("order_tz.ts")).alias("order_tz_utc"))
+
+
+def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column catalog of two schemas (star and
+    lake tables, registered over the test files) joined to a one-pass
+    profile per table, unioned and ordered."""
+    pairs = []
+    for schema, tables in ((STAR_SCHEMA, STAR_TABLES), (LAKE_SCHEMA, LAKE_TABLES)):
+        catalog.create_schema(spark, schema)
+        for t in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{t}")
+            spark.sql(f"CREATE TABLE {schema}.{t} USING parquet LOCATION '{sf_dir.rstrip('/')}/{t}.parquet'")
+            pairs.append((schema, t))
+    cols = catalog.columns(spark, pairs)
+    prof = catalog.profile(spark, *pairs[0])
+    for p in pairs[1:]:
+        prof = prof.unionByName(catalog.profile(spark, *p))
+    return (cols.join(prof, ["table_schema", "table_name", "column_name"])
+            .orderBy("table_catalog", "table_schema", "table_name", "ordinal_position"))
+
+
+EVENT_SUMMARY_TEMPLATE = """
+SELECT event_type, count(*) AS n_events, round(sum(value), 2) AS total_value,
+       min(ts) AS first_seen, max(ts) AS last_seen
+FROM IDENTIFIER(${events.table})
+WHERE ts >= ${window.start} AND ts < ${window.end}
+GROUP BY event_type
+"""
+
+
+def sql_template_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ``${key}`` script bound through parameter markers."""
+    read_table(spark, sf_dir, "events").createOrReplaceTempView("tidelake_events_src")
+    return run_template(spark, EVENT_SUMMARY_TEMPLATE, {
+        "events.table": "tidelake_events_src",
+        "window.start": _dt.datetime(2024, 1, 1),
+        "window.end": _dt.datetime(2025, 1, 1),
+    })
+
+
 REGISTRY = {
     "events_decompose": events_decompose,
     "content_fingerprint": content_fingerprint,
@@ -344,4 +422,8 @@ REGISTRY = {
     "retention_trim": retention_trim,
     "transform_lag": transform_lag,
     "reduced_events_view": reduced_events_view,
+    "typed_roundtrip": typed_roundtrip,
+    "column_catalog": column_catalog,
+    "sql_template_job": sql_template_job,
+    **{name: passthrough.job(name) for name in passthrough.QUERIES},
 }

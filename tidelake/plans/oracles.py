@@ -211,3 +211,79 @@ ORACLES.update({
     "transform_lag": TRANSFORM_LAG,
     "reduced_events_view": REDUCED_EVENTS_VIEW,
 })
+
+TYPED_ROUNDTRIP = """
+SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS order_key, CAST(o_custkey AS DECIMAL(10,1)) AS cust_key,
+       CAST(o_totalprice AS DECIMAL(20,2)) AS total_price,
+       CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS DECIMAL(30,3)) AS total_price_3,
+       o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS order_date,
+       -480 AS order_tz_offset_min, o_orderdate + INTERVAL 480 MINUTE AS order_tz_utc
+FROM orders
+"""
+
+# The test tables' columns with the types Spark reads them as.
+TABLE_COLUMNS = {
+    ("TIDELAKE_STAR", "region"): [("r_regionkey", "int"), ("r_name", "string")],
+    ("TIDELAKE_STAR", "nation"): [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
+    ("TIDELAKE_STAR", "customer"): [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                                    ("c_acctbal", "double"), ("c_mktsegment", "string")],
+    ("TIDELAKE_STAR", "supplier"): [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"),
+                                    ("s_acctbal", "double")],
+    ("TIDELAKE_STAR", "part"): [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"),
+                                ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")],
+    ("TIDELAKE_STAR", "orders"): [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                                  ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"),
+                                  ("o_orderpriority", "string")],
+    ("TIDELAKE_STAR", "lineitem"): [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                                    ("l_linenumber", "int"), ("l_quantity", "double"),
+                                    ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+                                    ("l_returnflag", "string"), ("l_linestatus", "string"),
+                                    ("l_shipdate", "timestamp_ntz")],
+    ("TIDELAKE_LAKE", "events"): [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
+                                  ("event_type", "string"), ("value", "double"), ("props", "string")],
+    ("TIDELAKE_LAKE", "documents"): [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
+                                     ("source", "string"), ("n_chars", "bigint")],
+    ("TIDELAKE_LAKE", "embeddings"): [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    ("TIDELAKE_LAKE", "pages"): [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    ("TIDELAKE_LAKE", "benchmark"): [("item_id", "bigint"), ("text", "string")],
+    ("TIDELAKE_LAKE", "labels"): [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    ("TIDELAKE_LAKE", "conversations"): [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"),
+                                         ("text", "string")],
+}
+
+
+def _column_catalog_sql() -> str:
+    parts = []
+    for (schema, table), cols in TABLE_COLUMNS.items():
+        for pos, (col, typ) in enumerate(cols, start=1):
+            parts.append(
+                f"SELECT 'SPARK_CATALOG' AS table_catalog, '{schema}' AS table_schema, "
+                f"'{table.upper()}' AS table_name, '{col}' AS column_name, {pos} AS ordinal_position, "
+                f"'{typ}' AS data_type, count(*) AS row_count, count(*) - count({col}) AS null_count "
+                f"FROM {table}")
+    return "\nUNION ALL\n".join(parts)
+
+
+COLUMN_CATALOG = _column_catalog_sql()
+
+SQL_TEMPLATE_JOB = """
+SELECT event_type, count(*) AS n_events, round(sum(value), 2) AS total_value,
+       min(ts) AS first_seen, max(ts) AS last_seen
+FROM events
+WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2025-01-01'
+GROUP BY event_type
+"""
+
+ORACLES.update({
+    "typed_roundtrip": TYPED_ROUNDTRIP,
+    "column_catalog": COLUMN_CATALOG,
+    "sql_template_job": SQL_TEMPLATE_JOB,
+})
+
+
+def _passthrough():
+    from tidelake.plans.passthrough import QUERIES
+    return {name: text for name, (_tables, text) in QUERIES.items()}
+
+
+ORACLES.update(_passthrough())
