@@ -118,12 +118,35 @@ def insert(df: DataFrame, table: str) -> int:
 def insert_values(spark: SparkSession, table: str, rows: list[tuple], columns_: list[str]) -> int:
     """``INSERT INTO t (cols) VALUES ..`` (K1, K3): unnamed columns get NULL."""
     target = spark.table(table).schema
-    df = spark.createDataFrame(rows, T.StructType([target[c] for c in columns_]))
-    full = df.select(*[F.col(f.name) if f.name in columns_ else F.lit(None).cast(f.dataType).alias(f.name)
-                       for f in target.fields])
+    # Literal values take the target column's type by cast, as in SQL.
+    fields = []
+    for i, c in enumerate(columns_):
+        sample = next((r[i] for r in rows if r[i] is not None), None)
+        fields.append(T.StructField(c, T.StringType() if sample is None else _infer(sample), True))
+    df = spark.createDataFrame(rows, T.StructType(fields))
+    full = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in columns_
+                       else F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields])
     return insert(full, table)
 
 
+def _infer(value) -> T.DataType:
+    import datetime as dt
+    import decimal
+    if isinstance(value, bool):
+        return T.BooleanType()
+    if isinstance(value, int):
+        return T.LongType()
+    if isinstance(value, float):
+        return T.DoubleType()
+    if isinstance(value, decimal.Decimal):
+        return T.DecimalType(38, max(0, -value.as_tuple().exponent))
+    if isinstance(value, (bytes, bytearray)):
+        return T.BinaryType()
+    if isinstance(value, dt.datetime):
+        return T.TimestampNTZType()
+    return T.StringType()
+
+
 def show_tables(spark: SparkSession, schema: str) -> DataFrame:
     """``SHOW TABLES``."""
     return spark.sql(f"SHOW TABLES IN {schema}")

@@ -18,8 +18,7 @@ nothing new processes zero rows and returns.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,70 +41,70 @@ def ledger_path(raw_path: str) -> str:
 def append_new_files(batch: DataFrame, raw_path: str, max_files: int = 100_000) -> int:
     """Append the records of files not loaded yet; return rows appended.
 
-    The batch is read once into the cache (a micro-batch is bounded by
-    ``maxFilesPerTrigger``).  Its distinct file names (one per file, at most
-    ``max_files``, checked) are broadcast against the ledger to find files
-    loaded before; their records are dropped with a predicate, the rest
-    is appended, then the new names go to the ledger.  Data is written
-    before the ledger, so a crash between the two can at worst load the
-    same files again on the next run, never drop them.
+    Pass 1 reads only the file-name column of the batch to list its files
+    (at most ``max_files``, checked; a micro-batch is bounded by
+    ``maxFilesPerTrigger``).  That list is broadcast against the ledger to
+    find files loaded before; their records are dropped with a predicate
+    and pass 2 appends the rest, counting rows while writing.  Nothing is
+    cached: VARIANT-heavy batches would crowd executor memory.  Data is
+    written before the ledger, so a crash between the two can at worst load
+    the same files again on the next run, never drop them.
     """
     spark = batch.sparkSession
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        files = [r[0] for r in batch.select("source_file").distinct().collect()]
-        if len(files) > max_files:
-            raise ValueError(f"{len(files)} files in one load; lower maxFilesPerTrigger or split the load")
-        if not files:
-            return 0
-        ledger = ledger_path(raw_path)
-        loaded: set[str] = set()
-        if path_exists(spark, ledger):
-            candidates = spark.createDataFrame([(f,) for f in files], "source_file string")
-            loaded = {r[0] for r in spark.read.parquet(ledger).select("source_file")
-                      .join(F.broadcast(candidates), "source_file", "left_semi").distinct().collect()}
-        new_files = [f for f in files if f not in loaded]
-        if not new_files:
-            return 0
-        new = batch if not loaded else batch.where(F.col("source_file").isin(new_files))
-        counted = new.observe("load", F.count(F.lit(1)).alias("rows"))
-        counted.write.mode("append").partitionBy("event_date").parquet(raw_path)
-        (spark.createDataFrame([(f,) for f in new_files], "source_file string")
-         .select("source_file", F.current_timestamp().alias("loaded_at"))
-         .write.mode("append").parquet(ledger))
-        return int(batch.where(F.col("source_file").isin(new_files)).count()) if loaded else int(batch.count())
-    finally:
-        batch.unpersist()
-
-
-def append_events(batch: DataFrame, events_path: str) -> None:
-    """Append typed events, skipping rows the table already holds.
-
-    Only needed when a micro-batch is replayed after a failure: the batch
-    (cached, bounded by the trigger) lists its event dates; when none of
-    those date partitions exist yet the rows are appended directly,
-    otherwise a partition-pruned anti join on (event_date, uuid,
-    insertion_timestamp) keeps rows already written out.
+    files = [r[0] for r in batch.select("source_file").distinct().collect()]
+    if len(files) > max_files:
+        raise ValueError(f"{len(files)} files in one load; lower maxFilesPerTrigger or split the load")
+    if not files:
+        return 0
+    ledger = ledger_path(raw_path)
+    loaded: set[str] = set()
+    if path_exists(spark, ledger):
+        candidates = spark.createDataFrame([(f,) for f in files], "source_file string")
+        loaded = {r[0] for r in spark.read.parquet(ledger).select("source_file")
+                  .join(F.broadcast(candidates), "source_file", "left_semi").distinct().collect()}
+    new_files = [f for f in files if f not in loaded]
+    if not new_files:
+        return 0
+    new = batch if not loaded else batch.where(F.col("source_file").isin(new_files))
+    obs = Observation("raw_load")
+    new.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
+        .partitionBy("event_date").parquet(raw_path)
+    (spark.createDataFrame([(f,) for f in new_files], "source_file string")
+     .select("source_file", F.current_timestamp().alias("loaded_at"))
+     .write.mode("append").parquet(ledger))
+    return int(obs.get["rows"])
+
+
+def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool = True) -> int:
+    """Decompose a batch of raw rows and append the events not yet present.
+
+    The batch's event dates come from the raw table's partition column (a
+    cheap first pass, no cache).  When none of those date partitions exist
+    in the events table the rows are appended directly; otherwise (a
+    replayed micro-batch) a partition-pruned anti join on (event_date,
+    uuid, insertion_timestamp) keeps rows already written out.
     """
-    spark = batch.sparkSession
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        keys = ["event_date", "uuid", "insertion_timestamp"]
-        dates = [r[0] for r in batch.select("event_date").distinct().collect()]
-        present = set(list_dirs(spark, events_path))
-        wanted = {f"event_date={d.isoformat() if d is not None else DEFAULT_PARTITION}" for d in dates}
-        new = batch
-        if present & wanted:
-            existing = spark.read.parquet(events_path)
-            cond = F.col("event_date").isin([d for d in dates if d is not None])
-            if None in dates:
-                cond = cond | F.col("event_date").isNull()
-            existing = existing.where(cond).select(*keys)
-            join_on = [batch[k].eqNullSafe(existing[k]) for k in keys]
-            new = batch.join(existing, join_on, "left_anti")
-        new.write.mode("append").partitionBy("event_date").parquet(events_path)
-    finally:
-        batch.unpersist()
+    spark = raw_batch.sparkSession
+    batch = decompose(raw_batch, with_metadata=with_metadata)
+    keys = ["event_date", "uuid", "insertion_timestamp"]
+    dates = [r[0] for r in raw_batch.select("event_date").distinct().collect()]
+    if not dates:
+        return 0
+    present = set(list_dirs(spark, events_path))
+    wanted = {f"event_date={d.isoformat() if d is not None else DEFAULT_PARTITION}" for d in dates}
+    new = batch
+    if present & wanted:
+        existing = spark.read.parquet(events_path)
+        cond = F.col("event_date").isin([d for d in dates if d is not None])
+        if None in dates:
+            cond = cond | F.col("event_date").isNull()
+        existing = existing.where(cond).select(*keys)
+        join_on = [batch[k].eqNullSafe(existing[k]) for k in keys]
+        new = batch.join(existing, join_on, "left_anti")
+    obs = Observation("events_load")
+    new.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
+        .partitionBy("event_date").parquet(events_path)
+    return int(obs.get["rows"])
 
 
 def landing_stream(spark: SparkSession, landing_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -137,8 +136,7 @@ def start_decompose(spark: SparkSession, raw_path: str, events_path: str, checkp
     raw = spark.readStream.schema(RAW_SCHEMA).parquet(raw_path)
     # Files rewritten by a retention trim hold rows decomposed before.
     raw = raw.where(~F.col("_metadata.file_path").contains(f"/{REWRITE_PREFIX}"))
-    events = decompose(raw, with_metadata=with_metadata)
-    writer = (events.writeStream.foreachBatch(lambda df, _id: append_events(df, events_path))
+    writer = (raw.writeStream.foreachBatch(lambda df, _id: append_events(df, events_path, with_metadata))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
