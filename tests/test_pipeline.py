@@ -56,10 +56,11 @@ def test_stream_equals_batch_and_rerun_is_empty(spark, work):
 
 def test_replayed_loads_are_idempotent(spark, work):
     landed(spark, work)
-    raw_batch = enrich(scan_landing(spark, f"{work}/landing"), lit_ts(LOAD))
-    first = ingest.append_new_files(raw_batch, f"{work}/raw")
-    assert first == raw_batch.count()
-    assert ingest.append_new_files(raw_batch, f"{work}/raw") == 0
+    files = ingest.list_landing_files(spark, f"{work}/landing")
+    first = ingest.load_files(spark, files, f"{work}/raw", lit_ts(LOAD))
+    assert first == read_table(spark, SF, "events").count()
+    assert ingest.load_files(spark, files, f"{work}/raw", lit_ts(LOAD)) == 0
+    assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw") == 0
     assert spark.read.parquet(f"{work}/raw").count() == first
     raw = spark.read.parquet(f"{work}/raw")
     assert ingest.append_events(raw, f"{work}/events") == first

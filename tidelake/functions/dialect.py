@@ -176,15 +176,16 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         f"timestampdiff(MINUTE, {_EPOCH}, b) - timestampdiff(MINUTE, {_EPOCH}, a)",
     ),
     # ---- JSON / VARIANT --------------------------------------------------------
+    # An object is whatever casts to an empty struct: O(1), no field copies.
     "is_object": (
         "v VARIANT", "BOOLEAN",
-        "CASE WHEN v IS NULL THEN NULL ELSE try_variant_get(v, '$', 'map<string,variant>') IS NOT NULL END"),
+        "CASE WHEN v IS NULL THEN NULL ELSE try_variant_get(v, '$', 'struct<>') IS NOT NULL END"),
     "is_array": (
         "v VARIANT", "BOOLEAN",
         "CASE WHEN v IS NULL THEN NULL ELSE try_variant_get(v, '$', 'array<variant>') IS NOT NULL END"),
     "as_object": (
         "v VARIANT", "VARIANT",
-        "CASE WHEN try_variant_get(v, '$', 'map<string,variant>') IS NOT NULL THEN v END"),
+        "CASE WHEN try_variant_get(v, '$', 'struct<>') IS NOT NULL THEN v END"),
     "as_array": ("v VARIANT", "ARRAY<VARIANT>", "try_variant_get(v, '$', 'array<variant>')"),
     # A JSON double is reported as DECIMAL, like the dialect's JSON numbers.
     "wh_typeof": (

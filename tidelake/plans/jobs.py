@@ -269,10 +269,17 @@ def _table_name(prefix: str) -> str:
     return f"{WORK_SCHEMA}.{prefix}_{_uuid.uuid4().hex[:10]}"
 
 
+def _raw_table(spark: SparkSession, sf_dir: str, base: str) -> str:
+    """The raw events table, written once as event_date-partitioned parquet
+    (what the pipe leaves behind); later steps read it like any table."""
+    raw_path = f"{base}/raw"
+    raw_events(spark, sf_dir).write.mode("overwrite").partitionBy("event_date").parquet(raw_path)
+    return raw_path
+
+
 def _materialize_lake(spark: SparkSession, sf_dir: str, base: str) -> tuple[str, str]:
     """Raw and typed events written as event_date-partitioned parquet."""
-    raw_path, events_path = f"{base}/raw", f"{base}/events"
-    raw_events(spark, sf_dir).write.mode("overwrite").partitionBy("event_date").parquet(raw_path)
+    raw_path, events_path = _raw_table(spark, sf_dir, base), f"{base}/events"
     decompose(spark.read.parquet(raw_path)).write.mode("overwrite").partitionBy("event_date").parquet(events_path)
     return raw_path, events_path
 
@@ -283,7 +290,7 @@ def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     then filled from the raw records, objects only."""
     base = run_dir(spark, "backfill")
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
-    raw = raw_events(spark, sf_dir)
+    raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
     table = _table_name("events")
     maintenance.save_external_table(decompose(raw, with_metadata=False), table, f"{base}/events",
                                     partition_by=["event_date"])
@@ -309,7 +316,7 @@ def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transform_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6/W12 per cell: the copy task has consumed loads up to
     CONSUMED_UNTIL; lag observed at LAG_AS_OF."""
-    raw = raw_events(spark, sf_dir)
+    raw = spark.read.parquet(_raw_table(spark, sf_dir, run_dir(spark, "lag")))
     events = decompose(raw.where(F.col("insertion_timestamp") <= _lit_ts(CONSUMED_UNTIL)))
     return maintenance.transform_lag(raw, events, as_of=_lit_ts(LAG_AS_OF), by=["cell"])
 

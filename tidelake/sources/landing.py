@@ -7,8 +7,8 @@
 * :func:`enrich` is the load projection of the pipe: load time, ``org_id``
   and ``cell`` (known only from the file path), the raw record, the source
   file and an ``event_date`` used to partition the raw table.
-* :func:`refresh_missed_files` re-scans recent files and loads those the raw
-  table does not hold yet.
+* loading, the missed-file refresh and the load ledger live in
+  :mod:`tidelake.streaming.ingest`.
 """
 
 from __future__ import annotations
@@ -34,10 +34,6 @@ RAW_SCHEMA = ("insertion_timestamp TIMESTAMP_NTZ, org_id STRING, cell STRING, ra
               "source_file STRING, event_date DATE")
 
 
-def _variant_text(json_text: Column) -> Column:
-    return F.parse_json(json_text)
-
-
 def landing_records(events: DataFrame) -> DataFrame:
     """Shape test ``events`` rows as landing-zone records.
 
@@ -125,21 +121,3 @@ def raw_from_records(records: DataFrame, load_time: Column) -> DataFrame:
 def hourly_load_time(event_ts: Column) -> Column:
     """The top of the hour after the event: an hourly loader's clock."""
     return F.timestamp_add("HOUR", F.timestamp_diff("HOUR", epoch_ntz(), event_ts) + 1, epoch_ntz())
-
-
-def refresh_missed_files(spark: SparkSession, landing_path: str, raw: DataFrame,
-                         modified_after: str, load_time: Column | None = None) -> DataFrame:
-    """Rows from landing files changed after ``modified_after`` that the raw
-    table has not loaded yet (S6, W11).
-
-    The anti join is done at file granularity: the distinct files of the
-    recent scan against the distinct ``source_file`` values of the raw table
-    (both a few rows per file, not per record), then a semi join brings the
-    records of the missing files back.  ``modifiedAfter`` is a batch-only
-    option, so this is a batch job that appends to the raw table.
-    """
-    recent = scan_landing(spark, landing_path, modified_after=modified_after)
-    recent_files = recent.select("source_file").distinct()
-    loaded_files = raw.select("source_file").distinct()
-    missing = recent_files.join(loaded_files, "source_file", "left_anti")
-    return enrich(recent.join(missing, "source_file", "left_semi"), load_time)

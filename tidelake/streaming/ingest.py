@@ -3,10 +3,11 @@
 Two streams, each a ``readStream -> transform -> foreachBatch`` query with
 its own checkpoint:
 
-* landing JSON files -> raw events (the pipe).  Each micro-batch goes
-  through :func:`append_new_files`, which loads only files the raw table's
-  load ledger does not list yet.  A replayed micro-batch, a rerun or a
-  missed-file refresh therefore never loads a file twice.
+* landing file names -> raw events (the pipe).  The stream tracks which
+  files are new (names only); each micro-batch goes through
+  :func:`load_files`, which reads only files the raw table's load ledger
+  does not list yet.  A replayed micro-batch, a rerun or a missed-file
+  refresh therefore never loads a file twice.
 * raw events -> typed events (the copy task).  Each micro-batch goes
   through :func:`append_events`, which skips rows already present for the
   same (event_date, uuid, insertion_timestamp) within the batch's dates, so
@@ -24,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelake.functions.dialect import register
 from tidelake.operators.events import decompose
-from tidelake.sources.landing import RAW_SCHEMA, enrich, scan_landing
+from tidelake.sources.landing import RAW_SCHEMA, enrich
 from tidelake.util import list_dirs, path_exists
 
 DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
@@ -38,43 +39,56 @@ def ledger_path(raw_path: str) -> str:
     return raw_path.rstrip("/") + LEDGER_SUFFIX
 
 
-def append_new_files(batch: DataFrame, raw_path: str, max_files: int = 100_000) -> int:
-    """Append the records of files not loaded yet; return rows appended.
+def load_files(spark: SparkSession, paths: list[str], raw_path: str, load_time: Column | None = None,
+               max_files: int = 100_000) -> int:
+    """Load the landing files in ``paths`` that the raw table has not loaded
+    yet; return the rows appended.
 
-    Pass 1 reads only the file-name column of the batch to list its files
-    (at most ``max_files``, checked; a micro-batch is bounded by
-    ``maxFilesPerTrigger``).  That list is broadcast against the ledger to
-    find files loaded before; their records are dropped with a predicate
-    and pass 2 appends the rest, counting rows while writing.  Nothing is
-    cached: VARIANT-heavy batches would crowd executor memory.  Data is
-    written before the ledger, so a crash between the two can at worst load
-    the same files again on the next run, never drop them.
+    The path list (one entry per file, at most ``max_files``, checked) is
+    broadcast against the ledger to find files loaded before.  Only the
+    new files are read, each parsed into VARIANT once, enriched and
+    appended; the row count is observed while writing.  Data is written
+    before the ledger, so a crash between the two can at worst load the
+    same files again on the next run, never drop them.
     """
-    spark = batch.sparkSession
-    files = [r[0] for r in batch.select("source_file").distinct().collect()]
-    if len(files) > max_files:
-        raise ValueError(f"{len(files)} files in one load; lower maxFilesPerTrigger or split the load")
-    if not files:
+    if len(paths) > max_files:
+        raise ValueError(f"{len(paths)} files in one load; lower maxFilesPerTrigger or split the load")
+    if not paths:
         return 0
     ledger = ledger_path(raw_path)
     loaded: set[str] = set()
     if path_exists(spark, ledger):
-        candidates = spark.createDataFrame([(f,) for f in files], "source_file string")
+        candidates = spark.createDataFrame([(p,) for p in paths], "source_file string")
         loaded = {r[0] for r in spark.read.parquet(ledger).select("source_file")
                   .join(F.broadcast(candidates), "source_file", "left_semi").distinct().collect()}
-    new_files = [f for f in files if f not in loaded]
-    if not new_files:
+    new_paths = [p for p in dict.fromkeys(paths) if p not in loaded]
+    if not new_paths:
         return 0
-    new = batch if not loaded else batch.where(F.col("source_file").isin(new_files))
+    records = read_landing_files(spark, new_paths)
     obs = Observation("raw_load")
-    new.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
-        .partitionBy("event_date").parquet(raw_path)
-    (spark.createDataFrame([(f,) for f in new_files], "source_file string")
+    enrich(records, load_time).observe(obs, F.count(F.lit(1)).alias("rows")) \
+        .write.mode("append").partitionBy("event_date").parquet(raw_path)
+    (spark.createDataFrame([(p,) for p in new_paths], "source_file string")
      .select("source_file", F.current_timestamp().alias("loaded_at"))
      .write.mode("append").parquet(ledger))
     return int(obs.get["rows"])
 
 
+def read_landing_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of the given landing files: one VARIANT each plus the
+    file name (S1, S3, S4)."""
+    df = spark.read.format("json").option("singleVariantColumn", "raw_json").load(paths)
+    return df.select("raw_json", F.col("_metadata.file_path").alias("source_file"))
+
+
+def list_landing_files(spark: SparkSession, landing_path: str, modified_after: str | None = None) -> list[str]:
+    """Landing file names (metadata only: the content is never read)."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if modified_after is not None:
+        reader = reader.option("modifiedAfter", modified_after)
+    return [r[0] for r in reader.load(landing_path).select("path").collect()]
+
+
 def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool = True) -> int:
     """Decompose a batch of raw rows and append the events not yet present.
 
@@ -107,23 +121,29 @@ def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool =
     return int(obs.get["rows"])
 
 
-def landing_stream(spark: SparkSession, landing_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """The stage as a stream source: one VARIANT per record plus its file."""
-    df = (spark.readStream.format("json")
-          .option("singleVariantColumn", "raw_json")
-          .option("maxFilesPerTrigger", max_files_per_trigger)
-          .load(landing_path))
-    return df.select("raw_json", F.col("_metadata.file_path").alias("source_file"))
+BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
+def landing_files_stream(spark: SparkSession, landing_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """New landing files as a stream of names (the content is not read
+    here; the load reads each new file once)."""
+    return (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+            .option("maxFilesPerTrigger", max_files_per_trigger)
+            .load(landing_path).select("path"))
 
 
 def start_raw_load(spark: SparkSession, landing_path: str, raw_path: str, checkpoint: str,
                    load_time: Column | None = None, available_now: bool = True,
-                   processing_time: str = "1 minute") -> StreamingQuery:
+                   processing_time: str = "1 minute", max_files_per_trigger: int = 1000) -> StreamingQuery:
     """The pipe (S2): landing files -> raw events, incrementally."""
     register(spark)
-    raw = enrich(landing_stream(spark, landing_path), load_time)
-    writer = (raw.writeStream.foreachBatch(lambda df, _id: append_new_files(df, raw_path))
-              .option("checkpointLocation", checkpoint))
+    files = landing_files_stream(spark, landing_path, max_files_per_trigger)
+
+    def load_batch(df: DataFrame, _batch_id: int) -> None:
+        load_files(df.sparkSession, [r[0] for r in df.collect()], raw_path, load_time,
+                   max_files=max_files_per_trigger)
+
+    writer = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
 
@@ -151,13 +171,12 @@ def run_once(query: StreamingQuery) -> int:
 def load_landing_batch(spark: SparkSession, landing_path: str, raw_path: str,
                        load_time: Column | None = None) -> int:
     """Bulk load (K4, COPY INTO) as a batch job, idempotent by file."""
-    return append_new_files(enrich(scan_landing(spark, landing_path), load_time), raw_path)
+    return load_files(spark, list_landing_files(spark, landing_path), raw_path, load_time)
 
 
 def refresh_missed_files(spark: SparkSession, landing_path: str, raw_path: str, modified_after: str,
                          load_time: Column | None = None) -> int:
     """Load files changed after ``modified_after`` that the pipe missed
-    (S6, W11).  ``modifiedAfter`` is batch-only, so this is a batch scan;
-    the ledger anti join keeps already-loaded files out."""
-    recent = scan_landing(spark, landing_path, modified_after=modified_after)
-    return append_new_files(enrich(recent, load_time), raw_path)
+    (S6, W11).  ``modifiedAfter`` is a batch-only option, so the listing is
+    a batch scan of file names; the ledger keeps already-loaded files out."""
+    return load_files(spark, list_landing_files(spark, landing_path, modified_after), raw_path, load_time)
