@@ -67,3 +67,53 @@ def test_column_catalog_union_is_ordered(spark):
     keys = [(r.table_catalog, r.table_schema, r.table_name, r.ordinal_position) for r in rows]
     assert keys == sorted(keys)
     assert {r.table_schema for r in rows} == {"TIDELAKE_STAR", "TIDELAKE_LAKE"}
+
+
+def test_users_round_trip(spark, tmp_path):
+    catalog.create_or_replace_table(
+        spark, "users", "insertion_timestamp TIMESTAMP_NTZ, name VARCHAR(20), age INT, is_active BOOLEAN",
+        location=str(tmp_path / "u"))
+    spark.sql("INSERT INTO users VALUES (timestamp_ntz'2024-05-01 10:00:00', 'joe', 25, false)")
+    r = spark.table("users").first()
+    assert (r.name, r.age, r.is_active) == ("joe", 25, False)
+    # Spark keeps VARCHAR(n) in the table DDL only; reads see STRING
+    assert [f.dataType.simpleString() for f in spark.table("users").schema] == [
+        "timestamp_ntz", "string", "int", "boolean"]
+
+
+def test_binary_table_insert(spark, tmp_path):
+    catalog.create_or_replace_table(spark, "binary_table", "v STRING, b BINARY, b64_string STRING",
+                                    location=str(tmp_path / "b"))
+    # Spark's inline VALUES only takes foldable built-ins; INSERT .. SELECT is the same statement
+    spark.sql("INSERT INTO binary_table (v, b, b64_string) "
+              "SELECT 'HELP', TO_BINARY('HELP', 'UTF-8'), BASE64_ENCODE(TO_BINARY('HELP', 'UTF-8'))")
+    assert list(spark.sql("SELECT v, b, b64_string FROM binary_table").first()) == [
+        "HELP", bytearray(b"HELP"), "SEVMUA=="]
+
+
+def test_vartab_insert_from_query_counts_rows(spark, tmp_path):
+    catalog.create_or_replace_table(spark, "vartab", "n DECIMAL(2,0), v VARIANT", location=str(tmp_path / "v"))
+    src = spark.sql("""
+        SELECT column1 AS n, parse_json(column2) AS v FROM VALUES
+          (1, 'null'), (2, NULL), (3, 'true'), (4, '-17'), (5, '123.12'), (6, '1.912e2'),
+          (7, '"Om ara pa ca na dhih"  '), (8, '[-1, 12, 289, 2188, false]'),
+          (9, '{ "x" : "abc", "y" : false, "z": 10} ') AS vals(column1, column2)""")
+    assert catalog.insert(src.selectExpr("CAST(n AS DECIMAL(2,0)) AS n", "v"), "vartab") == 9
+    rows = spark.sql("SELECT n, wh_typeof(v) AS t FROM vartab ORDER BY n").collect()
+    assert [r.t for r in rows][:3] == ["NULL_VALUE", None, "BOOLEAN"]
+
+
+def test_information_schema_across_two_databases(spark):
+    for db, names in (("testdb", ("left_union", "v", "b", "b64_string")),
+                      ("testotherdb", ("right_union", "v2", "b2", "b64_string2"))):
+        catalog.create_schema(spark, db)
+        t, c1, c2, c3 = names
+        catalog.create_or_replace_table(spark, f"{db}.{t}", f"{c1} STRING, {c2} BINARY, {c3} STRING")
+    cols = catalog.columns(spark, [("testdb", "left_union"), ("testotherdb", "right_union")])
+    rows = cols.where("table_name IN ('LEFT_UNION', 'RIGHT_UNION')") \
+        .orderBy("table_catalog", "table_schema", "table_name", "ordinal_position").collect()
+    assert [(r.table_schema, r.table_name, r.column_name, r.data_type) for r in rows] == [
+        ("TESTDB", "LEFT_UNION", "v", "string"), ("TESTDB", "LEFT_UNION", "b", "binary"),
+        ("TESTDB", "LEFT_UNION", "b64_string", "string"),
+        ("TESTOTHERDB", "RIGHT_UNION", "v2", "string"), ("TESTOTHERDB", "RIGHT_UNION", "b2", "binary"),
+        ("TESTOTHERDB", "RIGHT_UNION", "b64_string2", "string")]

@@ -224,3 +224,17 @@ def test_dialect_functions_stay_in_codegen(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
     assert "CASE WHEN" in plan
+
+
+def test_capped_distance_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=25, deadline=None)
+    @given(st.text(alphabet="abcde ", max_size=12), st.text(alphabet="abcde ", max_size=12),
+           st.integers(min_value=0, max_value=6))
+    def check(a, b, cap):
+        df = spark.createDataFrame([(a, b, cap)], "a string, b string, cap int")
+        full, capped = df.select(W.editdistance("a", "b"), W.editdistance("a", "b", "cap")).first()
+        assert capped == min(full, cap)
+
+    check()

@@ -51,8 +51,9 @@ def columns(spark: SparkSession, tables: list[tuple[str, str]]) -> DataFrame:
     catalog = spark.catalog.currentCatalog().upper()
     rows = []
     for schema, table in tables:
-        for pos, col in enumerate(spark.catalog.listColumns(table, schema), start=1):
-            rows.append((catalog, schema.upper(), table.upper(), col.name, pos, col.dataType))
+        fields = spark.table(f"{schema}.{table}").schema.fields  # one catalog lookup per table
+        for pos, f in enumerate(fields, start=1):
+            rows.append((catalog, schema.upper(), table.upper(), f.name, pos, f.dataType.simpleString()))
     return spark.createDataFrame(
         rows, "table_catalog string, table_schema string, table_name string, column_name string, "
               "ordinal_position int, data_type string")
