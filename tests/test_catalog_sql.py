@@ -117,3 +117,28 @@ def test_information_schema_across_two_databases(spark):
         ("TESTDB", "LEFT_UNION", "b64_string", "string"),
         ("TESTOTHERDB", "RIGHT_UNION", "v2", "string"), ("TESTOTHERDB", "RIGHT_UNION", "b2", "binary"),
         ("TESTOTHERDB", "RIGHT_UNION", "b64_string2", "string")]
+
+
+def test_use_and_show(spark):
+    catalog.create_schema(spark, "events.infra")
+    current = spark.catalog.currentDatabase()
+    try:
+        catalog.use(spark, "events.infra")
+        assert spark.catalog.currentDatabase() == "events_infra"
+    finally:
+        catalog.use(spark, current)
+    assert "events_infra" in [r[0] for r in catalog.show_schemas(spark).collect()]
+
+
+def test_jdbc_reads_must_be_partitioned(spark):
+    from tidelake.sources.tables import read_source
+    with pytest.raises(ValueError, match="partitioned"):
+        read_source(spark, "jdbc", url="jdbc:mysql://db/x", dbtable="t")
+
+
+def test_only_inserts_on_a_change_feed(spark):
+    from tidelake.operators.events import only_inserts
+    feed = spark.createDataFrame([(1, "insert"), (2, "delete"), (3, "update_postimage")], "id int, _change_type string")
+    assert [r.id for r in only_inserts(feed).collect()] == [1]
+    plain = spark.range(3)
+    assert only_inserts(plain) is plain

@@ -59,6 +59,18 @@ def decompose(raw: DataFrame, with_metadata: bool = True, keep_event_date: bool
     return raw.select(*out)
 
 
+def only_inserts(changes: DataFrame) -> DataFrame:
+    """``WHERE METADATA$ACTION = 'INSERT'``.
+
+    On a change feed (a ``_change_type`` column) keep inserted rows; an
+    append-only source (file stream, raw table) has only inserts, so the
+    filter is the identity there.
+    """
+    if "_change_type" in changes.columns:
+        return changes.where(F.col("_change_type") == "insert").drop("_change_type")
+    return changes
+
+
 def as_json_text(events: DataFrame) -> DataFrame:
     """Nested VARIANT columns as canonical JSON text (J5), for output and
     comparison: VARIANT cannot be sorted, hashed or compared."""

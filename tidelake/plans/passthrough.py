@@ -89,6 +89,14 @@ WITH RECURSIVE chain (k, depth) AS (
   UNION ALL
   SELECT n.n_nationkey, c.depth + 1 FROM chain c JOIN nation n ON n.n_nationkey = c.k + 1)
 SELECT count(*) AS n_steps, max(depth) AS max_depth FROM chain
+"""),
+    "pt_recursive_line_chain": (["lineitem"], """
+WITH RECURSIVE chain (k, n, depth) AS (
+  SELECT l_orderkey, l_linenumber, 1 FROM lineitem WHERE l_linenumber = 1
+  UNION ALL
+  SELECT l.l_orderkey, l.l_linenumber, c.depth + 1
+  FROM chain c JOIN lineitem l ON l.l_orderkey = c.k AND l.l_linenumber = c.n + 1)
+SELECT depth, count(*) AS n_lines FROM chain GROUP BY depth
 """),
 }
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelake.functions.dialect import register
-from tidelake.operators.events import decompose
+from tidelake.operators.events import decompose, only_inserts
 from tidelake.sources.landing import RAW_SCHEMA, enrich
 from tidelake.util import list_dirs, path_exists
 
@@ -92,21 +92,20 @@ def list_landing_files(spark: SparkSession, landing_path: str, modified_after: s
 def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool = True) -> int:
     """Decompose a batch of raw rows and append the events not yet present.
 
-    The batch's event dates come from the raw table's partition column (a
-    cheap first pass, no cache).  When none of those date partitions exist
-    in the events table the rows are appended directly; otherwise (a
-    replayed micro-batch) a partition-pruned anti join on (event_date,
-    uuid, insertion_timestamp) keeps rows already written out.
+    When the events table has partitions already, the batch's event dates
+    are read from the raw table's partition column (a cheap first pass, no
+    cache).  When none of those date partitions exist the rows are appended
+    directly; otherwise (a replayed micro-batch, or later data for a day
+    already loaded) a partition-pruned anti join on (event_date, uuid,
+    insertion_timestamp) keeps rows already written out.
     """
     spark = raw_batch.sparkSession
     batch = decompose(raw_batch, with_metadata=with_metadata)
     keys = ["event_date", "uuid", "insertion_timestamp"]
-    dates = [r[0] for r in raw_batch.select("event_date").distinct().collect()]
-    if not dates:
-        return 0
+    new = batch
     present = set(list_dirs(spark, events_path))
+    dates = [r[0] for r in raw_batch.select("event_date").distinct().collect()] if present else []
     wanted = {f"event_date={d.isoformat() if d is not None else DEFAULT_PARTITION}" for d in dates}
-    new = batch
     if present & wanted:
         existing = spark.read.parquet(events_path)
         cond = F.col("event_date").isin([d for d in dates if d is not None])
@@ -155,7 +154,7 @@ def start_decompose(spark: SparkSession, raw_path: str, events_path: str, checkp
     register(spark)
     raw = spark.readStream.schema(RAW_SCHEMA).parquet(raw_path)
     # Files rewritten by a retention trim hold rows decomposed before.
-    raw = raw.where(~F.col("_metadata.file_path").contains(f"/{REWRITE_PREFIX}"))
+    raw = only_inserts(raw.where(~F.col("_metadata.file_path").contains(f"/{REWRITE_PREFIX}")))
     writer = (raw.writeStream.foreachBatch(lambda df, _id: append_events(df, events_path, with_metadata))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
