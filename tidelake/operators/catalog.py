@@ -75,12 +75,16 @@ def profile(spark: SparkSession, schema: str, table: str) -> DataFrame:
         (F.col("__rows") - F.col("c.non_null")).alias("null_count"))
 
 
-def create_schema(spark: SparkSession, name: str, comment: str | None = None) -> None:
+def create_schema(spark: SparkSession, name: str, comment: str | None = None,
+                  location: str | None = None) -> str:
     """``CREATE SCHEMA IF NOT EXISTS`` (K8); ``database.schema`` flattens to
-    ``database_schema``."""
+    ``database_schema``.  ``location`` keeps the schema folder in a shared
+    place instead of the driver's working directory."""
     name = name.replace(".", "_").lower()
     extra = f" COMMENT '{comment}'" if comment else ""
+    extra += f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{extra}")
+    return name
 
 
 def use(spark: SparkSession, name: str) -> None:

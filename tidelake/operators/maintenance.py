@@ -77,8 +77,8 @@ def transform_lag(raw: DataFrame, events: DataFrame, as_of: Column | None = None
 
 
 def create_reduced_views(spark: SparkSession, events_table: str, raw_table: str, schema: str) -> tuple[str, str]:
-    """Minimal-column views over the events and raw tables."""
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    """Minimal-column views over the events and raw tables (K13); the
+    schema must exist."""
     ev_view, raw_view = f"{schema}.non_privileged_events", f"{schema}.non_privileged_raw_events"
     spark.sql(f"CREATE OR REPLACE VIEW {ev_view} COMMENT '{VIEW_COMMENT}' AS "
               f"SELECT {', '.join(EVENTS_VIEW_COLUMNS)} FROM {events_table}")

@@ -202,7 +202,7 @@ def json_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 import datetime as _dt  # noqa: E402
 
 from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA  # noqa: E402
-from tidelake.session import run_dir  # noqa: E402
+from tidelake.session import run_dir, shared_dir  # noqa: E402
 from tidelake.sources.landing import write_landing  # noqa: E402
 from tidelake.streaming import ingest  # noqa: E402
 
@@ -265,6 +265,12 @@ CONSUMED_UNTIL = _dt.datetime(2024, 1, 25, 0, 0, 0)
 LAG_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
 
 
+def _schema(spark: SparkSession, name: str) -> str:
+    """A schema whose folder lives under the shared folder."""
+    from tidelake.operators.catalog import create_schema
+    return create_schema(spark, name, location=f"{shared_dir(spark)}/tidelake/warehouse/{name}.db")
+
+
 def _table_name(prefix: str) -> str:
     return f"{WORK_SCHEMA}.{prefix}_{_uuid.uuid4().hex[:10]}"
 
@@ -289,7 +295,7 @@ def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     existed, the column is added with ALTER TABLE (old rows read NULL),
     then filled from the raw records, objects only."""
     base = run_dir(spark, "backfill")
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    _schema(spark, WORK_SCHEMA)
     raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
     table = _table_name("events")
     maintenance.save_external_table(decompose(raw, with_metadata=False), table, f"{base}/events",
@@ -304,7 +310,7 @@ def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     record the cleanup history, report deleted and kept rows per table."""
     base = run_dir(spark, "retention")
     raw_path, events_path = _materialize_lake(spark, sf_dir, base)
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    _schema(spark, WORK_SCHEMA)
     history = _table_name("sensitive_cleanup_history")
     retention.create_history_table(spark, history, f"{base}/history")
     retention.trim_old_sensitive_data(spark, raw_path, events_path, f"{base}/history", TRIM_AS_OF)
@@ -325,11 +331,12 @@ def reduced_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimal-column views with a comment over catalog tables."""
     base = run_dir(spark, "views")
     raw_path, events_path = _materialize_lake(spark, sf_dir, base)
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    _schema(spark, WORK_SCHEMA)
     raw_t, ev_t = _table_name("raw_events"), _table_name("events")
     for name, path in ((raw_t, raw_path), (ev_t, events_path)):
         spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
         spark.sql(f"REPAIR TABLE {name}")  # register the event_date partitions found on disk
+    _schema(spark, INFRA_SCHEMA)
     ev_view, _ = maintenance.create_reduced_views(spark, ev_t, raw_t, INFRA_SCHEMA)
     return spark.table(ev_view)
 
@@ -356,7 +363,7 @@ TYPED_ORDERS_DDL = ("order_key DECIMAL(38,0), cust_key DECIMAL(10,1), total_pric
 def typed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared types survive a write and read back."""
     base = run_dir(spark, "typed")
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {WORK_SCHEMA}")
+    _schema(spark, WORK_SCHEMA)
     table = _table_name("typed_orders")
     catalog.create_or_replace_table(spark, table, TYPED_ORDERS_DDL, location=f"{base}/typed_orders")
     o = read_table(spark, sf_dir, "orders")
@@ -380,7 +387,7 @@ def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile per table, unioned and ordered."""
     pairs = []
     for schema, tables in ((STAR_SCHEMA, STAR_TABLES), (LAKE_SCHEMA, LAKE_TABLES)):
-        catalog.create_schema(spark, schema)
+        _schema(spark, schema)
         for t in tables:
             spark.sql(f"DROP TABLE IF EXISTS {schema}.{t}")
             spark.sql(f"CREATE TABLE {schema}.{t} USING parquet LOCATION '{sf_dir.rstrip('/')}/{t}.parquet'")

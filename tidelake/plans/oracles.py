@@ -39,7 +39,8 @@ FROM documents
 """
 
 DUPLICATE_GROUPS = """
-SELECT md5(text) AS md5, count(*) AS n_docs, min(doc_id) AS first_doc_id, sum(n_chars) AS total_chars
+SELECT md5(text) AS md5, count(*) AS n_docs, min(doc_id) AS first_doc_id,
+       CAST(sum(n_chars) AS BIGINT) AS total_chars
 FROM documents GROUP BY md5(text) HAVING count(*) > 1
 """
 

@@ -52,7 +52,7 @@ WITH per_nation AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey
   GROUP BY n_regionkey, n_name)
 SELECT n_regionkey, n_name, n_customers,
-       rank() OVER (PARTITION BY n_regionkey ORDER BY n_customers DESC) AS rnk,
+       CAST(rank() OVER (PARTITION BY n_regionkey ORDER BY n_customers DESC) AS BIGINT) AS rnk,
        n_customers - lag(n_customers) OVER (PARTITION BY n_regionkey ORDER BY n_customers DESC, n_name) AS gap
 FROM per_nation
 """),
