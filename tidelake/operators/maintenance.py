@@ -76,15 +76,18 @@ def transform_lag(raw: DataFrame, events: DataFrame, as_of: Column | None = None
          .otherwise(F.lit(0.0)).alias("lag_minutes"))
 
 
+def create_reduced_view(spark: SparkSession, table: str, columns: list[str], view: str) -> str:
+    """One minimal-column view with the non-privileged comment."""
+    spark.sql(f"CREATE OR REPLACE VIEW {view} COMMENT '{VIEW_COMMENT}' AS "
+              f"SELECT {', '.join(columns)} FROM {table}")
+    return view
+
+
 def create_reduced_views(spark: SparkSession, events_table: str, raw_table: str, schema: str) -> tuple[str, str]:
     """Minimal-column views over the events and raw tables (K13); the
     schema must exist."""
-    ev_view, raw_view = f"{schema}.non_privileged_events", f"{schema}.non_privileged_raw_events"
-    spark.sql(f"CREATE OR REPLACE VIEW {ev_view} COMMENT '{VIEW_COMMENT}' AS "
-              f"SELECT {', '.join(EVENTS_VIEW_COLUMNS)} FROM {events_table}")
-    spark.sql(f"CREATE OR REPLACE VIEW {raw_view} COMMENT '{VIEW_COMMENT}' AS "
-              f"SELECT {', '.join(RAW_VIEW_COLUMNS)} FROM {raw_table}")
-    return ev_view, raw_view
+    return (create_reduced_view(spark, events_table, EVENTS_VIEW_COLUMNS, f"{schema}.non_privileged_events"),
+            create_reduced_view(spark, raw_table, RAW_VIEW_COLUMNS, f"{schema}.non_privileged_raw_events"))
 
 
 def save_external_table(df: DataFrame, name: str, location: str, partition_by: list[str] | None = None) -> None:
@@ -95,5 +98,5 @@ def save_external_table(df: DataFrame, name: str, location: str, partition_by: l
     writer.saveAsTable(name)
 
 
-__all__ = ["backfill_metadata", "metadata_fill", "transform_lag", "create_reduced_views",
+__all__ = ["backfill_metadata", "metadata_fill", "transform_lag", "create_reduced_view", "create_reduced_views",
            "save_external_table", "EVENT_COLUMNS_WITH_METADATA"]

@@ -419,6 +419,43 @@ def sql_template_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+
+def metadata_backfill_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 literally (Q1): the statement appends rows holding only
+    ``metadata``; the events keep theirs empty."""
+    base = run_dir(spark, "backfill-append")
+    raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
+    events = decompose(raw, with_metadata=False).withColumn("metadata", F.lit(None).cast("variant"))
+    out = maintenance.backfill_metadata(events, raw, mode="append")
+    return out.select("uuid", "event_type", F.to_json("metadata").alias("metadata"))
+
+
+def reduced_raw_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K13 for the raw table: load time, cell and org only."""
+    base = run_dir(spark, "raw-view")
+    raw_path = _raw_table(spark, sf_dir, base)
+    _schema(spark, WORK_SCHEMA)
+    raw_t = _table_name("raw_events")
+    spark.sql(f"CREATE TABLE {raw_t} USING parquet LOCATION '{raw_path}'")
+    spark.sql(f"REPAIR TABLE {raw_t}")
+    _schema(spark, INFRA_SCHEMA)
+    view = maintenance.create_reduced_view(spark, raw_t, maintenance.RAW_VIEW_COLUMNS,
+                                           f"{INFRA_SCHEMA}.non_privileged_raw_events")
+    return spark.table(view)
+
+
+def safe_ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M3 aggregated by return flag and line status: DIV0 sums and the
+    geometric mean of quantities as EXP(AVG(LN(x))); partial aggregation,
+    then one row per flag pair."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return (li.groupBy("l_returnflag", "l_linestatus")
+            .agg(F.count(F.lit(1)).alias("n_lines"),
+                 F.round(F.sum(W.div0("l_discount", "l_tax")), 4).alias("sum_discount_per_tax"),
+                 F.sum(F.when(F.col("l_tax") == 0, 1).otherwise(0)).alias("n_zero_tax"),
+                 F.round(W.exp(F.avg(W.ln("l_quantity"))), 4).alias("geo_mean_quantity")))
+
+
 REGISTRY = {
     "events_decompose": events_decompose,
     "content_fingerprint": content_fingerprint,
@@ -428,14 +465,17 @@ REGISTRY = {
     "text_edit": text_edit,
     "url_pattern_mining": url_pattern_mining,
     "safe_ratios": safe_ratios,
+    "safe_ratio_summary": safe_ratio_summary,
     "fuzzy_part_match": fuzzy_part_match,
     "json_type_profile": json_type_profile,
     "events_stream_load": events_stream_load,
     "refresh_missing_files": refresh_missing_files,
     "metadata_backfill": metadata_backfill,
+    "metadata_backfill_append": metadata_backfill_append,
     "retention_trim": retention_trim,
     "transform_lag": transform_lag,
     "reduced_events_view": reduced_events_view,
+    "reduced_raw_events_view": reduced_raw_events_view,
     "typed_roundtrip": typed_roundtrip,
     "column_catalog": column_catalog,
     "sql_template_job": sql_template_job,

@@ -288,3 +288,29 @@ def _passthrough():
 
 
 ORACLES.update(_passthrough())
+
+METADATA_BACKFILL_APPEND = """
+SELECT CAST(event_id AS VARCHAR) AS uuid, event_type, CAST(NULL AS VARCHAR) AS metadata FROM events
+UNION ALL
+SELECT CAST(NULL AS VARCHAR) AS uuid, CAST(NULL AS VARCHAR) AS event_type, CAST(json(props) AS VARCHAR) AS metadata
+FROM events WHERE ts >= TIMESTAMP '2024-01-08'
+"""
+
+REDUCED_RAW_EVENTS_VIEW = f"""
+SELECT {_LOAD} AS insertion_timestamp, {_CELL} AS cell, 'org-' || CAST(user_id AS VARCHAR) AS org_id
+FROM events
+"""
+
+SAFE_RATIO_SUMMARY = """
+SELECT l_returnflag, l_linestatus, count(*) AS n_lines,
+  round(sum(CASE WHEN l_tax = 0 THEN 0.0 ELSE l_discount / l_tax END), 4) AS sum_discount_per_tax,
+  sum(CASE WHEN l_tax = 0 THEN 1 ELSE 0 END) AS n_zero_tax,
+  round(exp(avg(ln(l_quantity))), 4) AS geo_mean_quantity
+FROM lineitem GROUP BY l_returnflag, l_linestatus
+"""
+
+ORACLES.update({
+    "metadata_backfill_append": METADATA_BACKFILL_APPEND,
+    "reduced_raw_events_view": REDUCED_RAW_EVENTS_VIEW,
+    "safe_ratio_summary": SAFE_RATIO_SUMMARY,
+})
