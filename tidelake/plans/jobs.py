@@ -316,7 +316,8 @@ def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     retention.trim_old_sensitive_data(spark, raw_path, events_path, f"{base}/history", TRIM_AS_OF)
     kept = retention.kept_rows(spark, {"sensitive.raw_events": raw_path, "sensitive.events": events_path})
     return spark.table(history).join(kept, "table_name").select(
-        "table_name", "execution_time", "deleted_records", "kept_records")
+        "table_name", "execution_time", F.col("deleted_records").cast("bigint").alias("deleted_records"),
+        "kept_records")
 
 
 def transform_lag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ FROM events
 
 RETENTION_TRIM = """
 SELECT t.table_name, TIMESTAMP '2025-01-15 00:00:00' AS execution_time,
-       CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS DECIMAL(38,0)) AS deleted_records,
+       count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS deleted_records,
        count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS kept_records
 FROM events, (VALUES ('sensitive.raw_events'), ('sensitive.events')) AS t(table_name)
 GROUP BY t.table_name
