@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidelake.functions as W
-from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA
 
 VIEW_COMMENT = "View that exposes minimal amount of non-sensitive fields for non-privileged users"
 EVENTS_VIEW_COLUMNS = ["insertion_timestamp", "cell", "uuid", "org_id"]
@@ -99,4 +98,4 @@ def save_external_table(df: DataFrame, name: str, location: str, partition_by: l
 
 
 __all__ = ["backfill_metadata", "metadata_fill", "transform_lag", "create_reduced_view", "create_reduced_views",
-           "save_external_table", "EVENT_COLUMNS_WITH_METADATA"]
+           "save_external_table"]

@@ -6,12 +6,21 @@ Every job takes ``(spark, sf_dir)`` and returns a DataFrame; side effects
 
 from __future__ import annotations
 
+import datetime as _dt
+import uuid as _uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.operators.events import as_json_text, decompose
-from tidelake.sources.landing import hourly_load_time, landing_records, raw_from_records
+import tidelake.functions as W
+from tidelake.operators import catalog, maintenance, retention
+from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA, as_json_text, decompose
+from tidelake.operators.sqltext import run_template
+from tidelake.plans import passthrough
+from tidelake.session import run_dir, shared_dir
+from tidelake.sources.landing import hourly_load_time, landing_records, raw_from_records, write_landing
 from tidelake.sources.tables import read_table
+from tidelake.streaming import ingest
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +40,6 @@ def events_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 # groupBy), so every row is handled where it is read and nothing gathers a
 # hot key in one task.
 # ---------------------------------------------------------------------------
-import tidelake.functions as W  # noqa: E402
 
 
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,12 +207,7 @@ def json_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pipeline jobs: they write under a fresh folder of the session's shared
 # folder (spark.checkpoint.dir) and return a DataFrame over what they wrote.
 # ---------------------------------------------------------------------------
-import datetime as _dt  # noqa: E402
 
-from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA  # noqa: E402
-from tidelake.session import run_dir, shared_dir  # noqa: E402
-from tidelake.sources.landing import write_landing  # noqa: E402
-from tidelake.streaming import ingest  # noqa: E402
 
 # Fixed clock for the jobs: loads happen at LOAD_TIME; the landing zone is
 # split at LATE_DROP_FROM to simulate files whose notification was lost.
@@ -252,9 +255,7 @@ def refresh_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Table maintenance jobs.
 # ---------------------------------------------------------------------------
-import uuid as _uuid  # noqa: E402
 
-from tidelake.operators import maintenance, retention  # noqa: E402
 
 WORK_SCHEMA = "tidelake_work"
 INFRA_SCHEMA = "tidelake_infra"
@@ -267,8 +268,7 @@ LAG_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
 
 def _schema(spark: SparkSession, name: str) -> str:
     """A schema whose folder lives under the shared folder."""
-    from tidelake.operators.catalog import create_schema
-    return create_schema(spark, name, location=f"{shared_dir(spark)}/tidelake/warehouse/{name}.db")
+    return catalog.create_schema(spark, name, location=f"{shared_dir(spark)}/tidelake/warehouse/{name}.db")
 
 
 def _table_name(prefix: str) -> str:
@@ -346,9 +346,6 @@ def reduced_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Catalog, typed tables and parameterised SQL.
 # ---------------------------------------------------------------------------
-from tidelake.operators import catalog  # noqa: E402
-from tidelake.operators.sqltext import run_template  # noqa: E402
-from tidelake.plans import passthrough  # noqa: E402
 
 STAR_SCHEMA = "tidelake_star"
 LAKE_SCHEMA = "tidelake_lake"
