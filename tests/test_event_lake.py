@@ -38,3 +38,23 @@ def test_event_lake_round(spark):
     assert spark.table(raw_view).columns == ["insertion_timestamp", "cell", "org_id"]
     filled = {r.uuid: r.metadata for r in lake.backfill_metadata().collect()}
     assert filled["b"] is None  # the array-shaped metadata is not an object
+
+
+def test_periodic_trigger_picks_up_new_files(spark):
+    import time
+    work = tempfile.mkdtemp(prefix="tidelake-live-")
+    lake = EventLake(spark, landing=f"{work}/landing", root=f"{work}/lake")
+    write_files(f"{work}/landing/cell=c1", [{"uuid": "x1", "timestamp": "2024-06-01T00:00:00", "org_id": "o"}])
+    q = lake.load(available_now=False)
+    try:
+        deadline = time.time() + 90
+        write_files(f"{work}/landing/cell=c2", [{"uuid": "x2", "timestamp": "2024-06-02T00:00:00", "org_id": "o"}])
+        while time.time() < deadline:
+            q.processAllAvailable()
+            if os.path.exists(lake.raw_path) and lake.raw().count() == 2:
+                break
+            time.sleep(1)
+        assert lake.raw().count() == 2
+        assert q.isActive
+    finally:
+        q.stop()
