@@ -238,3 +238,12 @@ def test_capped_distance_property(spark):
         assert capped == min(full, cap)
 
     check()
+
+
+def test_convert_timezone_to_utc_wall_clock(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS la, TIMESTAMP_NTZ'2024-07-01 00:00:00' AS la_summer")
+    r = df.select(W.to_utc_ntz("la", F.lit("America/Los_Angeles")),
+                  W.to_utc_ntz("la_summer", F.lit("America/Los_Angeles"))).first()
+    assert list(r) == [dt.datetime(2024, 1, 1, 8, 0), dt.datetime(2024, 7, 1, 7, 0)]
+    now_utc = spark.range(1).select(W.utc_now()).first()[0]
+    assert abs((now_utc - dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).total_seconds()) < 120

@@ -454,6 +454,25 @@ def safe_ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.round(W.exp(F.avg(W.ln("l_quantity"))), 4).alias("geo_mean_quantity")))
 
 
+
+def scalar_typeof_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TYPEOF of typed values (an integer, a decimal, text, a double)
+    counted per column over the events table; NULLs have no type."""
+    ev = read_table(spark, sf_dir, "events")
+    cols = {
+        "event_id": F.col("event_id"),
+        "value": F.col("value"),
+        "value_decimal": F.col("value").cast("decimal(10,2)"),
+        "event_type": F.col("event_type"),
+        "ts": F.col("ts"),
+    }
+    typed = ev.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("column_name"),
+                 F.when(c.isNotNull(), W.typeof_scalar(c)).alias("type_name"))
+        for name, c in cols.items()])).alias("t")).select("t.*")
+    return typed.groupBy("column_name", "type_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 REGISTRY = {
     "events_decompose": events_decompose,
     "content_fingerprint": content_fingerprint,
@@ -466,6 +485,7 @@ REGISTRY = {
     "safe_ratio_summary": safe_ratio_summary,
     "fuzzy_part_match": fuzzy_part_match,
     "json_type_profile": json_type_profile,
+    "scalar_typeof_profile": scalar_typeof_profile,
     "events_stream_load": events_stream_load,
     "refresh_missing_files": refresh_missing_files,
     "metadata_backfill": metadata_backfill,

@@ -314,3 +314,14 @@ ORACLES.update({
     "reduced_raw_events_view": REDUCED_RAW_EVENTS_VIEW,
     "safe_ratio_summary": SAFE_RATIO_SUMMARY,
 })
+
+SCALAR_TYPEOF_PROFILE = """
+SELECT 'event_id' AS column_name, CASE WHEN event_id IS NULL THEN NULL ELSE 'INTEGER' END AS type_name,
+       count(*) AS n FROM events GROUP BY ALL
+UNION ALL SELECT 'value', CASE WHEN value IS NULL THEN NULL ELSE 'DOUBLE' END, count(*) FROM events GROUP BY ALL
+UNION ALL SELECT 'value_decimal', CASE WHEN value IS NULL THEN NULL ELSE 'DECIMAL' END, count(*) FROM events GROUP BY ALL
+UNION ALL SELECT 'event_type', CASE WHEN event_type IS NULL THEN NULL ELSE 'VARCHAR' END, count(*) FROM events GROUP BY ALL
+UNION ALL SELECT 'ts', CASE WHEN ts IS NULL THEN NULL ELSE 'TIMESTAMP_NTZ' END, count(*) FROM events GROUP BY ALL
+"""
+
+ORACLES.update({"scalar_typeof_profile": SCALAR_TYPEOF_PROFILE})
