@@ -96,6 +96,12 @@ class EventLake:
             self.raw().limit(0).select(F.lit(None).cast("string").alias("uuid"))
         return maintenance.transform_lag(self.raw(), events, as_of=at, by=by)
 
+    def stream_lag_minutes(self, as_of: dt.datetime | None = None) -> DataFrame:
+        """W6/W12 from the copy task's consumed-files ledger: file names
+        only, no scan of either table's rows."""
+        at = F.lit(as_of).cast("timestamp_ntz") if as_of else None
+        return ingest.stream_lag(self.spark, self.raw_path, self.events_path, as_of=at)
+
     def backfill_metadata(self, mode: str = "keyed") -> DataFrame:
         """W10 as a DataFrame of the filled events table (write it where
         the table lives, e.g. a new version of the events folder)."""

@@ -19,6 +19,8 @@ nothing new processes zero rows and returns.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,14 +33,29 @@ from tidelake.util import list_dirs, path_exists
 DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 LEDGER_SUFFIX = "_loaded_files"
+CONSUMED_SUFFIX = "_consumed_files"
 # File-name prefix of data files rewritten by a retention trim.
 REWRITE_PREFIX = "trimmed-"
+# Column carrying each raw row's data file into the copy task's batches.
+RAW_FILE_COLUMN = "_raw_file"
 
 
 def ledger_path(raw_path: str) -> str:
     return raw_path.rstrip("/") + LEDGER_SUFFIX
 
 
+def consumed_path(events_path: str) -> str:
+    """Ledger of raw data files the copy task has consumed."""
+    return events_path.rstrip("/") + CONSUMED_SUFFIX
+
+
+def normalize_path(col_or_str):
+    """One spelling for local file URIs (``file:///x`` and ``file:/x``)."""
+    if isinstance(col_or_str, str):
+        return re.sub(r"^file:/+", "file:/", col_or_str)
+    return F.regexp_replace(col_or_str, r"^file:/+", "file:/")
+
+
 def load_files(spark: SparkSession, paths: list[str], raw_path: str, load_time: Column | None = None,
                max_files: int = 100_000) -> int:
     """Load the landing files in ``paths`` that the raw table has not loaded
@@ -117,6 +134,13 @@ def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool =
     obs = Observation("events_load")
     new.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
         .partitionBy("event_date").parquet(events_path)
+    if RAW_FILE_COLUMN in raw_batch.columns:
+        # One row per raw file of the batch, from two narrow columns.
+        (raw_batch.groupBy(normalize_path(F.col(RAW_FILE_COLUMN)).alias("raw_file"))
+         .agg(F.max("insertion_timestamp").alias("max_insertion_timestamp"),
+              F.count(F.lit(1)).alias("n_rows"))
+         .withColumn("consumed_at", F.current_timestamp())
+         .write.mode("append").parquet(consumed_path(events_path)))
     return int(obs.get["rows"])
 
 
@@ -155,6 +179,7 @@ def start_decompose(spark: SparkSession, raw_path: str, events_path: str, checkp
     raw = spark.readStream.schema(RAW_SCHEMA).parquet(raw_path)
     # Files rewritten by a retention trim hold rows decomposed before.
     raw = only_inserts(raw.where(~F.col("_metadata.file_path").contains(f"/{REWRITE_PREFIX}")))
+    raw = raw.withColumn(RAW_FILE_COLUMN, F.col("_metadata.file_path"))
     writer = (raw.writeStream.foreachBatch(lambda df, _id: append_events(df, events_path, with_metadata))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
@@ -179,3 +204,37 @@ def refresh_missed_files(spark: SparkSession, landing_path: str, raw_path: str,
     (S6, W11).  ``modifiedAfter`` is a batch-only option, so the listing is
     a batch scan of file names; the ledger keeps already-loaded files out."""
     return load_files(spark, list_landing_files(spark, landing_path, modified_after), raw_path, load_time)
+
+
+def stream_lag(spark: SparkSession, raw_path: str, events_path: str, as_of: Column | None = None) -> DataFrame:
+    """Transform lag of the copy task from file metadata only.
+
+    The copy task consumes whole raw files and records each one in its
+    consumed-files ledger.  Pending = raw data files (the table's listing,
+    minus files rewritten by trims) not in that ledger: an anti join of
+    file names, no row join.  The offset time is the latest load time
+    consumed; with nothing consumed yet, the earliest load time of the
+    pending files.  Returns one row: pending_files, offset_time,
+    lag_minutes (DOUBLE, 0 with nothing pending).
+    """
+    import tidelake.functions as W
+
+    as_of = W.utc_now() if as_of is None else as_of
+    files = [normalize_path(f) for f in spark.read.parquet(raw_path).inputFiles()
+             if not f.rsplit("/", 1)[-1].startswith(REWRITE_PREFIX)]
+    listed = spark.createDataFrame([(f,) for f in files], "raw_file string")
+    ledger = consumed_path(events_path)
+    if path_exists(spark, ledger):
+        consumed = spark.read.parquet(ledger)
+    else:
+        consumed = spark.createDataFrame([], "raw_file string, max_insertion_timestamp timestamp_ntz")
+    pending = listed.join(consumed.select("raw_file"), "raw_file", "left_anti")
+    pending_files = [r[0] for r in pending.collect()]
+    last = consumed.agg(F.max("max_insertion_timestamp")).first()[0]
+    if last is None and pending_files:
+        last = spark.read.parquet(*pending_files).agg(F.min("insertion_timestamp")).first()[0]
+    offset = F.lit(last).cast("timestamp_ntz")
+    return spark.range(1).select(
+        F.lit(len(pending_files)).cast("bigint").alias("pending_files"),
+        offset.alias("offset_time"),
+        (W.datediff_minutes(offset, as_of).cast("double") if pending_files else F.lit(0.0)).alias("lag_minutes"))
