@@ -29,10 +29,12 @@ def spread_scan(spark: SparkSession, df: DataFrame) -> DataFrame:
     repartition spreads the rows first.  On a large input the scan already
     has thousands of splits, the check is false and no shuffle is added.
     """
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=None) -> None:
