@@ -173,3 +173,19 @@ def test_job_registry_runs_pipeline_jobs(spark):
     total = read_table(spark, SF, "events").count()
     for r in by.values():
         assert int(r.deleted_records) + r.kept_records == total
+
+
+def test_interrupted_trim_is_rolled_back(spark, work):
+    fixture_records(spark, work)
+    raw = enrich(scan_landing(spark, f"{work}/landing"), lit_ts(LOAD))
+    raw.write.partitionBy("event_date").parquet(f"{work}/raw")
+    before = sorted(r.uuid for r in decompose(spark.read.parquet(f"{work}/raw")).collect())
+    part = f"{work}/raw/event_date=2024-01-15"
+    # a trim died after moving the old partition aside and half-filling the new one
+    os.rename(part, f"{work}/raw/{retention.TRASH_PREFIX}abc123-event_date=2024-01-15")
+    os.makedirs(part)
+    os.makedirs(f"{work}/raw/{retention.STAGING_PREFIX}abc123")
+    assert retention.recover_interrupted_trim(spark, f"{work}/raw") == ["event_date=2024-01-15"]
+    after = sorted(r.uuid for r in decompose(spark.read.parquet(f"{work}/raw")).collect())
+    assert after == before
+    assert not [d for d in os.listdir(f"{work}/raw") if d.startswith("_trim")]

@@ -9,8 +9,10 @@ table partitioned by ``event_date``:
 * the one partition that straddles the threshold is rewritten: kept rows go
   to a staging folder, then the old partition is moved aside, the staged
   files are moved in (named ``trimmed-*`` so the decompose stream does not
-  read them again), and the old files are deleted last.  A crash at any
-  point leaves either the old or the new partition in place, never neither.
+  read them again), and the old files are deleted last.  If a trim dies
+  part way, the next one finds the old partition still set aside and puts
+  it back before starting (:func:`recover_interrupted_trim`); nothing is
+  lost and the trim simply runs again.
 
 Rows whose time is NULL are never deleted (``NULL < t`` is unknown, Q3):
 they sit in the NULL partition, which no date comparison selects.
@@ -32,6 +34,8 @@ from tidelake.util import _fs, delete_path, list_dirs, path_exists, rename_path
 HISTORY_SCHEMA = "execution_time TIMESTAMP_NTZ, table_name STRING, deleted_records DECIMAL(38,0)"
 HISTORY_COMMENT = "Sensitive data cleanup history, to debug cleanup executions"
 HISTORY_RETENTION_DAYS = 90
+STAGING_PREFIX = "_trim-staging-"
+TRASH_PREFIX = "_trim-trash-"
 
 
 def parse_threshold(spark: SparkSession, time_value: str) -> dt.datetime:
@@ -59,6 +63,7 @@ def trim_partitioned(spark: SparkSession, path: str, time_of: Column, threshold:
     """Delete rows with ``time_of < threshold``; return how many went."""
     if not path_exists(spark, path):
         return 0
+    recover_interrupted_trim(spark, path)
     cut_date = threshold.date()
     doomed = F.coalesce(time_of < F.lit(threshold).cast("timestamp_ntz"), F.lit(False))
     table = spark.read.parquet(path)
@@ -80,7 +85,8 @@ def trim_partitioned(spark: SparkSession, path: str, time_of: Column, threshold:
     if boundary:
         part_dir = f"{path}/{prefix}{cut_date.isoformat()}"
         tag = uuid.uuid4().hex[:12]
-        staging, trash = f"{path}/_trim-staging-{tag}", f"{path}/_trim-trash-{tag}"
+        staging = f"{path}/{STAGING_PREFIX}{tag}"
+        trash = f"{path}/{TRASH_PREFIX}{tag}-{prefix}{cut_date.isoformat()}"
         keep = table.where(F.col(partition_col) == F.lit(cut_date)).where(~doomed).drop(partition_col)
         keep.write.mode("overwrite").parquet(staging)
         rename_path(spark, part_dir, trash)
@@ -96,6 +102,29 @@ def trim_partitioned(spark: SparkSession, path: str, time_of: Column, threshold:
     return deleted
 
 
+def recover_interrupted_trim(spark: SparkSession, path: str) -> list[str]:
+    """Undo a boundary rewrite that did not finish.
+
+    The old partition is deleted only after the new one is fully in
+    place, so a trash folder that still exists means the swap was cut
+    short: the (possibly partial) new partition is removed and the old one
+    moved back.  Leftover staging folders are removed.  Returns the
+    partitions restored.
+    """
+    restored = []
+    for name in list_dirs(spark, path):
+        if name.startswith(TRASH_PREFIX):
+            partition = name[len(TRASH_PREFIX):].split("-", 1)[1]
+            target = f"{path}/{partition}"
+            if path_exists(spark, target):
+                delete_path(spark, target)
+            rename_path(spark, f"{path}/{name}", target)
+            restored.append(partition)
+        elif name.startswith(STAGING_PREFIX):
+            delete_path(spark, f"{path}/{name}")
+    return restored
+
+
 def record_cleanup(spark: SparkSession, history_path: str, table_name: str, deleted: int,
                    execution_time: dt.datetime | None = None) -> None:
     """Append one audit row."""
