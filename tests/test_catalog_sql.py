@@ -142,3 +142,21 @@ def test_only_inserts_on_a_change_feed(spark):
     assert [r.id for r in only_inserts(feed).collect()] == [1]
     plain = spark.range(3)
     assert only_inserts(plain) is plain
+
+
+def test_read_source_parquet_and_landing_scan_window(spark, tmp_path):
+    import datetime as dt
+    import json
+
+    from tidelake.sources.landing import scan_landing
+    from tidelake.sources.tables import read_source
+
+    df = read_source(spark, "parquet", "/root/testdata/sf0.001/region.parquet")
+    assert df.count() == 5 and df.columns == ["r_regionkey", "r_name"]
+    land = tmp_path / "landing" / "cell=z9"
+    land.mkdir(parents=True)
+    (land / "a.json").write_text(json.dumps({"uuid": "1", "org_id": "o"}) + "\n")
+    scanned = scan_landing(spark, str(tmp_path / "landing")).collect()
+    assert len(scanned) == 1 and "cell=z9/" in scanned[0].source_file
+    later = (dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=1)).strftime("%Y-%m-%dT%H:%M:%S")
+    assert scan_landing(spark, str(tmp_path / "landing"), modified_after=later).count() == 0
