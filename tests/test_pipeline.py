@@ -189,3 +189,21 @@ def test_interrupted_trim_is_rolled_back(spark, work):
     after = sorted(r.uuid for r in decompose(spark.read.parquet(f"{work}/raw")).collect())
     assert after == before
     assert not [d for d in os.listdir(f"{work}/raw") if d.startswith("_trim")]
+
+
+def test_copy_task_is_exactly_once_across_replays_and_crashes(spark, work):
+    landed(spark, work)
+    ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
+    total = spark.read.parquet(f"{work}/raw").count()
+    batch = spark.read.parquet(f"{work}/raw").withColumn(ingest.RAW_FILE_COLUMN, F.col("_metadata.file_path"))
+    assert ingest.append_events(batch, f"{work}/events") == total
+    assert ingest.append_events(batch, f"{work}/events") == 0  # replay: every file is done
+    # a crash after writing events but before marking the files done
+    ledger = ingest.consumed_path(f"{work}/events")
+    crashed = spark.read.parquet(ledger).where("state = 'started'")
+    crashed.write.mode("overwrite").parquet(f"{work}/ledger_copy")
+    spark.read.parquet(f"{work}/ledger_copy").write.mode("overwrite").parquet(ledger)
+    assert ingest.append_events(batch, f"{work}/events") == 0  # exact check finds them all
+    assert spark.read.parquet(f"{work}/events").count() == total
+    states = {r.state for r in spark.read.parquet(ledger).collect()}
+    assert states == {"started", "done"}

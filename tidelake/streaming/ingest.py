@@ -19,6 +19,7 @@ nothing new processes zero rows and returns.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -106,41 +107,92 @@ def list_landing_files(spark: SparkSession, landing_path: str, modified_after: s
     return [r[0] for r in reader.load(landing_path).select("path").collect()]
 
 
-def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool = True) -> int:
-    """Decompose a batch of raw rows and append the events not yet present.
+LEDGER_SCHEMA = ("raw_file string, state string, max_insertion_timestamp timestamp_ntz, n_rows bigint, "
+                 "consumed_at timestamp")
 
-    When the events table has partitions already, the batch's event dates
-    are read from the raw table's partition column (a cheap first pass, no
-    cache).  When none of those date partitions exist the rows are appended
-    directly; otherwise (a replayed micro-batch, or later data for a day
-    already loaded) a partition-pruned anti join on (event_date, uuid,
-    insertion_timestamp) keeps rows already written out.
+
+def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool = True,
+                  max_files: int = 100_000) -> int:
+    """Decompose a batch of raw rows and append the events; return rows
+    appended.
+
+    With the raw file of each row known (the copy task's batches carry it),
+    appends are made exactly-once by a two-phase record in the
+    consumed-files ledger: the batch's raw files (one name per file,
+    bounded by the trigger and checked) are marked ``started``, the events
+    are written, then the files are marked ``done`` with their latest load
+    time and row count.  A replayed batch skips files already ``done``;
+    only files left ``started`` by a crash pay the exact anti join against
+    the events already written for their dates.  Ordinary batches pay no
+    join at all.
+
+    Without the file column (a plain DataFrame of raw rows) every append
+    takes the exact anti join when the batch's date partitions exist.
     """
     spark = raw_batch.sparkSession
-    batch = decompose(raw_batch, with_metadata=with_metadata)
-    keys = ["event_date", "uuid", "insertion_timestamp"]
-    new = batch
+    if RAW_FILE_COLUMN not in raw_batch.columns:
+        batch = decompose(raw_batch, with_metadata=with_metadata)
+        return _write_events(_without_existing(spark, raw_batch, batch, events_path), events_path)
+
+    file_col = normalize_path(F.col(RAW_FILE_COLUMN))
+    files = [r[0] for r in raw_batch.select(file_col.alias("f")).distinct().collect()]
+    if len(files) > max_files:
+        raise ValueError(f"{len(files)} raw files in one batch; lower maxFilesPerTrigger")
+    if not files:
+        return 0
+    ledger = consumed_path(events_path)
+    states: dict[str, set[str]] = {}
+    if path_exists(spark, ledger):
+        candidates = spark.createDataFrame([(f,) for f in files], "raw_file string")
+        for r in (spark.read.parquet(ledger).select("raw_file", "state")
+                  .join(F.broadcast(candidates), "raw_file", "left_semi").distinct().collect()):
+            states.setdefault(r[0], set()).add(r[1])
+    done = {f for f, st in states.items() if "done" in st}
+    interrupted = {f for f, st in states.items() if "started" in st and "done" not in st}
+    todo = [f for f in files if f not in done]
+    if not todo:
+        return 0
+    raw_todo = raw_batch if len(todo) == len(files) else raw_batch.where(file_col.isin(todo))
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    fresh = [f for f in todo if f not in interrupted]
+    if fresh:
+        spark.createDataFrame([(f, "started", None, None, now) for f in fresh], LEDGER_SCHEMA) \
+            .write.mode("append").parquet(ledger)
+    batch = decompose(raw_todo, with_metadata=with_metadata)
+    if interrupted:
+        batch = _without_existing(spark, raw_todo, batch, events_path)
+    rows = _write_events(batch, events_path)
+    (raw_todo.groupBy(file_col.alias("raw_file"))
+     .agg(F.max("insertion_timestamp").alias("max_insertion_timestamp"), F.count(F.lit(1)).alias("n_rows"))
+     .select("raw_file", F.lit("done").alias("state"), "max_insertion_timestamp", "n_rows",
+             F.current_timestamp().alias("consumed_at"))
+     .write.mode("append").parquet(ledger))
+    return rows
+
+
+def _without_existing(spark: SparkSession, raw_batch: DataFrame, batch: DataFrame, events_path: str) -> DataFrame:
+    """Rows of ``batch`` not yet in the events table: a partition-pruned
+    anti join on (event_date, uuid, insertion_timestamp), skipped when none
+    of the batch's date partitions exist."""
     present = set(list_dirs(spark, events_path))
-    dates = [r[0] for r in raw_batch.select("event_date").distinct().collect()] if present else []
+    if not present:
+        return batch
+    dates = [r[0] for r in raw_batch.select("event_date").distinct().collect()]
     wanted = {f"event_date={d.isoformat() if d is not None else DEFAULT_PARTITION}" for d in dates}
-    if present & wanted:
-        existing = spark.read.parquet(events_path)
-        cond = F.col("event_date").isin([d for d in dates if d is not None])
-        if None in dates:
-            cond = cond | F.col("event_date").isNull()
-        existing = existing.where(cond).select(*keys)
-        join_on = [batch[k].eqNullSafe(existing[k]) for k in keys]
-        new = batch.join(existing, join_on, "left_anti")
+    if not present & wanted:
+        return batch
+    keys = ["event_date", "uuid", "insertion_timestamp"]
+    cond = F.col("event_date").isin([d for d in dates if d is not None])
+    if None in dates:
+        cond = cond | F.col("event_date").isNull()
+    existing = spark.read.parquet(events_path).where(cond).select(*keys)
+    return batch.join(existing, [batch[k].eqNullSafe(existing[k]) for k in keys], "left_anti")
+
+
+def _write_events(batch: DataFrame, events_path: str) -> int:
     obs = Observation("events_load")
-    new.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
+    batch.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
         .partitionBy("event_date").parquet(events_path)
-    if RAW_FILE_COLUMN in raw_batch.columns:
-        # One row per raw file of the batch, from two narrow columns.
-        (raw_batch.groupBy(normalize_path(F.col(RAW_FILE_COLUMN)).alias("raw_file"))
-         .agg(F.max("insertion_timestamp").alias("max_insertion_timestamp"),
-              F.count(F.lit(1)).alias("n_rows"))
-         .withColumn("consumed_at", F.current_timestamp())
-         .write.mode("append").parquet(consumed_path(events_path)))
     return int(obs.get["rows"])
 
 
@@ -225,9 +277,9 @@ def stream_lag(spark: SparkSession, raw_path: str, events_path: str, as_of: Colu
     listed = spark.createDataFrame([(f,) for f in files], "raw_file string")
     ledger = consumed_path(events_path)
     if path_exists(spark, ledger):
-        consumed = spark.read.parquet(ledger)
+        consumed = spark.read.parquet(ledger).where(F.col("state") == "done")
     else:
-        consumed = spark.createDataFrame([], "raw_file string, max_insertion_timestamp timestamp_ntz")
+        consumed = spark.createDataFrame([], LEDGER_SCHEMA)
     pending = listed.join(consumed.select("raw_file"), "raw_file", "left_anti")
     pending_files = [r[0] for r in pending.collect()]
     last = consumed.agg(F.max("max_insertion_timestamp")).first()[0]
