@@ -207,3 +207,26 @@ def test_copy_task_is_exactly_once_across_replays_and_crashes(spark, work):
     assert spark.read.parquet(f"{work}/events").count() == total
     states = {r.state for r in spark.read.parquet(ledger).collect()}
     assert states == {"started", "done"}
+
+
+def test_load_is_exactly_once_across_a_crash(spark, work):
+    landed(spark, work)
+    files = ingest.list_landing_files(spark, f"{work}/landing")
+    total = ingest.load_files(spark, files, f"{work}/raw", lit_ts(LOAD))
+    ledger = ingest.ledger_path(f"{work}/raw")
+    # crash after the raw write, before the files were marked done
+    spark.read.parquet(ledger).where("state = 'started'").write.mode("overwrite").parquet(f"{work}/l2")
+    spark.read.parquet(f"{work}/l2").write.mode("overwrite").parquet(ledger)
+    assert ingest.load_files(spark, files, f"{work}/raw", lit_ts(LOAD)) == 0
+    assert spark.read.parquet(f"{work}/raw").count() == total
+    # crash before the raw write: the file is loaded again
+    lost = files[0]
+    spark.read.parquet(f"{work}/raw").where(F.col("source_file") != lost).write.mode("overwrite") \
+        .partitionBy("event_date").parquet(f"{work}/raw2")
+    spark.read.parquet(ledger).where(F.col("source_file") != lost).write.mode("overwrite").parquet(f"{work}/l3")
+    spark.createDataFrame([(lost, "started", None)], ingest.LOAD_LEDGER_SCHEMA) \
+        .write.mode("append").parquet(f"{work}/l3")
+    spark.read.parquet(f"{work}/l3").write.mode("overwrite").parquet(ingest.ledger_path(f"{work}/raw2"))
+    before = spark.read.parquet(f"{work}/raw2").count()
+    again = ingest.load_files(spark, files, f"{work}/raw2", lit_ts(LOAD))
+    assert again > 0 and before + again == total

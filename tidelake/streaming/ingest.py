@@ -57,39 +57,60 @@ def normalize_path(col_or_str):
     return F.regexp_replace(col_or_str, r"^file:/+", "file:/")
 
 
+LOAD_LEDGER_SCHEMA = "source_file string, state string, loaded_at timestamp"
+
+
 def load_files(spark: SparkSession, paths: list[str], raw_path: str, load_time: Column | None = None,
                max_files: int = 100_000) -> int:
     """Load the landing files in ``paths`` that the raw table has not loaded
     yet; return the rows appended.
 
     The path list (one entry per file, at most ``max_files``, checked) is
-    broadcast against the ledger to find files loaded before.  Only the
-    new files are read, each parsed into VARIANT once, enriched and
-    appended; the row count is observed while writing.  Data is written
-    before the ledger, so a crash between the two can at worst load the
-    same files again on the next run, never drop them.
+    broadcast against the load ledger.  Loads are exactly-once by a
+    two-phase record: new files are marked ``started``, their records read
+    (each parsed into VARIANT once), enriched and appended with the row
+    count observed while writing, then marked ``done``.  Files ``done``
+    are skipped.  A file left ``started`` by a crash is looked up in the
+    raw table (one narrow column, on this recovery path only): if its rows
+    are there the write committed and the file is only marked ``done``,
+    otherwise it is loaded again.
     """
     if len(paths) > max_files:
         raise ValueError(f"{len(paths)} files in one load; lower maxFilesPerTrigger or split the load")
+    paths = list(dict.fromkeys(paths))
     if not paths:
         return 0
     ledger = ledger_path(raw_path)
-    loaded: set[str] = set()
+    states: dict[str, set[str]] = {}
     if path_exists(spark, ledger):
         candidates = spark.createDataFrame([(p,) for p in paths], "source_file string")
-        loaded = {r[0] for r in spark.read.parquet(ledger).select("source_file")
-                  .join(F.broadcast(candidates), "source_file", "left_semi").distinct().collect()}
-    new_paths = [p for p in dict.fromkeys(paths) if p not in loaded]
+        for r in (spark.read.parquet(ledger).select("source_file", "state")
+                  .join(F.broadcast(candidates), "source_file", "left_semi").distinct().collect()):
+            states.setdefault(r[0], set()).add(r[1])
+    interrupted = [p for p, st in states.items() if "started" in st and "done" not in st]
+    committed: set[str] = set()
+    if interrupted and path_exists(spark, raw_path):
+        committed = {r[0] for r in spark.read.parquet(raw_path).select("source_file")
+                     .where(F.col("source_file").isin(interrupted)).distinct().collect()}
+        _mark(spark, ledger, sorted(committed), "done")
+    new_paths = [p for p in paths if "done" not in states.get(p, set()) and p not in committed]
     if not new_paths:
         return 0
-    records = read_landing_files(spark, new_paths)
+    _mark(spark, ledger, [p for p in new_paths if p not in states], "started")
     obs = Observation("raw_load")
-    enrich(records, load_time).observe(obs, F.count(F.lit(1)).alias("rows")) \
+    enrich(read_landing_files(spark, new_paths), load_time) \
+        .observe(obs, F.count(F.lit(1)).alias("rows")) \
         .write.mode("append").partitionBy("event_date").parquet(raw_path)
-    (spark.createDataFrame([(p,) for p in new_paths], "source_file string")
-     .select("source_file", F.current_timestamp().alias("loaded_at"))
-     .write.mode("append").parquet(ledger))
-    return int(obs.get["rows"])
+    rows = int(obs.get["rows"])
+    _mark(spark, ledger, new_paths, "done")
+    return rows
+
+
+def _mark(spark: SparkSession, ledger: str, paths: list[str], state: str) -> None:
+    if paths:
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        spark.createDataFrame([(p, state, now) for p in paths], LOAD_LEDGER_SCHEMA) \
+            .write.mode("append").parquet(ledger)
 
 
 def read_landing_files(spark: SparkSession, paths: list[str]) -> DataFrame:
