@@ -5,13 +5,15 @@ its own checkpoint:
 
 * landing file names -> raw events (the pipe).  The stream tracks which
   files are new (names only); each micro-batch goes through
-  :func:`load_files`, which reads only files the raw table's load ledger
-  does not list yet.  A replayed micro-batch, a rerun or a missed-file
-  refresh therefore never loads a file twice.
+  :func:`load_files`, which loads exactly once the files the raw table's
+  load ledger has not marked ``done`` (two-phase: ``started`` before the
+  write, ``done`` after).  Replays, reruns, the missed-file refresh and a
+  crash mid-load never load a file twice or drop it.
 * raw events -> typed events (the copy task).  Each micro-batch goes
-  through :func:`append_events`, which skips rows already present for the
-  same (event_date, uuid, insertion_timestamp) within the batch's dates, so
-  a retention rewrite of a raw partition cannot duplicate events.
+  through :func:`append_events`, exactly-once by the same two-phase record
+  per raw file in the consumed-files ledger; files rewritten by a
+  retention trim are not read again.  The ledger also gives the
+  metadata-only lag of :func:`stream_lag`.
 
 ``trigger(availableNow=True)`` is the "has new data" gate (W2): a run with
 nothing new processes zero rows and returns.
