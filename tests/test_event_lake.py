@@ -63,3 +63,15 @@ def test_periodic_trigger_picks_up_new_files(spark):
         assert q.isActive
     finally:
         q.stop()
+
+
+def test_fully_trimmed_tables_stay_readable(spark):
+    work = tempfile.mkdtemp(prefix="tidelake-empty-")
+    lake = EventLake(spark, landing=f"{work}/landing", root=f"{work}/lake")
+    write_files(f"{work}/landing/cell=c1", [{"uuid": "old", "timestamp": "2020-01-01T00:00:00", "org_id": "o"}])
+    lake.run_once()
+    assert lake.trim(as_of=dt.datetime(2024, 1, 1)) == {"sensitive.raw_events": 1, "sensitive.events": 1}
+    assert lake.raw().count() == 0 and lake.events().count() == 0
+    assert lake.trim(as_of=dt.datetime(2024, 1, 2)) == {"sensitive.raw_events": 0, "sensitive.events": 0}
+    assert lake.stream_lag_minutes(as_of=dt.datetime(2024, 1, 2)).first().lag_minutes == 0.0
+    assert lake.lag_minutes(as_of=dt.datetime(2024, 1, 2)).first().pending_rows == 0

@@ -26,6 +26,16 @@ EVENT_COLUMNS = [
 EVENT_COLUMNS_WITH_METADATA = EVENT_COLUMNS + ["metadata"]
 VARIANT_COLUMNS = ARRAY_FIELDS + OBJECT_FIELDS + ["metadata"]
 
+# The events table as stored (partitioned by event_date).  Reading with it
+# keeps an emptied table readable and a table written before ``metadata``
+# existed readable with NULLs.
+EVENTS_SCHEMA = (
+    "insertion_timestamp TIMESTAMP_NTZ, cell STRING, uuid STRING, timestamp TIMESTAMP_NTZ, "
+    "event_type STRING, version STRING, org_id STRING, display_message_entry ARRAY<VARIANT>, "
+    "severity STRING, client VARIANT, actor VARIANT, outcome VARIANT, target ARRAY<VARIANT>, "
+    "transaction VARIANT, debug_context VARIANT, authentication_context VARIANT, "
+    "security_context VARIANT, metadata VARIANT, event_date DATE")
+
 
 def _field(raw: Column, name: str) -> Column:
     return W.json_path(raw, f"$.{name}", "variant")

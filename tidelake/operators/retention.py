@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 import tidelake.functions as W
 from tidelake.sources.landing import event_time
 from tidelake.streaming.ingest import REWRITE_PREFIX
-from tidelake.util import _fs, delete_path, list_dirs, path_exists, rename_path
+from tidelake.util import _fs, delete_path, list_dirs, path_exists, read_parquet_table, rename_path
 
 HISTORY_SCHEMA = "execution_time TIMESTAMP_NTZ, table_name STRING, deleted_records DECIMAL(38,0)"
 HISTORY_COMMENT = "Sensitive data cleanup history, to debug cleanup executions"
@@ -66,7 +66,9 @@ def trim_partitioned(spark: SparkSession, path: str, time_of: Column, threshold:
     recover_interrupted_trim(spark, path)
     cut_date = threshold.date()
     doomed = F.coalesce(time_of < F.lit(threshold).cast("timestamp_ntz"), F.lit(False))
-    table = spark.read.parquet(path)
+    table = read_parquet_table(spark, path)
+    if table is None:  # nothing left to trim
+        return 0
     counts = (table.where(F.col(partition_col) <= F.lit(cut_date))
               .agg(F.count(F.when(doomed, 1)).alias("deleted"),
                    F.count(F.when(doomed & (F.col(partition_col) == F.lit(cut_date)), 1)).alias("boundary"))
@@ -171,8 +173,12 @@ def trim_old_sensitive_data(spark: SparkSession, raw_path: str, events_path: str
 
 def kept_rows(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     """Rows left per table, one aggregate per table, unioned."""
-    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("kept_records"))
-             .select(F.lit(name).alias("table_name"), "kept_records") for name, p in tables.items()]
+    parts = []
+    for name, p in tables.items():
+        df = read_parquet_table(spark, p)
+        counted = (df.agg(F.count(F.lit(1)).alias("kept_records")) if df is not None
+                   else spark.range(1).select(F.lit(0).cast("bigint").alias("kept_records")))
+        parts.append(counted.select(F.lit(name).alias("table_name"), "kept_records"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelake.operators import maintenance, retention
+from tidelake.operators.events import EVENTS_SCHEMA
+from tidelake.sources.landing import RAW_SCHEMA
 from tidelake.session import shared_dir
 from tidelake.streaming import ingest
 from tidelake.util import path_exists
@@ -52,13 +54,13 @@ class EventLake:
 
     # ---- tables ---------------------------------------------------------
     def raw(self) -> DataFrame:
-        return self.spark.read.parquet(self.raw_path)
+        return self.spark.read.schema(RAW_SCHEMA).parquet(self.raw_path)
 
     def events(self) -> DataFrame:
-        return self.spark.read.parquet(self.events_path)
+        return self.spark.read.schema(EVENTS_SCHEMA).parquet(self.events_path)
 
     def history(self) -> DataFrame:
-        return self.spark.read.parquet(self.history_path)
+        return self.spark.read.schema(retention.HISTORY_SCHEMA).parquet(self.history_path)
 
     # ---- tasks ----------------------------------------------------------
     def load(self, available_now: bool = True, load_time: Column | None = None) -> StreamingQuery:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelake.functions.dialect import register
-from tidelake.operators.events import decompose, only_inserts
+from tidelake.operators.events import EVENTS_SCHEMA, decompose, only_inserts
 from tidelake.sources.landing import RAW_SCHEMA, enrich
 from tidelake.util import list_dirs, path_exists
 
@@ -92,7 +92,7 @@ def load_files(spark: SparkSession, paths: list[str], raw_path: str, load_time:
     interrupted = [p for p, st in states.items() if "started" in st and "done" not in st]
     committed: set[str] = set()
     if interrupted and path_exists(spark, raw_path):
-        committed = {r[0] for r in spark.read.parquet(raw_path).select("source_file")
+        committed = {r[0] for r in spark.read.schema(RAW_SCHEMA).parquet(raw_path).select("source_file")
                      .where(F.col("source_file").isin(interrupted)).distinct().collect()}
         _mark(spark, ledger, sorted(committed), "done")
     new_paths = [p for p in paths if "done" not in states.get(p, set()) and p not in committed]
@@ -208,7 +208,7 @@ def _without_existing(spark: SparkSession, raw_batch: DataFrame, batch: DataFram
     cond = F.col("event_date").isin([d for d in dates if d is not None])
     if None in dates:
         cond = cond | F.col("event_date").isNull()
-    existing = spark.read.parquet(events_path).where(cond).select(*keys)
+    existing = spark.read.schema(EVENTS_SCHEMA).parquet(events_path).where(cond).select(*keys)
     return batch.join(existing, [batch[k].eqNullSafe(existing[k]) for k in keys], "left_anti")
 
 
@@ -295,7 +295,7 @@ def stream_lag(spark: SparkSession, raw_path: str, events_path: str, as_of: Colu
     import tidelake.functions as W
 
     as_of = W.utc_now() if as_of is None else as_of
-    files = [normalize_path(f) for f in spark.read.parquet(raw_path).inputFiles()
+    files = [normalize_path(f) for f in spark.read.schema(RAW_SCHEMA).parquet(raw_path).inputFiles()
              if not f.rsplit("/", 1)[-1].startswith(REWRITE_PREFIX)]
     listed = spark.createDataFrame([(f,) for f in files], "raw_file string")
     ledger = consumed_path(events_path)
@@ -307,7 +307,7 @@ def stream_lag(spark: SparkSession, raw_path: str, events_path: str, as_of: Colu
     pending_files = [r[0] for r in pending.collect()]
     last = consumed.agg(F.max("max_insertion_timestamp")).first()[0]
     if last is None and pending_files:
-        last = spark.read.parquet(*pending_files).agg(F.min("insertion_timestamp")).first()[0]
+        last = spark.read.schema(RAW_SCHEMA).parquet(*pending_files).agg(F.min("insertion_timestamp")).first()[0]
     offset = F.lit(last).cast("timestamp_ntz")
     return spark.range(1).select(
         F.lit(len(pending_files)).cast("bigint").alias("pending_files"),

@@ -34,3 +34,16 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
+
+def read_parquet_table(spark: SparkSession, path: str, schema: str | None = None):
+    """A parquet table folder as a DataFrame, or None when it holds no data
+    files yet (a fresh or fully trimmed table) and no schema is given."""
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
