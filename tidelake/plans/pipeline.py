@@ -114,9 +114,12 @@ class EventLake:
         from tidelake.operators.catalog import create_schema
         create_schema(self.spark, schema, location=f"{self.root}/_warehouse/{schema}.db")
         names = {}
-        for label, path in (("raw_events", self.raw_path), ("events", self.events_path)):
+        for label, path, ddl in (("raw_events", self.raw_path, RAW_SCHEMA),
+                                 ("events", self.events_path, EVENTS_SCHEMA)):
             name = f"{schema}.{label}"
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
+            # Declared columns: the folder may be empty (fresh or fully trimmed).
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet "
+                           f"PARTITIONED BY (event_date) LOCATION '{path}'")
             self.spark.sql(f"REPAIR TABLE {name}")
             names[label] = name
         return maintenance.create_reduced_views(self.spark, names["events"], names["raw_events"], schema)
