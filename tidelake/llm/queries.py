@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import langid, packing, quality, sharding, simhash, token_counts
+from pyspark.sql import functions as F
+
+from tidelake.llm import ann, chat, embed_dedup, langid, packing, pieces, quality, sharding, simhash, token_counts
 from tidelake.sources.tables import read_table
 
 
@@ -16,14 +18,39 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings."""
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                   F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.read_back(chat.format_conversations(table.union(tricky)))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op5_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids, and whether they decode to its text."""
+    docs = read_table(spark, sf_dir, "documents")
+    return pieces.encode(docs).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.array_join("ids", " ").alias("ids"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +60,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_simhash_near_dedup, op4_language_id, op7_packing, op9_sharding, op10_quality_classifier)}
+    op1_token_counts, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_hash_prefix_forest, op6_sentencepiece,
+    op7_packing, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier)}
 
 #: Hashes, tokenizers and fitted models are beyond SQL; the tests hold these queries against brute force.
 ORACLES: dict[str, str] = {}
