@@ -30,19 +30,22 @@ def test_event_lake_round(spark):
     pending = lake.lag_minutes(as_of=dt.datetime(2030, 1, 1)).first()
     assert pending.pending_rows == 1 and pending.lag_minutes > 0
     by_files = lake.stream_lag_minutes(as_of=dt.datetime(2030, 1, 1)).first()
-    assert by_files.pending_files == 1 and by_files.lag_minutes == pending.lag_minutes
+    assert by_files.pending_parts == 1 and by_files.lag_minutes == pending.lag_minutes
     assert by_files.offset_time == pending.offset_time
     lake.run_once()  # the stream sees c2 too, but the ledger already has it
     assert lake.raw().count() == 3 and lake.events().count() == 3
     caught_up = lake.stream_lag_minutes(as_of=dt.datetime(2030, 1, 1)).first()
-    assert caught_up.pending_files == 0 and caught_up.lag_minutes == 0.0
+    assert caught_up.pending_parts == 0 and caught_up.lag_minutes == 0.0
     trimmed = lake.trim(as_of=dt.datetime(2024, 3, 1))
     assert trimmed == {"sensitive.raw_events": 1, "sensitive.events": 1}
     ev_view, raw_view = lake.create_views("lake_infra")
     assert sorted(r.uuid for r in spark.table(ev_view).collect()) == ["b", "c"]
     assert spark.table(raw_view).columns == ["insertion_timestamp", "cell", "org_id"]
-    filled = {r.uuid: r.metadata for r in lake.backfill_metadata().collect()}
-    assert filled["b"] is None  # the array-shaped metadata is not an object
+    assert lake.backfill_metadata() == 0  # the array-shaped metadata is not an object
+    assert {r.uuid: r.metadata for r in lake.events().collect()}["b"] is None
+    assert lake.compact_ledgers() > 0 and lake.compact_ledgers() == 0
+    lake.run_once()
+    assert lake.refresh() == 0 and lake.raw().count() == 2 and lake.events().count() == 2
 
 
 def test_periodic_trigger_picks_up_new_files(spark):

@@ -10,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake.operators import maintenance, retention
-from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA, as_json_text, decompose
+from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA, EVENTS_SCHEMA, as_json_text, decompose
 from tidelake.plans import jobs
-from tidelake.sources.landing import (enrich, hourly_load_time, landing_records, raw_from_records,
+from tidelake.sources.landing import (RAW_SCHEMA, enrich, hourly_load_time, landing_records, raw_from_records,
                                       scan_landing, write_landing)
 from tidelake.sources.tables import read_table
-from tidelake.streaming import ingest
+from tidelake.streaming import ingest, publish
+from tidelake.util import list_files
 
 SF = "/root/testdata/sf0.001"
 LOAD = dt.datetime(2024, 2, 1)
@@ -61,25 +62,126 @@ def test_replayed_loads_are_idempotent(spark, work):
     assert first == read_table(spark, SF, "events").count()
     assert ingest.load_files(spark, files, f"{work}/raw", lit_ts(LOAD)) == 0
     assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw") == 0
-    assert spark.read.parquet(f"{work}/raw").count() == first
-    raw = spark.read.parquet(f"{work}/raw")
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw")
+    assert raw.count() == first
     assert ingest.append_events(raw, f"{work}/events") == first
     assert ingest.append_events(raw, f"{work}/events") == 0
     assert spark.read.parquet(f"{work}/events").count() == first
 
 
-def test_refresh_loads_only_missing_files(spark, work):
-    records = landing_records(read_table(spark, SF, "events"))
-    cut = lit_ts(dt.datetime(2024, 1, 20))
-    write_landing(records.where(F.col("event_ts") < cut), f"{work}/landing")
-    ingest.run_once(ingest.start_raw_load(spark, f"{work}/landing", f"{work}/raw", f"{work}/ck",
-                                          load_time=lit_ts(LOAD)))
-    write_landing(records.where(F.col("event_ts") >= cut), f"{work}/landing")
-    since = (dt.datetime.now(dt.timezone.utc) - dt.timedelta(days=1, minutes=5)).strftime("%Y-%m-%dT%H:%M:%S")
-    added = ingest.refresh_missed_files(spark, f"{work}/landing", f"{work}/raw", since, load_time=lit_ts(LOAD))
-    assert added == records.where(F.col("event_ts") >= cut).count()
-    assert ingest.refresh_missed_files(spark, f"{work}/landing", f"{work}/raw", since) == 0
-    assert spark.read.parquet(f"{work}/raw").count() == records.count()
+def test_backlog_larger_than_a_batch_or_a_trigger(spark, work):
+    n = 23
+    for k in range(n):
+        write(work, f"cell=c{k}", [{"uuid": f"u{k}", "timestamp": "2024-01-10T08:00:00"}])
+    assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", files_per_batch=4) == n
+    assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", files_per_batch=4) == 0
+    raw_files = len(list_files(spark, f"{work}/raw", ".parquet"))
+    query = ingest.start_decompose(spark, f"{work}/raw", f"{work}/events", f"{work}/ck", max_files_per_trigger=2)
+    ingest.run_once(query)
+    assert raw_files > 2 and spark.read.parquet(f"{work}/events").count() == n
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def test_refresh_loads_only_missing_files(spark, work, zone):
+    write(work, "cell=a", [{"uuid": "u1", "timestamp": "2024-01-10T08:00:00"}])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ingest.run_once(ingest.start_raw_load(spark, f"{work}/landing", f"{work}/raw", f"{work}/ck", load_time=lit_ts(LOAD)))
+        now = dt.datetime.now(dt.timezone.utc)
+        for name, hours in (("new", 0), ("day", 20), ("old", 30)):
+            path = write(work, f"cell={name}", [{"uuid": name, "timestamp": "2024-01-10T08:00:00"}])
+            at = (now - dt.timedelta(hours=hours)).timestamp()
+            os.utime(path, (at, at))
+        since = (now - dt.timedelta(days=1, minutes=5)).strftime("%Y-%m-%dT%H:%M:%S")
+        assert ingest.refresh_missed_files(spark, f"{work}/landing", f"{work}/raw", since) == 2
+        assert ingest.refresh_missed_files(spark, f"{work}/landing", f"{work}/raw", since) == 0
+        assert {r.cell for r in spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw").collect()} == {"a", "new", "day"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_refresh_waits_for_a_running_load(spark, work):
+    write(work, "cell=a", [{"uuid": "u1", "timestamp": "2024-01-10T08:00:00"}])
+    root = publish.work_root(f"{work}/raw")
+    with publish.writer(spark, root):  # the pipe is loading
+        with pytest.raises(TimeoutError):
+            ingest.refresh_missed_files(spark, f"{work}/landing", f"{work}/raw", "2000-01-01T00:00:00", wait=0.2)
+    assert ingest.refresh_missed_files(spark, f"{work}/landing", f"{work}/raw", "2000-01-01T00:00:00") == 1
+    # a lock that nobody has refreshed for the lease belongs to a dead writer
+    os.makedirs(root, exist_ok=True)
+    lock = f"{root}/{publish.LOCK}"
+    open(lock, "w").close()
+    os.utime(lock, (1, 1))
+    assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw") == 0
+
+
+class Crash(Exception):
+    pass
+
+
+def crash_at(monkeypatch, name, when):
+    """Make a step of a publication die at its ``when``-th call (from 1); returns the number of calls made so far."""
+    real, calls = getattr(publish, name), []
+
+    def step(*args, **kwargs):
+        calls.append(args)
+        if len(calls) == when:
+            raise Crash
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(publish, name, step)
+    return calls
+
+
+@pytest.mark.parametrize("step, when, committed", [("write_text", 1, False), ("_move", 1, False), ("_move", 2, True), ("_move", 3, True),
+                                                   ("_move", 4, True)])
+def test_crash_in_a_load_leaves_all_or_nothing(spark, work, monkeypatch, step, when, committed):
+    """One landing file of several dates: its rows go to several folders."""
+    rows = [{"uuid": f"u{k}", "timestamp": f"2024-01-{10 + k}T08:00:00"} for k in range(3)]
+    write(work, "cell=a", rows)
+    with monkeypatch.context() as m:
+        crash_at(m, step, when)
+        with pytest.raises(Crash):
+            ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
+    again = ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
+    assert again == (0 if committed else 3)
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw")
+    assert sorted(r.uuid for r in decompose(raw).collect()) == ["u0", "u1", "u2"]
+
+
+@pytest.mark.parametrize("when", [1, 2, 3])
+def test_crash_in_the_copy_task_leaves_all_or_nothing(spark, work, monkeypatch, when):
+    write(work, "cell=a", [{"uuid": f"u{k}", "timestamp": f"2024-01-{10 + k}T08:00:00"} for k in range(3)])
+    ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw")
+    with monkeypatch.context() as m:
+        crash_at(m, "_move", when)
+        with pytest.raises(Crash):
+            ingest.append_events(raw, f"{work}/events")
+    ingest.append_events(raw, f"{work}/events")
+    assert sorted(r.uuid for r in spark.read.parquet(f"{work}/events").collect()) == ["u0", "u1", "u2"]
+
+
+def test_malformed_lines_are_rescued(spark, work):
+    path = write(work, "cell=a", [{"uuid": "u1", "timestamp": "-9223372036854775808"}])
+    with open(path, "a") as fh:
+        fh.write("\n{broken\n\n   \n[1, 2]\n")
+    assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD)) == 3
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw")
+    assert [r.rescued_text for r in raw.where("rescued_text IS NOT NULL").collect()] == ["{broken"]
+    events = decompose(raw).collect()
+    assert sorted(r.uuid or "" for r in events) == ["", "", "u1"]
+    lag = maintenance.transform_lag(raw, decompose(raw), as_of=lit_ts(LOAD)).first()
+    assert lag.pending_rows == 2  # rows without a uuid match nothing
+
+
+def write(work, folder, rows, name="f.json"):
+    os.makedirs(f"{work}/landing/{folder}", exist_ok=True)
+    path = f"{work}/landing/{folder}/{name}"
+    with open(path, "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows))
+    return path
 
 
 def fixture_records(spark, work):
@@ -131,12 +233,66 @@ def test_trim_keeps_null_times_and_counts_add_up(spark, work):
     hist = spark.read.parquet(f"{work}/hist").collect()
     assert sorted((r.table_name, int(r.deleted_records)) for r in hist) == [
         ("sensitive.events", 4), ("sensitive.raw_events", 4)]
-    # the boundary partition was rewritten under the trim prefix and the
-    # decompose stream skips it
-    files = [f for f in os.listdir(f"{work}/raw/event_date=2024-01-15") if f.endswith(".parquet")]
-    assert files and all(f.startswith(ingest.REWRITE_PREFIX) for f in files)
+    # a new task, and one that had consumed nothing before the trim, see every row that is left
     ingest.run_once(ingest.start_decompose(spark, f"{work}/raw", f"{work}/ev2", f"{work}/ck2"))
-    assert {r.uuid for r in spark.read.parquet(f"{work}/ev2").collect()} == {"u3", "u6"}
+    assert {r.uuid for r in spark.read.parquet(f"{work}/ev2").collect()} == {"u3", "u6", "u7"}
+    # the same trim again finds nothing and says so
+    assert retention.trim_sensitive_raw_events(spark, f"{work}/raw", "1705320000000", f"{work}/hist") == 0
+    assert spark.read.parquet(f"{work}/hist").count() == 3
+
+
+def lake_with_a_boundary_day(spark, work):
+    """Three dates loaded and consumed, then one more row for the boundary day that is not consumed yet."""
+    write(work, "cell=a", [{"uuid": "old", "timestamp": "2024-01-10T08:00:00"}, {"uuid": "gone", "timestamp": "2024-01-15T08:00:00"},
+                           {"uuid": "keep", "timestamp": "2024-01-15T18:00:00"}, {"uuid": "later", "timestamp": "2024-01-20T08:00:00"}])
+    ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
+    ingest.run_once(ingest.start_decompose(spark, f"{work}/raw", f"{work}/events", f"{work}/ck"))
+    write(work, "cell=b", [{"uuid": "new", "timestamp": "2024-01-15T19:00:00"}])
+    ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
+
+
+def raw_uuids(spark, work):
+    return sorted(r.uuid for r in decompose(spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw")).collect())
+
+
+def test_rows_not_yet_consumed_survive_a_trim(spark, work):
+    lake_with_a_boundary_day(spark, work)
+    assert retention.trim_sensitive_raw_events(spark, f"{work}/raw", "2024-01-15 12:00:00", f"{work}/hist") == 2
+    assert raw_uuids(spark, work) == ["keep", "later", "new"]
+    assert ingest.stream_lag(spark, f"{work}/raw", f"{work}/events", lit_ts(LOAD)).first().pending_parts == 1
+    for checkpoint in ("ck", "ck-new"):  # the running task, and one made anew
+        ingest.run_once(ingest.start_decompose(spark, f"{work}/raw", f"{work}/events", f"{work}/{checkpoint}"))
+        got = sorted(r.uuid for r in spark.read.parquet(f"{work}/events").collect())
+        assert got == ["gone", "keep", "later", "new", "old"]
+    assert ingest.stream_lag(spark, f"{work}/raw", f"{work}/events", lit_ts(LOAD)).first().pending_parts == 0
+
+
+TRIM_CRASHES = [("write_text", 1, False), ("_move", 1, False), ("_move", 2, True), ("_move", 3, True),
+                ("delete_path", 1, True), ("delete_path", 2, True), ("delete_path", 3, True)]
+
+
+@pytest.mark.parametrize("step, when, committed", TRIM_CRASHES)
+def test_crash_in_a_trim(spark, work, monkeypatch, step, when, committed):
+    """Wherever a trim dies, the table stays readable, no kept row is missing, and the next writer
+    settles it: rows and history agree."""
+    lake_with_a_boundary_day(spark, work)
+    before = raw_uuids(spark, work)
+    with monkeypatch.context() as m:
+        crash_at(m, step, when)
+        with pytest.raises(Crash):
+            retention.trim_sensitive_raw_events(spark, f"{work}/raw", "2024-01-15 12:00:00", f"{work}/hist")
+        if step == "delete_path":  # half of a removal: a crash in the middle of deleting a folder's files
+            for f in list_files(spark, f"{work}/raw/event_date=2024-01-10", ".parquet")[:1]:
+                os.remove(f"{work}/raw/event_date=2024-01-10/{f}")
+    # anyone can read meanwhile, with and without a schema; what must stay is there
+    assert {"keep", "later", "new"} <= set(raw_uuids(spark, work)) <= set(before)
+    assert {"keep", "later", "new"} <= {r.uuid for r in decompose(spark.read.parquet(f"{work}/raw")).collect()}
+    deleted = retention.trim_sensitive_raw_events(spark, f"{work}/raw", "2024-01-15 12:00:00", f"{work}/hist")
+    assert deleted == (0 if committed else 2)
+    assert raw_uuids(spark, work) == ["keep", "later", "new"]
+    assert sum(int(r.deleted_records) for r in spark.read.parquet(f"{work}/hist").collect()) == 2
+    ingest.run_once(ingest.start_decompose(spark, f"{work}/raw", f"{work}/events", f"{work}/ck"))
+    assert sorted(r.uuid for r in spark.read.parquet(f"{work}/events").collect()) == ["gone", "keep", "later", "new", "old"]
 
 
 def test_one_year_before_is_epoch_millis_text():
@@ -156,6 +312,27 @@ def test_backfill_keyed_and_append(spark):
     assert appended.where(F.col("uuid").isNull()).count() == n_obj
 
 
+def test_backfill_takes_one_record_per_event(spark, work):
+    """Two raw records of one uuid do not double its event; the one loaded last wins; only dates in need are rewritten."""
+    day = "2024-01-10T08:00:00"
+    write(work, "cell=a", [{"uuid": "x", "timestamp": day, "metadata": {"v": 1}}, {"timestamp": day, "metadata": {"v": 9}},
+                           {"uuid": "y", "timestamp": "2024-01-11T08:00:00"}])
+    ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw")
+    ingest.append_events(raw, f"{work}/events", with_metadata=False)
+    write(work, "cell=b", [{"uuid": "x", "timestamp": day, "metadata": {"v": 2}}])
+    ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD + dt.timedelta(hours=1)))
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{work}/raw")
+    untouched = list_files(spark, f"{work}/events/event_date=2024-01-11", ".parquet")
+    assert maintenance.write_backfill(spark, f"{work}/events", raw) == 1
+    stored = spark.read.schema(EVENTS_SCHEMA).parquet(f"{work}/events")
+    assert sorted((r.uuid or "", r.metadata) for r in as_json_text(stored).collect()) == [("", None), ("x", '{"v":2}'), ("y", None)]
+    assert list_files(spark, f"{work}/events/event_date=2024-01-11", ".parquet") == untouched
+    assert maintenance.write_backfill(spark, f"{work}/events", raw) == 0
+    # the rewritten rows are still known as consumed; only the late record is new
+    assert ingest.append_events(raw, f"{work}/events") == 1
+
+
 def test_lag_zero_when_nothing_pending_and_earliest_pending_when_nothing_consumed(spark):
     raw = raw_from_records(landing_records(read_table(spark, SF, "events")), hourly_load_time(F.col("event_ts")))
     as_of = lit_ts(dt.datetime(2024, 2, 1))
@@ -175,58 +352,25 @@ def test_job_registry_runs_pipeline_jobs(spark):
         assert int(r.deleted_records) + r.kept_records == total
 
 
-def test_interrupted_trim_is_rolled_back(spark, work):
-    fixture_records(spark, work)
-    raw = enrich(scan_landing(spark, f"{work}/landing"), lit_ts(LOAD))
-    raw.write.partitionBy("event_date").parquet(f"{work}/raw")
-    before = sorted(r.uuid for r in decompose(spark.read.parquet(f"{work}/raw")).collect())
-    part = f"{work}/raw/event_date=2024-01-15"
-    # a trim died after moving the old partition aside and half-filling the new one
-    os.rename(part, f"{work}/raw/{retention.TRASH_PREFIX}abc123-event_date=2024-01-15")
-    os.makedirs(part)
-    os.makedirs(f"{work}/raw/{retention.STAGING_PREFIX}abc123")
-    assert retention.recover_interrupted_trim(spark, f"{work}/raw") == ["event_date=2024-01-15"]
-    after = sorted(r.uuid for r in decompose(spark.read.parquet(f"{work}/raw")).collect())
-    assert after == before
-    assert not [d for d in os.listdir(f"{work}/raw") if d.startswith("_trim")]
-
-
-def test_copy_task_is_exactly_once_across_replays_and_crashes(spark, work):
-    landed(spark, work)
-    ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw", lit_ts(LOAD))
-    total = spark.read.parquet(f"{work}/raw").count()
-    batch = spark.read.parquet(f"{work}/raw").withColumn(ingest.RAW_FILE_COLUMN, F.col("_metadata.file_path"))
-    assert ingest.append_events(batch, f"{work}/events") == total
-    assert ingest.append_events(batch, f"{work}/events") == 0  # replay: every file is done
-    # a crash after writing events but before marking the files done
-    ledger = ingest.consumed_path(f"{work}/events")
-    crashed = spark.read.parquet(ledger).where("state = 'started'")
-    crashed.write.mode("overwrite").parquet(f"{work}/ledger_copy")
-    spark.read.parquet(f"{work}/ledger_copy").write.mode("overwrite").parquet(ledger)
-    assert ingest.append_events(batch, f"{work}/events") == 0  # exact check finds them all
-    assert spark.read.parquet(f"{work}/events").count() == total
-    states = {r.state for r in spark.read.parquet(ledger).collect()}
-    assert states == {"started", "done"}
+def test_ledgers_are_compacted(spark, work):
+    for k in range(3):
+        write(work, f"cell=c{k}", [{"uuid": f"u{k}", "timestamp": "2024-01-10T08:00:00"}])
+        ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw")
+    ledger = ingest.files_path(f"{work}/raw")
+    assert len(list_files(spark, ledger, ".parquet")) == 3
+    assert ingest.compact_ledger(spark, f"{work}/raw", ledger, ingest.FILES_SCHEMA) == 1
+    assert len(list_files(spark, ledger, ".parquet")) == 1
+    assert ingest.read_ledger(spark, ledger, ingest.FILES_SCHEMA).count() == 3
+    assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw") == 0
 
 
-def test_load_is_exactly_once_across_a_crash(spark, work):
-    landed(spark, work)
-    files = ingest.list_landing_files(spark, f"{work}/landing")
-    total = ingest.load_files(spark, files, f"{work}/raw", lit_ts(LOAD))
-    ledger = ingest.ledger_path(f"{work}/raw")
-    # crash after the raw write, before the files were marked done
-    spark.read.parquet(ledger).where("state = 'started'").write.mode("overwrite").parquet(f"{work}/l2")
-    spark.read.parquet(f"{work}/l2").write.mode("overwrite").parquet(ledger)
-    assert ingest.load_files(spark, files, f"{work}/raw", lit_ts(LOAD)) == 0
-    assert spark.read.parquet(f"{work}/raw").count() == total
-    # crash before the raw write: the file is loaded again
-    lost = files[0]
-    spark.read.parquet(f"{work}/raw").where(F.col("source_file") != lost).write.mode("overwrite") \
-        .partitionBy("event_date").parquet(f"{work}/raw2")
-    spark.read.parquet(ledger).where(F.col("source_file") != lost).write.mode("overwrite").parquet(f"{work}/l3")
-    spark.createDataFrame([(lost, "started", None)], ingest.LOAD_LEDGER_SCHEMA) \
-        .write.mode("append").parquet(f"{work}/l3")
-    spark.read.parquet(f"{work}/l3").write.mode("overwrite").parquet(ingest.ledger_path(f"{work}/raw2"))
-    before = spark.read.parquet(f"{work}/raw2").count()
-    again = ingest.load_files(spark, files, f"{work}/raw2", lit_ts(LOAD))
-    assert again > 0 and before + again == total
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from tidelake.session import shared_dir
+
+    none = N(get=lambda *_: None)
+    fake = N(conf=none, sparkContext=N(getConf=lambda: none, master="spark://host:7077",
+                                       _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))))
+    with pytest.raises(RuntimeError):
+        shared_dir(fake)

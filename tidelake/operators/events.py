@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import tidelake.functions as W
 from tidelake.sources.landing import event_time
 
-# (column, JSON key, cast): the typed columns of the events table.
+# The event record's field names, which are the table's columns.
 STRING_FIELDS = ["uuid", "event_type", "version", "org_id", "severity"]
 ARRAY_FIELDS = ["display_message_entry", "target"]
 OBJECT_FIELDS = ["client", "actor", "outcome", "transaction", "debug_context",
@@ -41,12 +41,14 @@ def _field(raw: Column, name: str) -> Column:
     return W.json_path(raw, f"$.{name}", "variant")
 
 
-def decompose(raw: DataFrame, with_metadata: bool = True, keep_event_date: bool = True) -> DataFrame:
+def decompose(raw: DataFrame, with_metadata: bool = True, keep_event_date: bool = True,
+              lineage: list[str] | None = None) -> DataFrame:
     """Typed events from raw events.
 
     ``::string`` fields become STRING, ``::array`` fields ARRAY<VARIANT>,
     ``::object`` fields VARIANT holding an object (NULL for anything else, so
-    old array-shaped ``metadata`` never lands as an object: Q4).
+    old array-shaped ``metadata`` never lands as an object: Q4).  Columns
+    named in ``lineage`` are carried along.
     """
     rj = F.col("raw_json")
     cols = {
@@ -66,7 +68,7 @@ def decompose(raw: DataFrame, with_metadata: bool = True, keep_event_date: bool
     out = [cols[n].alias(n) for n in names]
     if keep_event_date:
         out.append(F.to_date(cols["timestamp"]).alias("event_date"))
-    return raw.select(*out)
+    return raw.select(*out, *(lineage or []))
 
 
 def only_inserts(changes: DataFrame) -> DataFrame:

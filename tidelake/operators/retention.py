@@ -1,18 +1,21 @@
 """Retention trims and their cleanup history.
 
-Parquet tables have no DELETE, so a trim works partition by partition on a
-table partitioned by ``event_date``:
-
-* the number of rows to delete is counted first, reading only partitions
-  up to the threshold's date (partition pruning);
-* partitions wholly below the threshold's date are dropped as folders;
-* the one partition that straddles the threshold is rewritten: kept rows go
-  to a staging folder, then the old partition is moved aside, the staged
-  files are moved in (named ``trimmed-*`` so the decompose stream does not
-  read them again), and the old files are deleted last.  If a trim dies
-  part way, the next one finds the old partition still set aside and puts
-  it back before starting (:func:`recover_interrupted_trim`); nothing is
-  lost and the trim simply runs again.
+Parquet tables have no DELETE, so a trim works on the folders of a table
+partitioned by ``event_date``:
+
+* partitions wholly below the threshold's date go as folders; their rows
+  are counted from the file footers (no column is read);
+* the one partition that straddles the threshold is read once: its kept
+  rows are staged while they and all rows are counted;
+* the history row is staged as well, and everything happens in one
+  publication (:mod:`tidelake.streaming.publish`): before its marker the
+  trim has not happened, after it the next writer finishes whatever is
+  left, and the history counts the rows that really went.
+
+Staged files lie outside the table, so the table is readable at any time.
+Between the moves and the removals a reader may see a kept row twice, but
+never miss one.  Rewritten rows keep their ``load_part``, by which the copy
+task knows whether it has consumed them.
 
 Rows whose time is NULL are never deleted (``NULL < t`` is unknown, Q3):
 they sit in the NULL partition, which no date comparison selects.
@@ -21,21 +24,18 @@ they sit in the NULL partition, which no date comparison selects.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import tidelake.functions as W
 from tidelake.sources.landing import event_time
-from tidelake.streaming.ingest import REWRITE_PREFIX
-from tidelake.util import _fs, delete_path, list_dirs, path_exists, read_parquet_table, rename_path
+from tidelake.streaming.publish import Publication, new_batch, work_root, writer
+from tidelake.util import list_dirs, list_files, path_exists, read_parquet_table
 
 HISTORY_SCHEMA = "execution_time TIMESTAMP_NTZ, table_name STRING, deleted_records DECIMAL(38,0)"
-HISTORY_COMMENT = "Sensitive data cleanup history, to debug cleanup executions"
+HISTORY_COMMENT = "One row for each retention trim: when it ran, on which table, how many rows it deleted"
 HISTORY_RETENTION_DAYS = 90
-STAGING_PREFIX = "_trim-staging-"
-TRASH_PREFIX = "_trim-trash-"
 
 
 def parse_threshold(spark: SparkSession, time_value: str) -> dt.datetime:
@@ -59,81 +59,60 @@ def one_year_before(as_of: dt.datetime) -> str:
 
 
 def trim_partitioned(spark: SparkSession, path: str, time_of: Column, threshold: dt.datetime,
-                     partition_col: str = "event_date") -> int:
-    """Delete rows with ``time_of < threshold``; return how many went."""
-    if not path_exists(spark, path):
-        return 0
-    recover_interrupted_trim(spark, path)
-    cut_date = threshold.date()
+                     partition_col: str = "event_date", wait: float = 3600.0) -> int:
+    """Delete rows with ``time_of < threshold``, unrecorded; return how many went."""
+    return _trim_and_record(spark, path, time_of, threshold, partition_col, None, wait)
+
+
+def _trim_and_record(spark: SparkSession, path: str, time_of: Column, threshold: dt.datetime, partition_col: str,
+                     record: tuple[str, str, dt.datetime | None] | None, wait: float = 3600.0) -> int:
+    """``trim_partitioned``; ``record``: (history folder, table name, execution time)."""
+    cut_date, prefix = threshold.date(), f"{partition_col}="
+    root = work_root(path)
+    with writer(spark, root, wait):
+        trim = Publication(spark, root, new_batch("trim"))
+        targets, remove, deleted = {}, [], 0
+        table = read_parquet_table(spark, path) if path_exists(spark, path) else None
+        if table is not None:
+            below = [n for n in list_dirs(spark, path) if n.startswith(prefix)
+                     and not n.endswith("__HIVE_DEFAULT_PARTITION__") and n[len(prefix):] < cut_date.isoformat()]
+            if below:
+                deleted += table.where(F.col(partition_col) < F.lit(cut_date)).count()
+                remove += [f"{path}/{n}" for n in below]
+            boundary = f"{path}/{prefix}{cut_date.isoformat()}"
+            files = list_files(spark, boundary, ".parquet")
+            if files:
+                gone = _stage_boundary(table, partition_col, cut_date, time_of, threshold, trim)
+                deleted += gone
+                if gone:
+                    targets["kept"] = boundary
+                    remove += [f"{boundary}/{f}" for f in files]
+        if record is not None:
+            history_path, name, execution_time = record
+            _history_row(spark, name, deleted, execution_time).write.parquet(trim.stage("history"))
+            targets["history"] = history_path
+        if targets or remove:
+            trim.commit(targets, remove)
+        else:
+            trim.discard()
+        return deleted
+
+
+def _stage_boundary(table: DataFrame, partition_col: str, day: dt.date, time_of: Column, threshold: dt.datetime,
+                    trim: Publication) -> int:
+    """Stage the kept rows of the straddling partition; return how many rows go."""
     doomed = F.coalesce(time_of < F.lit(threshold).cast("timestamp_ntz"), F.lit(False))
-    table = read_parquet_table(spark, path)
-    if table is None:  # nothing left to trim
-        return 0
-    counts = (table.where(F.col(partition_col) <= F.lit(cut_date))
-              .agg(F.count(F.when(doomed, 1)).alias("deleted"),
-                   F.count(F.when(doomed & (F.col(partition_col) == F.lit(cut_date)), 1)).alias("boundary"))
-              .first())
-    deleted, boundary = int(counts["deleted"]), int(counts["boundary"])
-    if deleted == 0:
-        return 0
-
-    prefix = f"{partition_col}="
-    for name in list_dirs(spark, path):
-        if not name.startswith(prefix) or name == f"{prefix}__HIVE_DEFAULT_PARTITION__":
-            continue
-        if dt.date.fromisoformat(name[len(prefix):]) < cut_date:
-            delete_path(spark, f"{path}/{name}")
-
-    if boundary:
-        part_dir = f"{path}/{prefix}{cut_date.isoformat()}"
-        tag = uuid.uuid4().hex[:12]
-        staging = f"{path}/{STAGING_PREFIX}{tag}"
-        trash = f"{path}/{TRASH_PREFIX}{tag}-{prefix}{cut_date.isoformat()}"
-        keep = table.where(F.col(partition_col) == F.lit(cut_date)).where(~doomed).drop(partition_col)
-        keep.write.mode("overwrite").parquet(staging)
-        rename_path(spark, part_dir, trash)
-        fs, _ = _fs(spark, staging)
-        jvm = spark.sparkContext._jvm
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(part_dir))
-        for i, st in enumerate(fs.listStatus(jvm.org.apache.hadoop.fs.Path(staging))):
-            name = st.getPath().getName()
-            if name.endswith(".parquet"):
-                rename_path(spark, f"{staging}/{name}", f"{part_dir}/{REWRITE_PREFIX}{tag}-{i:05d}.parquet")
-        delete_path(spark, trash)
-        delete_path(spark, staging)
-    return deleted
-
-
-def recover_interrupted_trim(spark: SparkSession, path: str) -> list[str]:
-    """Undo a boundary rewrite that did not finish.
-
-    The old partition is deleted only after the new one is fully in
-    place, so a trash folder that still exists means the swap was cut
-    short: the (possibly partial) new partition is removed and the old one
-    moved back.  Leftover staging folders are removed.  Returns the
-    partitions restored.
-    """
-    restored = []
-    for name in list_dirs(spark, path):
-        if name.startswith(TRASH_PREFIX):
-            partition = name[len(TRASH_PREFIX):].split("-", 1)[1]
-            target = f"{path}/{partition}"
-            if path_exists(spark, target):
-                delete_path(spark, target)
-            rename_path(spark, f"{path}/{name}", target)
-            restored.append(partition)
-        elif name.startswith(STAGING_PREFIX):
-            delete_path(spark, f"{path}/{name}")
-    return restored
-
-
-def record_cleanup(spark: SparkSession, history_path: str, table_name: str, deleted: int,
-                   execution_time: dt.datetime | None = None) -> None:
-    """Append one audit row."""
+    read, kept = Observation("read"), Observation("kept")
+    (table.where(F.col(partition_col) == F.lit(day)).observe(read, F.count(F.lit(1)).alias("n"))
+     .where(~doomed).observe(kept, F.count(F.lit(1)).alias("n"))
+     .drop(partition_col).write.parquet(trim.stage("kept")))
+    return int(read.get["n"]) - int(kept.get["n"])
+
+
+def _history_row(spark: SparkSession, table_name: str, deleted: int, execution_time: dt.datetime | None) -> DataFrame:
     row = [(execution_time or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), table_name, deleted)]
-    (spark.createDataFrame(row, "execution_time timestamp_ntz, table_name string, deleted_records long")
-     .select("execution_time", "table_name", F.col("deleted_records").cast("decimal(38,0)"))
-     .write.mode("append").parquet(history_path))
+    return (spark.createDataFrame(row, "execution_time timestamp_ntz, table_name string, deleted_records long")
+            .select("execution_time", "table_name", F.col("deleted_records").cast("decimal(38,0)")))
 
 
 def create_history_table(spark: SparkSession, name: str, location: str) -> None:
@@ -147,17 +126,15 @@ def create_history_table(spark: SparkSession, name: str, location: str) -> None:
 def trim_sensitive_raw_events(spark: SparkSession, raw_path: str, time_value: str, history_path: str,
                               execution_time: dt.datetime | None = None) -> int:
     """Delete raw events whose JSON time is before ``time_value``."""
-    deleted = trim_partitioned(spark, raw_path, event_time(F.col("raw_json")), parse_threshold(spark, time_value))
-    record_cleanup(spark, history_path, "sensitive.raw_events", deleted, execution_time)
-    return deleted
+    return _trim_and_record(spark, raw_path, event_time(F.col("raw_json")), parse_threshold(spark, time_value),
+                            "event_date", (history_path, "sensitive.raw_events", execution_time))
 
 
 def trim_sensitive_events(spark: SparkSession, events_path: str, time_value: str, history_path: str,
                           execution_time: dt.datetime | None = None) -> int:
     """Delete typed events whose ``timestamp`` is before ``time_value``."""
-    deleted = trim_partitioned(spark, events_path, F.col("timestamp"), parse_threshold(spark, time_value))
-    record_cleanup(spark, history_path, "sensitive.events", deleted, execution_time)
-    return deleted
+    return _trim_and_record(spark, events_path, F.col("timestamp"), parse_threshold(spark, time_value),
+                            "event_date", (history_path, "sensitive.events", execution_time))
 
 
 def trim_old_sensitive_data(spark: SparkSession, raw_path: str, events_path: str, history_path: str,

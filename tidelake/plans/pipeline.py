@@ -1,9 +1,9 @@
-"""The event lake as one object: the procedures a user runs, by name.
+"""The event lake as one object: its tasks and procedures as methods.
 
 ``EventLake`` ties the pieces to one set of folders: landing zone, raw and
 events tables, the load ledger, stream checkpoints and the cleanup
-history.  Each method is one of the reference's procedures or tasks; the
-clock (``now``/``as_of``) is a parameter, so any scheduler can drive it.
+history.  The clock (``now``/``as_of``) is a parameter, so any scheduler
+can drive it.
 """
 
 from __future__ import annotations
@@ -80,34 +80,39 @@ class EventLake:
             ingest.run_once(self.copy_to_events())
 
     def refresh(self, now: dt.datetime | None = None) -> int:
-        """``refresh_snowpipe()`` (W11): files modified in the last day and
+        """Missed-file refresh (W11): files modified in the last day and
         five minutes that the pipe has not loaded."""
         since = (now or _utc_now()) - dt.timedelta(days=1, minutes=5)
         return ingest.refresh_missed_files(self.spark, self.landing, self.raw_path,
                                            since.strftime("%Y-%m-%dT%H:%M:%S"))
 
     def trim(self, as_of: dt.datetime | None = None) -> dict[str, int]:
-        """``trim_old_sensitive_data()`` (W9): keep one year."""
+        """Retention over both tables (W9): keep one year."""
         return retention.trim_old_sensitive_data(self.spark, self.raw_path, self.events_path,
                                                  self.history_path, as_of or _utc_now())
 
     def lag_minutes(self, as_of: dt.datetime | None = None, by: list[str] | None = None) -> DataFrame:
-        """``GET_EVENTS_TRANFORM_LAG_MINUTES()`` (W6), optionally per group."""
+        """Transform lag from the rows (W6), optionally per group."""
         at = F.lit(as_of).cast("timestamp_ntz") if as_of else None
         events = self.events() if path_exists(self.spark, self.events_path) else \
             self.raw().limit(0).select(F.lit(None).cast("string").alias("uuid"))
         return maintenance.transform_lag(self.raw(), events, as_of=at, by=by)
 
     def stream_lag_minutes(self, as_of: dt.datetime | None = None) -> DataFrame:
-        """W6/W12 from the copy task's consumed-files ledger: file names
-        only, no scan of either table's rows."""
+        """W6/W12 from the load and consumed ledgers: one row per load part."""
         at = F.lit(as_of).cast("timestamp_ntz") if as_of else None
         return ingest.stream_lag(self.spark, self.raw_path, self.events_path, as_of=at)
 
-    def backfill_metadata(self, mode: str = "keyed") -> DataFrame:
-        """W10 as a DataFrame of the filled events table (write it where
-        the table lives, e.g. a new version of the events folder)."""
-        return maintenance.backfill_metadata(self.events(), self.raw(), mode=mode)
+    def backfill_metadata(self) -> int:
+        """Fill the stored events' metadata; returns the partitions rewritten."""
+        return maintenance.write_backfill(self.spark, self.events_path, self.raw())
+
+    def compact_ledgers(self) -> int:
+        """Merge each ledger day's small files; returns the days rewritten."""
+        return sum(ingest.compact_ledger(self.spark, table, ledger, schema) for table, ledger, schema in (
+            (self.raw_path, ingest.files_path(self.raw_path), ingest.FILES_SCHEMA),
+            (self.raw_path, ingest.parts_path(self.raw_path), ingest.PARTS_SCHEMA),
+            (self.events_path, ingest.consumed_path(self.events_path), ingest.PARTS_SCHEMA)))
 
     def create_views(self, schema: str) -> tuple[str, str]:
         """Reduced-column views over catalog tables for raw and events."""

@@ -30,8 +30,9 @@ def epoch_ntz() -> Column:
 # {key: value} objects (the legacy shape); later ones as an object.
 LEGACY_METADATA_BEFORE = "2024-01-08"
 
+# ``rescued_text`` keeps a line that is no JSON; ``load_part`` names the task that loaded a row.
 RAW_SCHEMA = ("insertion_timestamp TIMESTAMP_NTZ, org_id STRING, cell STRING, raw_json VARIANT, "
-              "source_file STRING, event_date DATE")
+              "source_file STRING, rescued_text STRING, load_part STRING, event_date DATE")
 
 
 def landing_records(events: DataFrame) -> DataFrame:
@@ -79,15 +80,27 @@ def write_landing(records: DataFrame, path: str, mode: str = "append") -> None:
     records.select("cell", "record").write.mode(mode).partitionBy("cell").text(path)
 
 
+def _records(lines: DataFrame) -> DataFrame:
+    """Text lines as records: one VARIANT each, the file, and the text of a
+    line that does not parse (blank lines are no records)."""
+    parsed = F.try_parse_json("value")
+    return lines.where(F.trim("value") != "").select(
+        parsed.alias("raw_json"), F.col("_metadata.file_path").alias("source_file"),
+        F.when(parsed.isNull(), F.col("value")).alias("rescued_text"))
+
+
+def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of the given landing files."""
+    return _records(spark.read.text(paths))
+
+
 def scan_landing(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
-    """Stage scan (S1): one VARIANT per record plus its file."""
-    reader = (spark.read.format("json")
-              .option("singleVariantColumn", "raw_json")
-              .option("recursiveFileLookup", "true"))
+    """Stage scan (S1): one VARIANT per record plus its file (S3, S4);
+    ``modified_after`` is UTC."""
+    reader = spark.read.option("recursiveFileLookup", "true")
     if modified_after is not None:
-        reader = reader.option("modifiedAfter", modified_after)
-    df = reader.load(path)
-    return df.select("raw_json", F.col("_metadata.file_path").alias("source_file"))
+        reader = reader.option("modifiedAfter", modified_after).option("timeZone", "UTC")
+    return _records(reader.text(path))
 
 
 def event_time(raw_json: Column) -> Column:
@@ -104,6 +117,8 @@ def enrich(scanned: DataFrame, load_time: Column | None = None) -> DataFrame:
         W.regexp_substr("source_file", F.lit(CELL_PATTERN), F.lit(1), F.lit(1), F.lit(1)).alias("cell"),
         F.col("raw_json"),
         F.col("source_file"),
+        (F.col("rescued_text") if "rescued_text" in scanned.columns else F.lit(None).cast("string")).alias("rescued_text"),
+        (F.col("load_part") if "load_part" in scanned.columns else F.col("source_file")).alias("load_part"),
         F.to_date(event_time(F.col("raw_json"))).alias("event_date"),
     )
 

@@ -1,19 +1,25 @@
 """Incremental loading with Structured Streaming.
 
 Two streams, each a ``readStream -> transform -> foreachBatch`` query with
-its own checkpoint:
+its own checkpoint and a bounded trigger:
 
 * landing file names -> raw events (the pipe).  The stream tracks which
   files are new (names only); each micro-batch goes through
-  :func:`load_files`, which loads exactly once the files the raw table's
-  load ledger has not marked ``done`` (two-phase: ``started`` before the
-  write, ``done`` after).  Replays, reruns, the missed-file refresh and a
-  crash mid-load never load a file twice or drop it.
+  :func:`load_files`, which loads the files that the load ledger does not
+  list yet.
 * raw events -> typed events (the copy task).  Each micro-batch goes
-  through :func:`append_events`, exactly-once by the same two-phase record
-  per raw file in the consumed-files ledger; files rewritten by a
-  retention trim are not read again.  The ledger also gives the
-  metadata-only lag of :func:`stream_lag`.
+  through :func:`append_events`, which decomposes the rows of load parts
+  that the consumed ledger does not list yet.
+
+A load part is what one task loaded: every raw row carries its
+``load_part``, so consumption is known per (load_part, event_date) whatever
+file the row is stored in.  A retention trim that rewrites a raw file
+therefore neither hides nor repeats a row.
+
+Rows and ledger entries of a batch are staged and published together
+(:mod:`tidelake.streaming.publish`), under the table's writer lock: a crash
+at any point leaves either nothing or everything, and a refresh that
+overlaps a running load waits for it.
 
 ``trigger(availableNow=True)`` is the "has new data" gate (W2): a run with
 nothing new processes zero rows and returns.
@@ -30,193 +36,120 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelake.functions.dialect import register
 from tidelake.operators.events import EVENTS_SCHEMA, decompose, only_inserts
-from tidelake.sources.landing import RAW_SCHEMA, enrich
-from tidelake.util import list_dirs, path_exists
-
-DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+from tidelake.sources.landing import RAW_SCHEMA, enrich, read_records
+from tidelake.streaming.publish import Publication, new_batch, work_root, writer
+from tidelake.util import list_dirs, list_files, path_exists
 
-LEDGER_SUFFIX = "_loaded_files"
-CONSUMED_SUFFIX = "_consumed_files"
-# File-name prefix of data files rewritten by a retention trim.
-REWRITE_PREFIX = "trimmed-"
-# Column carrying each raw row's data file into the copy task's batches.
-RAW_FILE_COLUMN = "_raw_file"
+FILES_SUFFIX = "_loaded_files"
+PARTS_SUFFIX = "_loaded_parts"
+CONSUMED_SUFFIX = "_consumed_parts"
 
+# One row per landing file, per load part and event date, and per consumed one.
+FILES_SCHEMA = "source_file STRING, batch STRING, load_day DATE"
+PARTS_SCHEMA = "load_part STRING, event_date DATE, n_rows BIGINT, insertion_timestamp TIMESTAMP_NTZ, load_day DATE"
+PART_KEYS = ["load_part", "event_date"]
 
-def ledger_path(raw_path: str) -> str:
-    return raw_path.rstrip("/") + LEDGER_SUFFIX
 
+def files_path(raw_path: str) -> str:
+    """Ledger of landing files the raw table has loaded."""
+    return raw_path.rstrip("/") + FILES_SUFFIX
 
-def consumed_path(events_path: str) -> str:
-    """Ledger of raw data files the copy task has consumed."""
-    return events_path.rstrip("/") + CONSUMED_SUFFIX
 
+def parts_path(raw_path: str) -> str:
+    """Ledger of load parts the raw table has received."""
+    return raw_path.rstrip("/") + PARTS_SUFFIX
 
-def normalize_path(col_or_str):
-    """One spelling for local file URIs (``file:///x`` and ``file:/x``)."""
-    if isinstance(col_or_str, str):
-        return re.sub(r"^file:/+", "file:/", col_or_str)
-    return F.regexp_replace(col_or_str, r"^file:/+", "file:/")
 
+def consumed_path(events_path: str) -> str:
+    """Ledger of load parts the copy task has consumed."""
+    return events_path.rstrip("/") + CONSUMED_SUFFIX
 
-LOAD_LEDGER_SCHEMA = "source_file string, state string, loaded_at timestamp"
 
+def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A ledger, empty before its first batch. Its ``load_day`` folders prune."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
-def load_files(spark: SparkSession, paths: list[str], raw_path: str, load_time: Column | None = None,
-               max_files: int = 100_000) -> int:
-    """Load the landing files in ``paths`` that the raw table has not loaded
-    yet; return the rows appended.
-
-    The path list (one entry per file, at most ``max_files``, checked) is
-    broadcast against the load ledger.  Loads are exactly-once by a
-    two-phase record: new files are marked ``started``, their records read
-    (each parsed into VARIANT once), enriched and appended with the row
-    count observed while writing, then marked ``done``.  Files ``done``
-    are skipped.  A file left ``started`` by a crash is looked up in the
-    raw table (one narrow column, on this recovery path only): if its rows
-    are there the write committed and the file is only marked ``done``,
-    otherwise it is loaded again.
-    """
-    if len(paths) > max_files:
-        raise ValueError(f"{len(paths)} files in one load; lower maxFilesPerTrigger or split the load")
-    paths = list(dict.fromkeys(paths))
-    if not paths:
-        return 0
-    ledger = ledger_path(raw_path)
-    states: dict[str, set[str]] = {}
-    if path_exists(spark, ledger):
-        candidates = spark.createDataFrame([(p,) for p in paths], "source_file string")
-        for r in (spark.read.parquet(ledger).select("source_file", "state")
-                  .join(F.broadcast(candidates), "source_file", "left_semi").distinct().collect()):
-            states.setdefault(r[0], set()).add(r[1])
-    interrupted = [p for p, st in states.items() if "started" in st and "done" not in st]
-    committed: set[str] = set()
-    if interrupted and path_exists(spark, raw_path):
-        committed = {r[0] for r in spark.read.schema(RAW_SCHEMA).parquet(raw_path).select("source_file")
-                     .where(F.col("source_file").isin(interrupted)).distinct().collect()}
-        _mark(spark, ledger, sorted(committed), "done")
-    new_paths = [p for p in paths if "done" not in states.get(p, set()) and p not in committed]
-    if not new_paths:
-        return 0
-    _mark(spark, ledger, [p for p in new_paths if p not in states], "started")
-    obs = Observation("raw_load")
-    enrich(read_landing_files(spark, new_paths), load_time) \
-        .observe(obs, F.count(F.lit(1)).alias("rows")) \
-        .write.mode("append").partitionBy("event_date").parquet(raw_path)
-    rows = int(obs.get["rows"])
-    _mark(spark, ledger, new_paths, "done")
-    return rows
 
+def normalize_path(col: Column) -> Column:
+    """One spelling for local file URIs (``file:///x`` and ``file:/x``)."""
+    return F.regexp_replace(col, r"^file:/+", "file:/")
 
-def _mark(spark: SparkSession, ledger: str, paths: list[str], state: str) -> None:
-    if paths:
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        spark.createDataFrame([(p, state, now) for p in paths], LOAD_LEDGER_SCHEMA) \
-            .write.mode("append").parquet(ledger)
 
+# ---------------------------------------------------------------------------
+# Landing -> raw.
+# ---------------------------------------------------------------------------
 
-def read_landing_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The records of the given landing files: one VARIANT each plus the
-    file name (S1, S3, S4)."""
-    df = spark.read.format("json").option("singleVariantColumn", "raw_json").load(paths)
-    return df.select("raw_json", F.col("_metadata.file_path").alias("source_file"))
+FILES_PER_BATCH = 10_000
 
 
-def list_landing_files(spark: SparkSession, landing_path: str, modified_after: str | None = None) -> list[str]:
-    """Landing file names (metadata only: the content is never read)."""
+def list_landing_files(spark: SparkSession, landing_path: str, modified_after: str | None = None) -> DataFrame:
+    """Landing files as a DataFrame of ``path`` (metadata only: the content
+    is never read).  ``modified_after`` is UTC, whatever the session's zone."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if modified_after is not None:
-        reader = reader.option("modifiedAfter", modified_after)
-    return [r[0] for r in reader.load(landing_path).select("path").collect()]
+        reader = reader.option("modifiedAfter", modified_after).option("timeZone", "UTC")
+    return reader.load(landing_path).select("path")
 
 
-LEDGER_SCHEMA = ("raw_file string, state string, max_insertion_timestamp timestamp_ntz, n_rows bigint, "
-                 "consumed_at timestamp")
+def load_files(spark: SparkSession, files: DataFrame, raw_path: str, load_time: Column | None = None,
+               files_per_batch: int = FILES_PER_BATCH, wait: float = 3600.0) -> int:
+    """Load the landing files (a DataFrame of ``path``) that the raw table
+    has not loaded yet; return the rows appended.
 
+    The names are matched with the ledger by an anti join and dealt into
+    batches of about ``files_per_batch`` names by a hash; only one batch's
+    names are with the driver at a time, since a reader takes its paths from
+    there.  Any number of files is loaded.  Each batch is published whole or
+    not at all; a file is in the ledger exactly if its rows are in the table.
+    """
+    root = work_root(raw_path)
+    with writer(spark, root, wait):
+        ledger = read_ledger(spark, files_path(raw_path), FILES_SCHEMA)
+        new = files.select(normalize_path(F.col("path")).alias("source_file")).distinct() \
+            .join(ledger.select("source_file"), "source_file", "left_anti")
+        listing = Publication(spark, root, new_batch("listing"))
+        seen = Observation("listing")
+        new.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(listing.stage("names"))
+        batches = -(-int(seen.get["n"]) // files_per_batch)
+        names = spark.read.schema("source_file STRING").parquet(listing.stage("names")) if batches else None
+        total = 0
+        for k in range(batches):
+            own = names.where(F.pmod(F.xxhash64("source_file"), F.lit(batches)) == k)
+            total += _load_batch(spark, root, [r[0] for r in own.collect()], raw_path, load_time)
+        listing.discard()
+        return total
+
+
+def _load_batch(spark: SparkSession, root: str, names: list[str], raw_path: str, load_time: Column | None) -> int:
+    if not names:
+        return 0
+    load = Publication(spark, root, new_batch("load"))
+    raw = enrich(read_records(spark, names), load_time) \
+        .withColumn("load_part", F.concat_ws("-", F.lit(load.batch), F.spark_partition_id()))
+    _by_date(raw).parquet(load.stage("raw"))
+    return _publish_load(spark, load, names, raw_path)
 
-def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool = True,
-                  max_files: int = 100_000) -> int:
-    """Decompose a batch of raw rows and append the events; return rows
-    appended.
 
-    With the raw file of each row known (the copy task's batches carry it),
-    appends are made exactly-once by a two-phase record in the
-    consumed-files ledger: the batch's raw files (one name per file,
-    bounded by the trigger and checked) are marked ``started``, the events
-    are written, then the files are marked ``done`` with their latest load
-    time and row count.  A replayed batch skips files already ``done``;
-    only files left ``started`` by a crash pay the exact anti join against
-    the events already written for their dates.  Ordinary batches pay no
-    join at all.
+def _by_date(df: DataFrame):
+    """One file per task and event date, so that a load part's rows of a date stay together."""
+    return df.write.mode("append").option("maxRecordsPerFile", 0).partitionBy("event_date")
 
-    Without the file column (a plain DataFrame of raw rows) every append
-    takes the exact anti join when the batch's date partitions exist.
-    """
-    spark = raw_batch.sparkSession
-    if RAW_FILE_COLUMN not in raw_batch.columns:
-        batch = decompose(raw_batch, with_metadata=with_metadata)
-        return _write_events(_without_existing(spark, raw_batch, batch, events_path), events_path)
-
-    file_col = normalize_path(F.col(RAW_FILE_COLUMN))
-    files = [r[0] for r in raw_batch.select(file_col.alias("f")).distinct().collect()]
-    if len(files) > max_files:
-        raise ValueError(f"{len(files)} raw files in one batch; lower maxFilesPerTrigger")
-    if not files:
-        return 0
-    ledger = consumed_path(events_path)
-    states: dict[str, set[str]] = {}
-    if path_exists(spark, ledger):
-        candidates = spark.createDataFrame([(f,) for f in files], "raw_file string")
-        for r in (spark.read.parquet(ledger).select("raw_file", "state")
-                  .join(F.broadcast(candidates), "raw_file", "left_semi").distinct().collect()):
-            states.setdefault(r[0], set()).add(r[1])
-    done = {f for f, st in states.items() if "done" in st}
-    interrupted = {f for f, st in states.items() if "started" in st and "done" not in st}
-    todo = [f for f in files if f not in done]
-    if not todo:
-        return 0
-    raw_todo = raw_batch if len(todo) == len(files) else raw_batch.where(file_col.isin(todo))
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    fresh = [f for f in todo if f not in interrupted]
-    if fresh:
-        spark.createDataFrame([(f, "started", None, None, now) for f in fresh], LEDGER_SCHEMA) \
-            .write.mode("append").parquet(ledger)
-    batch = decompose(raw_todo, with_metadata=with_metadata)
-    if interrupted:
-        batch = _without_existing(spark, raw_todo, batch, events_path)
-    rows = _write_events(batch, events_path)
-    (raw_todo.groupBy(file_col.alias("raw_file"))
-     .agg(F.max("insertion_timestamp").alias("max_insertion_timestamp"), F.count(F.lit(1)).alias("n_rows"))
-     .select("raw_file", F.lit("done").alias("state"), "max_insertion_timestamp", "n_rows",
-             F.current_timestamp().alias("consumed_at"))
-     .write.mode("append").parquet(ledger))
-    return rows
-
-
-def _without_existing(spark: SparkSession, raw_batch: DataFrame, batch: DataFrame, events_path: str) -> DataFrame:
-    """Rows of ``batch`` not yet in the events table: a partition-pruned
-    anti join on (event_date, uuid, insertion_timestamp), skipped when none
-    of the batch's date partitions exist."""
-    present = set(list_dirs(spark, events_path))
-    if not present:
-        return batch
-    dates = [r[0] for r in raw_batch.select("event_date").distinct().collect()]
-    wanted = {f"event_date={d.isoformat() if d is not None else DEFAULT_PARTITION}" for d in dates}
-    if not present & wanted:
-        return batch
-    keys = ["event_date", "uuid", "insertion_timestamp"]
-    cond = F.col("event_date").isin([d for d in dates if d is not None])
-    if None in dates:
-        cond = cond | F.col("event_date").isNull()
-    existing = spark.read.schema(EVENTS_SCHEMA).parquet(events_path).where(cond).select(*keys)
-    return batch.join(existing, [batch[k].eqNullSafe(existing[k]) for k in keys], "left_anti")
-
-
-def _write_events(batch: DataFrame, events_path: str) -> int:
-    obs = Observation("events_load")
-    batch.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
-        .partitionBy("event_date").parquet(events_path)
-    return int(obs.get["rows"])
+
+def _publish_load(spark: SparkSession, load: Publication, names: list[str], raw_path: str) -> int:
+    today = F.lit(dt.datetime.now(dt.timezone.utc).date())
+    staged = spark.read.schema(RAW_SCHEMA).parquet(load.stage("raw")).select(*PART_KEYS, "insertion_timestamp")
+    rows = Observation("load")
+    (staged.observe(rows, F.count(F.lit(1)).alias("n"))
+     .groupBy(*PART_KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.max("insertion_timestamp").alias("insertion_timestamp"))
+     .withColumn("load_day", today).coalesce(1)  # one short row per task and date
+     .write.partitionBy("load_day").parquet(load.stage("parts")))
+    (spark.createDataFrame([(n,) for n in names], "source_file STRING")
+     .select("source_file", F.lit(load.batch).alias("batch"), today.alias("load_day")).coalesce(1)
+     .write.partitionBy("load_day").parquet(load.stage("files")))
+    load.commit({"raw": raw_path, "parts": parts_path(raw_path), "files": files_path(raw_path)})
+    return int(rows.get["n"])
 
 
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -238,27 +171,83 @@ def start_raw_load(spark: SparkSession, landing_path: str, raw_path: str, checkp
     files = landing_files_stream(spark, landing_path, max_files_per_trigger)
 
     def load_batch(df: DataFrame, _batch_id: int) -> None:
-        load_files(df.sparkSession, [r[0] for r in df.collect()], raw_path, load_time,
-                   max_files=max_files_per_trigger)
+        load_files(df.sparkSession, df, raw_path, load_time)
 
-    writer = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return writer.start()
+    writer_ = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
+    writer_ = writer_.trigger(availableNow=True) if available_now else writer_.trigger(processingTime=processing_time)
+    return writer_.start()
+
+
+def load_landing_batch(spark: SparkSession, landing_path: str, raw_path: str,
+                       load_time: Column | None = None, files_per_batch: int = FILES_PER_BATCH) -> int:
+    """Bulk load (K4, COPY INTO) as a batch job, idempotent by file."""
+    return load_files(spark, list_landing_files(spark, landing_path), raw_path, load_time, files_per_batch)
+
+
+def refresh_missed_files(spark: SparkSession, landing_path: str, raw_path: str, modified_after: str,
+                         load_time: Column | None = None, files_per_batch: int = FILES_PER_BATCH,
+                         wait: float = 3600.0) -> int:
+    """Load files changed after ``modified_after`` (UTC) that the pipe missed
+    (S6, W11).  ``modifiedAfter`` is a batch-only option, so the listing is
+    a batch scan of file names; the ledger keeps already-loaded files out,
+    and the writer lock those that a running load is about to publish."""
+    return load_files(spark, list_landing_files(spark, landing_path, modified_after), raw_path, load_time,
+                      files_per_batch, wait)
+
+
+# ---------------------------------------------------------------------------
+# Raw -> events.
+# ---------------------------------------------------------------------------
+
+
+def append_events(raw_batch: DataFrame, events_path: str, with_metadata: bool = True, wait: float = 3600.0) -> int:
+    """Decompose the raw rows whose load part was not consumed before, append
+    the events, and return the rows appended.
+
+    The consumed ledger has one short row per load part and event date; rows
+    meet it in an equi-join on that key.  Events and the batch's ledger rows
+    are published together, so a replay finds the parts consumed and a crash
+    leaves them unconsumed with no event written.
+    """
+    spark, root = raw_batch.sparkSession, work_root(events_path)
+    with writer(spark, root, wait):
+        done = read_ledger(spark, consumed_path(events_path), PARTS_SCHEMA).select(*PART_KEYS)
+        fresh = raw_batch
+        if path_exists(spark, consumed_path(events_path)):
+            fresh = raw_batch.join(done, [raw_batch[k].eqNullSafe(done[k]) for k in PART_KEYS], "left_anti")
+        copy = Publication(spark, root, new_batch("copy"))
+        rows = Observation("copy")
+        events = decompose(fresh, with_metadata=with_metadata, lineage=["load_part"])
+        _by_date(events.observe(rows, F.count(F.lit(1)).alias("n"))).parquet(copy.stage("events"))
+        appended = int(rows.get["n"])
+        if appended:
+            _publish_copy(spark, copy, events_path)
+        else:
+            copy.discard()
+        return appended
+
+
+def _publish_copy(spark: SparkSession, copy: Publication, events_path: str) -> None:
+    """Ledger rows from the staged events' own key columns, then everything at once."""
+    staged = spark.read.schema(EVENTS_SCHEMA + ", load_part STRING").parquet(copy.stage("events")) \
+        .select(*PART_KEYS, "insertion_timestamp")
+    (staged.groupBy(*PART_KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.max("insertion_timestamp").alias("insertion_timestamp"))
+     .withColumn("load_day", F.to_date("insertion_timestamp")).coalesce(1)  # one short row per part and date
+     .write.partitionBy("load_day").parquet(copy.stage("consumed")))
+    copy.commit({"events": events_path, "consumed": consumed_path(events_path)})
 
 
 def start_decompose(spark: SparkSession, raw_path: str, events_path: str, checkpoint: str,
                     with_metadata: bool = True, available_now: bool = True,
-                    processing_time: str = "1 hour") -> StreamingQuery:
-    """The copy task (W3/W4) on the raw table's new files."""
+                    processing_time: str = "1 hour", max_files_per_trigger: int = FILES_PER_BATCH) -> StreamingQuery:
+    """The copy task (W3/W4) on the raw table's new files, rewritten ones included."""
     register(spark)
-    raw = spark.readStream.schema(RAW_SCHEMA).parquet(raw_path)
-    # Files rewritten by a retention trim hold rows decomposed before.
-    raw = only_inserts(raw.where(~F.col("_metadata.file_path").contains(f"/{REWRITE_PREFIX}")))
-    raw = raw.withColumn(RAW_FILE_COLUMN, F.col("_metadata.file_path"))
-    writer = (raw.writeStream.foreachBatch(lambda df, _id: append_events(df, events_path, with_metadata))
-              .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return writer.start()
+    raw = only_inserts(spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+                       .parquet(raw_path))
+    writer_ = (raw.writeStream.foreachBatch(lambda df, _id: append_events(df, events_path, with_metadata) and None)
+               .option("checkpointLocation", checkpoint))
+    writer_ = writer_.trigger(availableNow=True) if available_now else writer_.trigger(processingTime=processing_time)
+    return writer_.start()
 
 
 def run_once(query: StreamingQuery) -> int:
@@ -267,49 +256,53 @@ def run_once(query: StreamingQuery) -> int:
     return int(sum(p.get("numInputRows", 0) for p in query.recentProgress))
 
 
-def load_landing_batch(spark: SparkSession, landing_path: str, raw_path: str,
-                       load_time: Column | None = None) -> int:
-    """Bulk load (K4, COPY INTO) as a batch job, idempotent by file."""
-    return load_files(spark, list_landing_files(spark, landing_path), raw_path, load_time)
+# ---------------------------------------------------------------------------
+# Ledgers.
+# ---------------------------------------------------------------------------
 
 
-def refresh_missed_files(spark: SparkSession, landing_path: str, raw_path: str, modified_after: str,
-                         load_time: Column | None = None) -> int:
-    """Load files changed after ``modified_after`` that the pipe missed
-    (S6, W11).  ``modifiedAfter`` is a batch-only option, so the listing is
-    a batch scan of file names; the ledger keeps already-loaded files out."""
-    return load_files(spark, list_landing_files(spark, landing_path, modified_after), raw_path, load_time)
+def compact_ledger(spark: SparkSession, table_path: str, ledger: str, schema: str, wait: float = 3600.0) -> int:
+    """Rewrite every ledger day of more than one file into one; return the
+    days rewritten.  ``table_path`` is the table whose writers own the ledger."""
+    root, days = work_root(table_path), 0
+    with writer(spark, root, wait):
+        for day in list_dirs(spark, ledger):
+            files = [f"{ledger}/{day}/{f}" for f in list_files(spark, f"{ledger}/{day}", ".parquet")]
+            if len(files) < 2:
+                continue
+            merged = Publication(spark, root, new_batch("compact"))
+            (spark.read.schema(schema).option("basePath", ledger).parquet(f"{ledger}/{day}")
+             .coalesce(1)  # a day's ledger: one short row per file or part
+             .write.partitionBy("load_day").parquet(merged.stage("ledger")))
+            merged.commit({"ledger": ledger}, remove=files)
+            days += 1
+    return days
 
 
 def stream_lag(spark: SparkSession, raw_path: str, events_path: str, as_of: Column | None = None) -> DataFrame:
-    """Transform lag of the copy task from file metadata only.
-
-    The copy task consumes whole raw files and records each one in its
-    consumed-files ledger.  Pending = raw data files (the table's listing,
-    minus files rewritten by trims) not in that ledger: an anti join of
-    file names, no row join.  The offset time is the latest load time
-    consumed; with nothing consumed yet, the earliest load time of the
-    pending files.  Returns one row: pending_files, offset_time,
-    lag_minutes (DOUBLE, 0 with nothing pending).
+    """Transform lag of the copy task from its ledgers.
+
+    Pending: load parts that were not consumed and still have rows in the
+    raw table (two narrow columns of the pending dates are read to leave out
+    trimmed ones).  The offset time is the latest load time consumed; with
+    nothing consumed yet, the earliest load time pending.  Returns one row:
+    pending_parts, offset_time, lag_minutes (DOUBLE, 0 with nothing pending).
     """
     import tidelake.functions as W
 
     as_of = W.utc_now() if as_of is None else as_of
-    files = [normalize_path(f) for f in spark.read.schema(RAW_SCHEMA).parquet(raw_path).inputFiles()
-             if not f.rsplit("/", 1)[-1].startswith(REWRITE_PREFIX)]
-    listed = spark.createDataFrame([(f,) for f in files], "raw_file string")
-    ledger = consumed_path(events_path)
-    if path_exists(spark, ledger):
-        consumed = spark.read.parquet(ledger).where(F.col("state") == "done")
-    else:
-        consumed = spark.createDataFrame([], LEDGER_SCHEMA)
-    pending = listed.join(consumed.select("raw_file"), "raw_file", "left_anti")
-    pending_files = [r[0] for r in pending.collect()]
-    last = consumed.agg(F.max("max_insertion_timestamp")).first()[0]
-    if last is None and pending_files:
-        last = spark.read.schema(RAW_SCHEMA).parquet(*pending_files).agg(F.min("insertion_timestamp")).first()[0]
-    offset = F.lit(last).cast("timestamp_ntz")
-    return spark.range(1).select(
-        F.lit(len(pending_files)).cast("bigint").alias("pending_files"),
-        offset.alias("offset_time"),
-        (W.datediff_minutes(offset, as_of).cast("double") if pending_files else F.lit(0.0)).alias("lag_minutes"))
+    loaded = read_ledger(spark, parts_path(raw_path), PARTS_SCHEMA)
+    consumed = read_ledger(spark, consumed_path(events_path), PARTS_SCHEMA)
+    pending = loaded.join(consumed, [loaded[k].eqNullSafe(consumed[k]) for k in PART_KEYS], "left_anti")
+    days = [r[0] for r in pending.select("event_date").distinct().collect()]  # dates, not rows
+    raw = spark.read.schema(RAW_SCHEMA).parquet(raw_path)
+    present = raw.where(F.col("event_date").isin([d for d in days if d is not None]) |
+                        (F.lit(None in days) & F.col("event_date").isNull())).select(*PART_KEYS).distinct()
+    pending = pending.join(present, [pending[k].eqNullSafe(present[k]) for k in PART_KEYS], "left_semi")
+    last = consumed.agg(F.max("insertion_timestamp")).first()[0]
+    waits = pending.agg(F.count(F.lit(1)).alias("pending_parts"), F.min("insertion_timestamp").alias("first_pending"))
+    offset = F.coalesce(F.lit(last).cast("timestamp_ntz"), F.col("first_pending"))
+    return waits.select(
+        "pending_parts", offset.alias("offset_time"),
+        F.when(F.col("pending_parts") > 0, W.datediff_minutes(offset, as_of).cast("double"))
+        .otherwise(F.lit(0.0)).alias("lag_minutes"))

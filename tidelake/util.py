@@ -47,3 +47,64 @@ def read_parquet_table(spark: SparkSession, path: str, schema: str | None = None
         if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
             return None
         raise
+
+
+def make_dirs(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
+def list_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """Data files below ``path``, relative to it; hidden files and folders are left out."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    base = fs.makeQualified(p).toString().rstrip("/") + "/"
+    found, at = [], fs.listFiles(p, True)
+    while at.hasNext():
+        relative = at.next().getPath().toString().removeprefix(base)
+        if relative.endswith(suffix) and not any(x.startswith((".", "_")) for x in relative.split("/")):
+            found.append(relative)
+    return sorted(found)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    data = fs.open(p)
+    try:
+        return bytes(data.readAllBytes()).decode("utf-8")
+    finally:
+        data.close()
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file that must not exist; False when it does."""
+    fs, p = _fs(spark, path)
+    if not fs.createNewFile(p):
+        return False
+    write_text(spark, path, text)
+    return True
+
+
+def modified_at(spark: SparkSession, path: str) -> float | None:
+    """A file's modification time in epoch seconds, None when it is gone."""
+    fs, p = _fs(spark, path)
+    try:
+        return fs.getFileStatus(p).getModificationTime() / 1000
+    except Exception:  # noqa: BLE001 - removed in between
+        return None
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    import time
+    fs, p = _fs(spark, path)
+    fs.setTimes(p, int(time.time() * 1000), -1)
