@@ -1,8 +1,12 @@
 """Catalog lifecycle, DESCRIBE, inserts and parameterised SQL."""
 
+import datetime as dt
+
 import pytest
 from pyspark.errors import AnalysisException
 
+from pyspark.sql import functions as F
+
 from tidelake.operators import catalog
 from tidelake.operators.sqltext import bind_template, run_sql, run_template
 
@@ -32,15 +36,36 @@ def test_decimal_and_float_types(spark, tmp_path):
     catalog.create_or_replace_table(
         spark, "test_fixed", "num DECIMAL(38,0), num10 DECIMAL(10,1), dec DECIMAL(20,2), numeric DECIMAL(30,3), "
         "int DECIMAL(38,0), integer DECIMAL(38,0)", location=str(tmp_path / "f"))
-    spark.sql("INSERT INTO test_fixed VALUES (1.234E2, 15, 9, 1.234E+2, 11, 12)")
-    r = spark.table("test_fixed").first()
-    assert [str(v) for v in r] == ["123", "15.0", "9.00", "123.400", "11", "12"]
+    # Literals and how each column gives them back.
+    literals = ["1.234E2", "15", "9", "1.234E+2", "11", "12"]
+    spark.sql(f"INSERT INTO test_fixed SELECT {', '.join(literals)}")
+    assert [str(v) for v in spark.table("test_fixed").first()] == ["123", "15.0", "9.00", "123.400", "11", "12"]
     catalog.create_or_replace_table(spark, "test_float", "d DOUBLE, f DOUBLE, dp DOUBLE, r DOUBLE",
                                     location=str(tmp_path / "g"))
-    spark.sql("INSERT INTO test_float VALUES (+1.34, 0.1, -1.2, 15e-03)")
+    # Float literals.
+    spark.sql(f"INSERT INTO test_float SELECT {', '.join(['+1.34', '0.1', '-1.2', '15e-03'])}")
     assert list(spark.table("test_float").first()) == [1.34, 0.1, -1.2, 0.015]
 
 
+def test_insert_values_take_the_columns_types(spark, tmp_path):
+    catalog.create_or_replace_table(spark, "test_literals", "n DECIMAL(20,2), f DOUBLE, i INT, t STRING, at TIMESTAMP_NTZ, flag BOOLEAN",
+                                    location=str(tmp_path / "l"))
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [(1, 2, 3, "x", at, True), (2.55, 2.5, 4, "y", None, False), (None, None, None, None, None, None)]
+    assert catalog.insert_values(spark, "test_literals", rows, ["n", "f", "i", "t", "at", "flag"]) == 3
+    got = spark.table("test_literals").orderBy(F.col("n").asc_nulls_last()).collect()
+    assert [str(r.n) for r in got] == ["1.00", "2.55", "None"] and [r.f for r in got] == [2.0, 2.5, None]
+    assert got[0][2:] == (3, "x", at, True)
+
+
+def test_insert_select_with_a_column_subset(spark, tmp_path):
+    catalog.create_or_replace_table(spark, "test_subset", "a INT, b STRING, c DOUBLE", location=str(tmp_path / "s"))
+    assert catalog.insert_select(spark.range(4).selectExpr("id * 1.5D", "CAST(id AS INT)"), "test_subset", ["c", "a"]) == 4
+    assert sorted(tuple(r) for r in spark.table("test_subset").collect()) == [(k, None, k * 1.5) for k in range(4)]
+    with pytest.raises(ValueError):
+        catalog.insert_select(spark.range(1), "test_subset", ["nope"])
+
+
 def test_unknown_table_is_an_error(spark):
     with pytest.raises(AnalysisException, match="TABLE_OR_VIEW_NOT_FOUND"):
         run_sql(spark, "select * from test_no_such_table")
@@ -48,7 +73,7 @@ def test_unknown_table_is_an_error(spark):
 
 def test_template_binding(spark):
     text, args = bind_template("SELECT * FROM IDENTIFIER(${t.name}) WHERE x = ${v}", {"t.name": "tbl", "v": 3})
-    assert text == "SELECT * FROM IDENTIFIER(:t_name) WHERE x = :v" and args == {"t_name": "tbl", "v": 3}
+    assert text == "SELECT * FROM IDENTIFIER(:p0_t_name) WHERE x = :p1_v" and args == {"p0_t_name": "tbl", "p1_v": 3}
     with pytest.raises(KeyError):
         bind_template("SELECT ${missing}", {})
     with pytest.raises(ValueError):
@@ -61,6 +86,30 @@ def test_template_binding(spark):
         run_sql(spark, "SELECT :nope", {"other": 1})
 
 
+def test_templates_keep_keys_and_quotes_apart(spark):
+    assert run_template(spark, "SELECT ${a.b}, ${a_b}", {"a.b": 1, "a_b": 2}).first()[:] == (1, 2)
+    values = {"p": "it's"}
+    assert run_template(spark, "SELECT '${p}/x', 'a ${p}', '${p}', '; -- no', 'it''s'", values).first()[:] == (
+        "it's/x", "a it's", "it's", "; -- no", spark.sql("SELECT 'it''s'").first()[0])
+    with pytest.raises(ValueError, match="IDENTIFIER"):
+        run_template(spark, "SELECT 1 AS `${p}`", values)
+
+
+def test_scripts_of_several_statements(spark):
+    script = """
+        -- a comment with ${nothing}; to bind
+        CREATE OR REPLACE TEMPORARY VIEW script_src AS SELECT id FROM range(10) WHERE id >= 2;
+        /* and ; another */ SELECT count(*) AS n, ';' AS s FROM IDENTIFIER(${src}) WHERE id < ${hi} -- the end
+        ;
+    """
+    assert run_template(spark, script, {"src": "script_src", "hi": 5}).first()[:] == (3, ";")
+    with pytest.raises(KeyError):
+        run_template(spark, "DROP VIEW IF EXISTS script_src; SELECT ${missing}", {})
+    assert spark.catalog.tableExists("script_src")  # nothing ran
+    with pytest.raises(ValueError):
+        run_template(spark, " ; -- nothing", {})
+
+
 def test_column_catalog_union_is_ordered(spark):
     from tidelake.plans import jobs
     rows = jobs.column_catalog(spark, "/root/testdata/sf0.001").collect()
@@ -84,20 +133,19 @@ def test_users_round_trip(spark, tmp_path):
 def test_binary_table_insert(spark, tmp_path):
     catalog.create_or_replace_table(spark, "binary_table", "v STRING, b BINARY, b64_string STRING",
                                     location=str(tmp_path / "b"))
-    # Spark's inline VALUES only takes foldable built-ins; INSERT .. SELECT is the same statement
-    spark.sql("INSERT INTO binary_table (v, b, b64_string) "
-              "SELECT 'HELP', TO_BINARY('HELP', 'UTF-8'), BASE64_ENCODE(TO_BINARY('HELP', 'UTF-8'))")
-    assert list(spark.sql("SELECT v, b, b64_string FROM binary_table").first()) == [
-        "HELP", bytearray(b"HELP"), "SEVMUA=="]
+    # A text and its base64 form.
+    text, coded = "HELP", "SEVMUA=="
+    src = spark.createDataFrame([(text,)], "v string").selectExpr("v", "to_binary(v, 'UTF-8') AS b").selectExpr("*", "base64_encode(b)")
+    assert catalog.insert_select(src, "binary_table", ["v", "b", "b64_string"]) == 1
+    assert list(spark.table("binary_table").first()) == [text, bytearray(text.encode()), coded]
 
 
 def test_vartab_insert_from_query_counts_rows(spark, tmp_path):
     catalog.create_or_replace_table(spark, "vartab", "n DECIMAL(2,0), v VARIANT", location=str(tmp_path / "v"))
-    src = spark.sql("""
-        SELECT column1 AS n, parse_json(column2) AS v FROM VALUES
-          (1, 'null'), (2, NULL), (3, 'true'), (4, '-17'), (5, '123.12'), (6, '1.912e2'),
-          (7, '"Om ara pa ca na dhih"  '), (8, '[-1, 12, 289, 2188, false]'),
-          (9, '{ "x" : "abc", "y" : false, "z": 10} ') AS vals(column1, column2)""")
+    # JSON texts.
+    texts = ["null", None, "true", "-17", "123.12", "1.912e2", '"Om ara pa ca na dhih"  ', "[-1, 12, 289, 2188, false]",
+             '{ "x" : "abc", "y" : false, "z": 10} ']
+    src = spark.createDataFrame(list(enumerate(texts, 1)), "n int, t string").selectExpr("n", "parse_json(t) AS v")
     assert catalog.insert(src.selectExpr("CAST(n AS DECIMAL(2,0)) AS n", "v"), "vartab") == 9
     rows = spark.sql("SELECT n, wh_typeof(v) AS t FROM vartab ORDER BY n").collect()
     assert [r.t for r in rows][:3] == ["NULL_VALUE", None, "BOOLEAN"]

@@ -199,8 +199,9 @@ def regexp_count(s, p, position=1) -> Column:
 
 # ---- numbers (M1-M3) ----------------------------------------------------------
 def div0(a, b) -> Column:
-    """a / b, 0 when b = 0, NULL when either is NULL (M1)."""
-    return _call("div0", a, b)
+    """a / b, 0 when b = 0, NULL when either is NULL (M1); decimals stay decimals."""
+    a, b = _col(a), _col(b)
+    return F.when(a.isNotNull() & (b == 0), F.lit(0)).otherwise(F.try_divide(a, b))
 
 
 def exp(x) -> Column:

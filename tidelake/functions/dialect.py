@@ -36,17 +36,6 @@ POSIX_CLASSES = [
     ("[:xdigit:]", r"\p{XDigit}"),
 ]
 
-# Dialect type names reported by TYPEOF.
-VARIANT_TYPE_NAMES = {
-    "VOID": "NULL_VALUE",
-    "BOOLEAN": "BOOLEAN",
-    "INTEGER": "INTEGER",
-    "DECIMAL": "DECIMAL",
-    "STRING": "VARCHAR",
-    "ARRAY": "ARRAY",
-    "OBJECT": "OBJECT",
-}
-
 # Epoch magnitudes that tell seconds, milliseconds, microseconds and
 # nanoseconds apart in digit-only time text (one year in each unit).
 EPOCH_SECONDS_LIMIT = 31536000000
@@ -92,6 +81,7 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         "s STRING, p STRING, position INT DEFAULT 1, occurrence INT DEFAULT 1",
         "INT",
         "CASE WHEN s IS NULL OR p IS NULL THEN NULL "
+        "WHEN position = 1 AND occurrence = 1 THEN regexp_instr(s, wh_posix(p)) "
         "WHEN size(regexp_extract_all(substring(s, position), wh_posix(p), 0)) >= occurrence THEN "
         "aggregate(slice(regexp_extract_all(substring(s, position), wh_posix(p), 0), 1, occurrence - 1), 0,"
         " (acc, m) -> acc + length(m)) "
@@ -103,7 +93,7 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "wh_regexp_like": (
         "s STRING, p STRING",
         "BOOLEAN",
-        "s RLIKE concat('^(?:', wh_posix(p), ')$')",
+        "s RLIKE concat('^(?:', wh_posix(p), ')\\\\z')",
     ),
     "wh_regexp_replace": (
         "s STRING, p STRING, r STRING DEFAULT ''",
@@ -136,7 +126,7 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         "s STRING, delims STRING DEFAULT ' ', n INT DEFAULT 1",
         "STRING",
         "CASE WHEN delims = '' THEN CASE WHEN n = 1 AND s <> '' THEN s END "
-        "ELSE get(filter(split(s, concat('[', regexp_replace(delims, '([\\\\\\\\\\\\[\\\\]^-])', '\\\\\\\\$1'), ']')),"
+        "ELSE get(filter(split(s, concat('[\\\\Q', replace(delims, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E]')),"
         " t -> t <> ''), n - 1) END",
     ),
     # ---- binary, codecs, hashes -------------------------------------------
@@ -152,7 +142,10 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "md5_number_upper64": (
         "b BINARY", "DECIMAL(20,0)", "CAST(conv(left(md5(b), 16), 16, 10) AS DECIMAL(20,0))"),
     # ---- numbers -----------------------------------------------------------
-    "div0": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN b = 0 THEN CAST(0 AS DOUBLE) ELSE a / b END"),
+    # For SQL text; the DataFrame wrapper keeps the operands' own types.
+    "div0": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN a IS NOT NULL AND b = 0 THEN CAST(0 AS DOUBLE) ELSE a / b END"),
+    "div0_number": ("a DECIMAL(38,10), b DECIMAL(38,10)", "DECIMAL(38,10)",
+                    "CASE WHEN a IS NOT NULL AND b = 0 THEN CAST(0 AS DECIMAL(38,10)) ELSE CAST(a / b AS DECIMAL(38,10)) END"),
     # ---- time ----------------------------------------------------------------
     # Text time: digits are an epoch in s / ms / us / ns by magnitude, UTC;
     # anything else is parsed as a timestamp literal (zone suffix ignored).
@@ -160,11 +153,11 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         "x STRING",
         "TIMESTAMP_NTZ",
         "CASE WHEN trim(x) RLIKE '^-?[0-9]+$' THEN CASE "
-        f"WHEN abs(try_cast(trim(x) AS BIGINT)) < {EPOCH_SECONDS_LIMIT} "
+        f"WHEN try_cast(trim(x) AS BIGINT) BETWEEN {1 - EPOCH_SECONDS_LIMIT} AND {EPOCH_SECONDS_LIMIT - 1} "
         f"THEN timestampadd(SECOND, try_cast(trim(x) AS BIGINT), {_EPOCH}) "
-        f"WHEN abs(try_cast(trim(x) AS BIGINT)) < {EPOCH_MILLIS_LIMIT} "
+        f"WHEN try_cast(trim(x) AS BIGINT) BETWEEN {1 - EPOCH_MILLIS_LIMIT} AND {EPOCH_MILLIS_LIMIT - 1} "
         f"THEN timestampadd(MILLISECOND, try_cast(trim(x) AS BIGINT), {_EPOCH}) "
-        f"WHEN abs(try_cast(trim(x) AS BIGINT)) < {EPOCH_MICROS_LIMIT} "
+        f"WHEN try_cast(trim(x) AS BIGINT) BETWEEN {1 - EPOCH_MICROS_LIMIT} AND {EPOCH_MICROS_LIMIT - 1} "
         f"THEN timestampadd(MICROSECOND, try_cast(trim(x) AS BIGINT), {_EPOCH}) "
         f"ELSE timestampadd(MICROSECOND, try_cast(trim(x) AS BIGINT) DIV 1000, {_EPOCH}) END "
         "ELSE try_cast(x AS TIMESTAMP_NTZ) END",
@@ -191,21 +184,18 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "wh_typeof": (
         "v VARIANT",
         "STRING",
-        "CASE WHEN v IS NULL THEN NULL "
-        "WHEN schema_of_variant(v) = 'VOID' THEN 'NULL_VALUE' "
-        "WHEN schema_of_variant(v) = 'BOOLEAN' THEN 'BOOLEAN' "
-        "WHEN schema_of_variant(v) IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'INTEGER' "
-        "WHEN schema_of_variant(v) LIKE 'DECIMAL%' OR schema_of_variant(v) IN ('DOUBLE', 'FLOAT') "
-        "THEN 'DECIMAL' "
-        "WHEN schema_of_variant(v) = 'STRING' THEN 'VARCHAR' "
-        "WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN 'ARRAY' "
-        "WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN 'OBJECT' "
-        "ELSE upper(schema_of_variant(v)) END",
+        "CASE WHEN v IS NULL THEN NULL ELSE get(transform(array(schema_of_variant(v)), t -> "
+        "CASE WHEN t = 'VOID' THEN 'NULL_VALUE' "
+        "WHEN t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'INTEGER' "
+        "WHEN t LIKE 'DECIMAL%' OR t IN ('DOUBLE', 'FLOAT') THEN 'DECIMAL' "
+        "WHEN t = 'STRING' THEN 'VARCHAR' "
+        "WHEN t LIKE 'ARRAY%' THEN 'ARRAY' "
+        "WHEN t LIKE 'OBJECT%' THEN 'OBJECT' "
+        "ELSE upper(t) END), 0) END",
     ),
 }
 
 _lock = threading.Lock()
-_registered: dict[int, set[str]] = {}
 
 
 def _dependencies(name: str) -> list[str]:
@@ -213,38 +203,34 @@ def _dependencies(name: str) -> list[str]:
     return [d for d in DEFINITIONS if d != name and f"{d}(" in body]
 
 
+def _present(spark: SparkSession, name: str) -> bool:
+    """Whether the session itself has the function (sessions share nothing here)."""
+    return spark._jsparkSession.sessionState().catalog().isTemporaryFunction(
+        spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+
+
 def ensure(spark: SparkSession, name: str) -> None:
     """Register one function (and the functions its body calls) if the
     session does not have it yet."""
-    key = id(spark)
-    done = _registered.setdefault(key, set())
-    if name in done:
+    if _present(spark, name):
         return
     with _lock:
-        for dep in _dependencies(name):
-            ensure_locked(spark, dep, done)
-        ensure_locked(spark, name, done)
+        _create(spark, name)
 
 
-def ensure_locked(spark: SparkSession, name: str, done: set[str]) -> None:
-    if name in done:
-        return
+def _create(spark: SparkSession, name: str) -> None:
     for dep in _dependencies(name):
-        ensure_locked(spark, dep, done)
+        if not _present(spark, dep):
+            _create(spark, dep)
     params, ret, body = DEFINITIONS[name]
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} RETURN {body}")
-    done.add(name)
 
 
 def register(spark: SparkSession, force: bool = False) -> None:
     """Create every dialect function as a temporary SQL function, so SQL
-    text can call them.  Idempotent per session; ``force`` re-runs the DDL
-    (for example after ``spark.newSession()``, which shares the context but
-    not temporary functions)."""
-    key = id(spark)
-    if force:
-        _registered.pop(key, None)
-    done = _registered.setdefault(key, set())
+    text can call them.  Idempotent per session; ``force`` creates those
+    again that are there."""
     with _lock:
         for name in DEFINITIONS:
-            ensure_locked(spark, name, done)
+            if force or not _present(spark, name):
+                _create(spark, name)

@@ -15,6 +15,15 @@ DESCRIBE_COLUMNS = ["name", "type", "kind", "null?", "default", "primary key", "
                     "check", "expression", "comment", "policy name"]
 
 
+# A zoned timestamp as stored: the instant and the offset it was written with.
+TIMESTAMP_TZ = "STRUCT<ts: TIMESTAMP, offset_min: INT>"
+
+
+def is_timestamp_tz(dtype: T.DataType) -> bool:
+    return (isinstance(dtype, T.StructType) and dtype.names == ["ts", "offset_min"]
+            and isinstance(dtype["ts"].dataType, T.TimestampType))
+
+
 def dialect_type(dtype: T.DataType) -> str:
     """How DESCRIBE names a Spark type in the warehouse dialect."""
     if isinstance(dtype, T.DecimalType):
@@ -29,6 +38,10 @@ def dialect_type(dtype: T.DataType) -> str:
         return "TIMESTAMP_NTZ"
     if isinstance(dtype, T.TimestampType):
         return "TIMESTAMP_LTZ"
+    if is_timestamp_tz(dtype):
+        return "TIMESTAMP_TZ"
+    if isinstance(dtype, T.BinaryType):
+        return "BINARY"
     if isinstance(dtype, T.ArrayType):
         return "ARRAY"
     if isinstance(dtype, T.MapType):
@@ -120,36 +133,40 @@ def insert(df: DataFrame, table: str) -> int:
     return int(obs.get["rows"])
 
 
+def insert_select(df: DataFrame, table: str, columns_: list[str]) -> int:
+    """``INSERT INTO t (cols) SELECT ..`` (K3): df's columns in the order of
+    ``columns_``; the table's other columns get NULL."""
+    target = df.sparkSession.table(table).schema
+    unknown = set(columns_) - set(target.names)
+    if unknown or len(columns_) != len(df.columns):
+        raise ValueError(f"cannot insert {df.columns} into {columns_} of {table}")
+    named = df.toDF(*columns_)
+    return insert(named.select(*[(F.col(f.name) if f.name in columns_ else F.lit(None)).cast(f.dataType).alias(f.name)
+                                 for f in target.fields]), table)
+
+
 def insert_values(spark: SparkSession, table: str, rows: list[tuple], columns_: list[str]) -> int:
-    """``INSERT INTO t (cols) VALUES ..`` (K1, K3): unnamed columns get NULL."""
+    """``INSERT INTO t (cols) VALUES ..`` (K1, K3): each literal takes its
+    target column's type as SQL would cast it; unnamed columns get NULL."""
     target = spark.table(table).schema
-    # Literal values take the target column's type by cast, as in SQL.
-    fields = []
-    for i, c in enumerate(columns_):
-        sample = next((r[i] for r in rows if r[i] is not None), None)
-        fields.append(T.StructField(c, T.StringType() if sample is None else _infer(sample), True))
-    df = spark.createDataFrame(rows, T.StructType(fields))
-    full = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in columns_
-                       else F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields])
-    return insert(full, table)
-
-
-def _infer(value) -> T.DataType:
-    import datetime as dt
-    import decimal
-    if isinstance(value, bool):
-        return T.BooleanType()
-    if isinstance(value, int):
-        return T.LongType()
-    if isinstance(value, float):
-        return T.DoubleType()
-    if isinstance(value, decimal.Decimal):
-        return T.DecimalType(38, max(0, -value.as_tuple().exponent))
-    if isinstance(value, (bytes, bytearray)):
-        return T.BinaryType()
-    if isinstance(value, dt.datetime):
-        return T.TimestampNTZType()
-    return T.StringType()
+    fields = [T.StructField(c, _literal_type(target[c].dataType), True) for c in columns_]
+    values = [tuple(_literal(v, f.dataType) for v, f in zip(r, fields, strict=True)) for r in rows]
+    return insert_select(spark.createDataFrame(values, T.StructType(fields)), table, columns_)
+
+
+def _literal_type(target: T.DataType) -> T.DataType:
+    """The type literals are handed over in: numbers as exact text, so that
+    neither a binary fraction nor the first row's scale decides; text as
+    text; anything else as the column's own type."""
+    if isinstance(target, (T.NumericType, T.StringType, T.VarcharType, T.CharType)):
+        return T.StringType()
+    return target
+
+
+def _literal(value, dtype: T.DataType):
+    if value is None or not isinstance(dtype, T.StringType):
+        return value
+    return str(value)
 
 
 def show_tables(spark: SparkSession, schema: str) -> DataFrame:

@@ -3,65 +3,107 @@ W12) and reduced-column views (K13)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidelake.functions as W
+from tidelake.operators.events import EVENTS_SCHEMA
+from tidelake.streaming.publish import Publication, new_batch, work_root, writer
+from tidelake.util import list_files
 
-VIEW_COMMENT = "View that exposes minimal amount of non-sensitive fields for non-privileged users"
+VIEW_COMMENT = "Load time, cell and organisation only; payload columns are left out"
 EVENTS_VIEW_COLUMNS = ["insertion_timestamp", "cell", "uuid", "org_id"]
 RAW_VIEW_COLUMNS = ["insertion_timestamp", "cell", "org_id"]
 
 
-def metadata_fill(raw: DataFrame) -> DataFrame:
-    """``raw_json:metadata::object`` for records whose metadata is an object
-    (P6, J7): legacy array-shaped values are left out."""
+def metadata_objects(raw: DataFrame) -> DataFrame:
+    """``raw_json:metadata::object`` of every record whose metadata is an
+    object (P6, J7): legacy array-shaped values are left out."""
     meta = W.json_path("raw_json", "$.metadata")
     return (raw.where(meta.isNotNull() & W.is_object(meta))
-            .select(W.json_path("raw_json", "$.uuid", "string").alias("uuid"),
-                    W.as_object(meta).alias("metadata")))
+            .select(W.json_path("raw_json", "$.uuid", "string").alias("uuid"), W.as_object(meta).alias("metadata"),
+                    "insertion_timestamp", "event_date"))
+
+
+def metadata_fill(raw: DataFrame) -> DataFrame:
+    """One fill per event (event_date, uuid): the metadata of the record
+    loaded last, by text order when load times tie."""
+    rank = F.struct("insertion_timestamp", F.to_json("metadata"))
+    return (metadata_objects(raw).where(F.col("uuid").isNotNull())
+            .groupBy("event_date", "uuid").agg(F.max_by("metadata", rank).alias("metadata")))
 
 
 def backfill_metadata(events: DataFrame, raw: DataFrame, mode: str = "keyed") -> DataFrame:
-    """Fill ``events.metadata`` from the raw records.
+    """The events table with ``metadata`` filled from the raw records.
 
-    ``keyed`` (default) updates each event from its own raw record: a left
-    join on ``uuid`` (the event key; both sides shuffle on it, no key is
-    hot) and ``coalesce`` keeps metadata already present.  ``append``
-    reproduces the literal statement, which inserts rows holding only
-    ``metadata`` (Q1).
+    ``keyed`` (default) updates each event from its own record: events
+    without metadata meet one fill row per (event_date, uuid); the others,
+    and events without a uuid, go around the join.  ``append`` reproduces
+    the literal statement, which adds rows holding only ``metadata`` (Q1).
     """
-    fill = metadata_fill(raw)
     if mode == "append":
-        extra = fill.select(*[
+        extra = metadata_objects(raw).select(*[
             F.col("metadata") if c == "metadata" else F.lit(None).cast(events.schema[c].dataType).alias(c)
             for c in events.columns])
         return events.unionByName(extra)
     if mode != "keyed":
         raise ValueError(f"mode must be 'keyed' or 'append', not {mode!r}")
-    joined = events.alias("e").join(fill.alias("f"), F.col("e.uuid") == F.col("f.uuid"), "left")
-    return joined.select(*[
-        F.coalesce(F.col("e.metadata"), F.col("f.metadata")).alias("metadata") if c == "metadata"
-        else F.col(f"e.{c}").alias(c)
-        for c in events.columns])
+    waits = F.col("metadata").isNull() & F.col("uuid").isNotNull()
+    fill = metadata_fill(raw)
+    e, f = events.where(waits).alias("e"), fill.alias("f")
+    joined = e.join(f, (F.col("e.uuid") == F.col("f.uuid")) & F.col("e.event_date").eqNullSafe(F.col("f.event_date")), "left")
+    filled = joined.select(*[F.col(f"f.{c}" if c == "metadata" else f"e.{c}").alias(c) for c in events.columns])
+    return filled.unionByName(events.where(~waits))
+
+
+def write_backfill(spark: SparkSession, events_path: str, raw: DataFrame, wait: float = 3600.0) -> int:
+    """Fill the stored events table (keyed) and return the partitions
+    rewritten: those that hold an event which gets metadata.  The new files
+    and the removal of the old ones are one publication."""
+    schema = f"{EVENTS_SCHEMA}, load_part STRING"
+    root = work_root(events_path)
+    with writer(spark, root, wait):
+        events = spark.read.schema(schema).parquet(events_path)
+        fill = metadata_fill(raw)
+        due = (events.where(F.col("metadata").isNull() & F.col("uuid").isNotNull()).select("event_date", "uuid")
+               .join(fill.select(F.col("event_date").alias("d"), F.col("uuid").alias("u")),
+                     (F.col("uuid") == F.col("u")) & F.col("event_date").eqNullSafe(F.col("d")), "left_semi"))
+        days = [r[0] for r in due.select("event_date").distinct().collect()]  # dates, not rows
+        if not days:
+            return 0
+        folders = [f"event_date={d.isoformat() if d else '__HIVE_DEFAULT_PARTITION__'}" for d in days]
+        affected = F.col("event_date").isin([d for d in days if d]) | (F.lit(None in days) & F.col("event_date").isNull())
+        new = Publication(spark, root, new_batch("backfill"))
+        backfill_metadata(events.where(affected), raw.where(affected)).write.partitionBy("event_date").parquet(new.stage("events"))
+        new.commit({"events": events_path},
+                   [f"{events_path}/{d}/{f}" for d in folders for f in list_files(spark, f"{events_path}/{d}", ".parquet")])
+        return len(days)
 
 
 def transform_lag(raw: DataFrame, events: DataFrame, as_of: Column | None = None,
-                  by: list[str] | None = None) -> DataFrame:
+                  by: list[str] | None = None, since: dt.date | None = None) -> DataFrame:
     """Minutes the raw -> events copy lags behind (W6), per group.
 
     Pending rows are raw rows whose ``uuid`` is not in events (one left
-    join on the event key, then a partially aggregated groupBy).  The
-    stream's offset time (W12) is the latest load time already consumed;
-    with nothing consumed yet, the earliest pending load time.  The lag is
-    0 with nothing pending, else the minute boundaries from the offset to
-    ``as_of`` (default: now in UTC), as DOUBLE.
+    join on the event key, then a partially aggregated groupBy); rows
+    without a uuid can match nothing and go around the join.  ``since``
+    prunes both tables to event dates from there on, when older ones are
+    known to be consumed.  The stream's offset time (W12) is the latest load
+    time already consumed; with nothing consumed yet, the earliest pending
+    load time.  The lag is 0 with nothing pending, else the minute
+    boundaries from the offset to ``as_of`` (default: now in UTC), as DOUBLE.
     """
     by = by or []
     as_of = W.utc_now() if as_of is None else as_of
+    if since is not None:
+        recent = F.coalesce(F.col("event_date") >= F.lit(since), F.lit(True))
+        raw, events = raw.where(recent), events.where(recent)
     consumed = events.select("uuid").distinct().withColumn("_consumed", F.lit(True))
     r = raw.select(*by, "insertion_timestamp", W.json_path("raw_json", "$.uuid", "string").alias("uuid"))
-    j = r.join(consumed, "uuid", "left")
+    j = r.where(F.col("uuid").isNotNull()).join(consumed, "uuid", "left") \
+        .unionByName(r.where(F.col("uuid").isNull()).withColumn("_consumed", F.lit(None).cast("boolean")))
     pending = F.col("_consumed").isNull()
     agg = j.groupBy(*by).agg(
         F.count(F.when(pending, 1)).alias("pending_rows"),
@@ -97,5 +139,5 @@ def save_external_table(df: DataFrame, name: str, location: str, partition_by: l
     writer.saveAsTable(name)
 
 
-__all__ = ["backfill_metadata", "metadata_fill", "transform_lag", "create_reduced_view", "create_reduced_views",
+__all__ = ["backfill_metadata", "metadata_fill", "metadata_objects", "write_backfill", "transform_lag", "create_reduced_view", "create_reduced_views",
            "save_external_table"]

@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 import tidelake.functions as W
 from tidelake.operators import catalog, maintenance, retention
-from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA, as_json_text, decompose
+from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA, EVENTS_SCHEMA, as_json_text, decompose
 from tidelake.operators.sqltext import run_template
 from tidelake.plans import passthrough
 from tidelake.session import run_dir, shared_dir
-from tidelake.sources.landing import hourly_load_time, landing_records, raw_from_records, write_landing
+from tidelake.sources.landing import RAW_SCHEMA, epoch_ntz, hourly_load_time, landing_records, raw_from_records, write_landing
 from tidelake.sources.tables import read_table
 from tidelake.streaming import ingest
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw events table as an hourly loader would have filled it."""
-    records = landing_records(read_table(spark, sf_dir, "events", spread=True))
+    records = landing_records(read_table(spark, sf_dir, "events"))
     return raw_from_records(records, hourly_load_time(F.col("event_ts")))
 
 
@@ -44,7 +44,7 @@ def events_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MD5 family per document."""
-    docs = read_table(spark, sf_dir, "documents", spread=True)
+    docs = read_table(spark, sf_dir, "documents")
     text = W.to_binary_utf8("text")
     return docs.select(
         "doc_id",
@@ -60,7 +60,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-duplicate groups by content hash.  A groupBy with map-side
     partial aggregation: a hash shared by a third of all documents still
     shuffles one partial row per map task, not its documents."""
-    docs = read_table(spark, sf_dir, "documents", spread=True)
+    docs = read_table(spark, sf_dir, "documents")
     return (docs.groupBy(W.md5("text").alias("md5"))
             .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc_id"),
                  F.sum("n_chars").alias("total_chars"))
@@ -70,7 +70,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def binary_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hex and base64 codecs over whole texts, with round-trip checks
     (F15-F22).  Long encodings are reported by their MD5 and length."""
-    docs = read_table(spark, sf_dir, "documents", spread=True)
+    docs = read_table(spark, sf_dir, "documents")
     b = W.to_binary_utf8("text")
     hex_text = W.hex_encode(b)
     b64_text = W.base64_encode(b)
@@ -90,7 +90,7 @@ def binary_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points, lengths, affixes and positions per document (F1, F3-F6,
     F10, F11, F14-F16) on multilingual text."""
-    docs = read_table(spark, sf_dir, "documents", spread=True)
+    docs = read_table(spark, sf_dir, "documents")
     t = F.col("text")
     return docs.select(
         "doc_id", "lang",
@@ -127,14 +127,14 @@ def text_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regular-expression functions over whole pages."""
-    pages = read_table(spark, sf_dir, "pages", spread=True)
+    pages = read_table(spark, sf_dir, "pages")
     html, url = F.col("html"), F.col("url")
     link = F.lit('href="/[[:alnum:]]+"')
     return pages.select(
         "page_id",
-        F.size(W.regexp_substr_all(html, link)).cast("bigint").alias("n_links"),
-        F.size(W.regexp_substr_all(html, link, F.lit(1), F.lit(3))).cast("bigint").alias("n_links_from_3rd"),
-        F.size(W.regexp_substr_all(html, link, F.lit(500))).cast("bigint").alias("n_links_after_500"),
+        F.array_join(W.regexp_substr_all(html, link), " ").alias("links"),
+        F.array_join(W.regexp_substr_all(html, link, F.lit(1), F.lit(3)), " ").alias("links_from_3rd"),
+        F.array_join(W.regexp_substr_all(html, link, F.lit(500)), " ").alias("links_after_500"),
         W.regexp_substr(html, F.lit('href="/([[:alnum:]]+)"'), F.lit(1), F.lit(1), F.lit(1)).alias("first_link"),
         W.regexp_substr(html, F.lit('href="/([[:alnum:]]+)"'), F.lit(1), F.lit(2), F.lit(1)).alias("second_link"),
         W.regexp_instr(html, F.lit("<li>")).cast("bigint").alias("pos_li_1"),
@@ -143,7 +143,7 @@ def url_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
         W.regexp_like(url, F.lit("https://.*")).alias("is_https"),
         W.strtok(url, F.lit("/"), F.lit(2)).alias("host"),
         W.strtok(url, F.lit("/?#"), F.lit(3)).alias("path_head"),
-        F.length(W.regexp_replace(html, F.lit("<[^>]+>"), "")).cast("bigint").alias("text_len"),
+        W.md5(W.regexp_replace(html, F.lit("<[^>]+>"), "")).alias("text_md5"),
         W.regexp_substr(url, F.lit("/([[:lower:]]{2})/"), F.lit(1), F.lit(1), F.lit(1)).alias("lang_code"),
     )
 
@@ -187,7 +187,7 @@ def json_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each event becomes one VARIANT document; ``variant_explode`` lists its
     keys and TYPEOF names each value.  The count per (key, type) is a
     partially aggregated groupBy."""
-    ev = read_table(spark, sf_dir, "events", spread=True)
+    ev = read_table(spark, sf_dir, "events")
     doc = F.to_json(F.struct(
         F.parse_json("props").alias("props"),
         F.col("value").alias("value"),
@@ -224,7 +224,7 @@ def events_stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Reruns of both streams then find nothing new (W2)."""
     base = run_dir(spark, "stream-load")
-    write_landing(landing_records(read_table(spark, sf_dir, "events", spread=True)), f"{base}/landing")
+    write_landing(landing_records(read_table(spark, sf_dir, "events")), f"{base}/landing")
     ingest.run_once(ingest.start_raw_load(spark, f"{base}/landing", f"{base}/raw", f"{base}/ckpt/raw",
                                           load_time=_lit_ts(LOAD_TIME)))
     ingest.run_once(ingest.start_decompose(spark, f"{base}/raw", f"{base}/events", f"{base}/ckpt/events"))
@@ -232,13 +232,42 @@ def events_stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json_text(events.select(*EVENT_COLUMNS_WITH_METADATA))
 
 
+def stream_rerun_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stage and cell, the rows of a first run, what a rerun with
+    nothing new adds, and what a rerun with new checkpoints adds (the files
+    and load parts are in the ledgers by then)."""
+    base = run_dir(spark, "rerun-gate")
+    landing, raw, events = f"{base}/landing", f"{base}/raw", f"{base}/events"
+    write_landing(landing_records(read_table(spark, sf_dir, "events")), landing)
+
+    def run(checkpoint: str) -> None:
+        ingest.run_once(ingest.start_raw_load(spark, landing, raw, f"{base}/{checkpoint}/raw", load_time=_lit_ts(LOAD_TIME)))
+        ingest.run_once(ingest.start_decompose(spark, raw, events, f"{base}/{checkpoint}/events"))
+
+    def counted(stage: str, path: str, schema: str) -> DataFrame:
+        return (spark.read.schema(schema).parquet(path).groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))
+                .select(F.lit(stage).alias("stage"), "cell", "n_rows"))
+
+    def both() -> DataFrame:
+        return counted("raw", raw, RAW_SCHEMA).union(counted("events", events, EVENTS_SCHEMA))
+
+    states = []
+    for k, checkpoint in enumerate(("ck1", "ck1", "ck2")):
+        run(checkpoint)
+        both().write.parquet(f"{base}/counts/{k}")  # two rows per cell
+        states.append(spark.read.parquet(f"{base}/counts/{k}").withColumnRenamed("n_rows", f"n{k}"))
+    return (states[0].join(states[1], ["stage", "cell"]).join(states[2], ["stage", "cell"])
+            .select("stage", "cell", F.col("n0").alias("first_run"), (F.col("n1") - F.col("n0")).alias("rerun_added"),
+                    (F.col("n2") - F.col("n1")).alias("new_checkpoint_added")))
+
+
 def refresh_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missed-file refresh (S6, W11): the pipe loads the first drop; the
     late drop lands without a notification; a batch refresh over files
     modified in the last day + 5 minutes loads exactly the missing ones.
     Returns row counts per cell and event date of the raw table."""
     base = run_dir(spark, "refresh")
-    records = landing_records(read_table(spark, sf_dir, "events", spread=True))
+    records = landing_records(read_table(spark, sf_dir, "events"))
     early = records.where(F.col("event_ts") < _lit_ts(LATE_DROP_FROM))
     late = records.where(F.col("event_ts") >= _lit_ts(LATE_DROP_FROM))
     landing, raw = f"{base}/landing", f"{base}/raw"
@@ -251,7 +280,6 @@ def refresh_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
-
 # ---------------------------------------------------------------------------
 # Table maintenance jobs.
 # ---------------------------------------------------------------------------
@@ -259,9 +287,9 @@ def refresh_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORK_SCHEMA = "tidelake_work"
 INFRA_SCHEMA = "tidelake_infra"
-# Retention runs "a year later"; the transform lag is observed while the
+# Retention runs "a year later", at noon, so that one day straddles the cut; the transform lag is observed while the
 # copy task has consumed loads up to CONSUMED_UNTIL.
-TRIM_AS_OF = _dt.datetime(2025, 1, 15, 0, 0, 0)
+TRIM_AS_OF = _dt.datetime(2025, 1, 15, 12, 0, 0)
 CONSUMED_UNTIL = _dt.datetime(2024, 1, 25, 0, 0, 0)
 LAG_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
 
@@ -290,19 +318,27 @@ def _materialize_lake(spark: SparkSession, sf_dir: str, base: str) -> tuple[str,
     return raw_path, events_path
 
 
-def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W10 with K10: the events table is created before ``metadata``
-    existed, the column is added with ALTER TABLE (old rows read NULL),
-    then filled from the raw records, objects only."""
-    base = run_dir(spark, "backfill")
+def _events_table_with_metadata(spark: SparkSession, raw: DataFrame, base: str) -> str:
+    """An events table made before ``metadata`` existed, with the column added later."""
     _schema(spark, WORK_SCHEMA)
-    raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
     table = _table_name("events")
     maintenance.save_external_table(decompose(raw, with_metadata=False), table, f"{base}/events",
                                     partition_by=["event_date"])
-    spark.sql(f"ALTER TABLE {table} ADD COLUMNS (metadata VARIANT)")
-    filled = maintenance.backfill_metadata(spark.table(table), raw, mode="keyed")
-    return filled.select("uuid", "event_type", F.to_json("metadata").alias("metadata"))
+    catalog.add_column(spark, table, "metadata", "VARIANT")
+    return table
+
+
+def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 with K10: the events table is created before ``metadata``
+    existed, the column is added with ALTER TABLE (old rows read NULL), the
+    affected partitions are rewritten with the raw records' objects, and the
+    table is read back."""
+    base = run_dir(spark, "backfill")
+    raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
+    table = _events_table_with_metadata(spark, raw, base)
+    maintenance.write_backfill(spark, f"{base}/events", raw)
+    spark.catalog.refreshTable(table)
+    return spark.table(table).select("uuid", "event_type", F.to_json("metadata").alias("metadata"))
 
 
 def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,32 +387,94 @@ STAR_SCHEMA = "tidelake_star"
 LAKE_SCHEMA = "tidelake_lake"
 STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 LAKE_TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-TZ_OFFSET_MINUTES = -480  # the session zone's offset in the reference's tests
+TZ_OFFSET_MINUTES = -480  # the offset the zoned timestamps are written with
 
 TYPED_ORDERS_DDL = ("order_key DECIMAL(38,0), cust_key DECIMAL(10,1), total_price DECIMAL(20,2), "
                     "total_price_3 NUMERIC(30,3), status VARCHAR(1), priority VARCHAR(15), "
-                    "order_date TIMESTAMP_NTZ, order_tz STRUCT<ts: TIMESTAMP_NTZ, offset_min: INT>")
+                    f"order_date TIMESTAMP_NTZ, order_ltz TIMESTAMP, order_tz {catalog.TIMESTAMP_TZ}, origin STRING")
+# Literal rows of the typed table: key, customer, price (an int, a decimal, a float), and nothing else.
+TYPED_LITERALS = [(-1, 7, 1), (-2, 15, "2.55"), (-3, None, 123.4)]
+
+
+def _utc_wall_clock(instant):
+    """An instant as its UTC wall clock, whatever the session's zone."""
+    return W.to_utc_ntz(instant.cast("timestamp_ntz"), F.current_timezone())
+
+
+def _instant(utc_wall_clock):
+    """The instant of a UTC wall clock, whatever the session's zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch_ntz(), utc_wall_clock))
 
 
 def typed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared types survive a write and read back."""
+    """Declared types survive a write and read back:
+    decimals, local, zoned and plain timestamps.  Rows come from INSERT ..
+    SELECT and from literal VALUES; each carries its statement's count."""
     base = run_dir(spark, "typed")
     _schema(spark, WORK_SCHEMA)
     table = _table_name("typed_orders")
     catalog.create_or_replace_table(spark, table, TYPED_ORDERS_DDL, location=f"{base}/typed_orders")
     o = read_table(spark, sf_dir, "orders")
+    at = _instant(F.col("o_orderdate"))
     rows = o.select(
         F.col("o_orderkey").cast("decimal(38,0)"), F.col("o_custkey").cast("decimal(10,1)"),
         F.col("o_totalprice").cast("decimal(20,2)"),
         F.col("o_totalprice").cast("decimal(20,2)").cast("decimal(30,3)"),
-        F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderdate"),
-        F.struct(F.col("o_orderdate").alias("ts"), F.lit(TZ_OFFSET_MINUTES).alias("offset_min")))
-    catalog.insert(rows, table)
+        F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderdate"), at,
+        F.struct(at.alias("ts"), F.lit(TZ_OFFSET_MINUTES).alias("offset_min")), F.lit("select"))
+    selected = catalog.insert(rows, table)
+    literals = catalog.insert_values(spark, table, [(*r, "values") for r in TYPED_LITERALS],
+                                     ["order_key", "cust_key", "total_price", "origin"])
     back = spark.sql(f"SELECT * FROM {table} ORDER BY order_date ASC NULLS LAST, order_key")
     return back.select(
         "order_key", "cust_key", "total_price", "total_price_3", "status", "priority", "order_date",
+        _utc_wall_clock(F.col("order_ltz")).alias("order_ltz_utc"),
         F.col("order_tz.offset_min").alias("order_tz_offset_min"),
-        F.timestamp_add("MINUTE", -F.col("order_tz.offset_min"), F.col("order_tz.ts")).alias("order_tz_utc"))
+        _utc_wall_clock(F.col("order_tz.ts")).alias("order_tz_utc"),
+        F.timestamp_add("MINUTE", F.col("order_tz.offset_min"), _utc_wall_clock(F.col("order_tz.ts"))).alias("order_tz_local"),
+        F.when(F.col("origin") == "values", literals).otherwise(selected).cast("bigint").alias("n_inserted"))
+
+
+def describe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DESC over the given tables and a table of the dialect's types,
+    all 11 fields, with each column's rows that are not NULL."""
+    typed = f"{WORK_SCHEMA}.described"
+    _schema(spark, WORK_SCHEMA)
+    base = run_dir(spark, "describe")
+    catalog.create_or_replace_table(
+        spark, typed, "n0 DECIMAL(38,0), n2 DECIMAL(20,2), i INT NOT NULL, f4 FLOAT, f8 DOUBLE, t VARCHAR(5), "
+        f"b BINARY, flag BOOLEAN, d DATE, ntz TIMESTAMP_NTZ, ltz TIMESTAMP, tz {catalog.TIMESTAMP_TZ}, "
+        "arr ARRAY<STRING>, v VARIANT COMMENT 'any JSON'", location=f"{base}/typed")
+    _schema(spark, STAR_SCHEMA)
+    parts = [catalog.describe(spark, typed).select(F.lit("DESCRIBED").alias("table_name"), "*", F.lit(0).cast("bigint").alias("non_null"))]
+    for t in STAR_TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {STAR_SCHEMA}.{t}")
+        spark.sql(f"CREATE TABLE {STAR_SCHEMA}.{t} USING parquet LOCATION '{sf_dir.rstrip('/')}/{t}.parquet'")
+        name = f"{STAR_SCHEMA}.{t}"
+        counts = catalog.profile(spark, STAR_SCHEMA, t).select(
+            F.upper("column_name").alias("name"), (F.col("row_count") - F.col("null_count")).alias("non_null"))
+        parts.append(catalog.describe(spark, name).join(counts, "name")
+                     .select(F.lit(t.upper()).alias("table_name"), *[F.col(f"`{c}`") for c in catalog.DESCRIBE_COLUMNS], "non_null"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.toDF(*[c.replace("?", "").replace(" ", "_") for c in out.columns])
+
+
+def default_load_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events loaded with the default clock, CONVERT_TIMEZONE('UTC',
+    CURRENT_TIMESTAMP): per cell the rows, and those whose load time is one
+    single reading that agrees with the clock in another zone."""
+    records = landing_records(read_table(spark, sf_dir, "events"))
+    raw = raw_from_records(records.drop("event_ts"), W.utc_now())
+    tokyo = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), F.col("insertion_timestamp"))
+    back = W.to_utc_ntz(tokyo, F.lit("Asia/Tokyo"))
+    now = W.utc_now()
+    return raw.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(back == F.col("insertion_timestamp"), 1)).alias("n_zone_roundtrip"),
+        F.count(F.when(F.col("insertion_timestamp") == now, 1)).alias("n_same_clock"),
+        F.countDistinct("insertion_timestamp").alias("n_load_times"))
 
 
 def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,34 +496,42 @@ def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
             .orderBy("table_catalog", "table_schema", "table_name", "ordinal_position"))
 
 
-EVENT_SUMMARY_TEMPLATE = """
-SELECT event_type, count(*) AS n_events, round(sum(value), 2) AS total_value,
+EVENT_SUMMARY_SCRIPT = """
+-- Several statements; the placeholders' values are bound, also inside quotes.
+CREATE OR REPLACE TEMPORARY VIEW tidelake_events_window AS
+SELECT * FROM tidelake_events_src WHERE ts >= TIMESTAMP_NTZ'2024-01-01';
+/* the summary; a semicolon in a quoted string ends nothing */
+SELECT event_type, concat('from ${window.label}; ', event_type) AS label, '${window.label}' AS window_label,
+       count(*) AS n_events, round(sum(value), 2) AS total_value,
        min(ts) AS first_seen, max(ts) AS last_seen
 FROM IDENTIFIER(${events.table})
-WHERE ts >= ${window.start} AND ts < ${window.end}
-GROUP BY event_type
+WHERE ts >= ${window.start} AND ts < ${window_start}
+GROUP BY event_type;
 """
 
 
 def sql_template_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ``${key}`` script bound through parameter markers."""
+    """A script of several statements with ``${key}`` placeholders,
+    bound through parameter markers; two keys differ only in a dot."""
     read_table(spark, sf_dir, "events").createOrReplaceTempView("tidelake_events_src")
-    return run_template(spark, EVENT_SUMMARY_TEMPLATE, {
-        "events.table": "tidelake_events_src",
+    return run_template(spark, EVENT_SUMMARY_SCRIPT, {
+        "events.table": "tidelake_events_window",
+        "window.label": "it's 2024",
         "window.start": _dt.datetime(2024, 1, 1),
-        "window.end": _dt.datetime(2025, 1, 1),
+        "window_start": _dt.datetime(2025, 1, 1),
     })
 
 
-
 def metadata_backfill_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W10 literally (Q1): the statement appends rows holding only
-    ``metadata``; the events keep theirs empty."""
+    """W10 literally (Q1, K3): ``INSERT INTO events (metadata) SELECT ..``
+    adds rows holding only ``metadata``; the events keep theirs empty.  Each
+    row of the table read back carries the insert's own count (K2)."""
     base = run_dir(spark, "backfill-append")
     raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
-    events = decompose(raw, with_metadata=False).withColumn("metadata", F.lit(None).cast("variant"))
-    out = maintenance.backfill_metadata(events, raw, mode="append")
-    return out.select("uuid", "event_type", F.to_json("metadata").alias("metadata"))
+    table = _events_table_with_metadata(spark, raw, base)
+    inserted = catalog.insert_select(maintenance.metadata_objects(raw).select("metadata"), table, ["metadata"])
+    return spark.table(table).select("uuid", "event_type", F.to_json("metadata").alias("metadata"),
+                                     F.lit(inserted).cast("bigint").alias("n_inserted"))
 
 
 def reduced_raw_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,6 +593,7 @@ REGISTRY = {
     "json_type_profile": json_type_profile,
     "scalar_typeof_profile": scalar_typeof_profile,
     "events_stream_load": events_stream_load,
+    "stream_rerun_gate": stream_rerun_gate,
     "refresh_missing_files": refresh_missing_files,
     "metadata_backfill": metadata_backfill,
     "metadata_backfill_append": metadata_backfill_append,
@@ -495,6 +602,8 @@ REGISTRY = {
     "reduced_events_view": reduced_events_view,
     "reduced_raw_events_view": reduced_raw_events_view,
     "typed_roundtrip": typed_roundtrip,
+    "describe_tables": describe_tables,
+    "default_load_clock": default_load_clock,
     "column_catalog": column_catalog,
     "sql_template_job": sql_template_job,
     **{name: passthrough.job(name) for name in passthrough.QUERIES},

@@ -85,9 +85,9 @@ FROM part
 
 URL_PATTERN_MINING = """
 SELECT page_id,
-  CAST(len(regexp_extract_all(html, 'href="/[[:alnum:]]+"')) AS BIGINT) AS n_links,
-  CAST(greatest(len(regexp_extract_all(html, 'href="/[[:alnum:]]+"')) - 2, 0) AS BIGINT) AS n_links_from_3rd,
-  CAST(len(regexp_extract_all(substr(html, 500), 'href="/[[:alnum:]]+"')) AS BIGINT) AS n_links_after_500,
+  array_to_string(regexp_extract_all(html, 'href="/[[:alnum:]]+"'), ' ') AS links,
+  array_to_string(regexp_extract_all(html, 'href="/[[:alnum:]]+"')[3:], ' ') AS links_from_3rd,
+  array_to_string(regexp_extract_all(substr(html, 500), 'href="/[[:alnum:]]+"'), ' ') AS links_after_500,
   regexp_extract_all(html, 'href="/([[:alnum:]]+)"', 1)[1] AS first_link,
   regexp_extract_all(html, 'href="/([[:alnum:]]+)"', 1)[2] AS second_link,
   CAST(instr(html, '<li>') AS BIGINT) AS pos_li_1,
@@ -99,7 +99,7 @@ SELECT page_id,
   regexp_full_match(url, 'https://.*') AS is_https,
   list_filter(string_split(url, '/'), lambda x: x <> '')[2] AS host,
   list_filter(regexp_split_to_array(url, '[/?#]'), lambda x: x <> '')[3] AS path_head,
-  CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS BIGINT) AS text_len,
+  md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_md5,
   regexp_extract_all(url, '/([[:lower:]]{2})/', 1)[1] AS lang_code
 FROM pages
 """
@@ -177,9 +177,9 @@ FROM events
 """
 
 RETENTION_TRIM = """
-SELECT t.table_name, TIMESTAMP '2025-01-15 00:00:00' AS execution_time,
-       count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS deleted_records,
-       count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS kept_records
+SELECT t.table_name, TIMESTAMP '2025-01-15 12:00:00' AS execution_time,
+       count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15 12:00:00') AS deleted_records,
+       count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15 12:00:00') AS kept_records
 FROM events, (VALUES ('sensitive.raw_events'), ('sensitive.events')) AS t(table_name)
 GROUP BY t.table_name
 """
@@ -217,9 +217,14 @@ TYPED_ROUNDTRIP = """
 SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS order_key, CAST(o_custkey AS DECIMAL(10,1)) AS cust_key,
        CAST(o_totalprice AS DECIMAL(20,2)) AS total_price,
        CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS DECIMAL(30,3)) AS total_price_3,
-       o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS order_date,
-       -480 AS order_tz_offset_min, o_orderdate + INTERVAL 480 MINUTE AS order_tz_utc
+       o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS order_date, o_orderdate AS order_ltz_utc,
+       -480 AS order_tz_offset_min, o_orderdate AS order_tz_utc, o_orderdate - INTERVAL 480 MINUTE AS order_tz_local,
+       (SELECT count(*) FROM orders) AS n_inserted
 FROM orders
+UNION ALL
+SELECT k, c, p, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 3
+FROM (VALUES (CAST(-1 AS DECIMAL(38,0)), CAST(7 AS DECIMAL(10,1)), CAST(1 AS DECIMAL(20,2))),
+             (-2, 15, 2.55), (-3, NULL, 123.40)) AS v(k, c, p)
 """
 
 # The test tables' columns with the types Spark reads them as.
@@ -268,7 +273,8 @@ def _column_catalog_sql() -> str:
 COLUMN_CATALOG = _column_catalog_sql()
 
 SQL_TEMPLATE_JOB = """
-SELECT event_type, count(*) AS n_events, round(sum(value), 2) AS total_value,
+SELECT event_type, 'from it''s 2024; ' || event_type AS label, 'it''s 2024' AS window_label,
+       count(*) AS n_events, round(sum(value), 2) AS total_value,
        min(ts) AS first_seen, max(ts) AS last_seen
 FROM events
 WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2025-01-01'
@@ -290,10 +296,11 @@ def _passthrough():
 ORACLES.update(_passthrough())
 
 METADATA_BACKFILL_APPEND = """
+SELECT t.*, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-08') AS n_inserted FROM (
 SELECT CAST(event_id AS VARCHAR) AS uuid, event_type, CAST(NULL AS VARCHAR) AS metadata FROM events
 UNION ALL
 SELECT CAST(NULL AS VARCHAR) AS uuid, CAST(NULL AS VARCHAR) AS event_type, CAST(json(props) AS VARCHAR) AS metadata
-FROM events WHERE ts >= TIMESTAMP '2024-01-08'
+FROM events WHERE ts >= TIMESTAMP '2024-01-08') t
 """
 
 REDUCED_RAW_EVENTS_VIEW = f"""
@@ -325,3 +332,44 @@ UNION ALL SELECT 'ts', CASE WHEN ts IS NULL THEN NULL ELSE 'TIMESTAMP_NTZ' END,
 """
 
 ORACLES.update({"scalar_typeof_profile": SCALAR_TYPEOF_PROFILE})
+
+STREAM_RERUN_GATE = f"""
+SELECT s.stage, {_CELL} AS cell, count(*) AS first_run, CAST(0 AS BIGINT) AS rerun_added,
+       CAST(0 AS BIGINT) AS new_checkpoint_added
+FROM events, (VALUES ('raw'), ('events')) AS s(stage)
+GROUP BY ALL
+"""
+
+DEFAULT_LOAD_CLOCK = f"""
+SELECT {_CELL} AS cell, count(*) AS n_rows, count(*) AS n_zone_roundtrip, count(*) AS n_same_clock,
+       CAST(1 AS BIGINT) AS n_load_times
+FROM events GROUP BY ALL
+"""
+
+# The described table's columns, and the dialect's names for Spark's types.
+DESCRIBED = [("N0", "NUMBER(38,0)"), ("N2", "NUMBER(20,2)"), ("I", "NUMBER(38,0)"), ("F4", "FLOAT"), ("F8", "FLOAT"),
+             ("T", "VARCHAR"), ("B", "BINARY"), ("FLAG", "BOOLEAN"), ("D", "DATE"), ("NTZ", "TIMESTAMP_NTZ"),
+             ("LTZ", "TIMESTAMP_LTZ"), ("TZ", "TIMESTAMP_TZ"), ("ARR", "ARRAY"), ("V", "VARIANT")]
+DIALECT_NAMES = {"int": "NUMBER(38,0)", "bigint": "NUMBER(38,0)", "double": "FLOAT", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP_NTZ"}
+
+
+def _describe_sql() -> str:
+    def row(table: str, name: str, type_: str, comment: str, count: str) -> str:
+        return (f"SELECT '{table}' AS table_name, '{name}' AS name, '{type_}' AS type, 'COLUMN' AS kind, 'Y' AS null, "
+                "CAST(NULL AS VARCHAR) AS \"default\", 'N' AS primary_key, 'N' AS unique_key, "
+                "CAST(NULL AS VARCHAR) AS \"check\", CAST(NULL AS VARCHAR) AS expression, "
+                f"{comment} AS comment, CAST(NULL AS VARCHAR) AS policy_name, {count}")
+
+    parts = [row("DESCRIBED", n, t, "'any JSON'" if n == "V" else "CAST(NULL AS VARCHAR)", "CAST(0 AS BIGINT) AS non_null")
+             for n, t in DESCRIBED]
+    parts += [row(table.upper(), c.upper(), DIALECT_NAMES[t], "CAST(NULL AS VARCHAR)", f"count({c}) AS non_null FROM {table}")
+              for (schema, table), cols in TABLE_COLUMNS.items() if schema == "TIDELAKE_STAR" for c, t in cols]
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLES.update({
+    "stream_rerun_gate": STREAM_RERUN_GATE,
+    "default_load_clock": DEFAULT_LOAD_CLOCK,
+    "describe_tables": _describe_sql(),
+})

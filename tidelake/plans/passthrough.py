@@ -90,13 +90,55 @@ WITH RECURSIVE chain (k, depth) AS (
   SELECT n.n_nationkey, c.depth + 1 FROM chain c JOIN nation n ON n.n_nationkey = c.k + 1)
 SELECT count(*) AS n_steps, max(depth) AS max_depth FROM chain
 """),
-    "pt_recursive_line_chain": (["lineitem"], """
-WITH RECURSIVE chain (k, n, depth) AS (
-  SELECT l_orderkey, l_linenumber, 1 FROM lineitem WHERE l_linenumber = 1
+    # Recursion over a bounded dimension (suppliers of a nation follow each other), joined to the lines once.
+    "pt_recursive_line_chain": (["nation", "lineitem", "supplier"], """
+WITH RECURSIVE chain (k, depth) AS (
+  SELECT n_nationkey, 1 FROM nation WHERE n_nationkey = 0
   UNION ALL
-  SELECT l.l_orderkey, l.l_linenumber, c.depth + 1
-  FROM chain c JOIN lineitem l ON l.l_orderkey = c.k AND l.l_linenumber = c.n + 1)
-SELECT depth, count(*) AS n_lines FROM chain GROUP BY depth
+  SELECT n.n_nationkey, c.depth + 1 FROM chain c JOIN nation n ON n.n_nationkey = c.k + 1)
+SELECT depth, count(*) AS n_lines
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN chain ON s_nationkey = k
+GROUP BY depth
+"""),
+    "pt_distinct_aggregates": (["orders"], """
+SELECT o_orderstatus, count(DISTINCT o_custkey) AS n_customers,
+       count(DISTINCT o_orderpriority) AS n_priorities, count(*) AS n_orders
+FROM orders
+GROUP BY o_orderstatus
+"""),
+    "pt_cube_flags": (["lineitem"], """
+SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n_lines
+FROM lineitem
+GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)
+"""),
+    "pt_framed_window_days": (["orders"], """
+WITH per_day AS (
+  SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, count(*) AS n_orders
+  FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE))
+SELECT o_orderpriority, day, n_orders,
+       CAST(sum(n_orders) OVER (PARTITION BY o_orderpriority ORDER BY day
+                                ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_7_days
+FROM per_day
+"""),
+    "pt_except_all": (["orders", "customer"], """
+SELECT o_custkey, count(*) AS n_left FROM (
+  SELECT o_custkey FROM orders
+  EXCEPT ALL
+  SELECT c_custkey FROM customer) t
+GROUP BY o_custkey
+"""),
+    "pt_left_join_customers": (["customer", "orders"], """
+SELECT c_mktsegment, count(*) AS n_rows, count(o_orderkey) AS n_orders,
+       count(*) - count(o_orderkey) AS n_without
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey
+GROUP BY c_mktsegment
+"""),
+    # A range join bounded by an equi-key: lines shipped within 30 days of their order.
+    "pt_range_join_shipping": (["orders", "lineitem"], """
+SELECT o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY
+GROUP BY o_orderpriority
 """),
 }
 

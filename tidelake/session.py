@@ -49,9 +49,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, local runs) do we
-    set our own, so ``df.checkpoint()`` and job outputs land somewhere every
-    executor can reach.
+    Read from the session.  Only a local master, whose executors share the
+    driver's disk, gets a folder of its own when it is unset; on a cluster
+    that is an error.
     """
     conf_dir = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
                 or spark.conf.get("spark.checkpoint.dir", None))
@@ -61,6 +61,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tidelake-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
