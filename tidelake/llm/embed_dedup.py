@@ -100,16 +100,14 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(table: int, side: np.ndarray, cid: np.ndarray, copies: np.ndarray, x: np.ndarray, keys: np.ndarray, least: float):
+def _compare(table: int, alone: bool, side: np.ndarray, cid: np.ndarray, copies: np.ndarray, x: np.ndarray, keys: np.ndarray, least: float):
     """One block: (class, links to add, root) of the classes that link here. side 0 and 1 are the two
-    slots of a pair; a block of a single slot has side 0 only and compares it with itself."""
+    slots of a pair; a block of one slot ``alone`` compares it with itself."""
     a = np.flatnonzero(side == 0)
-    b = np.flatnonzero(side == 1)
-    i, j = linked(x[a], x[b] if len(b) else x[a], least)
-    if len(b):
-        i, j = a[i], b[j]
-    else:
-        i, j = a[i], a[j]
+    b = a if alone else np.flatnonzero(side == 1)
+    i, j = linked(x[a], x[b], least)
+    i, j = a[i], b[j]
+    if alone:
         i, j = i[i < j], j[i < j]
     own = np.empty(len(i), bool)
     for s in range(0, len(i), 1 << 14):
@@ -169,7 +167,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, miss: float = M
 
         def close():
             x = np.concatenate([h[3] for h in held])
-            return _compare(now[2], *(np.concatenate([h[c] for h in held]) for c in range(3)), x, np.concatenate([h[4] for h in held]), least)
+            return _compare(now[2], now[4] == now[5], *(np.concatenate([h[c] for h in held]) for c in range(3)), x, np.concatenate([h[4] for h in held]), least)
 
         for batch in batches:
             group = list(zip(*(batch.column(c).to_pylist() for c in _GROUP), strict=True))
