@@ -41,7 +41,7 @@ CHARINDEX = [(("ban", "banana", 1), 1), (("an", "banana", 1), 2), (("an", "banan
 def test_charindex_position(spark):
     check(spark, W.charindex, CHARINDEX)
     check(spark, W.position, [(args[:2], want) for args, want in CHARINDEX if args[2] == 1])
-    assert one(spark, "VALUES (charindex('ban', 'banana') + position('an' IN 'banana'))") == [3]
+    assert one(spark, "SELECT charindex('ban', 'banana') + position('an' IN 'banana')") == [3]
 
 
 def test_contains_endswith(spark):

@@ -177,3 +177,17 @@ def show_tables(spark: SparkSession, schema: str) -> DataFrame:
 def show_schemas(spark: SparkSession) -> DataFrame:
     """``SHOW DATABASES``."""
     return spark.sql("SHOW SCHEMAS")
+
+
+def current_schema(spark: SparkSession) -> str:
+    """``CURRENT_SCHEMA()`` (K9)."""
+    return spark.sql("SELECT current_schema()").first()[0]
+
+
+def table_properties(spark: SparkSession, table: str) -> dict[str, str]:
+    """A table's properties and, under ``comment``, its comment."""
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect():
+        if r["col_name"] == "Comment":
+            found["comment"] = r["data_type"]
+    return found

@@ -9,13 +9,15 @@ from __future__ import annotations
 import datetime as _dt
 import uuid as _uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidelake.functions as W
 from tidelake.operators import catalog, maintenance, retention
-from tidelake.operators.events import EVENT_COLUMNS_WITH_METADATA, EVENTS_SCHEMA, as_json_text, decompose
-from tidelake.operators.sqltext import run_template
+from tidelake.operators.events import (EVENT_COLUMNS_WITH_METADATA, EVENTS_SCHEMA, as_json_text, decompose,
+                                       only_inserts)
+from tidelake.operators.sqltext import run_sql, run_template
 from tidelake.plans import passthrough
 from tidelake.session import run_dir, shared_dir
 from tidelake.sources.landing import RAW_SCHEMA, epoch_ntz, hourly_load_time, landing_records, raw_from_records, write_landing
@@ -496,6 +498,61 @@ def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
             .orderBy("table_catalog", "table_schema", "table_name", "ordinal_position"))
 
 
+LISTING_SCHEMA = "tidelake_listing"
+
+
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas and tables as the catalog lists them, the
+    schema in use, and each table's comment, property and rows."""
+    _schema(spark, LISTING_SCHEMA)
+    before = catalog.current_schema(spark)
+    for t in STAR_TABLES:
+        catalog.drop_table(spark, f"{LISTING_SCHEMA}.{t}")
+        spark.sql(f"CREATE TABLE {LISTING_SCHEMA}.{t} USING parquet LOCATION '{sf_dir.rstrip('/')}/{t}.parquet' "
+                  f"COMMENT 'the {t} table' TBLPROPERTIES ('data_retention_time_in_days' = '{len(t)}')")
+    try:
+        catalog.use(spark, LISTING_SCHEMA)
+        in_use = catalog.current_schema(spark)
+        out = None
+        for r in catalog.show_tables(spark, in_use).where("NOT isTemporary").collect():  # one row per table
+            known = catalog.table_properties(spark, r.tableName)
+            one = spark.table(r.tableName).agg(F.count(F.lit(1)).alias("n_rows")).select(
+                F.lit(in_use).alias("schema_in_use"), F.lit(r.tableName).alias("table_name"), F.lit(known["comment"]).alias("comment"),
+                F.lit(int(known["data_retention_time_in_days"])).alias("retention_days"), "n_rows")
+            out = one if out is None else out.unionByName(one)
+    finally:
+        catalog.use(spark, before)
+    listed = [r[0] for r in catalog.show_schemas(spark).collect()].count(in_use)
+    return out.withColumn("times_listed", F.lit(listed))
+
+
+def change_feed_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 on a change feed: orders as changes (finished ones inserted, open
+    ones deleted, others updated); only inserts go on."""
+    feed = read_table(spark, sf_dir, "orders").withColumn(
+        "_change_type", F.when(F.col("o_orderstatus") == "F", "insert").when(F.col("o_orderstatus") == "O", "delete")
+        .otherwise("update_postimage"))
+    return only_inserts(feed).groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n_inserted"), F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+
+
+def unknown_table_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query on a table that does not exist is an error, one on a
+    known table counts its rows."""
+    out = None
+    for name in ("orders", "no_such_table", "supplier"):
+        view = f"tidelake_known_{name}"
+        if name != "no_such_table":
+            read_table(spark, sf_dir, name).createOrReplaceTempView(view)
+        try:
+            counted = run_sql(spark, f"SELECT count(*) AS n_rows FROM {view}").withColumn("outcome", F.lit("OK"))
+        except AnalysisException as e:
+            counted = spark.range(1).select(F.lit(None).cast("bigint").alias("n_rows"), F.lit(e.getCondition()).alias("outcome"))
+        one = counted.select(F.lit(name).alias("table_name"), "outcome", "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 EVENT_SUMMARY_SCRIPT = """
 -- Several statements; the placeholders' values are bound, also inside quotes.
 CREATE OR REPLACE TEMPORARY VIEW tidelake_events_window AS
@@ -604,6 +661,9 @@ REGISTRY = {
     "typed_roundtrip": typed_roundtrip,
     "describe_tables": describe_tables,
     "default_load_clock": default_load_clock,
+    "catalog_listing": catalog_listing,
+    "change_feed_inserts": change_feed_inserts,
+    "unknown_table_errors": unknown_table_errors,
     "column_catalog": column_catalog,
     "sql_template_job": sql_template_job,
     **{name: passthrough.job(name) for name in passthrough.QUERIES},

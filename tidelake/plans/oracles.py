@@ -373,3 +373,25 @@ ORACLES.update({
     "default_load_clock": DEFAULT_LOAD_CLOCK,
     "describe_tables": _describe_sql(),
 })
+
+CATALOG_LISTING = "\nUNION ALL\n".join(
+    f"SELECT 'tidelake_listing' AS schema_in_use, '{t}' AS table_name, 'the {t} table' AS comment, {len(t)} AS retention_days, "
+    f"count(*) AS n_rows, 1 AS times_listed FROM {t}"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
+
+CHANGE_FEED_INSERTS = """
+SELECT o_orderpriority, count(*) AS n_inserted, round(sum(o_totalprice), 2) AS total_price
+FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority
+"""
+
+UNKNOWN_TABLE_ERRORS = """
+SELECT 'orders' AS table_name, 'OK' AS outcome, count(*) AS n_rows FROM orders
+UNION ALL SELECT 'supplier', 'OK', count(*) FROM supplier
+UNION ALL SELECT 'no_such_table', 'TABLE_OR_VIEW_NOT_FOUND', NULL
+"""
+
+ORACLES.update({
+    "catalog_listing": CATALOG_LISTING,
+    "change_feed_inserts": CHANGE_FEED_INSERTS,
+    "unknown_table_errors": UNKNOWN_TABLE_ERRORS,
+})

@@ -99,6 +99,22 @@ WITH RECURSIVE chain (k, depth) AS (
 SELECT depth, count(*) AS n_lines
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN chain ON s_nationkey = k
 GROUP BY depth
+"""),
+    # Inline rows, numeric literals in several notations, a timestamp literal.
+    "pt_inline_rows": (["lineitem"], """
+SELECT f.meaning, count(*) AS n_lines,
+       count(CASE WHEN l_quantity >= 1.5E1 THEN 1 END) AS n_from_15,
+       count(CASE WHEN l_discount > .05 THEN 1 END) AS n_discounted,
+       count(CASE WHEN l_quantity - 3.2e+1 > -2.50 THEN 1 END) AS n_large,
+       count(CASE WHEN l_shipdate >= TIMESTAMP '1995-06-17 00:00:00' THEN 1 END) AS n_late
+FROM lineitem JOIN (VALUES ('A', 'accepted'), ('N', 'none'), ('R', 'returned')) AS f (flag, meaning)
+  ON l_returnflag = f.flag
+GROUP BY f.meaning
+"""),
+    "pt_select_without_from": (["lineitem", "orders"], """
+SELECT 1 + 1 AS two, 15e-03 AS small, 'text' AS txt, NULL IS NULL AS unknown,
+       (SELECT count(*) FROM lineitem) AS n_lines,
+       (SELECT count(*) FROM orders WHERE o_totalprice > 1e5) AS n_large_orders
 """),
     "pt_distinct_aggregates": (["orders"], """
 SELECT o_orderstatus, count(DISTINCT o_custkey) AS n_customers,

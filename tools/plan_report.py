@@ -51,16 +51,16 @@ def summarize(text: str) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    import __spark_entry__ as E
+    from tidelake.plans.jobs import REGISTRY
     from tidelake.session import build_session
 
     spark = build_session()
     print("# PLANS\n")
-    print(f"Physical plans of every registered query at `{sf_dir}` (generated by "
+    print(f"Physical plans of the event lake's registered queries at `{sf_dir}` (generated by "
           "`tools/plan_report.py`; AQE may still change join strategies at run time from measured sizes).\n")
     print("| query | shuffles | broadcasts | joins | aggregates | windows | python | scans |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in REGISTRY.items():
         s = summarize(explain(fn(spark, sf_dir)))
         scans = "<br>".join(s["scans"])
         print(f"| {name} | {s['exchanges']} | {s['broadcasts']} | {', '.join(s['joins']) or '-'} | "
