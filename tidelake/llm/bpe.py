@@ -1,26 +1,29 @@
 """Byte-level BPE, pre-token by pre-token, with ids equal to the tokenizers library's.
 
 A text is cut at the vocabulary's special strings, then by the vocabulary's
-pre-token pattern; each pre-token's ids do not depend on its neighbours. A
-worker therefore keeps the value of pre-tokens it has met (their number of
-ids, or the ids as bytes) in a table of bounded size, and only asks the
-library for pre-tokens that are missing.
+pre-token pattern; each pre-token's ids do not depend on its neighbours. To
+count, a worker keeps the lengths of pre-tokens it has met in a table of
+bounded size, and only encodes pre-tokens that are missing.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
-import regex
 
 from tidelake.llm.common import pieces
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker keeps besides the frequent ones, and the longest that it keeps.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 64
 
+#: The vocabulary's pre-token pattern in the standard library's terms, for any text and for ASCII alone.
+_ANY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
 _SHARED: dict = {}
 
 
@@ -58,13 +61,21 @@ class _Table(dict):
 
 
 class Coder:
-    """Encodes whole texts. ``kind``: "count" (number of ids) or "ids" (bytes of
-    little-endian unsigned 32-bit ids). ``split_special``: special strings in a
-    text become their id (the library's default), else they are ordinary text."""
-
-    def __init__(self, path: str, kind: str, frequent: dict | None = None, split_special: bool = True):
+    """Encodes whole texts. ``split_special``: special strings in a text become
+    their id (the library's default), else they are ordinary text.
+
+    Ranks are read from the tokenizers file and merged by tiktoken, which gives
+    the same ids several times faster. Its pattern, and the plain pattern that
+    ``count`` cuts with, may know other versions of Unicode than the tokenizers
+    library; each character is therefore tried in all of them when it is met
+    first, and a piece of text with a character that any of them cuts
+    differently is left to that library.
+    """
+
+    def __init__(self, path: str, frequent: dict | None = None, split_special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocabulary_path(path))
@@ -72,49 +83,58 @@ class Coder:
         self.tok.encode_special_tokens = True  # they are cut out before
         self.special = None
         if split_special and added:
-            self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.kind = kind
-        self.special_value = {s: self.pack([i]) for s, i in added.items()}
-        self.table = _Table(frequent or {}, self.encode)
-        self.known: set[str] = set(map(chr, range(128)))
+            self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+        self.added = added
+        ranks = {b: i for i, b in enumerate(byte_pieces(path)) if i not in added.values()}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.table = _Table(frequent or {}, lambda piece: len(self.fast.encode_ordinary(piece)))
+        self.known: set[str] = set(map(chr, range(28))) | set(map(chr, range(32, 128)))
         self.odd: set[str] = set()
 
-    def pack(self, ids: list[int]):
-        return len(ids) if self.kind == "count" else np.asarray(ids, "<u4").tobytes()
-
-    def encode(self, text: str):
-        return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
-
     def _plain(self, text: str) -> bool:
-        """Whether the pattern cuts this text as the library does: characters met
-        for the first time are tried in the library (its Unicode tables may be older)."""
-        if text.isascii():
-            return True
+        """Whether all ways to cut this text agree."""
         met = set(text)
         for c in met - self.known:
             probe = f"a{c}1{c}! {c} {c}"
             cut = [probe[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(probe)]
-            if cut != self.find(probe):
+            if cut != _ANY.findall(probe) or self.fast.encode_ordinary(probe) != self._exact(probe):
                 self.odd.add(c)
             self.known.add(c)
         return self.odd.isdisjoint(met)
 
-    def values(self, text: str):
-        """The values of the text's parts, in order, as iterables."""
-        parts = self.special.split(text) if self.special else [text]
-        for k, part in enumerate(parts):
+    def _exact(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, text: str):
+        """(special id or None, piece of text) in order; no pre-token spans two pieces."""
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                yield [self.special_value[part]]
-                continue
-            for piece in pieces(part):
-                yield map(self.table.__getitem__, self.find(piece)) if self._plain(piece) else [self.encode(piece)]
+                yield self.added[part], part
+            else:
+                for piece in pieces(part):
+                    yield None, piece
+
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text whose characters are plain."""
+        return (_ASCII if text.isascii() else _ANY).findall(text)
 
     def count(self, text: str) -> int:
-        return sum(sum(v) for v in self.values(text))
+        """The number of ids, by looking up pre-tokens."""
+        total = 0
+        for special, piece in self._parts(text):
+            if special is not None:
+                total += 1
+            elif self._plain(piece):
+                total += sum(map(self.table.__getitem__, self.pretokens(piece)))
+            else:
+                total += len(self._exact(piece))
+        return total
 
     def ids(self, text: str) -> bytes:
-        return b"".join(b"".join(v) for v in self.values(text))
+        """The ids as little-endian unsigned 32-bit numbers."""
+        return b"".join(np.asarray([special] if special is not None else
+                                   self.fast.encode_to_numpy(piece, disallowed_special=()) if self._plain(piece) else self._exact(piece),
+                                   "<u4").tobytes() for special, piece in self._parts(text))
 
 
 def byte_pieces(path: str) -> list[bytes]:

@@ -77,7 +77,7 @@ def format_conversations(turns: DataFrame, path: str = bpe.VOCABULARY) -> DataFr
     prepare(turns.sparkSession)
 
     def encode(batches):
-        coder = bpe.shared(("chat", path), lambda: bpe.Coder(path, "ids", split_special=False))
+        coder = bpe.shared(("chat", path), lambda: bpe.Coder(path, split_special=False))
         for batch in batches:
             columns = {n: [coder.ids(escape(t or "")) for t in batch.column(n).to_pylist()] for n in ("role", "text")}
             yield pa.RecordBatch.from_pydict({

@@ -106,7 +106,7 @@ def pack(docs: DataFrame, path: str = bpe.VOCABULARY, window: int = WINDOW, part
     names = [*_SCHEMA.names[1:], *["ids"] * with_ids]
 
     def run(batches):
-        coder = bpe.shared(("ids", path), lambda: bpe.Coder(path, "ids"))
+        coder = bpe.shared(("ids", path), lambda: bpe.Coder(path))
         sequence = TaskContext.get().partitionId() << 40  # 2**40 sequences for each task
         waiting: list = []
         out: list = []

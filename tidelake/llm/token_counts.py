@@ -51,7 +51,7 @@ def frequent_pretokens(docs: DataFrame, path: str, table_size: int = TABLE_SIZE,
     """The corpus's heavy pre-tokens, at most ``table_size``, heaviest first."""
 
     def local(batches):
-        find = bpe.shared(("coder", path), lambda: bpe.Coder(path, "count")).find
+        find = bpe.shared(("coder", path), lambda: bpe.Coder(path)).pretokens
         words: Counter = Counter()
         for batch in batches:
             column = batch.column("text")
@@ -98,13 +98,13 @@ def token_counts(docs: DataFrame, path: str = bpe.VOCABULARY, limit: int = 1024,
     spark = docs.sparkSession
     prepare(spark)
     frequent = frequent_pretokens(docs, path, table_size, text_col)
-    coder = bpe.Coder(path, "count")
-    lengths = bytes(min(coder.encode(w), 255) for w in frequent)  # pre-tokens of at most WORD_BYTES + 1 bytes
+    coder = bpe.Coder(path, split_special=False)
+    lengths = bytes(map(coder.count, frequent))  # pre-tokens of at most WORD_BYTES + 1 bytes
     tier = spark.sparkContext.broadcast((frequent, lengths))
     table_key = uuid.uuid4().hex
 
     def count(batches):
-        own = bpe.shared(("counts", path, table_key), lambda: bpe.Coder(path, "count", dict(zip(*tier.value, strict=True))))
+        own = bpe.shared(("counts", path, table_key), lambda: bpe.Coder(path, dict(zip(*tier.value, strict=True))))
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"),
