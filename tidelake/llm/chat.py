@@ -36,7 +36,7 @@ from tidelake.llm.common import prepare
 
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 #: Tails of the control strings to escape, each behind ``<`` or ``[``: any <|name|>, and <s> </s> [INST] [/INST].
-_TAIL = r"(\|\w+\|>|/?s>|/?INST\])"
+_TAIL = r"(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\])"
 _BARE = regex.compile(r"([<\[])(\\*)" + _TAIL)
 _ESCAPED = regex.compile(r"([<\[])\\(\\*)" + _TAIL)
 LEARNED_ROLE = "assistant"

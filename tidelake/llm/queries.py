@@ -63,5 +63,42 @@ QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_hash_prefix_forest, op6_sentencepiece,
     op7_packing, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier)}
 
-#: Hashes, tokenizers and fitted models are beyond SQL; the tests hold these queries against brute force.
-ORACLES: dict[str, str] = {}
+#: Two results can be said in SQL: what is read back from formatted chats, and links by all pairs
+#: (whose components are small here). Hashes, tokenizers and fitted models are beyond SQL; the tests
+#: hold the other queries against brute force.
+ORACLES: dict[str, str] = {
+    "op3_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+escaped AS (
+  SELECT *, length(regexp_replace(role, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\])', '\1\\\2\3', 'g'))
+          + length(regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\])', '\1\\\2\3', 'g')) AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars + length('<|start|><|message|><|end|>')) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE
+vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM vectors a JOIN vectors b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+   AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+reach (vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.w FROM reach JOIN links ON links.u = reach.r)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE u = e.vec_id) AS n_links,
+       c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) c ON c.vec_id = e.vec_id
+""",
+}
