@@ -6,11 +6,12 @@ shuffle), used unchanged by the batch job and by the streaming job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import tidelake.functions as W
-from tidelake.sources.landing import event_time
 
 # The event record's field names, which are the table's columns.
 STRING_FIELDS = ["uuid", "event_type", "version", "org_id", "severity"]
@@ -37,10 +38,6 @@ EVENTS_SCHEMA = (
     "security_context VARIANT, metadata VARIANT, event_date DATE")
 
 
-def _field(raw: Column, name: str) -> Column:
-    return W.json_path(raw, f"$.{name}", "variant")
-
-
 def decompose(raw: DataFrame, with_metadata: bool = True, keep_event_date: bool = True,
               lineage: list[str] | None = None) -> DataFrame:
     """Typed events from raw events.
@@ -50,21 +47,23 @@ def decompose(raw: DataFrame, with_metadata: bool = True, keep_event_date: bool
     old array-shaped ``metadata`` never lands as an object: Q4).  Columns
     named in ``lineage`` are carried along.
     """
-    rj = F.col("raw_json")
+    names = EVENT_COLUMNS_WITH_METADATA if with_metadata else EVENT_COLUMNS
+    objects = [*OBJECT_FIELDS, *["metadata"] * with_metadata]
+    # One walk over the record takes its fields apart; the casts then read only their own field.
+    record = f"_record_{uuid.uuid4().hex[:8]}"
+    fields = ", ".join(f"`{n}`: variant" for n in ["timestamp", *STRING_FIELDS, *ARRAY_FIELDS, *objects])
+    raw = raw.withColumn(record, W.json_path("raw_json", "$", f"struct<{fields}>"))
     cols = {
         "insertion_timestamp": F.col("insertion_timestamp"),
         "cell": F.col("cell"),
-        "timestamp": event_time(rj),
+        "timestamp": W.to_timestamp(W.json_path(f"{record}.timestamp", "$", "string")),
     }
     for name in STRING_FIELDS:
-        cols[name] = W.json_path(rj, f"$.{name}", "string")
+        cols[name] = W.json_path(f"{record}.{name}", "$", "string")
     for name in ARRAY_FIELDS:
-        cols[name] = W.as_array(_field(rj, name))
-    for name in OBJECT_FIELDS:
-        cols[name] = W.as_object(_field(rj, name))
-    names = EVENT_COLUMNS_WITH_METADATA if with_metadata else EVENT_COLUMNS
-    if with_metadata:
-        cols["metadata"] = W.as_object(_field(rj, "metadata"))
+        cols[name] = W.as_array(f"{record}.{name}")
+    for name in objects:
+        cols[name] = W.as_object(f"{record}.{name}")
     out = [cols[n].alias(n) for n in names]
     if keep_event_date:
         out.append(F.to_date(cols["timestamp"]).alias("event_date"))
