@@ -374,3 +374,15 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
                                        _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))))
     with pytest.raises(RuntimeError):
         shared_dir(fake)
+
+
+def test_old_run_folders_are_purged(spark):
+    from tidelake.session import purge_runs, run_dir
+
+    old, new = run_dir(spark, "purge-old"), run_dir(spark, "purge-new")
+    for folder in (old, new):
+        spark.range(1).write.parquet(folder)
+    local = old.removeprefix("file:")
+    os.utime(local, (1, 1))
+    assert os.path.basename(old) in purge_runs(spark, 1.0)
+    assert not os.path.exists(local) and spark.read.parquet(new).count() == 1

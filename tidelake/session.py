@@ -9,11 +9,16 @@ defaults for tests and the bench.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
 
+# How run_dir ends a folder's name.
+_RUN = re.compile(r"-[0-9a-f]{12}$")
+
 LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -72,3 +77,18 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, job: str) -> str:
     """A fresh folder for one job run under the shared folder."""
     return f"{shared_dir(spark)}/tidelake/{job}-{uuid.uuid4().hex[:12]}"
+
+
+def purge_runs(spark: SparkSession, older_than_hours: float = 24.0) -> list[str]:
+    """Remove the folders of job runs that nothing has written to for so
+    long, and return their names.  Results of lazy jobs read their run's
+    folder, so it cannot go when the job returns."""
+    from tidelake.util import delete_path, list_dirs, modified_at
+
+    root, before = f"{shared_dir(spark)}/tidelake", time.time() - older_than_hours * 3600
+    gone = []
+    for name in list_dirs(spark, root):
+        if _RUN.search(name) and (modified_at(spark, f"{root}/{name}") or time.time()) < before:
+            delete_path(spark, f"{root}/{name}")
+            gone.append(name)
+    return gone
