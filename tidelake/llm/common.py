@@ -59,12 +59,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """A long text in pieces of about ``size`` characters, each but the last
-    ending in a word whose next character is white space; nothing is lost."""
+    """A long text in pieces of about ``size`` characters, each but the last ending
+    in a character that is no white space before one that is; nothing is lost."""
     at = 0
     while len(text) - at > size:
         end = at + size
-        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
+        while end < len(text) and (text[end] not in " \n\t\r" or text[end - 1].isspace()):
             end += 1
         yield text[at:end]
         at = end
