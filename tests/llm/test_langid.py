@@ -42,7 +42,7 @@ def test_presence_is_the_set_of_all_ngrams(monkeypatch):
 
 def test_kernel_is_normalised():
     x = np.stack([langid.presence(t) for t in ("the cat and the dog", "le chat et le chien", "the cat and the dog")])
-    model = langid.Model(x, ["en", "fr", "en"])
+    model = langid.Model(np.packbits(x, axis=1), ["en", "fr", "en"])
     own = x[:, model.features].astype(np.float32)
     k = model.kernel(own)
     a, b = own[0].astype(bool), own[1].astype(bool)

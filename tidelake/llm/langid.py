@@ -67,22 +67,23 @@ def has_letter(text: str) -> bool:
 
 
 class Model:
-    """Learned from presence vectors and their languages."""
+    """Learned from presence vectors, packed eight n-grams to a byte, and their languages."""
 
-    def __init__(self, rows: np.ndarray, langs: list[str]):
+    def __init__(self, packed: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
         if not self.langs:
             return
-        share = rows.mean(0)
+        blocks = range(0, len(packed), _ROWS)
+        share = sum(np.unpackbits(packed[k:k + _ROWS], axis=1).sum(0, dtype=np.int64) for k in blocks) / len(packed)
         spread = share * (1 - share) + 1e-9 * share  # n-grams that all or none hold say nothing
         self.features = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
-        x = rows[:, self.features].astype(np.float32)
+        x = np.concatenate([np.unpackbits(packed[k:k + _ROWS], axis=1)[:, self.features] for k in blocks])
         y = np.array([self.langs.index(v) for v in langs])
         each = max(1, LANDMARKS // len(self.langs))
         chosen = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(self.langs))])
-        self.landmarks = self._unit(x[chosen])
-        k = self.kernel(x).astype(np.float64)
-        m = self.kernel(x[chosen]).astype(np.float64)
+        self.landmarks = self._unit(x[chosen].astype(np.float32))
+        k = np.concatenate([self.kernel(x[r:r + _ROWS].astype(np.float32)) for r in blocks]).astype(np.float64)
+        m = k[chosen]
         targets = np.where(y[:, None] == np.arange(len(self.langs))[None], 1.0, -1.0)
         weight = 1 / np.sqrt(np.bincount(y, minlength=len(self.langs)))[y][:, None]  # languages count alike
         left = (k * weight).T @ (k * weight) + RIDGE * (weight**2).sum() * (m + 1e-6 * np.eye(len(m)))
@@ -130,7 +131,7 @@ def train(docs: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", t
     got = sorted(sample.collect(), key=lambda r: (r[0], r[1], r[2]))  # bounded: 2 * per_class rows of 8 KB a language
     if not got:
         return Model(np.zeros((0, 0), np.uint8), [])
-    return Model(np.stack([np.unpackbits(np.frombuffer(r[2], np.uint8)) for r in got]), [r[1] for r in got])
+    return Model(np.stack([np.frombuffer(r[2], np.uint8) for r in got]), [r[1] for r in got])
 
 
 def recognised(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text",
