@@ -175,7 +175,7 @@ def nearest_neighbours(embeddings: DataFrame, is_query, k: int = 10, first: int
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(dim), pa.int64()), "total": total})
 
     added = rows.select("embedding").mapInArrow(sums, "at long, total double").groupBy("at").agg(F.sum("total")).collect()
-    centre = np.array([t for _, t in sorted(added)]) / n  # dim rows
+    centre = np.round(np.array([t for _, t in sorted(added)]) / n, 6)  # dim rows; rounded, as sums differ by their order
     segments = max(1, -(-n // segment_rows))
     queries = rows.where("asks").select("vec_id", "embedding")
 

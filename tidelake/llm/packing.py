@@ -19,6 +19,10 @@ left. Blocks are filled inside a task, as the scan deals the documents; no
 row is shuffled, memory is bounded by the block, and a block's last rows in a
 task form a smaller block (at most a window's padding for each task).
 
+A sequence's id is its task's number and a counter. Rows of a scan come in the
+same order when a task is repeated; write a shuffled input first, as the
+pipeline does.
+
 Null and empty texts hold the separator alone; repeated rows are documents of
 their own; an empty table gives no pieces; very long texts are encoded in
 pieces and become full windows and one rest.
