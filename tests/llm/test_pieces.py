@@ -59,7 +59,7 @@ def test_unigram_viterbi_is_the_best_segmentation():
             ends = [0, *[k + 1 for k, c in enumerate(cuts) if c], len(text)]
             parts = [text[a:b] for a, b in itertools.pairwise(ends)]
             best = max(best, sum(score.get(p, -np.inf) for p in parts))
-        found = [words[i] for i in got[text]]
+        found = [words[i] for i in np.frombuffer(got[text], np.int32)]
         assert "".join(found) == text and np.isclose(sum(score[p] for p in found), best)
 
 

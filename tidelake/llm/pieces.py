@@ -48,7 +48,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_000_000
 #: Characters of the words that advance as one matrix.
 _CELLS = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -137,6 +137,13 @@ class Lattice:
         self.hashes, self.piece_ids, self.chars, self.lengths = h[by], np.array([i for _, i in words])[by], chars[by], lengths[by]
         if len(np.unique(self.hashes)) < len(words):
             raise ValueError("two pieces share a hash")
+        self.likely = np.zeros(1 << 22, bool)  # slots of pieces' hashes: most other substrings end here
+        self.likely[self._slot(self.hashes)] = True
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(42)).astype(np.int64)
 
     def _joined(self, own) -> None:
         """A bitmap of hashed character pairs that stand side by side in some piece."""
@@ -163,11 +170,15 @@ class Lattice:
         """The id of the piece at each place of each word that has ``length`` characters, or -1."""
         with np.errstate(over="ignore"):
             h = prefix[:, length:] - prefix[:, :-length] * self.powers[length]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found = (self.hashes[at] == h) & (self.lengths[at] == length)
+        out = np.full(h.shape, -1, np.int64)
+        row, place = np.nonzero(self.likely[self._slot(h)])
+        own = h[row, place]
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        found = (self.hashes[at] == own) & (self.lengths[at] == length)
         for k in range(length):
-            found &= self.chars[at, k] == chars[:, k:chars.shape[1] - length + 1 + k]
-        return np.where(found, self.piece_ids[at], -1)
+            found &= self.chars[at, k] == chars[row, place + k]
+        out[row[found], place[found]] = self.piece_ids[at[found]]
+        return out
 
     # -- merges of BPE models ---------------------------------------------
 
@@ -184,11 +195,14 @@ class Lattice:
         keys = a * (self.size + 1) + b
         by = np.argsort(keys)
         self.merge_keys, self.merge_ranks = keys[by], self.rank[whole[by]]
+        self.likely_merges = np.zeros(1 << 22, bool)
+        self.likely_merges[self._slot(keys.astype(np.uint64))] = True
         # Pieces along the left and the right edge, from the whole piece down to a character.
         self.left = np.full((self.size + 1, self.longest), -1, np.int64)
         self.right = self.left.copy()
         self.left[:, 0] = self.right[:, 0] = np.arange(self.size + 1)
         self.reached = self.rank < 0
+        self.met_pairs, self.met_keeps = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         for n in range(2, self.longest + 1):
             at = np.flatnonzero((length == n) & self.reached[a] & self.reached[b])
             at = at[self._keeps(a[at], b[at], self.rank[whole[at]])]
@@ -196,11 +210,15 @@ class Lattice:
             self.left[whole[at], 1:], self.right[whole[at], 1:] = self.left[a[at], :-1], self.right[b[at], :-1]
 
     def _merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not len(self.merge_keys):
-            return np.full(len(a), _NEVER)
+        """The rank at which two neighbours merge, _NEVER for most."""
+        out = np.full(len(a), _NEVER)
         key = a * (self.size + 1) + b
-        at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
-        return np.where(self.merge_keys[at] == key, self.merge_ranks[at], _NEVER)
+        at = np.flatnonzero(self.likely_merges[self._slot(key.view(np.uint64))])
+        if len(at) and len(self.merge_keys):
+            own = key[at]
+            found = np.minimum(np.searchsorted(self.merge_keys, own), len(self.merge_keys) - 1)
+            out[at] = np.where(self.merge_keys[found] == own, self.merge_ranks[found], _NEVER)
+        return out
 
     def _keeps(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int = _NEVER) -> np.ndarray:
         """Whether merges before ``limit`` leave the boundary between pieces a and b alone."""
@@ -211,73 +229,100 @@ class Lattice:
             if not len(live):
                 break
             for j in range(self.longest):
-                live = live[keeps[live] & (self.left[b[live], j] >= 0)]
+                live = live[self.left[b[live], j] >= 0]
                 if not len(live):
                     break
                 x, y = self.right[a[live], i], self.left[b[live], j]
-                x_used = self.rank[self.right[a[live], i - 1]] if i else limit[live]
-                y_used = self.rank[self.left[b[live], j - 1]] if j else limit[live]
-                together = np.maximum(self.rank[x], self.rank[y]) < np.minimum(x_used, y_used)
                 merge = self._merge_rank(x, y)
-                keeps[live[together & (merge < x_used) & ((merge <= y_used) if j else (merge < y_used))]] = False
+                at = np.flatnonzero(merge != _NEVER)  # few neighbours merge at all
+                if not len(at):
+                    continue
+                own, merge = live[at], merge[at]
+                x_used = self.rank[self.right[a[own], i - 1]] if i else limit[own]
+                y_used = self.rank[self.left[b[own], j - 1]] if j else limit[own]
+                together = np.maximum(self.rank[x[at]], self.rank[y[at]]) < np.minimum(x_used, y_used)
+                keeps[own[together & (merge < x_used) & ((merge <= y_used) if j else (merge < y_used))]] = False
+                live = live[keeps[live]]
         return keeps
 
+    def _boundary(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``_keeps`` without a limit, remembered by pair in a table of fixed size."""
+        key = a * (self.size + 1) + b
+        slot = self._slot(key.view(np.uint64)) >> 2
+        out = self.met_keeps[slot]
+        new = np.flatnonzero(self.met_pairs[slot] != key)
+        if len(new):
+            out[new] = self._keeps(a[new], b[new])
+            self.met_pairs[slot[new]], self.met_keeps[slot[new]] = key[new], out[new]
+        return out
+
     # -- encoding ---------------------------------------------------------
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of each word; words of equal length advance together."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each word, as int32 bytes; words of equal length advance together."""
         groups: dict[int, list[str]] = {}
         for w in words:
             groups.setdefault(len(w), []).append(w)
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         for length, own in groups.items():
             step = max(1, _CELLS // length)
             for k in range(0, len(own), step):
                 out.update(zip(own[k:k + step], self._viterbi(own[k:k + step], length), strict=True))
         return out
 
-    def _viterbi(self, words: list[str], length: int) -> list[list[int]]:
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
-        prefix = np.zeros((len(words), length + 1), np.uint64)
+    def _viterbi(self, words: list[str], length: int) -> list[bytes]:
+        n = len(words)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
+        prefix = np.zeros((n, length + 1), np.uint64)
         with np.errstate(over="ignore"):
             for c in range(length):
                 prefix[:, c + 1] = prefix[:, c] * _BASE + chars[:, c] + np.uint64(1)
         most = min(self.longest, length)
-        found = [self._probe(chars, prefix, n) for n in range(1, most + 1)]
+        found = [self._probe(chars, prefix, m) for m in range(1, most + 1)]
         found[0] = np.where(found[0] < 0, self.size, found[0])
         if self.kind == BPE:
             found = [np.where((f >= 0) & self.reached[f], f, -1) for f in found]
-        score = np.zeros((len(words), length + 1))
-        last = np.full((len(words), length + 1), -1, np.int64)
-        back = np.zeros((len(words), length + 1), np.int64)
+        score = np.zeros((n, length + 1))
+        last = np.full((n, length + 1), -1, np.int64)
+        back = np.zeros((n, length + 1), np.int64)
+        rows = np.arange(n)
         for end in range(1, length + 1):
             reach = min(most, end)
-            ids = np.stack([found[n - 1][:, end - n] for n in range(1, reach + 1)], axis=1)
+            ids = np.stack([found[m - 1][:, end - m] for m in range(1, reach + 1)], axis=1)
             before = np.arange(end - 1, end - 1 - reach, -1)
             if self.kind == BPE:
-                allowed = ids >= 0
-                inner = np.flatnonzero(allowed & (before > 0)[None])
-                previous = last[:, before].ravel()[inner]
-                flat = allowed.ravel()
-                flat[inner] = (previous >= 0) & self._keeps(np.maximum(previous, 0), ids.ravel()[inner])
-                total = np.where(flat.reshape(allowed.shape), 0.0, -np.inf)
+                # Every prefix has one allowed piece, so the single character is it if no longer one is.
+                total = np.where(ids >= 0, 1.0, -np.inf)
+                total[:, 0] = 0.0
+                at, m = np.nonzero((ids >= 0) & (before > 0)[None])
+                at, m = at[m > 0], m[m > 0]
+                keeps = self._boundary(last[at, before[m]], ids[at, m])
+                total[at[~keeps], m[~keeps]] = -np.inf
             else:
                 total = np.where(ids >= 0, score[:, before] + self.scores[ids], -np.inf)
             best = total.argmax(1)
-            at = np.arange(len(words))
-            score[:, end] = total[at, best]
-            last[:, end] = np.where(np.isfinite(score[:, end]), ids[at, best], -1)
+            score[:, end] = total[rows, best]
+            last[:, end] = ids[rows, best]
             back[:, end] = best + 1
-        out: list[list[int]] = []
-        for row, word in enumerate(words):
-            ids, at = [], length
-            while at:
-                i = int(last[row, at])
-                ids += [i] if i < self.size else self._spelled(word[at - 1])[::-1]
-                at -= int(back[row, at])
-            out.append(ids[::-1])
+        # Follow the backpointers of all words at once, filling ids from the right.
+        ids, used, at = np.zeros((n, length), np.int32), np.zeros(n, np.int64), np.full(n, length)
+        while len(live := np.flatnonzero(at)):
+            used[live] += 1
+            ids[live, length - used[live]] = last[live, at[live]]
+            at[live] -= back[live, at[live]]
+        out = [row[length - k:].tobytes() for row, k in zip(ids, used.tolist(), strict=True)]
+        for row in np.flatnonzero((ids == self.size).any(1)).tolist():
+            out[row] = self._with_spelling(words[row], ids[row, length - used[row]:].tolist(), back[row])
         return out
 
+    def _with_spelling(self, word: str, ids: list[int], back: np.ndarray) -> bytes:
+        """Ids of a word with characters of no piece, which become bytes (or the unknown id)."""
+        spelled, at = [], len(word)
+        for i in reversed(ids):
+            spelled += [i] if i < self.size else self._spelled(word[at - 1])[::-1]
+            at -= int(back[at])
+        return np.array(spelled[::-1], np.int32).tobytes()
+
     def _spelled(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
 
@@ -303,10 +348,13 @@ class Processor:
             pieces, scores, types, kind = read_model(f.read())
         self.lattice = Lattice(pieces, scores, types, kind)
         self.normalize = self.library.normalize
-        self.table: dict[str, np.ndarray] = {}
+        self.table: dict[str, bytes] = {}
         self.surface = [p.replace(SPACE, " ").encode("utf-8") if t in (NORMAL, UNUSED) else bytes([int(p[3:5], 16)]) if t == BYTE
                         else " ⁇ ".encode() if t == UNKNOWN else b"" for p, t in zip(pieces, types, strict=True)]
         self.is_byte = [t == BYTE for t in types]
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.lengths = np.array([len(b) for b in self.surface])
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.prefixed = self.normalize("a").startswith(SPACE)
 
     def _split(self, text: str) -> list[str]:
@@ -319,27 +367,36 @@ class Processor:
             self.table.clear()
             new = set().union(*split)
         runs = self.lattice.runs
-        marks = {w: len(w) - len(w.lstrip(SPACE)) if runs else 0 for w in new}
-        core = {w: w if m < 2 else w[m - 1:] for w, m in marks.items()}
-        coded = self.lattice.encode_words(set(core.values()))
-        lone = [self.lattice.ids.get(SPACE)]
-        for w in new:
-            ids = coded[core[w]]
-            if marks[w] > 1:
-                alone = ids[:1] == lone
-                ids = self.lattice.run(marks[w] - (not alone)) + ids[alone:]
-            self.table[w] = np.array(ids, np.int32)
-        return [np.concatenate([self.table[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in split]
+        marked = [w for w in new if runs and w.startswith(SPACE * 2)]
+        plain = new.difference(marked)
+        core = {w: w.lstrip(SPACE) for w in marked}  # a run of marks; its last one goes with the word behind
+        coded = self.lattice.encode_words(plain | {SPACE + c for c in core.values()})
+        self.table.update((w, coded[w]) for w in plain)
+        lone = np.int32(self.lattice.ids.get(SPACE, -1)).tobytes()
+        for w, c in core.items():
+            ids = coded[SPACE + c]
+            alone = ids[:4] == lone
+            marks = self.lattice.run(len(w) - len(c) - (not alone))
+            self.table[w] = np.array(marks, np.int32).tobytes() + ids[4 * alone:]
+        return [np.frombuffer(b"".join(map(self.table.__getitem__, ws)), np.int32) for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
-        ids = list(ids)
-        raw = b"".join(map(self.surface.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        raw = b"".join(self._bytes(ids[k:k + _CELLS]) for k in range(0, len(ids), _CELLS))
         try:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
-            text = self._mended(ids)
-        first = next((i for i in ids if self.surface[i]), None)  # the normaliser's prefix, not a byte that is a space
-        return text[1:] if self.prefixed and text.startswith(" ") and not self.is_byte[first] else text
+            text = self._mended(ids.tolist())
+        if self.prefixed and text.startswith(" "):
+            first = ids[(self.lengths[ids] > 0).argmax()]
+            return text if self.is_byte[first] else text[1:]  # the normaliser's prefix, unless it is a byte
+        return text
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        """The pieces' bytes one behind the other, gathered from one flat array."""
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1])].tobytes()
 
     def _mended(self, ids: list[int]) -> str:
         """As ``decode``; bytes that make no character become U+FFFD, one for each byte."""
@@ -377,7 +434,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
             ids = own.encode_batch(texts(batch))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32())),
-                "decoded": pa.array(map(own.decode, map(np.ndarray.tolist, ids)), pa.string())})
+                "decoded": pa.array(map(own.decode, ids), pa.string())})
 
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, decoded string"))
