@@ -43,7 +43,7 @@ LEAST = 0.93
 WIDTH = 2.5
 COLLISIONS = 0.25
 MISS = 0.02
-BLOCK = 1024
+BLOCK = 512
 SEED = 11
 #: Rounding that candidate cosines of normalised vectors may carry before the exact check.
 _SLACK = 1e-6
@@ -100,7 +100,8 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(table: int, alone: bool, side: np.ndarray, cid: np.ndarray, copies: np.ndarray, x: np.ndarray, keys: np.ndarray, least: float):
+def _compare(table: int, alone: bool, side: np.ndarray, cid: np.ndarray, copies: np.ndarray, x: np.ndarray, least: float,
+             k: int, tables: int):
     """One block: (class, links to add, root) of the classes that link here. side 0 and 1 are the two
     slots of a pair; a block of one slot ``alone`` compares it with itself."""
     a = np.flatnonzero(side == 0)
@@ -109,6 +110,12 @@ def _compare(table: int, alone: bool, side: np.ndarray, cid: np.ndarray, copies:
     i, j = a[i], b[j]
     if alone:
         i, j = i[i < j], j[i < j]
+    if not len(i):
+        return
+    # Keys are worked out again for the few that link, which is cheaper than carrying them along.
+    met = np.unique(np.concatenate([i, j]))
+    keys = np.empty((len(cid), tables), np.int64)
+    keys[met] = keys_of(x[met], k, tables)
     own = np.empty(len(i), bool)
     for s in range(0, len(i), 1 << 14):
         p, q = i[s:s + (1 << 14)], j[s:s + (1 << 14)]
@@ -144,11 +151,12 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, miss: float = M
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
                 keys = keys_of(vectors.matrix(own.column("embedding")), k, tables)
-                yield own.append_column("keys", pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_pydict({**{c: own.column(c) for c in ("label", "dim", "cid")},
+                                                  "keys": pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64()))})
 
     kinds = dict(classes.dtypes)
-    signed = stash(classes.mapInArrow(sign, f"label {kinds['label']}, embedding {kinds['embedding']}, cid {kinds['cid']}, "
-                                            "copies long, dim int, keys array<long>"), "vector-keys")
+    signed = stash(classes.select("label", "dim", "cid", "embedding").mapInArrow(
+        sign, f"label {kinds['label']}, dim int, cid {kinds['cid']}, keys array<long>"), "vector-keys")
     buckets = signed.select("label", "dim", "cid", F.posexplode("keys").alias("tab", "key"))
     full = (buckets.groupBy("label", "dim", "tab", "key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
             .withColumn("slots", F.ceil(F.col("held") / F.lit(block)).cast("int")))
@@ -157,17 +165,17 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, miss: float = M
              .withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
              .select("label", "dim", "tab", "key", "cid", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"),
                      (F.col("slot") > F.col("other")).cast("int").alias("side")))
-    loaded = dealt.join(signed.select("cid", F.col("label").alias("own_label"), "embedding", "copies", "keys")
-                        .withColumnRenamed("cid", "own_cid"),
-                        (F.col("cid") == F.col("own_cid")) & (F.col("label") == F.col("own_label"))).drop("own_cid", "own_label")
+    loaded = dealt.join(classes.select(F.col("cid").alias("own_cid"), F.col("label").alias("own_label"), F.col("dim").alias("own_dim"),
+                                       "embedding", "copies"),
+                        (F.col("cid") == F.col("own_cid")) & (F.col("label") == F.col("own_label")) & (F.col("dim") == F.col("own_dim"))) \
+        .drop("own_cid", "own_label", "own_dim")
 
     def compare(batches):
         held: list = []
         now, out = None, []
 
         def close():
-            x = np.concatenate([h[3] for h in held])
-            return _compare(now[2], now[4] == now[5], *(np.concatenate([h[c] for h in held]) for c in range(3)), x, np.concatenate([h[4] for h in held]), least)
+            return _compare(now[2], now[4] == now[5], *(np.concatenate([h[c] for h in held]) for c in range(4)), least, k, tables)
 
         for batch in batches:
             group = list(zip(*(batch.column(c).to_pylist() for c in _GROUP), strict=True))
@@ -179,7 +187,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, miss: float = M
                         out += close()
                     held, now = [], group[a]
                 own = batch.slice(a, b - a)
-                held.append((side[a:b], cid[a:b], copies[a:b], vectors.matrix(own.column("embedding")), vectors.matrix_of_ints(own.column("keys"))))
+                held.append((side[a:b], cid[a:b], copies[a:b], vectors.matrix(own.column("embedding"))))
             if len(out) > 10_000:
                 yield rows_of(out)
                 out = []

@@ -20,7 +20,3 @@ def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-
-def matrix_of_ints(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
