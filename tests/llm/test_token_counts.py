@@ -5,6 +5,7 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 from tidelake.llm import bpe, queries, token_counts
+from tidelake.llm.common import pieces
 
 from .conftest import TEXTS
 
@@ -33,7 +34,7 @@ def test_any_first_tier_gives_the_same(edge_docs):
 
 
 def test_summary_keeps_heavy_pretokens(edge_docs):
-    found = token_counts.frequent_pretokens(edge_docs, bpe.VOCABULARY, 8)
+    found = token_counts.frequent_pretokens(edge_docs, 8)
     assert len(found) <= 8 and " the" in found
 
 
@@ -48,6 +49,14 @@ def test_random_texts(library):
         assert memoryview(ids.ids(text)).cast("I").tolist() == want
 
 
+def test_long_texts_are_cut_between_pretokens(library):
+    coder = bpe.Coder(bpe.VOCABULARY)
+    for text in ("ab!\x1c\x1d " * 200_000, "don't  \n\n stop\u3000it\x85 " * 60_000, "x" * 1_100_000 + " y"):
+        assert "".join(pieces(text)) == text and len(text) > 1 << 20
+        want = library.encode(text, add_special_tokens=False).ids
+        assert coder.count(text) == len(want) and memoryview(coder.ids(text)).cast("I").tolist() == want
+
+
 def test_bounded_worker_cache(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
     coder = bpe.Coder(bpe.VOCABULARY, {" the": 1})

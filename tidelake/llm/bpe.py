@@ -88,6 +88,7 @@ class Coder:
         ranks = {b: i for i, b in enumerate(byte_pieces(path)) if i not in added.values()}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.table = _Table(frequent or {}, lambda piece: len(self.fast.encode_ordinary(piece)))
+        self.preferred = None
         self.known: set[str] = set(map(chr, range(28))) | set(map(chr, range(32, 128)))
         self.odd: set[str] = set()
 
@@ -114,9 +115,10 @@ class Coder:
                 for piece in pieces(part):
                     yield None, piece
 
-    def pretokens(self, text: str) -> list[str]:
-        """The pre-tokens of a text whose characters are plain."""
-        return (_ASCII if text.isascii() else _ANY).findall(text)
+    def prefer(self, key: str, frequent: dict) -> None:
+        """Take the frequent pre-tokens of this broadcast as first tier, once for each key."""
+        if self.preferred != key:
+            self.preferred, self.table = key, _Table(frequent, self.table.value)
 
     def count(self, text: str) -> int:
         """The number of ids, by looking up pre-tokens."""
@@ -125,7 +127,7 @@ class Coder:
             if special is not None:
                 total += 1
             elif self._plain(piece):
-                total += sum(map(self.table.__getitem__, self.pretokens(piece)))
+                total += sum(map(self.table.__getitem__, pretokens(piece)))
             else:
                 total += len(self._exact(piece))
         return total
@@ -137,6 +139,11 @@ class Coder:
                                    "<u4").tobytes() for special, piece in self._parts(text))
 
 
+def pretokens(text: str) -> list[str]:
+    """The pre-tokens of a text whose characters are plain."""
+    return (_ASCII if text.isascii() else _ANY).findall(text)
+
+
 def byte_pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
     from tokenizers import Tokenizer

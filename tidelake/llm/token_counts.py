@@ -47,11 +47,10 @@ def cut(counts: Counter, size: int) -> Counter:
     return Counter({w: n - least for w, n in top[:-1] if n > least})
 
 
-def frequent_pretokens(docs: DataFrame, path: str, table_size: int = TABLE_SIZE, text_col: str = "text") -> list[str]:
+def frequent_pretokens(docs: DataFrame, table_size: int = TABLE_SIZE, text_col: str = "text") -> list[str]:
     """The corpus's heavy pre-tokens, at most ``table_size``, heaviest first."""
 
     def local(batches):
-        find = bpe.shared(("coder", path), lambda: bpe.Coder(path)).pretokens
         words: Counter = Counter()
         for batch in batches:
             column = batch.column("text")
@@ -63,7 +62,7 @@ def frequent_pretokens(docs: DataFrame, path: str, table_size: int = TABLE_SIZE,
                 words = cut(words, 2 * table_size)
         tokens: Counter = Counter()
         for word, n in words.items():
-            for t in find(" " + word):
+            for t in bpe.pretokens(" " + word):
                 tokens[t] += n
         tokens = cut(tokens, table_size)
         yield pa.RecordBatch.from_pydict({
@@ -97,14 +96,15 @@ def token_counts(docs: DataFrame, path: str = bpe.VOCABULARY, limit: int = 1024,
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row."""
     spark = docs.sparkSession
     prepare(spark)
-    frequent = frequent_pretokens(docs, path, table_size, text_col)
+    frequent = frequent_pretokens(docs, table_size, text_col)
     coder = bpe.Coder(path, split_special=False)
     lengths = bytes(map(coder.count, frequent))  # pre-tokens of at most WORD_BYTES + 1 bytes
     tier = spark.sparkContext.broadcast((frequent, lengths))
     table_key = uuid.uuid4().hex
 
     def count(batches):
-        own = bpe.shared(("counts", path, table_key), lambda: bpe.Coder(path, dict(zip(*tier.value, strict=True))))
+        own = bpe.shared(("counts", path), lambda: bpe.Coder(path))
+        own.prefer(table_key, dict(zip(*tier.value, strict=True)))
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"),
