@@ -119,6 +119,8 @@ def links(nodes: DataFrame) -> DataFrame:
     """Pairs (u, v), u < v, of the nodes (id, fingerprint; fingerprints distinct)
     whose fingerprints differ in at most MAX_BITS bits."""
     fp = F.col("fingerprint")
+    # A node becomes 72 rows: spread them before, however few files hold the nodes.
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     near = [F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)]]
     listed = nodes.select(F.col("id").alias("u"), fp.alias("fu"), F.explode(F.array(*_keys(fp))).alias("key"))
     asked = (nodes.select(F.col("id").alias("v"), fp.alias("fv"), F.explode(F.array(*_keys(fp))).alias("exact"))
