@@ -28,6 +28,7 @@ copies. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -63,12 +64,19 @@ def sizes(n: int, least: float = LEAST, miss: float = MISS) -> tuple[int, int]:
     return k, math.ceil(math.log(miss) / math.log(1 - p1**k))
 
 
+@functools.lru_cache(maxsize=8)
+def _projections(dim: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Gaussian directions, offsets and hash factors of all keys."""
+    rng = np.random.default_rng([SEED, dim])
+    return (rng.standard_normal((dim, k * tables)), rng.uniform(0, WIDTH, k * tables),
+            rng.integers(1 << 62, size=(k * tables)).astype(np.uint64) | np.uint64(1))
+
+
 def keys_of(x: np.ndarray, k: int, tables: int) -> np.ndarray:
     """The 64-bit bucket key of each row in each table."""
-    rng = np.random.default_rng([SEED, x.shape[1]])
+    directions, offsets, mix = _projections(x.shape[1], k, tables)
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-    cell = np.floor((unit @ rng.standard_normal((x.shape[1], k * tables)) + rng.uniform(0, WIDTH, k * tables)) / WIDTH)
-    mix = rng.integers(1 << 62, size=(k * tables)).astype(np.uint64) | np.uint64(1)
+    cell = np.floor((unit @ directions + offsets) / WIDTH)
     with np.errstate(over="ignore"):
         h = (cell.astype(np.int64).astype(np.uint64) * mix).reshape(len(x), tables, k).sum(2, dtype=np.uint64)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
