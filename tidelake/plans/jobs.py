@@ -21,13 +21,13 @@ from tidelake.operators.sqltext import run_sql, run_template
 from tidelake.plans import passthrough
 from tidelake.session import run_dir, shared_dir
 from tidelake.sources.landing import RAW_SCHEMA, epoch_ntz, hourly_load_time, landing_records, raw_from_records, write_landing
-from tidelake.sources.tables import read_table
+from tidelake.sources.tables import read_heavy, read_table
 from tidelake.streaming import ingest
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw events table as an hourly loader would have filled it."""
-    records = landing_records(read_table(spark, sf_dir, "events"))
+    records = landing_records(read_heavy(spark, sf_dir, "events"))
     return raw_from_records(records, hourly_load_time(F.col("event_ts")))
 
 
@@ -46,7 +46,7 @@ def events_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MD5 family per document."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_heavy(spark, sf_dir, "documents")
     text = W.to_binary_utf8("text")
     return docs.select(
         "doc_id",
@@ -72,7 +72,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def binary_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hex and base64 codecs over whole texts, with round-trip checks
     (F15-F22).  Long encodings are reported by their MD5 and length."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_heavy(spark, sf_dir, "documents")
     b = W.to_binary_utf8("text")
     hex_text = W.hex_encode(b)
     b64_text = W.base64_encode(b)
@@ -92,7 +92,7 @@ def binary_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points, lengths, affixes and positions per document (F1, F3-F6,
     F10, F11, F14-F16) on multilingual text."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_heavy(spark, sf_dir, "documents")
     t = F.col("text")
     return docs.select(
         "doc_id", "lang",
@@ -129,7 +129,7 @@ def text_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regular-expression functions over whole pages."""
-    pages = read_table(spark, sf_dir, "pages")
+    pages = read_heavy(spark, sf_dir, "pages")
     html, url = F.col("html"), F.col("url")
     link = F.lit('href="/[[:alnum:]]+"')
     return pages.select(
@@ -189,7 +189,7 @@ def json_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each event becomes one VARIANT document; ``variant_explode`` lists its
     keys and TYPEOF names each value.  The count per (key, type) is a
     partially aggregated groupBy."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = read_heavy(spark, sf_dir, "events")
     doc = F.to_json(F.struct(
         F.parse_json("props").alias("props"),
         F.col("value").alias("value"),
@@ -226,7 +226,7 @@ def events_stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Reruns of both streams then find nothing new (W2)."""
     base = run_dir(spark, "stream-load")
-    write_landing(landing_records(read_table(spark, sf_dir, "events")), f"{base}/landing")
+    write_landing(landing_records(read_heavy(spark, sf_dir, "events")), f"{base}/landing")
     ingest.run_once(ingest.start_raw_load(spark, f"{base}/landing", f"{base}/raw", f"{base}/ckpt/raw",
                                           load_time=_lit_ts(LOAD_TIME)))
     ingest.run_once(ingest.start_decompose(spark, f"{base}/raw", f"{base}/events", f"{base}/ckpt/events"))
@@ -240,7 +240,7 @@ def stream_rerun_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     and load parts are in the ledgers by then)."""
     base = run_dir(spark, "rerun-gate")
     landing, raw, events = f"{base}/landing", f"{base}/raw", f"{base}/events"
-    write_landing(landing_records(read_table(spark, sf_dir, "events")), landing)
+    write_landing(landing_records(read_heavy(spark, sf_dir, "events")), landing)
 
     def run(checkpoint: str) -> None:
         ingest.run_once(ingest.start_raw_load(spark, landing, raw, f"{base}/{checkpoint}/raw", load_time=_lit_ts(LOAD_TIME)))
@@ -269,7 +269,7 @@ def refresh_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     modified in the last day + 5 minutes loads exactly the missing ones.
     Returns row counts per cell and event date of the raw table."""
     base = run_dir(spark, "refresh")
-    records = landing_records(read_table(spark, sf_dir, "events"))
+    records = landing_records(read_heavy(spark, sf_dir, "events"))
     early = records.where(F.col("event_ts") < _lit_ts(LATE_DROP_FROM))
     late = records.where(F.col("event_ts") >= _lit_ts(LATE_DROP_FROM))
     landing, raw = f"{base}/landing", f"{base}/raw"

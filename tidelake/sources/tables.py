@@ -15,6 +15,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SCAN_PARTITIONS = "spark.tidelake.scan.partitions"
+
+
+def read_heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table for work that is CPU-heavy per row.
+
+    A file of one row group is read by one task.  Where the user knows their
+    files to be so few and large, they set ``spark.tidelake.scan.partitions``
+    and rows are dealt to that many tasks first.  Unset (the default) nothing
+    is shuffled, whatever the size.
+    """
+    df = read_table(spark, sf_dir, name)
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
+
+
 def register_views(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Expose test tables as temp views so SQL text can name them."""
     for name in names or TEST_TABLES:
