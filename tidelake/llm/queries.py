@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelake.llm import ann, chat, embed_dedup, langid, packing, pieces, quality, sharding, simhash, token_counts
+from tidelake.llm import ann, chat, embed_dedup, langid, packing, pieces, quality, sharding, simhash, token_counts, trie
 from tidelake.sources.tables import read_table
 
 
@@ -59,9 +59,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_hash_prefix_forest, op6_sentencepiece,
-    op7_packing, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier)}
+    op7_packing, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier,
+    op11_conversation_trie)}
 
 #: Two results can be said in SQL: what is read back from formatted chats, and links by all pairs
 #: (whose components are small here). Hashes, tokenizers and fitted models are beyond SQL; the tests
