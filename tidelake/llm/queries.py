@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelake.llm import ann, chat, embed_dedup, langid, packing, pieces, quality, repair, sharding, simhash, token_counts, trie
+from tidelake.llm import ann, chat, embed_dedup, langid, packing, pieces, quality, repair, sharding, simhash, token_counts, trie, urls
 from tidelake.sources.tables import read_table
 
 
@@ -63,6 +63,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_report(read_table(spark, sf_dir, "conversations"))
 
@@ -70,7 +74,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_hash_prefix_forest, op6_sentencepiece,
     op7_packing, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier,
-    op11_conversation_trie, op13_conversation_repair)}
+    op11_conversation_trie, op12_url_filters, op13_conversation_repair)}
 
 #: Two results can be said in SQL: what is read back from formatted chats, and links by all pairs
 #: (whose components are small here). Hashes, tokenizers and fitted models are beyond SQL; the tests
