@@ -75,6 +75,51 @@ def test_null_ids(spark):
     assert sorted((r.component_id is None, r.kept) for r in rows if r.doc_id is None) == [(False, False), (True, False)]
 
 
+def test_links_through_texts_without_an_id(spark):
+    """Fingerprints 0, 7 and 63 in a chain whose middle has no id."""
+    prints = spark.createDataFrame([(1, 0), (None, 7), (9, 63), (5, 0xffff00)], "doc_id long, fingerprint long")
+    classes = simhash._components(prints, simhash.F.col("doc_id")).collect()
+    assert {(r.fp, r.component, r.least) for r in classes} == {(0, 0, 1), (7, 0, None), (63, 0, 9), (0xffff00, 0xffff00, 5)}
+
+
+def brute_kept(rows):
+    prints = [brute_fingerprint(t) for _, t in rows]
+    classes = brute_components(dict(enumerate(prints)))
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        h = xxhash.xxh64_intdigest((t or "").encode())
+        signed = prints[k] - (1 << 64) if prints[k] >> 63 else prints[k]
+        groups.setdefault((classes[k], k if i is None else -1), []).append((i or 0, signed, h - (1 << 64) if h >> 63 else h, k))
+    return sorted(repr(rows[min(g)[-1]]) for g in groups.values())
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, u = "the cat sat on the mat and looked at the dog", "an other text of its own without any copy"
+    rows = [(1, a), (5, a), (5, u), (5, u), (None, a), (None, "nameless and alone here"), (None, "nameless and alone here"),
+            (7, None), (8, ""), (6, "THE cat sat on the mat and looked at the dog"), (9, "w " * 40000)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, `a.b` int").repartition(3)
+    out = simhash.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == brute_kept(rows)
+    assert {(1, a), (5, u)} <= {(r.doc_id, r.text) for r in out.collect()}
+    assert simhash.deduplicated(df.where("false")).count() == 0
+
+
+def test_texts_are_not_shuffled(spark, small_dir):
+    """Only bitmaps move, also where they are too many to broadcast."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.deduplicated(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        rows = docs.select("doc_id", "text").collect()
+        assert sorted(repr((r.doc_id, r.text)) for r in out.select("doc_id", "text").collect()) == brute_kept([tuple(r) for r in rows])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_query(spark, small_dir):
     texts = dict(spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect())
     rows = queries.op2_simhash_near_dedup(spark, small_dir).collect()

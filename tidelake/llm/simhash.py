@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import prepare, stash
 from tidelake.llm.components import components
+from tidelake.llm.rowkeys import keyed
 
 WORDS = 3
 MAX_BITS = 3
@@ -79,17 +80,24 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (long) of each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text",
+                 row: Column | None = None) -> DataFrame:
+    """doc_id, row, fingerprint (long) and text_hash (XXH64) of each row; null texts count as empty."""
+    import xxhash
+
     prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            got = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fingerprint": pa.array(got, pa.int64())})
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "row": batch.column("row"),
+                "fingerprint": pa.array([fingerprint(t, words) for t in texts], pa.int64()),
+                "text_hash": pa.array(np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64), pa.int64())})
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-            .mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, fingerprint long"))
+    row = F.lit(None).cast("long") if row is None else row
+    return (docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).cast("binary").alias("text"))
+            .mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, row long, fingerprint long, text_hash long"))
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -132,19 +140,48 @@ def links(nodes: DataFrame) -> DataFrame:
     return (listed.join(asked, "key").where((F.col("u") < F.col("v")) & (first == start)).select("u", "v"))
 
 
+def _components(prints: DataFrame, least: Column) -> DataFrame:
+    """(fp, component, least) of each distinct fingerprint: the least fingerprint that it reaches, and the
+    least of ``least`` over its rows. Fingerprints are the nodes, so that texts without an id link too."""
+    classes = stash(prints.groupBy("fingerprint").agg(F.min(least).alias("least")), "fingerprint-classes")
+    merged = components(links(classes.select(F.col("fingerprint").alias("id"), "fingerprint")))
+    return classes.join(merged, classes["fingerprint"] == merged["node"], "left").select(
+        F.col("fingerprint").alias("fp"), F.coalesce("component", "fingerprint").alias("component"), "least")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and kept for each row.
 
     component_id is the smallest doc_id reachable over links; kept marks the
-    row of that id (rows repeating a doc_id share its component; they are
-    all marked). Null ids take part with their text but name no component.
+    row of that id (rows that repeat a doc_id within a component are all
+    marked; texts that repeat one in other components belong to those). Null ids take part with
+    their text, so links lead through them, but name no component: one
+    without any id has a null component_id. Null and empty texts have
+    fingerprint zero, texts of any length are hashed whole, further columns
+    are ignored and an empty table gives no rows.
     """
-    prints = stash(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = stash(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-                  .where(F.col("id").isNotNull()), "fingerprint-classes")
-    merged = components(links(nodes))
-    classes = (nodes.join(merged, nodes["id"] == merged["node"], "left")
-               .select(F.col("fingerprint").alias("fp"), F.coalesce("component", "id").alias("component_id")))
-    return (prints.join(classes, F.col("fingerprint") == F.col("fp"), "left")
+    prints = stash(fingerprints(docs, words, id_col, text_col).select("doc_id", "fingerprint"), "fingerprints")
+    classes = stash(_components(prints, F.col("doc_id")), "fingerprint-components")
+    ids = classes.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
+    named = classes.join(ids, F.col("component") == F.col("c")).select("fp", "component_id")
+    return (prints.join(named, F.col("fingerprint") == F.col("fp"), "left")
             .select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group of linked fingerprints.
+
+    The row with the least doc_id stays; where that id repeats within the
+    group, the one of the least fingerprint, then text hash, then place in the
+    table. An id that repeats with texts of different groups may stay more
+    than once. Rows without an id cannot be named by a group and all stay,
+    though links lead through them. Texts are not shuffled: the rows are
+    numbered and written in blocks, and a bitmap for each block says which
+    rows stay.
+    """
+    numbered = keyed(docs)
+    prints = stash(fingerprints(numbered.table, words, id_col, text_col, row=F.col(numbered.row)), "fingerprints")
+    classes = _components(prints, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fingerprint", "text_hash", "row")))
+    named = classes.groupBy("component").agg(F.min("least").alias("least")).where("least is not null").select("least.row")
+    return numbered.only(named.union(prints.where("doc_id is null").select("row")))
