@@ -11,7 +11,6 @@ and go in stage 1. An empty table stays empty through all stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelake.llm import langid, packing, quality, simhash
 from tidelake.llm.common import prepare, stash
@@ -29,14 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one of the smallest id.
-
-    Documents without an id cannot be named by a group and pass through.
-    Rows that repeat id and text stay once.
-    """
-    kept = simhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.union(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of linked fingerprints, the one of the smallest id."""
+    return simhash.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
