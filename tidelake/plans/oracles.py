@@ -1,5 +1,7 @@
 """DuckDB SQL equal to each job, over the same parquet tables."""
 
+from tidelake.plans import matching
+
 # The landing-record shape of tidelake.sources.landing, decomposed again.
 EVENTS_DECOMPOSED = """
 SELECT
@@ -395,3 +397,5 @@ ORACLES.update({
     "change_feed_inserts": CHANGE_FEED_INSERTS,
     "unknown_table_errors": UNKNOWN_TABLE_ERRORS,
 })
+
+ORACLES.update(matching.ORACLES)
