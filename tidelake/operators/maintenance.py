@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import tidelake.functions as W
 from tidelake.operators.events import EVENTS_SCHEMA
+from tidelake.operators.keyfilter import key_filter, may_match
 from tidelake.streaming.publish import Publication, new_batch, work_root, writer
 from tidelake.util import list_files
 
@@ -30,9 +31,12 @@ def metadata_objects(raw: DataFrame) -> DataFrame:
 def metadata_fill(raw: DataFrame) -> DataFrame:
     """One fill per event (event_date, uuid): the metadata of the record
     loaded last, by text order when load times tie."""
+    return _last_loaded(metadata_objects(raw).where(F.col("uuid").isNotNull()), ["event_date", "uuid"])
+
+
+def _last_loaded(records: DataFrame, keys: list[str]) -> DataFrame:
     rank = F.struct("insertion_timestamp", F.to_json("metadata"))
-    return (metadata_objects(raw).where(F.col("uuid").isNotNull())
-            .groupBy("event_date", "uuid").agg(F.max_by("metadata", rank).alias("metadata")))
+    return records.groupBy(*keys).agg(F.max_by("metadata", rank).alias("metadata"))
 
 
 def backfill_metadata(events: DataFrame, raw: DataFrame, mode: str = "keyed") -> DataFrame:
@@ -50,33 +54,60 @@ def backfill_metadata(events: DataFrame, raw: DataFrame, mode: str = "keyed") ->
         return events.unionByName(extra)
     if mode != "keyed":
         raise ValueError(f"mode must be 'keyed' or 'append', not {mode!r}")
+    return _filled(events, metadata_fill(raw))
+
+
+def _filled(events: DataFrame, fill: DataFrame) -> DataFrame:
     waits = F.col("metadata").isNull() & F.col("uuid").isNotNull()
-    fill = metadata_fill(raw)
     e, f = events.where(waits).alias("e"), fill.alias("f")
     joined = e.join(f, (F.col("e.uuid") == F.col("f.uuid")) & F.col("e.event_date").eqNullSafe(F.col("f.event_date")), "left")
     filled = joined.select(*[F.col(f"f.{c}" if c == "metadata" else f"e.{c}").alias(c) for c in events.columns])
     return filled.unionByName(events.where(~waits))
 
 
+def due_fill(events: DataFrame, raw: DataFrame, staged: str) -> DataFrame:
+    """The fills (event_date, uuid, metadata) that stored events wait for, written to ``staged`` and read back.
+
+    The keys in need are summarised first: their dates prune the raw table's
+    partitions, a filter of bounded size (``keyfilter``) drops raw records of
+    other keys before anything is shuffled. What passes is grouped, and joined
+    exactly to the keys in need.
+    """
+    spark = events.sparkSession
+    need = events.where(F.col("metadata").isNull() & F.col("uuid").isNotNull()).select("event_date", "uuid")
+    days = [r[0] for r in need.select("event_date").distinct().collect()]  # dates, not rows
+    wanted = key_filter(need, ["uuid"])
+    records = may_match(metadata_objects(raw.where(_on_days(days))).where(F.col("uuid").isNotNull()), ["uuid"], wanted)
+    # Dates without their null, so that the group-by and the join share one exchange of the metadata.
+    dated = [F.coalesce("event_date", F.lit(dt.date(1970, 1, 1))).alias("day"), F.col("event_date").isNull().alias("dateless")]
+    fill = (_last_loaded(records.withColumns({"day": dated[0], "dateless": dated[1]}), ["day", "dateless", "uuid"])
+            .join(need.select(*dated, "uuid"), ["day", "dateless", "uuid"], "left_semi")
+            .select(F.when(~F.col("dateless"), F.col("day")).alias("event_date"), "uuid", "metadata"))
+    fill.write.parquet(staged)
+    return spark.read.schema(fill.schema).parquet(staged)
+
+
+def _on_days(days: list[dt.date | None]) -> Column:
+    return F.col("event_date").isin([d for d in days if d]) | (F.lit(None in days) & F.col("event_date").isNull())
+
+
 def write_backfill(spark: SparkSession, events_path: str, raw: DataFrame, wait: float = 3600.0) -> int:
     """Fill the stored events table (keyed) and return the partitions
     rewritten: those that hold an event which gets metadata.  The new files
-    and the removal of the old ones are one publication."""
+    and the removal of the old ones are one publication; the fill is made
+    once (:func:`due_fill`) and read by both steps."""
     schema = f"{EVENTS_SCHEMA}, load_part STRING"
     root = work_root(events_path)
     with writer(spark, root, wait):
         events = spark.read.schema(schema).parquet(events_path)
-        fill = metadata_fill(raw)
-        due = (events.where(F.col("metadata").isNull() & F.col("uuid").isNotNull()).select("event_date", "uuid")
-               .join(fill.select(F.col("event_date").alias("d"), F.col("uuid").alias("u")),
-                     (F.col("uuid") == F.col("u")) & F.col("event_date").eqNullSafe(F.col("d")), "left_semi"))
-        days = [r[0] for r in due.select("event_date").distinct().collect()]  # dates, not rows
+        new = Publication(spark, root, new_batch("backfill"))
+        fill = due_fill(events, raw, new.stage("_fill"))
+        days = [r[0] for r in fill.select("event_date").distinct().collect()]  # dates, not rows
         if not days:
+            new.discard()
             return 0
         folders = [f"event_date={d.isoformat() if d else '__HIVE_DEFAULT_PARTITION__'}" for d in days]
-        affected = F.col("event_date").isin([d for d in days if d]) | (F.lit(None in days) & F.col("event_date").isNull())
-        new = Publication(spark, root, new_batch("backfill"))
-        backfill_metadata(events.where(affected), raw.where(affected)).write.partitionBy("event_date").parquet(new.stage("events"))
+        _filled(events.where(_on_days(days)), fill).write.partitionBy("event_date").parquet(new.stage("events"))
         new.commit({"events": events_path},
                    [f"{events_path}/{d}/{f}" for d in folders for f in list_files(spark, f"{events_path}/{d}", ".parquet")])
         return len(days)
@@ -96,7 +127,6 @@ def transform_lag(raw: DataFrame, events: DataFrame, as_of: Column | None = None
     boundaries from the offset to ``as_of`` (default: now in UTC), as DOUBLE.
     """
     by = by or []
-    as_of = W.utc_now() if as_of is None else as_of
     if since is not None:
         recent = F.coalesce(F.col("event_date") >= F.lit(since), F.lit(True))
         raw, events = raw.where(recent), events.where(recent)
@@ -104,8 +134,14 @@ def transform_lag(raw: DataFrame, events: DataFrame, as_of: Column | None = None
     r = raw.select(*by, "insertion_timestamp", W.json_path("raw_json", "$.uuid", "string").alias("uuid"))
     j = r.where(F.col("uuid").isNotNull()).join(consumed, "uuid", "left") \
         .unionByName(r.where(F.col("uuid").isNull()).withColumn("_consumed", F.lit(None).cast("boolean")))
+    return lag_of(j, by, as_of)
+
+
+def lag_of(rows: DataFrame, by: list[str], as_of: Column | None = None) -> DataFrame:
+    """Pending rows, offset time and lag of raw rows (``by``, insertion_timestamp, _consumed: true or null)."""
+    as_of = W.utc_now() if as_of is None else as_of
     pending = F.col("_consumed").isNull()
-    agg = j.groupBy(*by).agg(
+    agg = rows.groupBy(*by).agg(
         F.count(F.when(pending, 1)).alias("pending_rows"),
         F.max(F.when(~pending, F.col("insertion_timestamp"))).alias("last_consumed"),
         F.min(F.when(pending, F.col("insertion_timestamp"))).alias("first_pending"),
@@ -139,5 +175,5 @@ def save_external_table(df: DataFrame, name: str, location: str, partition_by: l
     writer.saveAsTable(name)
 
 
-__all__ = ["backfill_metadata", "metadata_fill", "metadata_objects", "write_backfill", "transform_lag", "create_reduced_view", "create_reduced_views",
+__all__ = ["backfill_metadata", "due_fill", "metadata_fill", "metadata_objects", "write_backfill", "transform_lag", "create_reduced_view", "create_reduced_views",
            "save_external_table"]

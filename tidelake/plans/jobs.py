@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidelake.functions as W
-from tidelake.operators import catalog, maintenance, retention
+from tidelake.operators import catalog, copartition, maintenance, retention
 from tidelake.operators.events import (EVENT_COLUMNS_WITH_METADATA, EVENTS_SCHEMA, as_json_text, decompose,
                                        only_inserts)
 from tidelake.operators.sqltext import run_sql, run_template
@@ -294,6 +294,7 @@ INFRA_SCHEMA = "tidelake_infra"
 TRIM_AS_OF = _dt.datetime(2025, 1, 15, 12, 0, 0)
 CONSUMED_UNTIL = _dt.datetime(2024, 1, 25, 0, 0, 0)
 LAG_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
+LAG_BUCKETS = 8
 
 
 def _schema(spark: SparkSession, name: str) -> str:
@@ -343,6 +344,23 @@ def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(table).select("uuid", "event_type", F.to_json("metadata").alias("metadata"))
 
 
+# Days from which events lost their metadata, and the type of those that did.
+LOST_FROM, LOST_TYPE = _dt.date(2024, 1, 20), "purchase"
+
+
+def metadata_backfill_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 where few events wait: purchases since LOST_FROM lost their
+    metadata; only their days are read and rewritten, and only the raw
+    records of their keys are shuffled."""
+    base = run_dir(spark, "backfill-late")
+    raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
+    lost = (F.col("event_date") >= F.lit(LOST_FROM)) & (F.col("event_type") == LOST_TYPE)
+    (decompose(raw).withColumn("metadata", F.when(~F.coalesce(lost, F.lit(False)), F.col("metadata")))
+     .write.partitionBy("event_date").parquet(f"{base}/events"))
+    maintenance.write_backfill(spark, f"{base}/events", raw)
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{base}/events").select("uuid", "event_type", F.to_json("metadata").alias("metadata"))
+
+
 def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9 (W7 + W8 + K15): trim both tables to one year before TRIM_AS_OF,
     record the cleanup history, report deleted and kept rows per table."""
@@ -366,6 +384,19 @@ def transform_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.transform_lag(raw, events, as_of=_lit_ts(LAG_AS_OF), by=["cell"])
 
 
+def transform_lag_copartitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lag from key tables that each load leaves bucketed by uuid:
+    raw and events meet in a merge join without an exchange on uuid."""
+    base = run_dir(spark, "lag-keys")
+    raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
+    _schema(spark, WORK_SCHEMA)
+    raw_table, events_table = _table_name("raw_keys"), _table_name("event_keys")
+    consumed = raw.where(F.col("insertion_timestamp") <= _lit_ts(CONSUMED_UNTIL))
+    copartition.append_keys(copartition.raw_keys(raw, ["cell"]), raw_table, f"{base}/raw_keys", LAG_BUCKETS)
+    copartition.append_keys(copartition.event_keys(decompose(consumed)), events_table, f"{base}/event_keys", LAG_BUCKETS)
+    return copartition.copartitioned_lag(spark, raw_table, events_table, as_of=_lit_ts(LAG_AS_OF), by=["cell"])
+
+
 def reduced_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimal-column views with a comment over catalog tables."""
     base = run_dir(spark, "views")
@@ -654,8 +685,10 @@ REGISTRY = {
     "refresh_missing_files": refresh_missing_files,
     "metadata_backfill": metadata_backfill,
     "metadata_backfill_append": metadata_backfill_append,
+    "metadata_backfill_late": metadata_backfill_late,
     "retention_trim": retention_trim,
     "transform_lag": transform_lag,
+    "transform_lag_copartitioned": transform_lag_copartitioned,
     "reduced_events_view": reduced_events_view,
     "reduced_raw_events_view": reduced_raw_events_view,
     "typed_roundtrip": typed_roundtrip,

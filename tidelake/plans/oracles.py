@@ -399,3 +399,7 @@ ORACLES.update({
 })
 
 ORACLES.update(matching.ORACLES)
+ORACLES.update({
+    "metadata_backfill_late": ORACLES["metadata_backfill"],
+    "transform_lag_copartitioned": ORACLES["transform_lag"],
+})
