@@ -19,6 +19,8 @@ import tidelake.functions as W
 from tidelake.operators.maintenance import lag_of
 
 BUCKETS = 64
+#: The uuid, or for rows without one a key of their own.
+KEY = "uuid_key"
 
 
 def raw_keys(raw: DataFrame, by: list[str]) -> DataFrame:
@@ -30,12 +32,13 @@ def event_keys(events: DataFrame) -> DataFrame:
 
 
 def append_keys(keys: DataFrame, table: str, path: str, buckets: int = BUCKETS) -> None:
-    """Add keys to the key table ``table`` (made at ``path`` when it is new). One file for each bucket and
-    day that the batch holds; rows without a uuid match nothing and are spread over the buckets' tasks."""
-    spread = F.when(F.col("uuid").isNull(), F.rand(0)).otherwise(F.lit(0.0))
-    dealt = keys.repartition(buckets, "uuid", spread) if buckets > 1 else keys.coalesce(1)
+    """Add keys to the key table ``table`` (made at ``path`` when it is new): one file for each bucket and
+    day that the batch holds, since rows are dealt as buckets are. Rows without a uuid match nothing; a key
+    that no uuid has spreads them over the buckets."""
     spark = keys.sparkSession
-    writer = dealt.write.mode("append").format("parquet").partitionBy("event_date").bucketBy(buckets, "uuid").sortBy("uuid")
+    lone = F.concat(F.lit("\u0000"), F.rand(0).cast("string"))
+    dealt = keys.withColumn(KEY, F.coalesce("uuid", lone)).repartition(buckets, KEY)
+    writer = dealt.write.mode("append").format("parquet").partitionBy("event_date").bucketBy(buckets, KEY).sortBy(KEY)
     if not spark.catalog.tableExists(table):
         writer = writer.option("path", path)
     writer.saveAsTable(table)
@@ -50,8 +53,5 @@ def copartitioned_lag(spark: SparkSession, raw_table: str, events_table: str, as
         recent = F.coalesce(F.col("event_date") >= F.lit(since), F.lit(True))
         raw, events = raw.where(recent), events.where(recent)
     # distinct within a bucket: the buckets are dealt by uuid, so nothing moves
-    consumed = events.where(F.col("uuid").isNotNull()).select("uuid").distinct().withColumn("_consumed", F.lit(True))
-    keyed = raw.where(F.col("uuid").isNotNull()).hint("merge").join(consumed, "uuid", "left")
-    joined = keyed.select(*by, "insertion_timestamp", "_consumed").unionByName(
-        raw.where(F.col("uuid").isNull()).select(*by, "insertion_timestamp").withColumn("_consumed", F.lit(None).cast("boolean")))
-    return lag_of(joined, by, as_of)
+    consumed = events.where(F.col("uuid").isNotNull()).select(KEY).distinct().withColumn("_consumed", F.lit(True))
+    return lag_of(raw.hint("merge").join(consumed, KEY, "left"), by, as_of)
