@@ -4,6 +4,7 @@ back-fill, lag."""
 import datetime as dt
 import json
 import os
+import time
 import tempfile
 
 import pytest
@@ -116,6 +117,56 @@ def test_refresh_waits_for_a_running_load(spark, work):
     assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw") == 0
 
 
+def test_a_writer_that_wakes_up_after_a_takeover(spark, work):
+    """It may not publish, and it leaves the new writer's lock alone."""
+    root, target = publish.work_root(f"{work}/raw"), f"{work}/raw"
+    lock = f"{root}/{publish.LOCK}"
+    first = publish.writer(spark, root)
+    first.__enter__()
+    slept = publish._HELD[root]
+    late = publish.Publication(spark, root, publish.new_batch("late"))
+    spark.range(3).write.parquet(late.stage("rows"))
+    os.utime(lock, (1, 1))
+    with publish.writer(spark, root, wait=5) as settled:
+        assert settled == {late.batch: "discarded"}
+        fresh = publish._HELD[root]
+        publish._HELD[root] = slept  # the first process goes on
+        spark.range(3).write.parquet(late.stage("rows"))
+        with pytest.raises(publish.LostLease):
+            late.commit({"rows": target})
+        first.__exit__(None, None, None)
+        assert open(lock).read() == fresh.owner and not os.path.exists(target)
+        with pytest.raises(TimeoutError):
+            publish.Lease(spark, root, 600).take(0.2)
+        publish._HELD[root] = fresh
+        own = publish.Publication(spark, root, publish.new_batch("own"))
+        spark.range(40, numPartitions=20).write.parquet(own.stage("rows"))  # enough files for a pool
+        own.commit({"rows": target})
+        publish._HELD.pop(root)
+    assert spark.read.parquet(target).count() == 40 and not os.path.exists(lock)
+    with publish.writer(spark, root) as settled:
+        assert settled == {late.batch: "discarded"}
+    assert spark.read.parquet(target).count() == 40
+
+
+def test_a_lease_that_cannot_be_refreshed_is_lost(spark, work, monkeypatch):
+    root = publish.work_root(f"{work}/raw")
+    with monkeypatch.context() as m, pytest.raises(publish.LostLease):
+        with publish.writer(spark, root, lease=0.4):
+            m.setattr(publish, "write_text", lambda *a: 1 / 0)
+            time.sleep(0.5)
+            m.undo()
+            publish.Publication(spark, root, publish.new_batch("x")).commit({})
+
+
+def test_a_takeover_gives_back_a_lock_made_meanwhile(spark, work):
+    root = publish.work_root(f"{work}/raw")
+    with publish.writer(spark, root):
+        alive = publish._HELD[root]
+        publish.Lease(spark, root, 600)._bury("the name of a dead writer")
+        alive.check()
+
+
 class Crash(Exception):
     pass
 

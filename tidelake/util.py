@@ -103,8 +103,3 @@ def modified_at(spark: SparkSession, path: str) -> float | None:
     except Exception:  # noqa: BLE001 - removed in between
         return None
 
-
-def touch(spark: SparkSession, path: str) -> None:
-    import time
-    fs, p = _fs(spark, path)
-    fs.setTimes(p, int(time.time() * 1000), -1)
