@@ -285,6 +285,11 @@ def canonical_json(v) -> Column:
     return F.to_json(_col(v))
 
 
+def indented_json(v) -> Column:
+    """JSON text with one member a line, two spaces a level."""
+    return _call("indented_json", v)
+
+
 def array_construct(*cols) -> Column:
     return F.array(*[_col(c) for c in cols])
 

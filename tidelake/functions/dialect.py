@@ -54,40 +54,94 @@ def _posix_body() -> str:
     return expr
 
 
+def _replacement_body() -> str:
+    even = r"(?<!\\)((?:\\\\)*)"  # an even number of backslashes, not behind another one
+    expr = "r"
+    for pattern, put in ((even + r"\$", r"$1\\\$"), (even + r"\\([0-9])", r"$1\$$2"), (even + r"\\(?![\\$])", r"$1\\\\")):
+        expr = f"regexp_replace({expr}, {_sql_str(pattern)}, {_sql_str(put)})"
+    return expr
+
+
+# One token of compact JSON text: an escape, a quote, an empty container, a mark, or text between them.
+_JSON_TOKEN = r'\\.|"|\{\}|\[\]|[{}\[\],:]|[^\\"{}\[\],:]+'
+_JSON_BLOCK = 256
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _indented_body() -> str:
+    """Tokens in blocks; what a block does to the depth and to being inside a string is summed first, so
+    that no more than a block's text is ever appended to."""
+    deeper = "CASE WHEN t IN ('{', '[') THEN 1 WHEN t IN ('}', ']') THEN -1 ELSE 0 END"
+    quote = "IF(t = '\"', 1 - s.q, s.q)"
+    scan = ("aggregate(b, named_struct('q', 0, 'out', 0, 'ins', 0), (s, t) -> named_struct("
+            f"'q', {quote}, 'out', s.out + IF(s.q = 0, {deeper}, 0), 'ins', s.ins + IF(s.q = 1, {deeper}, 0)))")
+    start = ("aggregate(slice(sums, 1, k), named_struct('q', 0, 'd', 0), (s, x) -> "
+             "named_struct('q', (s.q + x.q) % 2, 'd', s.d + IF(s.q = 0, x.out, x.ins)))")
+    line = "concat('\\n', repeat('  ', {}))"
+    piece = (f"CASE WHEN s.q = 1 THEN t WHEN t IN ('{{', '[') THEN concat(t, {line.format('s.d + 1')}) "
+             f"WHEN t IN ('}}', ']') THEN concat({line.format('s.d - 1')}, t) "
+             f"WHEN t = ',' THEN concat(t, {line.format('s.d')}) WHEN t = ':' THEN ': ' ELSE t END")
+    render = (f"aggregate(b, named_struct('q', st.q, 'd', st.d, 'text', ''), (s, t) -> named_struct("
+              f"'q', {quote}, 'd', s.d + IF(s.q = 0, {deeper}, 0), 'text', concat(s.text, {piece})), s -> s.text)")
+    whole = _let("sums", f"transform(blocks, b -> {scan})",
+                 f"array_join(transform(blocks, (b, k) -> {_let('st', start, render)}), '')")
+    blocks = f"transform(sequence(0, (size(tokens) - 1) div {_JSON_BLOCK}), n -> slice(tokens, n * {_JSON_BLOCK} + 1, {_JSON_BLOCK}))"
+    return ("CASE WHEN v IS NULL THEN NULL ELSE "
+            + _let("tokens", f"regexp_extract_all(to_json(v), {_sql_str(_JSON_TOKEN)}, 0)", _let("blocks", blocks, whole)) + " END")
+
+
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 # name -> (parameters, return type, body)
 DEFINITIONS: dict[str, tuple[str, str, str]] = {
     # ---- regular expressions -------------------------------------------
     "wh_posix": ("p STRING", "STRING", _posix_body()),
+    # The pattern behind a start position: the characters before it are a first match of their own, so
+    # that the search goes on behind them and still sees them (look-behind, ``^``, ``\\b``).
+    "wh_from": ("p STRING, position INT", "STRING",
+                "CASE WHEN position <= 1 THEN wh_posix(p) ELSE "
+                f"concat({_sql_str('(?s:\\A.{')}, CAST(position - 1 AS STRING), {_sql_str('})|(?:')}, wh_posix(p), ')') END"),
+    "wh_matches": (
+        "s STRING, p STRING, position INT, grp INT", "ARRAY<STRING>",
+        "CASE WHEN position <= 1 THEN regexp_extract_all(s, wh_posix(p), grp) "
+        "WHEN position > length(s) + 1 THEN slice(array(s), 1, 0) "
+        "ELSE slice(regexp_extract_all(s, wh_from(p, position), grp), 2, length(s) + 2) END"),
     "regexp_substr_all": (
         "s STRING, p STRING, position INT DEFAULT 1, occurrence INT DEFAULT 1",
         "ARRAY<STRING>",
-        "filter(regexp_extract_all(substring(s, position), wh_posix(p), 0), (m, i) -> i >= occurrence - 1)",
+        "filter(wh_matches(s, p, position, 0), (m, i) -> i >= occurrence - 1)",
     ),
     "wh_regexp_substr": (
         "s STRING, p STRING, position INT DEFAULT 1, occurrence INT DEFAULT 1, grp INT DEFAULT 0",
         "STRING",
-        "get(regexp_extract_all(substring(s, position), wh_posix(p), grp), occurrence - 1)",
+        "get(wh_matches(s, p, position, grp), occurrence - 1)",
     ),
     "wh_regexp_count": (
         "s STRING, p STRING, position INT DEFAULT 1",
         "INT",
-        "size(regexp_extract_all(substring(s, position), wh_posix(p), 0))",
+        "size(wh_matches(s, p, position, 0))",
     ),
-    # Start of the n-th match: the first n split pieces and the first n-1
-    # matches precede it.  Coordinates are those of the whole string.
+    # A character that the text does not hold (of the 32 noncharacters U+FDD0 .. U+FDEF).
+    "wh_mark": ("s STRING", "STRING",
+                f"get(filter(split('{''.join(map(chr, range(0xFDD0, 0xFDF0)))}', ''), c -> NOT contains(s, c)), 0)"),
+    # Start of the n-th match: a mark is set before every match, in one walk over the text; the pieces
+    # before the n-th mark are what precedes it. An empty match is one, and the next is sought a character on
+    # (half a character on, where that lies beyond U+FFFF, as Java's walk does).
     "wh_regexp_instr": (
         "s STRING, p STRING, position INT DEFAULT 1, occurrence INT DEFAULT 1",
         "INT",
         "CASE WHEN s IS NULL OR p IS NULL THEN NULL "
-        "WHEN position = 1 AND occurrence = 1 THEN regexp_instr(s, wh_posix(p)) "
-        "WHEN size(regexp_extract_all(substring(s, position), wh_posix(p), 0)) >= occurrence THEN "
-        "aggregate(slice(regexp_extract_all(substring(s, position), wh_posix(p), 0), 1, occurrence - 1), 0,"
-        " (acc, m) -> acc + length(m)) "
-        "+ aggregate(slice(split(substring(s, position), wh_posix(p)), 1, occurrence), 0,"
-        " (acc, piece) -> acc + length(piece)) + position "
-        "ELSE 0 END",
+        "WHEN position <= 1 AND occurrence = 1 AND NOT s RLIKE wh_posix(p) THEN 0 "
+        "WHEN position > length(s) + 1 THEN 0 "
+        "ELSE get(transform(array(named_struct('m', wh_mark(s), 'p', wh_from(p, position))), w -> get(transform(array("
+        "split(regexp_replace(s, w.p, concat(w.m, '$0')), w.m)), pieces -> "
+        "CASE WHEN size(pieces) - 1 - IF(position > 1, 1, 0) < occurrence THEN 0 "
+        "ELSE 1 + aggregate(slice(pieces, 1, occurrence + IF(position > 1, 1, 0)), 0, (acc, x) -> acc + length(x)) END"
+        "), 0)), 0) END",
     ),
     # The dialect anchors the pattern at both ends.
     "wh_regexp_like": (
@@ -98,8 +152,10 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "wh_regexp_replace": (
         "s STRING, p STRING, r STRING DEFAULT ''",
         "STRING",
-        "regexp_replace(s, wh_posix(p), r)",
+        "regexp_replace(s, wh_posix(p), wh_replacement(r))",
     ),
+    # The dialect's replacement text as Java's: ``\\1`` names a group, ``$`` and a lone backslash are themselves.
+    "wh_replacement": ("r STRING", "STRING", _replacement_body()),
     # ---- text ------------------------------------------------------------
     "charindex": (
         "needle STRING, s STRING, start INT DEFAULT 1",
@@ -180,13 +236,16 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         "v VARIANT", "VARIANT",
         "CASE WHEN try_variant_get(v, '$', 'struct<>') IS NOT NULL THEN v END"),
     "as_array": ("v VARIANT", "ARRAY<VARIANT>", "try_variant_get(v, '$', 'array<variant>')"),
-    # A JSON double is reported as DECIMAL, like the dialect's JSON numbers.
+    # Two spaces a level, empty containers closed at once.
+    "indented_json": ("v VARIANT", "STRING", _indented_body()),
+    # A JSON double is reported as DECIMAL, like the dialect's JSON numbers; whole numbers beyond 64 bits
+    # are held as decimals of 19 digits or more.
     "wh_typeof": (
         "v VARIANT",
         "STRING",
         "CASE WHEN v IS NULL THEN NULL ELSE get(transform(array(schema_of_variant(v)), t -> "
         "CASE WHEN t = 'VOID' THEN 'NULL_VALUE' "
-        "WHEN t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'INTEGER' "
+        "WHEN t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') OR t RLIKE '^DECIMAL.(19|[23][0-9]),0.$' THEN 'INTEGER' "
         "WHEN t LIKE 'DECIMAL%' OR t IN ('DOUBLE', 'FLOAT') THEN 'DECIMAL' "
         "WHEN t = 'STRING' THEN 'VARCHAR' "
         "WHEN t LIKE 'ARRAY%' THEN 'ARRAY' "

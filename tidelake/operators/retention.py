@@ -24,6 +24,7 @@ they sit in the NULL partition, which no date comparison selects.
 from __future__ import annotations
 
 import datetime as dt
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,42 @@ def _trim_and_record(spark: SparkSession, path: str, time_of: Column, threshold:
         return deleted
 
 
+def delete_where(spark: SparkSession, path: str, predicate: Column | str, partition_col: str = "event_date",
+                 record: tuple[str, str, dt.datetime | None] | None = None, wait: float = 3600.0) -> int:
+    """``DELETE FROM .. WHERE predicate`` (K5) on a partitioned parquet table; return how many rows went.
+
+    Copy-on-write by file: one scan, with the predicate pushed down, counts the
+    rows that match in each file; only files with a match are read again and
+    written without them, all others stay as they are. A row for which the
+    predicate is NULL is kept. New files, removals and the history row
+    (``record``: history folder, table name, execution time) are one
+    publication.
+    """
+    doomed = F.expr(predicate) if isinstance(predicate, str) else predicate
+    root = work_root(path)
+    with writer(spark, root, wait):
+        delete = Publication(spark, root, new_batch("delete"))
+        targets, remove, deleted = {}, [], 0
+        table = read_parquet_table(spark, path) if path_exists(spark, path) else None
+        if table is not None:
+            hit = (table.where(doomed).groupBy(F.col("_metadata.file_path").alias("file"))
+                   .agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each file that is rewritten
+            deleted, remove = sum(r["n"] for r in hit), [unquote(r["file"]) for r in hit]
+        if remove:
+            (spark.read.schema(table.schema).option("basePath", path).parquet(*remove)
+             .where(~F.coalesce(doomed, F.lit(False))).write.partitionBy(partition_col).parquet(delete.stage("kept")))
+            targets["kept"] = path
+        if record is not None:
+            history_path, name, execution_time = record
+            _history_row(spark, name, deleted, execution_time).write.parquet(delete.stage("history"))
+            targets["history"] = history_path
+        if targets:
+            delete.commit(targets, remove)
+        else:
+            delete.discard()
+        return deleted
+
+
 def _stage_boundary(table: DataFrame, partition_col: str, day: dt.date, time_of: Column, threshold: dt.datetime,
                     trim: Publication) -> int:
     """Stage the kept rows of the straddling partition; return how many rows go."""

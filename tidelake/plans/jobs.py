@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidelake.functions as W
-from tidelake.operators import catalog, copartition, maintenance, retention
+from tidelake.operators import catalog, changes, copartition, maintenance, retention
 from tidelake.operators.events import (EVENT_COLUMNS_WITH_METADATA, EVENTS_SCHEMA, as_json_text, decompose,
                                        only_inserts)
 from tidelake.operators.sqltext import run_sql, run_template
 from tidelake.plans import matching, passthrough
 from tidelake.session import run_dir, shared_dir
-from tidelake.sources.landing import RAW_SCHEMA, epoch_ntz, hourly_load_time, landing_records, raw_from_records, write_landing
+from tidelake.sources.landing import RAW_SCHEMA, epoch_ntz, event_time, hourly_load_time, landing_records, raw_from_records, write_landing
 from tidelake.sources.tables import read_heavy, read_table
 from tidelake.streaming import ingest
 
@@ -376,6 +376,48 @@ def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept_records")
 
 
+# Organisations whose earlier events are deleted on request, and the time before which.
+FORGET_ORGS, FORGET_BEFORE = ("org-3", "org-11"), _dt.datetime(2024, 1, 21, 9, 30, 0)
+
+
+def delete_by_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 with any predicate: rows of some organisations before a time, from
+    raw and typed events; the history, and what is left by organisation."""
+    base = run_dir(spark, "delete")
+    raw_path, events_path = _materialize_lake(spark, sf_dir, base)
+    before = f"timestamp_ntz'{FORGET_BEFORE}'"
+    orgs = ", ".join(f"'{o}'" for o in FORGET_ORGS)
+    deleted = {
+        "raw_events": retention.delete_where(spark, raw_path, F.col("org_id").isin(*FORGET_ORGS) & (event_time(F.col("raw_json")) < F.expr(before)),
+                                             record=(f"{base}/history", "raw_events", TRIM_AS_OF)),
+        "events": retention.delete_where(spark, events_path, f"org_id IN ({orgs}) AND timestamp < {before}",
+                                         record=(f"{base}/history", "events", TRIM_AS_OF))}
+    history = spark.read.parquet(f"{base}/history").select("table_name", F.col("deleted_records").cast("bigint").alias("deleted_records"))
+    left = None
+    for name, path in (("raw_events", raw_path), ("events", events_path)):
+        kept = spark.read.parquet(path).groupBy("org_id").agg(F.count(F.lit(1)).alias("kept_records")).select(
+            F.lit(name).alias("table_name"), F.lit(deleted[name]).cast("bigint").alias("returned"), "org_id", "kept_records")
+        left = kept if left is None else left.union(kept)
+    return left.join(history, "table_name")
+
+
+def change_feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed between the events table before its metadata column,
+    and after a trim, a back-fill and the load of late events."""
+    base = run_dir(spark, "feed")
+    raw = spark.read.parquet(_raw_table(spark, sf_dir, base))
+    late = F.col("insertion_timestamp") > _lit_ts(CONSUMED_UNTIL)
+    first = decompose(raw.where(~late)).withColumn("metadata", F.lit(None).cast("variant"))
+    for version in ("before", "events"):
+        first.write.partitionBy("event_date").parquet(f"{base}/{version}")
+    retention.trim_partitioned(spark, f"{base}/events", F.col("timestamp"), TRIM_AS_OF.replace(year=TRIM_AS_OF.year - 1))
+    maintenance.write_backfill(spark, f"{base}/events", raw)
+    decompose(raw.where(late)).write.mode("append").partitionBy("event_date").parquet(f"{base}/events")
+    versions = [spark.read.schema(EVENTS_SCHEMA).parquet(f"{base}/{v}") for v in ("before", "events")]
+    feed = changes.change_feed(*versions, ["uuid"], "event_date")
+    return feed.select("uuid", "event_type", F.col("_change_type").alias("change_type"), F.to_json("metadata").alias("metadata"))
+
+
 def transform_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6/W12 per cell: the copy task has consumed loads up to
     CONSUMED_UNTIL; lag observed at LAG_AS_OF."""
@@ -558,11 +600,15 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_feed_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P7 on a change feed: orders as changes (finished ones inserted, open
-    ones deleted, others updated); only inserts go on."""
-    feed = read_table(spark, sf_dir, "orders").withColumn(
-        "_change_type", F.when(F.col("o_orderstatus") == "F", "insert").when(F.col("o_orderstatus") == "O", "delete")
-        .otherwise("update_postimage"))
+    """P7 on a change feed: the one between orders with those that are
+    finished still missing, and orders with the open ones gone and the
+    others repriced; only inserts go on."""
+    orders = read_table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    before = orders.where(~status.eqNullSafe("F"))
+    after = orders.where(~status.eqNullSafe("O")).withColumn(
+        "o_totalprice", F.when(status.eqNullSafe("F"), F.col("o_totalprice")).otherwise(F.col("o_totalprice") + 1))
+    feed = changes.change_feed(before, after, ["o_orderkey"])
     return only_inserts(feed).groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_inserted"), F.round(F.sum("o_totalprice"), 2).alias("total_price"))
 
@@ -687,6 +733,8 @@ REGISTRY = {
     "metadata_backfill_append": metadata_backfill_append,
     "metadata_backfill_late": metadata_backfill_late,
     "retention_trim": retention_trim,
+    "delete_by_predicate": delete_by_predicate,
+    "change_feed_events": change_feed_events,
     "transform_lag": transform_lag,
     "transform_lag_copartitioned": transform_lag_copartitioned,
     "reduced_events_view": reduced_events_view,

@@ -403,3 +403,30 @@ ORACLES.update({
     "metadata_backfill_late": ORACLES["metadata_backfill"],
     "transform_lag_copartitioned": ORACLES["transform_lag"],
 })
+
+_TIME = "CASE WHEN event_type = 'purchase' THEN date_trunc('millisecond', ts) ELSE ts END"
+
+DELETE_BY_PREDICATE = f"""
+WITH e AS (SELECT 'org-' || CAST(user_id AS VARCHAR) AS org_id, {_TIME} AS t FROM events),
+d AS (SELECT org_id, org_id IN ('org-3', 'org-11') AND t < TIMESTAMP '2024-01-21 09:30:00' AS gone FROM e)
+SELECT n.table_name, (SELECT count(*) FROM d WHERE gone) AS returned, org_id, count(*) AS kept_records,
+       (SELECT count(*) FROM d WHERE gone) AS deleted_records
+FROM d, (VALUES ('raw_events'), ('events')) AS n(table_name) WHERE NOT gone GROUP BY n.table_name, org_id
+"""
+
+CHANGE_FEED_EVENTS = f"""
+WITH e AS (
+  SELECT CAST(event_id AS VARCHAR) AS uuid, event_type, {_LOAD} > TIMESTAMP '2024-01-25 00:00:00' AS late,
+         {_TIME} < TIMESTAMP '2024-01-15 12:00:00' AS trimmed,
+         CASE WHEN ts < TIMESTAMP '2024-01-08' THEN NULL ELSE CAST(json(props) AS VARCHAR) END AS filled
+  FROM events)
+SELECT uuid, event_type, 'insert' AS change_type, filled AS metadata FROM e WHERE late
+UNION ALL SELECT uuid, event_type, 'delete', NULL FROM e WHERE NOT late AND trimmed
+UNION ALL SELECT uuid, event_type, 'update_preimage', NULL FROM e WHERE NOT late AND NOT trimmed AND filled IS NOT NULL
+UNION ALL SELECT uuid, event_type, 'update_postimage', filled FROM e WHERE NOT late AND NOT trimmed AND filled IS NOT NULL
+"""
+
+ORACLES.update({
+    "delete_by_predicate": DELETE_BY_PREDICATE,
+    "change_feed_events": CHANGE_FEED_EVENTS,
+})
