@@ -18,7 +18,7 @@ from tidelake.operators import catalog, changes, copartition, maintenance, reten
 from tidelake.operators.events import (EVENT_COLUMNS_WITH_METADATA, EVENTS_SCHEMA, as_json_text, decompose,
                                        only_inserts)
 from tidelake.operators.sqltext import run_sql, run_template
-from tidelake.plans import matching, passthrough
+from tidelake.plans import matching, passthrough, profiles
 from tidelake.session import run_dir, shared_dir
 from tidelake.sources.landing import RAW_SCHEMA, epoch_ntz, event_time, hourly_load_time, landing_records, raw_from_records, write_landing
 from tidelake.sources.tables import read_heavy, read_table
@@ -749,4 +749,5 @@ REGISTRY = {
     "sql_template_job": sql_template_job,
     **{name: passthrough.job(name) for name in passthrough.QUERIES},
     **matching.QUERIES,
+    **profiles.QUERIES,
 }

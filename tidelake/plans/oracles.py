@@ -1,6 +1,6 @@
 """DuckDB SQL equal to each job, over the same parquet tables."""
 
-from tidelake.plans import matching
+from tidelake.plans import matching, profiles
 
 # The landing-record shape of tidelake.sources.landing, decomposed again.
 EVENTS_DECOMPOSED = """
@@ -398,7 +398,7 @@ ORACLES.update({
     "unknown_table_errors": UNKNOWN_TABLE_ERRORS,
 })
 
-ORACLES.update(matching.ORACLES)
+ORACLES.update({**matching.ORACLES, **profiles.ORACLES})
 ORACLES.update({
     "metadata_backfill_late": ORACLES["metadata_backfill"],
     "transform_lag_copartitioned": ORACLES["transform_lag"],
