@@ -40,11 +40,28 @@ def test_edge_cases(spark):
     assert search(spark.createDataFrame([], SCHEMA)) == {} == search(spark.createDataFrame(rows[:1], SCHEMA))
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((9, 4)).astype(np.float32)
+    ids = [100, 7, 7, 8, 100, 7, 200, 9, 9]
+    x[5] = x[1]  # one row twice
+    df = spark.createDataFrame([(i, v.tolist(), 1, "") for i, v in zip(ids, x, strict=True)], SCHEMA).repartition(3, "score")
+    for rows in (3, 100):
+        got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9))
+                     for r in ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0, segment_rows=rows).collect())
+        want = []
+        for q in (0, 4, 6):
+            d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+            near = sorted((v, ids[k]) for k, v in enumerate(d.tolist()) if k != q)
+            want += [(ids[q], n + 1, i, round(v, 9)) for n, (v, i) in enumerate(near)]
+        assert got == sorted(want)
+
+
 def test_prefix_ranges_match_a_plain_scan():
     rng = np.random.default_rng(1)
     x, q = rng.standard_normal((300, 8)), rng.standard_normal((5, 8))
     normals = ann.planes(8)
-    forest = ann.Forest(np.arange(300), x, np.zeros(8), normals)
+    forest = ann.Forest(np.arange(300), np.arange(300), x, np.zeros(8), normals)
     c, qc = ann.codes(x, np.zeros(8), normals), ann.codes(q, np.zeros(8), normals)
     for level in (0, 3, 6, 32):
         low, high = forest._ranges(qc, np.full(5, level))

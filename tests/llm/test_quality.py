@@ -1,4 +1,7 @@
+import struct
+
 import numpy as np
+import xxhash
 
 from tidelake.llm import quality, queries
 
@@ -56,6 +59,51 @@ def test_gumbel_top_k_is_exact(spark, small_dir):
     assert {r.sample_key for r in kept} == set(keys[:len(kept)]) and 0 < len(kept) < len(rows)
 
 
+def brute(docs, sample, seed=0):
+    """doc_id -> (log_weight, key, kept) by the dealt weight, for texts with words."""
+    grams = {i: quality.ngrams(t or "") for i, t in docs.items()}
+    raw, target = (np.full(quality.BUCKETS, quality.SMOOTH) for _ in range(2))
+    for i, g in grams.items():
+        np.add.at(raw, g, 1)
+        if sample.get(i, (False, False))[1]:
+            np.add.at(target, g, 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    weight = {i: ratio[g].sum() for i, g in grams.items() if len(g)}
+    key = {}
+    for i, w in weight.items():
+        h = xxhash.xxh64_intdigest(f"gumbel-{seed}".encode(), seed=xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42))
+        key[i] = w - np.log(-np.log((h >> 11) / 2**53 * (1 - 2.0**-52) + 2.0**-54))
+    shown = {i: good for i, (good, fits) in sample.items() if not fits and i in weight}
+    good, bad = (np.array([weight[i] for i, g in shown.items() if g == want]) for want in (True, False))
+    cut = sorted(key.values(), reverse=True)[sum(w >= quality.threshold(good, bad) for w in weight.values()) - 1]
+    return {i: (weight[i], key[i], key[i] >= cut) for i in weight}
+
+
+def test_whole_query_against_brute_force(spark, small_dir):
+    docs = dict(spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect())
+    sample = {r.doc_id: (r.good, r.fits) for r in quality.label_sample(spark.read.parquet(f"{small_dir}/labels.parquet")).collect()}
+    want = brute(docs, sample)
+    got = {r.doc_id: r for r in queries.op10_quality_classifier(spark, small_dir).collect()}
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        if i in want:
+            weight, key, kept = want[i]
+            assert abs(r.log_weight - weight) < 1e-6 and abs(r.sample_key - key) < 1e-6 and r.kept == kept
+        else:
+            assert r.n_features == 0 and not r.kept
+
+
+def test_options_leave_the_plain_weight(spark, small_dir):
+    docs, labels = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels"))
+    plain = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+    other = {r.doc_id: r for r in quality.resample(docs, labels, per_feature=True, temperature=0.01).collect()}
+    for i, r in plain.items():
+        if r.n_features:
+            noise = r.sample_key - r.log_weight
+            assert abs(r.mean_ratio - r.log_weight / (r.n_features + quality.PRIOR)) < 1e-9
+            assert abs(other[i].sample_key - (r.mean_ratio / 0.01 + noise)) < 1e-6
+
+
 def test_labelled_documents_fall_where_they_belong(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

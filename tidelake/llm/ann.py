@@ -3,7 +3,7 @@
 A tree gives every vector a string of BITS bits, the sides of as many random
 hyperplanes through the mean of all vectors, and is the sorted array of these
 strings; vectors that share a longer prefix with a query are likelier to be
-near. All rows are dealt by a hash of their id into segments of bounded size,
+near. All rows are dealt by a hash of id and vector into segments of bounded size,
 each with its own sorted arrays, so neither a group of copies nor a dense
 region gathers in one task, and vectors are not copied for each tree. Queries
 go to every segment.
@@ -23,7 +23,8 @@ the wanted neighbours so far ascend to the root and see every row.
 Distances are exact, in double precision, on the original vectors; ties go to
 the smaller id. Rows whose vector is null, zero, of another length than most
 or holding null or non-finite components take no part, nor do rows without an
-id. Repeated ids are rows of their own, but a query never finds its own id.
+id. Repeated ids are rows of their own, as queries and as candidates (a query
+never finds its own row, but may find another one of its id).
 An empty table, or one row, gives no rows.
 """
 
@@ -60,8 +61,8 @@ def codes(x: np.ndarray, centre: np.ndarray, normals: np.ndarray) -> np.ndarray:
 class Forest:
     """One segment's sorted arrays."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, centre: np.ndarray, normals: np.ndarray):
-        self.ids, self.x, self.centre, self.normals = ids, x, centre, normals
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, centre: np.ndarray, normals: np.ndarray):
+        self.rows, self.ids, self.x, self.centre, self.normals = rows, ids, x, centre, normals
         c = codes(x, centre, normals)
         self.order = np.argsort(c, axis=0, kind="stable")
         self.sorted = np.take_along_axis(c, self.order, axis=0)
@@ -77,8 +78,8 @@ class Forest:
             high.append(np.searchsorted(self.sorted[:, t], at | rest, "right"))
         return np.stack(low), np.stack(high)
 
-    def search(self, ids: np.ndarray, x: np.ndarray, levels: np.ndarray | None, k: int, first: int):
-        """(query, id, distance, angle) of each query's k nearest candidates. levels: the common
+    def search(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, levels: np.ndarray | None, k: int, first: int):
+        """(query row, query id, row, id, distance, angle) of each query's k nearest candidates. levels: the common
         prefix length of each query, or None to ascend until ``first`` candidates are met."""
         q = codes(x, self.centre, self.normals)
         if levels is None:
@@ -95,26 +96,26 @@ class Forest:
             else:
                 for t in range(TREES):
                     seen[self.order[low[t, i]:high[t, i], t]] = True
-            at = np.flatnonzero(seen & (self.ids != ids[i]))
+            at = np.flatnonzero(seen & (self.rows != rows[i]))
             if not len(at):
                 continue
             d = np.sqrt(((self.x[at] - x[i]) ** 2).sum(1))
             if len(at) > k:
                 near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
                 at, d = at[near], d[near]
-            by = np.lexsort((self.ids[at], d))[:k]
+            by = np.lexsort((self.rows[at], self.ids[at], d))[:k]
             at, d = at[by], d[by]
             a, b = x[i] - self.centre, self.x[at] - self.centre
             size = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(1))
             angle = np.arccos(np.clip((b @ a) / np.where(size > 0, size, 1), -1, 1))
-            yield from zip([ids[i]] * len(at), self.ids[at].tolist(), d.tolist(), angle.tolist(), strict=True)
+            yield from zip([rows[i]] * len(at), [ids[i]] * len(at), self.rows[at].tolist(), self.ids[at].tolist(), d.tolist(), angle.tolist(), strict=True)
 
 
 def _round(rows: DataFrame, queries: DataFrame, segments: int, dim: int, centre: np.ndarray, k: int, first: int) -> DataFrame:
-    """The k nearest that each segment holds for each query. queries: vec_id, embedding, level (null: first round)."""
-    both = (rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(segments)).cast("int").alias("segment"),
+    """The k nearest that each segment holds for each query. queries: row, vec_id, embedding, level (null: first round)."""
+    both = (rows.select("row", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(segments)).cast("int").alias("segment"),
                         F.lit(0).alias("kind"), F.lit(None).cast("int").alias("level"))
-            .union(queries.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"),
+            .union(queries.select("row", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"),
                                   F.lit(1).alias("kind"), "level")))
 
     def run(batches):
@@ -123,34 +124,34 @@ def _round(rows: DataFrame, queries: DataFrame, segments: int, dim: int, centre:
         found: list = []
         for batch in batches:
             seg, kind = batch.column("segment").to_numpy(), batch.column("kind").to_numpy()
-            ids, x = batch.column("vec_id").to_numpy(), vectors.matrix(batch.column("embedding"))
+            nums, ids, x = batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), vectors.matrix(batch.column("embedding"))
             level = batch.column("level").to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero((np.diff(seg) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(seg)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if seg[a] != own:
                     own, held, forest = seg[a], [], None
                 if kind[a] == 0:
-                    held.append((ids[a:b], x[a:b]))
+                    held.append((nums[a:b], ids[a:b], x[a:b]))
                     continue
                 if forest is None and held:
-                    forest = Forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), centre, normals)
+                    forest = Forest(*(np.concatenate([h[n] for h in held]) for n in range(3)), centre, normals)
                     held = []
                 if forest is not None:
                     own_level = None if np.isnan(level[a].astype(float)) else level[a:b].astype(np.int64)
-                    found += forest.search(ids[a:b], x[a:b], own_level, k, first)
+                    found += forest.search(nums[a:b], ids[a:b], x[a:b], own_level, k, first)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
-                                                 ["query_id", "vec_id", "score", "angle"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(),) * 4 + (pa.float64(),) * 2, strict=True)],
+                                                 ["query_row", "query_id", "row", "vec_id", "score", "angle"])
                 found = []
 
     nearest = (both.repartition(segments, "segment").sortWithinPartitions("segment", "kind")
-               .mapInArrow(run, "query_id long, vec_id long, score double, angle double"))
+               .mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score double, angle double"))
     return _top(nearest, k)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     """Each query's k nearest; segments hand in at most k rows a query."""
-    by = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    by = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
@@ -166,7 +167,7 @@ def nearest_neighbours(embeddings: DataFrame, is_query, k: int = 10, first: int
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = lengths
-    rows = stash(usable.where(F.size("embedding") == dim), "ann-rows")
+    rows = stash(usable.where(F.size("embedding") == dim).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
 
     def sums(batches):
         total = np.zeros(dim)
@@ -177,7 +178,7 @@ def nearest_neighbours(embeddings: DataFrame, is_query, k: int = 10, first: int
     added = rows.select("embedding").mapInArrow(sums, "at long, total double").groupBy("at").agg(F.sum("total")).collect()
     centre = np.round(np.array([t for _, t in sorted(added)]) / n, 6)  # dim rows; rounded, as sums differ by their order
     segments = max(1, -(-n // segment_rows))
-    queries = rows.where("asks").select("vec_id", "embedding")
+    queries = rows.where("asks").select("row", "vec_id", "embedding")
 
     near = stash(_round(rows, queries.withColumn("level", F.lit(None).cast("int")), segments, dim, centre, k, first), "ann-first")
     # The prefix length at which all trees miss a neighbour at the widest angle with probability ``miss`` at most.
@@ -185,9 +186,9 @@ def nearest_neighbours(embeddings: DataFrame, is_query, k: int = 10, first: int
     agree = 1 - F.least(F.col("widest"), F.lit(math.pi * 0.999)) / math.pi
     level = (F.when(F.coalesce("met", F.lit(0)) < k, 0)
              .otherwise(F.least(F.lit(BITS), F.floor(needed / F.log(F.least(agree, F.lit(1 - 1e-9))))))).cast("int")
-    so_far = near.groupBy("query_id").agg(F.max("angle").alias("widest"), F.count(F.lit(1)).alias("met"))
-    again = (queries.join(so_far, queries["vec_id"] == so_far["query_id"], "left")
-             .select("vec_id", "embedding", level.alias("level")))
+    so_far = near.groupBy("query_row").agg(F.max("angle").alias("widest"), F.count(F.lit(1)).alias("met"))
+    again = (queries.join(so_far, queries["row"] == so_far["query_row"], "left")
+             .select("row", "vec_id", "embedding", level.alias("level")))
     best = _round(rows, again, segments, dim, centre, k, first)
-    found = best.drop("rank").union(near.drop("rank")).dropDuplicates(["query_id", "vec_id"])
+    found = best.drop("rank").union(near.drop("rank")).dropDuplicates(["query_row", "row"])
     return _top(found, k).select("query_id", "rank", "vec_id", "score")

@@ -4,22 +4,26 @@ Two generative models over hashed word n-grams (words and neighbouring word
 pairs, BUCKETS buckets; a word followed by itself goes to one bucket of its
 own, whatever the word): the target model from documents labelled good, the
 raw model from every document. A document's importance weight is the product
-over its n-grams of target / raw probability; its mean log ratio is the log
-weight divided by its number of n-grams plus PRIOR, which keeps short
-documents near 0.
+over its n-grams of target / raw probability.
 
-Sampling without replacement is Gumbel top-k: the k largest values of
-mean log ratio / TEMPERATURE + Gumbel noise, the noise being a hash of the id.
-k is the number of documents whose mean log ratio reaches a threshold; the
+Sampling without replacement in proportion to the weights is Gumbel top-k: the
+k largest values of log weight + Gumbel noise, the noise being a hash of the
+id. k is the number of documents whose log weight reaches a threshold; the
 threshold separates best the good and bad documents of a labelled sample that
 the target model has not seen. The k-th largest key is found exactly, by
 counting keys in ranges that close in on it.
 
+Two options leave the plain weight: a ``temperature`` other than 1 divides the
+log weight, and ``per_feature`` takes the mean log ratio (the log weight
+divided by its number of n-grams plus PRIOR, which keeps short documents near
+0) in its place.
+
 The labelled sample is bounded (about PER_LABEL to twice that many documents
 of each label, by a hash of the id); half of the good ones train the target
 model, the others set the threshold. Raw counts, k and the sample cover all
 documents.
 
+Texts of any length are hashed whole, in pieces; an empty table gives no rows.
 A null text or one without words has no weight and is never sampled. Repeated
 rows have equal keys and share their fate, so ties at the k-th key are all
 kept. Without good labels nothing can be told apart and everything that has
@@ -28,8 +32,6 @@ words is kept; without bad ones the threshold is the lowest good document's.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,11 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import bounded_sample, pieces, prepare, stash, texts, unit_hash
+from tidelake.llm.rowkeys import keyed
 
 BUCKETS = 1 << 15
 PER_LABEL = 4000
 PRIOR = 20
-TEMPERATURE = 0.01
+TEMPERATURE = 1.0
 #: Pseudo-count of each bucket in both models.
 SMOOTH = 1.0
 
@@ -159,44 +162,44 @@ class Selection:
     """What fitting leaves: the buckets' ratios, the threshold, k and the k-th largest key."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 per_label: int = PER_LABEL, temperature: float = TEMPERATURE, seed: int = 0):
+                 per_label: int = PER_LABEL, temperature: float = TEMPERATURE, per_feature: bool = False, seed: int = 0,
+                 row: Column | None = None):
         spark = docs.sparkSession
         prepare(spark)
-        self.id_col, self.text_col, self.temperature, self.seed = id_col, text_col, temperature, seed
         sample = stash(label_sample(labels, per_label), "quality-labels")
-        self.ratio = spark.sparkContext.broadcast(ratios(docs, sample, id_col, text_col))
-        self.scores = stash(docs.select(F.col(id_col).alias("doc_id"), self._weight().alias("w"))
-                            .select("doc_id", "w.*").select("*", self._mean(F.col("n_features"), F.col("log_weight")).alias("mean_ratio"))
-                            .withColumn("sample_key", self._key(F.col("mean_ratio"), F.col("doc_id"))), "quality-scores")
+        ratio = spark.sparkContext.broadcast(ratios(docs, sample, id_col, text_col))
+        mean = F.when(F.col("n_features") > 0, F.col("log_weight") / (F.col("n_features") + PRIOR))
+        weight = mean if per_feature else F.when(F.col("n_features") > 0, F.col("log_weight"))
+        noise = -F.log(-F.log(unit_hash("doc_id", F.lit(f"gumbel-{seed}")) * (1 - 2.0**-52) + F.lit(2.0**-54)))
+        self.scores = stash(
+            docs.select(F.col(id_col).alias("doc_id"), (F.lit(None).cast("long") if row is None else row).alias("row"),
+                        weigh(F.col(text_col), ratio).alias("w"))
+            .select("doc_id", "row", "w.*").withColumns({"mean_ratio": mean, "weight": weight})
+            .withColumn("sample_key", F.col("weight") / F.lit(temperature) + noise), "quality-scores")
         shown = (self.scores.join(F.broadcast(sample.where(~F.col("fits"))), "doc_id")
-                 .where(F.col("mean_ratio").isNotNull()).groupBy("doc_id", "good").agg(F.min("mean_ratio").alias("m")).collect())
+                 .where(F.col("weight").isNotNull()).groupBy("doc_id", "good").agg(F.min("weight").alias("m")).collect())
         self.threshold = threshold(np.array([r["m"] for r in shown if r["good"]]), np.array([r["m"] for r in shown if not r["good"]]))
-        self.k = self.scores.where(F.col("mean_ratio") >= F.lit(self.threshold)).count()
+        self.k = self.scores.where(F.col("weight") >= F.lit(self.threshold)).count()
         self.cut = kth_largest(self.scores, "sample_key", self.k)
 
-    def _weight(self) -> Column:
-        return weigh(F.col(self.text_col), self.ratio)
-
-    @staticmethod
-    def _mean(n: Column, weight: Column) -> Column:
-        return F.when(n > 0, weight / (n + PRIOR))
-
-    def _key(self, mean: Column, doc_id: Column) -> Column:
-        noise = -F.log(-F.log(unit_hash(doc_id, F.lit(f"gumbel-{self.seed}")) * (1 - 2.0**-52) + F.lit(2.0**-54)))
-        return mean / F.lit(self.temperature) + noise
-
-    def kept(self, key: Column) -> Column:
-        return F.coalesce(key >= F.lit(self.cut), F.lit(False)) if self.cut is not None else F.lit(False)
+    @property
+    def _kept(self) -> Column:
+        return F.coalesce(F.col("sample_key") >= F.lit(self.cut), F.lit(False)) if self.cut is not None else F.lit(False)
 
     def result(self) -> DataFrame:
         """doc_id, n_features, log_weight, mean_ratio, sample_key and kept of each row."""
-        return self.scores.withColumn("kept", self.kept(F.col("sample_key")))
+        return self.scores.select("doc_id", "n_features", "log_weight", "mean_ratio", "sample_key", self._kept.alias("kept"))
+
+    def rows(self) -> DataFrame:
+        """The numbers of the rows that are sampled."""
+        return self.scores.where(self._kept).select("row")
+
 
-    def sampled(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` that are sampled, with their own columns; texts are not shuffled."""
-        w = f"_weight_{uuid.uuid4().hex}"
-        key = self._key(self._mean(F.col(f"{w}.n_features"), F.col(f"{w}.log_weight")), F.col(self.id_col))
-        return docs.withColumn(w, self._weight()).where(self.kept(key)).select(*docs.columns)
+def sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are sampled, with their own columns. Texts are hashed once for the models
+    and once for the weights, and are not shuffled (``rowkeys``)."""
+    numbered = keyed(docs)
+    return numbered.only(Selection(numbered.table, labels, row=F.col(numbered.row), **options).rows())
 
 
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
