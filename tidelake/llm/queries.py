@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelake.llm import ann, chat, embed_dedup, langid, packing, pieces, quality, repair, sharding, simhash, token_counts, trie, urls
+from tidelake.llm import ann, chat, embed_dedup, langid, oracles, packing, pieces, quality, repair, sharding, simhash, token_counts, trie, urls
 from tidelake.sources.tables import read_table
 
 
@@ -76,8 +76,8 @@ QUERIES = {f.__name__: f for f in (
     op7_packing, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier,
     op11_conversation_trie, op12_url_filters, op13_conversation_repair)}
 
-#: Two results can be said in SQL: what is read back from formatted chats, and links by all pairs
-#: (whose components are small here). Hashes, tokenizers and fitted models are beyond SQL; the tests
+#: Results that SQL can say: what is read back from formatted chats, links by all pairs (whose components
+#: are small here), the prefix trie, the URL models and the repair. Hashes, tokenizers and fitted models are beyond SQL; the tests
 #: hold the other queries against brute force.
 ORACLES: dict[str, str] = {
     "op3_chat_format": r"""
@@ -114,4 +114,7 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE u = e.vec_id) AS n_links,
        c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) c ON c.vec_id = e.vec_id
 """,
+    "op11_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op12_url_filters": oracles.URL_FILTERS,
+    "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }
