@@ -4,6 +4,7 @@ back-fill, lag."""
 import datetime as dt
 import json
 import os
+import shutil
 import time
 import tempfile
 
@@ -415,6 +416,51 @@ def test_ledgers_are_compacted(spark, work):
     assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw") == 0
 
 
+def test_old_ledger_days_are_not_read(spark, work, monkeypatch):
+    """Each load matches its names with the days whose filter may hold them only, and loads no file twice."""
+    days = [dt.date(2024, 3, 1 + k) for k in range(3)]
+    for k, day in enumerate(days):
+        monkeypatch.setattr(ingest, "_today", lambda d=day: d)
+        write(work, f"cell=c{k}", [{"uuid": f"u{k}", "timestamp": "2024-01-10T08:00:00"}])
+        files = ingest.list_landing_files(spark, f"{work}/landing/cell=c{k}")
+        assert ingest.load_files(spark, files, f"{work}/raw") == 1
+
+    def read_days(cell):
+        names = ingest.list_landing_files(spark, f"{work}/landing/cell={cell}").select(
+            ingest.normalize_path(F.col("path")).alias("source_file"))
+        ledger = ingest.ledger_for(spark, f"{work}/raw", names)
+        return sorted(r.load_day for r in ledger.select("load_day").distinct().collect())  # load_day names folders
+
+    assert [read_days(f"c{k}") for k in range(3)] == [[d] for d in days]
+    write(work, "cell=new", [{"uuid": "new", "timestamp": "2024-01-10T08:00:00"}])
+    assert read_days("new") == []
+    merged = ingest.compact_ledger(spark, f"{work}/raw", ingest.filter_path(f"{work}/raw"), ingest.FILTER_SCHEMA, merge=ingest.merged_filters)
+    assert merged == 0  # one file a day
+    # a ledger from before there were filters gets them
+    shutil.rmtree(ingest.filter_path(f"{work}/raw"))
+    assert ingest.load_landing_batch(spark, f"{work}/landing", f"{work}/raw") == 1
+    assert [read_days(f"c{k}") for k in range(3)] == [[d] for d in days]
+
+
+def test_a_backlog_is_dealt_once(spark, work, monkeypatch):
+    """Fifty batches: the names are written in folders once, each batch reads its own."""
+    names = [f"file:/landing/{k}.json" for k in range(400)]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    dealt, loaded = [], []
+    real = ingest._dealt
+
+    def watched(spark_, listing, batches):
+        for own in real(spark_, listing, batches):
+            dealt.append(set(own.inputFiles()))
+            yield own
+
+    monkeypatch.setattr(ingest, "_dealt", watched)
+    monkeypatch.setattr(ingest, "_load_batch", lambda spark_, root, own, *_: loaded.append(own) or len(own))
+    assert ingest.load_files(spark, files, f"{work}/raw", files_per_batch=8) == 400
+    assert 40 <= len(dealt) <= 50 and sum(map(len, dealt)) == len(set().union(*dealt))
+    assert sorted(n for own in loaded for n in own) == sorted(names)
+
+
 def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     from types import SimpleNamespace as N
 

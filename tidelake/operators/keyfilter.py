@@ -37,6 +37,18 @@ def may_match(rows: DataFrame, keys: list[str], wanted: DataFrame, blocks: int =
     """The rows whose ``keys`` may be in the filter ``wanted`` (from :func:`key_filter`, the same ``blocks``)."""
     block, bit = _place([F.col(k) for k in keys], blocks)
     probed = rows.withColumn("_filter_probe", block).withColumn("_filter_bit", bit)
-    byte = F.expr("cast(conv(hex(substring(filter_bits, _filter_bit div 8 + 1, 1)), 16, 10) as int)")
     return (probed.join(F.broadcast(wanted), F.col("_filter_probe") == F.col("filter_block"))  # at most blocks * 4 KiB
-            .where(F.getbit(byte, F.col("_filter_bit") % 8) == 1).select(*rows.columns))
+            .where(_is_set()).select(*rows.columns))
+
+
+def _is_set() -> Column:
+    byte = F.expr("cast(conv(hex(substring(filter_bits, _filter_bit div 8 + 1, 1)), 16, 10) as int)")
+    return F.getbit(byte, F.col("_filter_bit") % 8) == 1
+
+
+def groups_that_may_hold(rows: DataFrame, keys: list[str], filters: DataFrame, group: str, blocks: int) -> DataFrame:
+    """The values of ``group`` whose filter (rows of ``filters``: ``group``, filter_block, filter_bits; any number
+    of them for each) may hold the key of some row. No group that does is left out."""
+    block, bit = _place([F.col(k) for k in keys], blocks)
+    probes = rows.select(block.alias("_filter_probe"), bit.alias("_filter_bit")).distinct()
+    return (probes.join(filters, F.col("_filter_probe") == F.col("filter_block")).where(_is_set()).select(group).distinct())

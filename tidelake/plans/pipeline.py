@@ -109,7 +109,9 @@ class EventLake:
 
     def compact_ledgers(self) -> int:
         """Merge each ledger day's small files; returns the days rewritten."""
-        return sum(ingest.compact_ledger(self.spark, table, ledger, schema) for table, ledger, schema in (
+        filters = ingest.compact_ledger(self.spark, self.raw_path, ingest.filter_path(self.raw_path), ingest.FILTER_SCHEMA,
+                                        merge=ingest.merged_filters)
+        return filters + sum(ingest.compact_ledger(self.spark, table, ledger, schema) for table, ledger, schema in (
             (self.raw_path, ingest.files_path(self.raw_path), ingest.FILES_SCHEMA),
             (self.raw_path, ingest.parts_path(self.raw_path), ingest.PARTS_SCHEMA),
             (self.events_path, ingest.consumed_path(self.events_path), ingest.PARTS_SCHEMA)))

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,16 +37,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelake.functions.dialect import register
 from tidelake.operators.events import EVENTS_SCHEMA, decompose, only_inserts
+from tidelake.operators.keyfilter import groups_that_may_hold, key_filter
 from tidelake.sources.landing import RAW_SCHEMA, enrich, read_records
 from tidelake.streaming.publish import Publication, new_batch, work_root, writer
 from tidelake.util import list_dirs, list_files, path_exists
 
 FILES_SUFFIX = "_loaded_files"
+FILTER_SUFFIX = "_loaded_files_filter"
 PARTS_SUFFIX = "_loaded_parts"
 CONSUMED_SUFFIX = "_consumed_parts"
 
 # One row per landing file, per load part and event date, and per consumed one.
 FILES_SCHEMA = "source_file STRING, batch STRING, load_day DATE"
+FILTER_SCHEMA = "filter_block INT, filter_bits BINARY, load_day DATE"
+#: Bitmaps of a ledger day's filter: 1 MiB when all are full, for some hundred thousand files a day.
+FILTER_BLOCKS = 256
 PARTS_SCHEMA = "load_part STRING, event_date DATE, n_rows BIGINT, insertion_timestamp TIMESTAMP_NTZ, load_day DATE"
 PART_KEYS = ["load_part", "event_date"]
 
@@ -55,6 +61,11 @@ def files_path(raw_path: str) -> str:
     return raw_path.rstrip("/") + FILES_SUFFIX
 
 
+def filter_path(raw_path: str) -> str:
+    """Filters of the file ledger's names, by ledger day (``keyfilter``)."""
+    return raw_path.rstrip("/") + FILTER_SUFFIX
+
+
 def parts_path(raw_path: str) -> str:
     """Ledger of load parts the raw table has received."""
     return raw_path.rstrip("/") + PARTS_SUFFIX
@@ -72,6 +83,33 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _name_filter(names: DataFrame) -> DataFrame:
+    """Filters by load_day of ledger rows (source_file, load_day)."""
+    days = [r[0] for r in names.select("load_day").distinct().collect()]  # dates, not rows
+    parts = [key_filter(names.where(F.col("load_day").eqNullSafe(F.lit(d))), ["source_file"], FILTER_BLOCKS)
+             .withColumn("load_day", F.lit(d).cast("date")) for d in days]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def ledger_for(spark: SparkSession, raw_path: str, names: DataFrame) -> DataFrame:
+    """The file ledger as far as it may hold one of ``names`` (source_file): days whose filter holds none of
+    them are not read. Filters are published with their ledger rows; a ledger from before them gets them once.
+    Hold the writer lock."""
+    ledger = read_ledger(spark, files_path(raw_path), FILES_SCHEMA)
+    if not list_dirs(spark, files_path(raw_path)):
+        return ledger
+    if not path_exists(spark, filter_path(raw_path)):
+        missing = Publication(spark, work_root(raw_path), new_batch("filter"))
+        _name_filter(ledger).write.partitionBy("load_day").parquet(missing.stage("filter"))
+        missing.commit({"filter": filter_path(raw_path)})
+    filters = spark.read.schema(FILTER_SCHEMA).parquet(filter_path(raw_path))
+    days = [r[0] for r in groups_that_may_hold(names, ["source_file"], filters, "load_day", FILTER_BLOCKS).collect()]  # dates, not rows
+    return ledger.where(F.col("load_day").isin(days))
+
+
 def normalize_path(col: Column) -> Column:
     """One spelling for local file URIs (``file:///x`` and ``file:/x``)."""
     return F.regexp_replace(col, r"^file:/+", "file:/")
@@ -98,30 +136,43 @@ def load_files(spark: SparkSession, files: DataFrame, raw_path: str, load_time:
     """Load the landing files (a DataFrame of ``path``) that the raw table
     has not loaded yet; return the rows appended.
 
-    The names are matched with the ledger by an anti join and dealt into
-    batches of about ``files_per_batch`` names by a hash; only one batch's
-    names are with the driver at a time, since a reader takes its paths from
-    there.  Any number of files is loaded.  Each batch is published whole or
+    The names are written once, matched with the ledger days that may hold
+    them by an anti join, and, if they are too many for one batch, dealt once
+    into folders of about ``files_per_batch`` names by a hash, so that each
+    batch reads its own names only; one batch's names are with the driver at
+    a time, since a reader takes its paths from there.  Any number of files
+    is loaded.  Each batch is published whole or
     not at all; a file is in the ledger exactly if its rows are in the table.
     """
     root = work_root(raw_path)
     with writer(spark, root, wait):
-        ledger = read_ledger(spark, files_path(raw_path), FILES_SCHEMA)
-        new = files.select(normalize_path(F.col("path")).alias("source_file")).distinct() \
-            .join(ledger.select("source_file"), "source_file", "left_anti")
         listing = Publication(spark, root, new_batch("listing"))
+        (files.select(normalize_path(F.col("path")).alias("source_file")).distinct().write.parquet(listing.stage("found")))
+        found = spark.read.schema("source_file STRING").parquet(listing.stage("found"))
+        ledger = ledger_for(spark, raw_path, found)
         seen = Observation("listing")
-        new.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(listing.stage("names"))
-        batches = -(-int(seen.get["n"]) // files_per_batch)
-        names = spark.read.schema("source_file STRING").parquet(listing.stage("names")) if batches else None
+        (found.join(ledger.select("source_file"), "source_file", "left_anti")
+         .observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(listing.stage("names")))
         total = 0
-        for k in range(batches):
-            own = names.where(F.pmod(F.xxhash64("source_file"), F.lit(batches)) == k)
-            total += _load_batch(spark, root, [r[0] for r in own.collect()], raw_path, load_time)
+        for names in _dealt(spark, listing, -(-int(seen.get["n"]) // files_per_batch)):
+            total += _load_batch(spark, root, [r[0] for r in names.collect()], raw_path, load_time)
         listing.discard()
         return total
 
 
+def _dealt(spark: SparkSession, listing: Publication, batches: int) -> Iterator[DataFrame]:
+    """The staged names in batches, each name read once to be dealt and once in its batch."""
+    names = spark.read.schema("source_file STRING").parquet(listing.stage("names"))
+    if batches == 1:
+        yield names
+    elif batches > 1:
+        (names.withColumn("batch_no", F.pmod(F.xxhash64("source_file"), F.lit(batches))).repartition("batch_no")
+         .write.partitionBy("batch_no").parquet(listing.stage("dealt")))
+        for folder in list_dirs(spark, listing.stage("dealt")):
+            if folder.startswith("batch_no="):
+                yield spark.read.schema("source_file STRING").parquet(f"{listing.stage('dealt')}/{folder}")
+
+
 def _load_batch(spark: SparkSession, root: str, names: list[str], raw_path: str, load_time: Column | None) -> int:
     if not names:
         return 0
@@ -137,18 +188,24 @@ def _by_date(df: DataFrame):
     return df.write.mode("append").option("maxRecordsPerFile", 0).partitionBy("event_date")
 
 
+def _today() -> dt.date:
+    return dt.datetime.now(dt.timezone.utc).date()
+
+
 def _publish_load(spark: SparkSession, load: Publication, names: list[str], raw_path: str) -> int:
-    today = F.lit(dt.datetime.now(dt.timezone.utc).date())
+    today = F.lit(_today())
     staged = spark.read.schema(RAW_SCHEMA).parquet(load.stage("raw")).select(*PART_KEYS, "insertion_timestamp")
     rows = Observation("load")
     (staged.observe(rows, F.count(F.lit(1)).alias("n"))
      .groupBy(*PART_KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.max("insertion_timestamp").alias("insertion_timestamp"))
      .withColumn("load_day", today).coalesce(1)  # one short row per task and date
      .write.partitionBy("load_day").parquet(load.stage("parts")))
-    (spark.createDataFrame([(n,) for n in names], "source_file STRING")
-     .select("source_file", F.lit(load.batch).alias("batch"), today.alias("load_day")).coalesce(1)
+    listed = spark.createDataFrame([(n,) for n in names], "source_file STRING")
+    (listed.select("source_file", F.lit(load.batch).alias("batch"), today.alias("load_day")).coalesce(1)
      .write.partitionBy("load_day").parquet(load.stage("files")))
-    load.commit({"raw": raw_path, "parts": parts_path(raw_path), "files": files_path(raw_path)})
+    (key_filter(listed, ["source_file"], FILTER_BLOCKS).withColumn("load_day", today).coalesce(1)
+     .write.partitionBy("load_day").parquet(load.stage("filter")))
+    load.commit({"raw": raw_path, "parts": parts_path(raw_path), "files": files_path(raw_path), "filter": filter_path(raw_path)})
     return int(rows.get["n"])
 
 
@@ -261,9 +318,16 @@ def run_once(query: StreamingQuery) -> int:
 # ---------------------------------------------------------------------------
 
 
-def compact_ledger(spark: SparkSession, table_path: str, ledger: str, schema: str, wait: float = 3600.0) -> int:
-    """Rewrite every ledger day of more than one file into one; return the
-    days rewritten.  ``table_path`` is the table whose writers own the ledger."""
+def merged_filters(filters: DataFrame) -> DataFrame:
+    """One bitmap of each block and day."""
+    return filters.groupBy("load_day", "filter_block").agg(F.bitmap_or_agg("filter_bits").alias("filter_bits"))
+
+
+def compact_ledger(spark: SparkSession, table_path: str, ledger: str, schema: str, wait: float = 3600.0,
+                   merge: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int:
+    """Rewrite every ledger day of more than one file into one, its rows passed
+    through ``merge``; return the days rewritten.  ``table_path`` is the table
+    whose writers own the ledger."""
     root, days = work_root(table_path), 0
     with writer(spark, root, wait):
         for day in list_dirs(spark, ledger):
@@ -271,7 +335,7 @@ def compact_ledger(spark: SparkSession, table_path: str, ledger: str, schema: st
             if len(files) < 2:
                 continue
             merged = Publication(spark, root, new_batch("compact"))
-            (spark.read.schema(schema).option("basePath", ledger).parquet(f"{ledger}/{day}")
+            (merge(spark.read.schema(schema).option("basePath", ledger).parquet(f"{ledger}/{day}"))
              .coalesce(1)  # a day's ledger: one short row per file or part
              .write.partitionBy("load_day").parquet(merged.stage("ledger")))
             merged.commit({"ledger": ledger}, remove=files)
