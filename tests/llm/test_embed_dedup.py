@@ -47,6 +47,27 @@ def test_against_all_pairs(spark, block):
     assert got == brute(rows)
 
 
+def test_links_just_above_the_threshold_with_default_parameters(spark):
+    """The registered parameters may miss a share MISS of links at the threshold; nothing false is linked."""
+    rng = np.random.default_rng(9)
+    rows, at = [], 0
+    for g in range(500):
+        base = rng.standard_normal(64)
+        base /= np.linalg.norm(base)
+        other = rng.standard_normal(64)
+        other -= (other @ base) * base
+        other /= np.linalg.norm(other)
+        c = rng.uniform(0.9301, 0.945) if g % 5 else rng.uniform(0.9, 0.9299)
+        for v in (base, c * base + np.sqrt(1 - c * c) * other, *([base] if g % 50 == 0 else [])):
+            rows.append((at, (v * rng.uniform(0.5, 3)).astype(np.float32).tolist(), int(g % 4)))
+            at += 1
+    want = brute(rows)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()}
+    assert all(got[i] <= n for i, (n, _) in want.items())
+    found, there = sum(got.values()), sum(n for n, _ in want.values())
+    assert there > 800 and found >= (1 - 1.5 * embed_dedup.MISS) * there
+
+
 def test_edge_cases(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, v, 1), (3, [2.0, 4.0, 6.0], 1), (4, v, 2), (5, v, None), (6, None, 1), (7, [0.0] * 3, 1), (8, [float("nan"), 1.0, 1.0], 1),

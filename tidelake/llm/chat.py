@@ -18,7 +18,9 @@ some already, which reading back takes away again.
 
 Null texts and roles count as empty (an empty assistant text has no id under
 the mask), turns that repeat are all kept, rows without a conv_id form one
-conversation, and an empty table gives no rows.
+conversation, a turn of any length is encoded in pieces and spliced whole
+(one turn's ids are held at a time), further columns are ignored, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ score, are merged last, leftmost first, in a linear pass of their own.
 Characters that no piece holds become their UTF-8 bytes (or the unknown id).
 
 Null texts count as empty and have no ids; repeated rows are encoded each; very
-long texts are one row's work, in memory linear in their length. Decoding
+long texts are one row's work, in memory linear in their length; an empty table
+gives no rows and further columns are ignored. Decoding
 restores the text, but for the literal space mark U+2581 in a text, which
 means a space, as in the library.
 """

@@ -16,7 +16,8 @@ shards. Steps:
    each cut.
 5. A row's slot is its global row number less that of its shard's first row.
 
-Null texts count as empty (size 1), repeated rows are rows of their own, ties
+Null texts count as empty (size 1), texts of any length are measured where they
+are read and never move, further columns are ignored, repeated rows are rows of their own, ties
 in the order are broken by size and checksum, an empty table gives an empty
 result, and shards may be empty when there are fewer rows than shards.
 """

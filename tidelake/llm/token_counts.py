@@ -3,8 +3,8 @@
 1. Every task summarises the words of its documents: a heavy-hitter summary of
    at most ``table_size`` pre-tokens (Misra-Gries: when it overflows, the count
    of the first one cut is subtracted from all). The summaries, one row for
-   each task, meet in a tree of fixed depth. No pre-token is shuffled and
-   every document is seen.
+   each task, meet in a tree of fixed depth; only these summaries of bounded
+   size are shuffled, never the pre-tokens of the texts. Every document is seen.
 2. The pre-tokens left, with their numbers of ids, are the first tier: a
    broadcast of at most ``table_size`` entries, whatever the corpus.
 3. Each task looks pre-tokens up in it, then in its worker's cache (bounded),
