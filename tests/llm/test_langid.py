@@ -50,6 +50,51 @@ def test_kernel_is_normalised():
     assert np.isclose(k[1].min(), (a & b).sum() / np.sqrt(a.sum() * b.sum()), atol=1e-5)
 
 
+def test_sums_over_partitions_give_the_local_fit(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").repartition(5, "doc_id")
+    model = langid.train(docs)
+    rows = sorted(docs.where(~langid.held_out()).where("lang is not null and text is not null").select("doc_id", "lang", "text").collect())
+    packed = np.stack([np.packbits(langid.presence(r.text)) for r in rows])
+    local = langid.Model(packed, [r.lang for r in rows])
+    assert model.langs == local.langs and (model.features == local.features).all() and (model.landmarks == local.landmarks).all()
+    k = np.concatenate([model.kernel(x) for x in langid.unpacked(packed, model.features)])
+    assert np.allclose(k @ model.weights, k @ local.weights, rtol=0, atol=1e-3)
+    again = langid.train(docs.repartition(3, "text"))
+    assert (model.weights == again.weights).all()
+
+
+def test_prediction_is_the_landmarks_regression(spark, small_dir):
+    """Scores of the query, worked out again from sets of n-grams."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    model = langid.train(docs)
+    texts = dict(docs.select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, small_dir).collect()}
+    marks = [set(np.flatnonzero(m)) for m in model.landmarks]
+    for i in sorted(texts)[:25]:
+        own = set(np.flatnonzero(langid.presence(texts[i] or "")[model.features]))
+        k = np.array([len(own & m) / np.sqrt(max(len(own), 1) * max(len(m), 1)) for m in marks])
+        response = k @ model.weights.astype(float)
+        if got[i].lang_pred != "und":
+            assert abs(got[i].score - min(1, max(0, (response.max() + 1) / 2))) < 1e-3
+            assert response[model.langs.index(got[i].lang_pred)] > response.max() - 1e-3
+
+
+def test_many_languages(spark):
+    """Three hundred languages: landmarks grow with them, and the driver holds no sample."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüéèñçßøå"))
+    rows, n = [], 300
+    for lang in range(n):
+        words = ["".join(rng.choice(letters, 5)) for _ in range(15)]
+        rows += [(lang * 14 + k, " ".join(rng.choice(words, 12)), f"l{lang:03d}") for k in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = langid.train(docs)
+    assert len(model.langs) == n and len(model.landmarks) == langid.PER_LANGUAGE * n
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    held = [(got[i].lang_pred, lang) for i, _, lang in rows if got[i].held_out]
+    assert len(held) > 500 and sum(a == b for a, b in held) / len(held) > 0.9
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect())

@@ -6,11 +6,15 @@ vocabulary of FEATURES n-grams of the training sample); k(x, y) is the number
 of n-grams in both, divided by the root of the product of the set sizes.
 
 Training (a bounded sample: about PER_CLASS to twice that many documents of
-each language, by a hash of the id): LANDMARKS texts of the sample, an equal
-share for each language, span the Nyström approximation. One-versus-rest
-ridge regression with targets +1 and -1 then solves
-(K' K + ridge * n * M) a = K' Y, with K the kernel of the sample against the
-landmarks and M that of the landmarks.
+each language, by a hash of the id): LANDMARKS texts of the sample, or
+PER_LANGUAGE for each language where those are more, an equal share for each
+language, span the Nyström approximation. One-versus-rest ridge regression
+with targets +1 and -1 then solves (K' K + ridge * n * M) a = K' Y, with K the
+kernel of the sample against the landmarks and M that of the landmarks. The
+sample stays in a written table; the n-grams' counts and the normal equations
+K' K and K' Y are summed where its rows are read, in whole numbers of 2**-40,
+so that the model does not depend on how they are dealt. The driver holds the
+landmarks and these sums, whose sizes depend on the number of languages only.
 
 Scoring: each batch of texts is one 0/1 matrix; its product with the
 landmarks' matrix gives the kernel values, a second product the responses.
@@ -26,23 +30,28 @@ worked through in pieces that overlap by the longest n-gram.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import bounded_sample, prepare, texts
+from tidelake.llm.common import bounded_sample, prepare, stash, texts
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 FEATURES = 8192
 PER_CLASS = 600
 LANDMARKS = 256
+PER_LANGUAGE = 4
 RIDGE = 1e-4
 UNKNOWN = "und"
 #: Rows of one dense matrix.
 _ROWS = 128
+#: Rows of the sample whose normal equations are summed at once.
+_BLOCK = 1024
 _PIECE = 1 << 20
 
 
@@ -66,6 +75,22 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def chosen_features(ones: np.ndarray, n: int) -> np.ndarray:
+    """The FEATURES n-grams of the widest spread, from the number of the n texts that hold each."""
+    share = ones / n
+    spread = share * (1 - share) + 1e-9 * share  # n-grams that all or none hold say nothing
+    return np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
+
+
+def landmarks_each(languages: int) -> int:
+    return max(PER_LANGUAGE, LANDMARKS // languages)
+
+
+def unpacked(packed: np.ndarray, features: np.ndarray) -> Iterator[np.ndarray]:
+    for k in range(0, len(packed), _ROWS):
+        yield np.unpackbits(packed[k:k + _ROWS], axis=1)[:, features].astype(np.float32)
+
+
 class Model:
     """Learned from presence vectors, packed eight n-grams to a byte, and their languages."""
 
@@ -73,21 +98,33 @@ class Model:
         self.langs = sorted(set(langs))
         if not self.langs:
             return
-        blocks = range(0, len(packed), _ROWS)
-        share = sum(np.unpackbits(packed[k:k + _ROWS], axis=1).sum(0, dtype=np.int64) for k in blocks) / len(packed)
-        spread = share * (1 - share) + 1e-9 * share  # n-grams that all or none hold say nothing
-        self.features = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
-        x = np.concatenate([np.unpackbits(packed[k:k + _ROWS], axis=1)[:, self.features] for k in blocks])
+        ones = sum(np.unpackbits(packed[k:k + _ROWS], axis=1).sum(0, dtype=np.int64) for k in range(0, len(packed), _ROWS))
         y = np.array([self.langs.index(v) for v in langs])
-        each = max(1, LANDMARKS // len(self.langs))
-        chosen = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(self.langs))])
-        self.landmarks = self._unit(x[chosen].astype(np.float32))
-        k = np.concatenate([self.kernel(x[r:r + _ROWS].astype(np.float32)) for r in blocks]).astype(np.float64)
-        m = k[chosen]
-        targets = np.where(y[:, None] == np.arange(len(self.langs))[None], 1.0, -1.0)
-        weight = 1 / np.sqrt(np.bincount(y, minlength=len(self.langs)))[y][:, None]  # languages count alike
-        left = (k * weight).T @ (k * weight) + RIDGE * (weight**2).sum() * (m + 1e-6 * np.eye(len(m)))
-        self.weights = np.linalg.solve(left, (k * weight).T @ (targets * weight)).astype(np.float32)
+        chosen = np.concatenate([np.flatnonzero(y == c)[:landmarks_each(len(self.langs))] for c in range(len(self.langs))])
+        self.span(chosen_features(ones, len(packed)), packed[chosen])
+        self.solve(self.normal_sums(packed, y, np.bincount(y, minlength=len(self.langs))))
+
+    def span(self, features: np.ndarray, landmarks: np.ndarray) -> None:
+        """Set the vocabulary and the landmarks (packed)."""
+        self.features = features
+        self.landmarks = self._unit(np.concatenate(list(unpacked(landmarks, features))))
+
+    def normal_sums(self, packed: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """K' K and K' Y side by side of some rows, languages counting alike, in 2**-40."""
+        out = np.zeros((len(self.landmarks), len(self.landmarks) + len(self.langs)))
+        for at, x in enumerate(unpacked(packed, self.features)):
+            own = y[at * _ROWS:at * _ROWS + len(x)]
+            weight = 1 / np.sqrt(sizes)[own][:, None]
+            k = self.kernel(x).astype(np.float64) * weight
+            targets = np.where(own[:, None] == np.arange(len(self.langs))[None], 1.0, -1.0) * weight
+            out += k.T @ np.concatenate([k, targets], axis=1)
+        return np.rint(out * 2.0**40).astype(np.int64)
+
+    def solve(self, sums: np.ndarray) -> None:
+        n, both = len(self.landmarks), sums / 2.0**40
+        among = (self.landmarks @ self.landmarks.T).astype(np.float64)
+        left = both[:, :n] + RIDGE * len(self.langs) * (among + 1e-6 * np.eye(n))
+        self.weights = np.linalg.solve(left, both[:, n:]).astype(np.float32)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -126,12 +163,78 @@ def train(docs: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"),
                                               "seen": pa.array(packed, pa.binary())})
 
-    sample = bounded_sample(rows, "lang", "doc_id", per_class).mapInArrow(
-        run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, seen binary")
-    got = sorted(sample.collect(), key=lambda r: (r[0], r[1], r[2]))  # bounded: 2 * per_class rows of 8 KB a language
-    if not got:
-        return Model(np.zeros((0, 0), np.uint8), [])
-    return Model(np.stack([np.frombuffer(r[2], np.uint8) for r in got]), [r[1] for r in got])
+    sample = stash(bounded_sample(rows, "lang", "doc_id", per_class).mapInArrow(
+        run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, seen binary"), "langid-sample")
+    sizes = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}  # one row for each language
+    model = Model(np.zeros((0, 0), np.uint8), [])
+    model.langs = sorted(sizes)
+    if not sizes:
+        return model
+
+    def ones(batches):
+        total = np.zeros(len(ORDERS) * BUCKETS, np.int64)
+        for batch in batches:
+            packed = _stacked(batch)
+            for k in range(0, len(packed), _ROWS):
+                total += np.unpackbits(packed[k:k + _ROWS], axis=1).sum(0, dtype=np.int64)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(met, pa.int64()), "n": pa.array(total[met], pa.int64())})
+
+    counts = np.zeros(len(ORDERS) * BUCKETS, np.int64)
+    for bucket, n in sample.mapInArrow(ones, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # at most all buckets
+        counts[bucket] = n
+    first = Window.partitionBy("lang").orderBy("doc_id", "seen")
+    # At most LANDMARKS rows of 8 KB, or PER_LANGUAGE for each language.
+    landmarks = sorted(sample.withColumn("at", F.row_number().over(first)).where(F.col("at") <= landmarks_each(len(sizes)))
+                       .select("lang", "at", "seen").collect())
+    model.span(chosen_features(counts, sum(sizes.values())), np.stack([np.frombuffer(r["seen"], np.uint8) for r in landmarks]))
+    shared = sample.sparkSession.sparkContext.broadcast((model, np.array([sizes[v] for v in model.langs])))
+
+    def sums(batches):
+        learned, per_language = shared.value
+        number = {v: c for c, v in enumerate(learned.langs)}
+        total, block, held = 0, None, []
+
+        def added():
+            packed = np.stack([np.frombuffer(seen, np.uint8) for seen, _ in held])
+            return learned.normal_sums(packed, np.array([c for _, c in held]), per_language)
+
+        for batch in batches:
+            for here, lang, seen in zip(*(batch.column(n).to_pylist() for n in ("block", "lang", "seen")), strict=True):
+                if here != block and held:
+                    total, held = total + added(), []
+                block = here
+                held.append((seen, number[lang]))
+        if held:
+            total = total + added()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(list(total), pa.list_(pa.int64()))], names=["row", "sums"])
+
+    def add(batches):
+        row, total = None, None
+        out: list = []
+        for batch in batches:
+            for here, values in zip(batch.column("row").to_pylist(), batch.column("sums"), strict=True):
+                if here != row:
+                    if row is not None:
+                        out.append((row, total))
+                    row, total = here, 0
+                total = total + values.values.to_numpy(zero_copy_only=False)
+        if row is not None:
+            out.append((row, total))
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([list(t) for _, t in out], pa.list_(pa.int64()))], names=["row", "sums"])
+
+    # Blocks of rows are fixed by their hashes, so that each block's sum is the same wherever it is made.
+    blocks = -(-sum(sizes.values()) // _BLOCK)
+    dealt = (sample.withColumn("block", F.pmod(F.xxhash64("doc_id", "seen"), F.lit(blocks))).repartition("block")
+             .sortWithinPartitions("block", "doc_id", "lang", "seen").select("block", "lang", "seen").mapInArrow(sums, "row long, sums array<long>"))
+    got = dealt.repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, sums array<long>").collect()  # a row for each landmark
+    model.solve(np.array([r["sums"] for r in sorted(got)], np.int64))
+    return model
+
+
+def _stacked(batch: pa.RecordBatch) -> np.ndarray:
+    seen = batch.column("seen").to_pylist()
+    return np.stack([np.frombuffer(x, np.uint8) for x in seen]) if seen else np.zeros((0, len(ORDERS) * BUCKETS // 8), np.uint8)
 
 
 def recognised(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -154,7 +257,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     spark = docs.sparkSession
     prepare(spark)
     model = model or train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    learned = spark.sparkContext.broadcast(model)  # LANDMARKS x FEATURES numbers at most
+    learned = spark.sparkContext.broadcast(model)  # landmarks x FEATURES numbers
 
     def run(batches):
         for batch in batches:
