@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.session import run_dir
+
 #: Characters up to which a text is listed under its variants (about n**limit / limit! of them).
 SHORT = 32
 
@@ -85,9 +87,14 @@ def similar_pairs(texts: DataFrame, limit: int) -> DataFrame:
 
 
 def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text, n_rows) of each different text: the smallest key of its rows and their number."""
-    return (df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text"))
-            .agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n_rows")))
+    """(id, text, n_rows) of each different text: the smallest key of its rows and their number.
+    Written once to the shared folder, since the match reads them several times."""
+    spark = df.sparkSession
+    classes = (df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text"))
+               .agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n_rows")))
+    path = run_dir(spark, "text-classes")
+    classes.write.parquet(path)
+    return spark.read.schema(classes.schema).parquet(path)
 
 
 def neighbours(df: DataFrame, key: str, text: str, limit: int = 2) -> DataFrame:

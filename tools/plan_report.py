@@ -5,7 +5,7 @@ aggregates, windows, Python in the plan (must be none), and the pushed
 filters / read schema of each scan.  Pipeline jobs run their side effects
 first; the plan shown is that of the DataFrame they return.
 
-    python tools/plan_report.py [sf_dir] > PLANS.md
+    python tools/plan_report.py [sf_dir] [name ...] > PLANS.md
 """
 
 from __future__ import annotations
@@ -61,6 +61,8 @@ def main() -> None:
     print("| query | shuffles | broadcasts | joins | aggregates | windows | python | scans |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
     for name, fn in REGISTRY.items():
+        if sys.argv[2:] and name not in sys.argv[2:]:
+            continue
         s = summarize(explain(fn(spark, sf_dir)))
         scans = "<br>".join(s["scans"])
         print(f"| {name} | {s['exchanges']} | {s['broadcasts']} | {', '.join(s['joins']) or '-'} | "
