@@ -53,7 +53,13 @@ def _changed(column: pa.Array) -> np.ndarray:
 
 def numbered(df: DataFrame, group: str, order: list[str], what: str) -> DataFrame:
     """The rows of ``df`` with ``at``, their place (from 1) in their group; written to the
-    shared folder. A null group is a group of its own."""
+    shared folder. A null group is a group of its own.
+
+    The rows are written before they are dealt too: the range exchange reads its input twice
+    (its bounds come from a sample), and so does not work out keys from the texts twice.
+    """
+    df = stash(df, f"{what}-keys")
+
     def run(batches):
         part = TaskContext.get().partitionId()
         last, run_before, idx = None, 0, 0
