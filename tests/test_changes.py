@@ -71,3 +71,19 @@ def test_delete_rewrites_only_files_with_a_match(spark, tmp_path):
     assert retention.delete_where(spark, path, "true") == sum(r[1] is None for r in kept)
     assert not list_files(spark, path, ".parquet") and retention.delete_where(spark, path, "true") == 0
     assert [int(r.deleted_records) for r in spark.read.parquet(f"{tmp_path}/history").collect()] == [gone]
+
+
+def test_changes_do_not_pass_through_the_driver(spark, tmp_path):
+    """Rows wide with VARIANTs, which make Spark guess the few columns of a change tiny."""
+    def version(n, text):
+        return spark.range(n).select(F.col("id").cast("string").alias("k"), F.lit(dt.date(2024, 1, 1)).alias("d"),
+                                     *[F.parse_json(F.concat(F.lit(f'{{"{text}": '), "id", F.lit("}"))).alias(f"v{i}") for i in range(8)])
+
+    for name, text in (("before", "a"), ("after", "b")):
+        version(30_000, text).write.parquet(f"{tmp_path}/{name}")
+    feed = changes.change_feed(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("before", "after")], ["k"], "d")
+    plan = feed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
+    # only the filters, whose size does not grow with the changes
+    assert plan.count("BroadcastHashJoin") == plan.count("bitmap_construct_agg") // 2 == 2
+    assert {r[0]: r[1] for r in feed.groupBy(changes.CHANGE_TYPE).count().collect()} == {"update_preimage": 30_000, "update_postimage": 30_000}

@@ -7,10 +7,14 @@
    version, minus for the old one. What does not cancel out has changed.
 3. Within a key, old rows that went and new rows that came are paired as
    updates, in order of their hashes; the rest are deletes and inserts.
-4. Only then the rows themselves are fetched, by key and hash.
-
-So the payload of unchanged rows is never shuffled, and repeated rows, also
-of one key, are counted exactly.
+4. Only then the rows themselves are fetched, by hash: a filter of bounded
+   size (``keyfilter``) drops unchanged rows where they are read, a merge join
+   finds the others.
+
+So hardly any payload of unchanged rows is shuffled, and repeated rows, also
+of one key, are counted exactly. The joins are told to merge: Spark guesses a
+side's size from the width of its table, far too low for a few columns of a
+table of VARIANTs, and would send changes by the million through the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators.keyfilter import key_filter, may_match
+from tidelake.session import run_dir
+
 CHANGE_TYPE = "_change_type"
 _HASH = ["_h1", "_h2"]
 
@@ -34,7 +41,8 @@ def _hashed(df: DataFrame) -> DataFrame:
         text = _comparable(df, name)
         parts.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     hexed = F.md5(F.concat_ws("|", *parts).cast("binary"))
-    return df.withColumns({h: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long") for h, at in zip(_HASH, (1, 17), strict=True)})
+    # Never null, and known not to be: else joins test the hash for null first, and work it out twice.
+    return df.withColumns({h: F.coalesce(F.conv(F.substring(hexed, at, 16), 16, -10).cast("long"), F.lit(0)) for h, at in zip(_HASH, (1, 17), strict=True)})
 
 
 def changed_dates(before: DataFrame, after: DataFrame, date: str) -> list:
@@ -71,13 +79,17 @@ def change_feed(before: DataFrame, after: DataFrame, key: list[str], date: str |
     side = Window.partitionBy(*names, "came")
     paired = copies.select("*", F.row_number().over(side.orderBy(*_HASH, "copy")).alias("place")).select(
         "*", (F.count(F.lit(1)).over(Window.partitionBy(*names, "place")) == 2).alias("updated"))
-    changes = paired.groupBy(*names, *_HASH, "came").agg(F.count_if("updated").alias("_n_updated"), F.count(F.lit(1)).alias("_n"))
+    staged = run_dir(before.sparkSession, "changes")
+    paired.groupBy(*names, *_HASH, "came").agg(F.count_if("updated").alias("_n_updated"), F.count(F.lit(1)).alias("_n")).write.parquet(staged)
+    changes = before.sparkSession.read.parquet(staged)
 
     def fetched(version: DataFrame, came: bool, alone: str, paired_as: str) -> DataFrame:
-        due = changes.where(F.col("came") == came).drop("came").withColumnsRenamed({h: f"_d{h}" for h in _HASH})
-        match = [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)] + [F.col(h) == F.col(f"_d{h}") for h in _HASH]
-        at = Window.partitionBy(*[F.col(f"`{c}`") for c in key], *_HASH).orderBy(F.lit(0))
-        rows = version.join(due, match).withColumn("_at", F.row_number().over(at)).where(F.col("_at") <= F.col("_n"))
+        due = changes.where(F.col("came") == came)
+        likely = may_match(version, _HASH, key_filter(due, _HASH))
+        # The hash covers the key, so that rows of one hash are of one key.
+        rows = likely.join(due.select(*_HASH, "_n_updated", "_n").hint("merge"), _HASH)
+        at = Window.partitionBy(*_HASH).orderBy(F.lit(0))
+        rows = rows.withColumn("_at", F.row_number().over(at)).where(F.col("_at") <= F.col("_n"))
         kind = F.when(F.col("_at") <= F.col("_n_updated"), paired_as).otherwise(alone)
         return rows.select(*[F.col(f"`{c}`") for c in columns], kind.alias(CHANGE_TYPE))
 

@@ -21,7 +21,8 @@ BLOCKS = 1 << 11
 
 def _place(keys: list[Column], blocks: int) -> tuple[Column, Column]:
     """Number of the bitmap and bit in it for a key."""
-    at = F.pmod(F.xxhash64(*keys), F.lit(blocks * BLOCK_BITS))
+    # Never null, and known not to be: else the join tests it for null first, and works out the keys twice.
+    at = F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(blocks * BLOCK_BITS)), F.lit(0))
     return F.shiftright(at, BLOCK_BITS.bit_length() - 1).cast("int"), at.bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")
 
 
@@ -38,7 +39,7 @@ def may_match(rows: DataFrame, keys: list[str], wanted: DataFrame, blocks: int =
     block, bit = _place([F.col(k) for k in keys], blocks)
     probed = rows.withColumn("_filter_probe", block).withColumn("_filter_bit", bit)
     return (probed.join(F.broadcast(wanted), F.col("_filter_probe") == F.col("filter_block"))  # at most blocks * 4 KiB
-            .where(_is_set()).select(*rows.columns))
+            .where(_is_set()).select(*[F.col(f"`{c}`") for c in rows.columns]))
 
 
 def _is_set() -> Column:

@@ -59,7 +59,7 @@ def backfill_metadata(events: DataFrame, raw: DataFrame, mode: str = "keyed") ->
 
 def _filled(events: DataFrame, fill: DataFrame) -> DataFrame:
     waits = F.col("metadata").isNull() & F.col("uuid").isNotNull()
-    e, f = events.where(waits).alias("e"), fill.alias("f")
+    e, f = events.where(waits).alias("e"), fill.hint("merge").alias("f")  # one row an event: nothing to broadcast
     joined = e.join(f, (F.col("e.uuid") == F.col("f.uuid")) & F.col("e.event_date").eqNullSafe(F.col("f.event_date")), "left")
     filled = joined.select(*[F.col(f"f.{c}" if c == "metadata" else f"e.{c}").alias(c) for c in events.columns])
     return filled.unionByName(events.where(~waits))
@@ -71,7 +71,9 @@ def due_fill(events: DataFrame, raw: DataFrame, staged: str) -> DataFrame:
     The keys in need are summarised first: their dates prune the raw table's
     partitions, a filter of bounded size (``keyfilter``) drops raw records of
     other keys before anything is shuffled. What passes is grouped, and joined
-    exactly to the keys in need.
+    exactly to the keys in need, by a merge join: Spark guesses the size of a
+    few columns of a table of VARIANTs far too low, and would send the keys
+    through the driver.
     """
     spark = events.sparkSession
     need = events.where(F.col("metadata").isNull() & F.col("uuid").isNotNull()).select("event_date", "uuid")
@@ -81,7 +83,7 @@ def due_fill(events: DataFrame, raw: DataFrame, staged: str) -> DataFrame:
     # Dates without their null, so that the group-by and the join share one exchange of the metadata.
     dated = [F.coalesce("event_date", F.lit(dt.date(1970, 1, 1))).alias("day"), F.col("event_date").isNull().alias("dateless")]
     fill = (_last_loaded(records.withColumns({"day": dated[0], "dateless": dated[1]}), ["day", "dateless", "uuid"])
-            .join(need.select(*dated, "uuid"), ["day", "dateless", "uuid"], "left_semi")
+            .join(need.select(*dated, "uuid").hint("merge"), ["day", "dateless", "uuid"], "left_semi")
             .select(F.when(~F.col("dateless"), F.col("day")).alias("event_date"), "uuid", "metadata"))
     fill.write.parquet(staged)
     return spark.read.schema(fill.schema).parquet(staged)
