@@ -208,3 +208,20 @@ def test_read_source_parquet_and_landing_scan_window(spark, tmp_path):
     assert len(scanned) == 1 and "cell=z9/" in scanned[0].source_file
     later = (dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=1)).strftime("%Y-%m-%dT%H:%M:%S")
     assert scan_landing(spark, str(tmp_path / "landing"), modified_after=later).count() == 0
+
+
+def test_recursion_joined_to_many_rows_sorts_none_of_them(spark, tmp_path):
+    """The chain's few keys leave most of 200 shuffle partitions empty."""
+    from tidelake.plans import passthrough
+
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(100).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(10_000).select((F.col("id") % 100).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = passthrough.run(spark, str(tmp_path), "pt_recursive_line_chain")
+        assert {tuple(r) for r in df.collect()} == {(k + 1, 400) for k in range(25)}
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
