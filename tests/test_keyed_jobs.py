@@ -72,3 +72,30 @@ def test_lag_meets_without_an_exchange(spark, tmp_path):
     finally:
         for n in names:
             spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def events_table(spark, path, n):
+    """Events in a file of one row group, as the test tables have it."""
+    (spark.range(0, n, 1, 1).select(F.col("id").alias("event_id"), F.expr("timestampadd(SECOND, cast(id as int), timestamp_ntz'2024-01-01 00:00:00')").alias("ts"),
+                                    (F.col("id") % 100).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 1}').alias("props"))
+     .write.parquet(f"{path}/events.parquet"))
+
+
+def test_rows_of_few_row_groups_are_dealt(spark, tmp_path):
+    from tidelake.plans import jobs
+    from tidelake.sources.tables import TASK_ROWS, read_dealt
+
+    n = 4 * TASK_ROWS
+    events_table(spark, f"{tmp_path}/large", n)
+    raw = jobs.raw_events(spark, f"{tmp_path}/large")
+    dealt = [r[0] for r in raw.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    want = min(4, spark.sparkContext.defaultParallelism)
+    assert len(dealt) == want and sum(dealt) == n and max(dealt) <= 1.25 * n / want
+    assert raw.select(F.expr("variant_get(raw_json, '$.uuid', 'string')")).distinct().count() == n
+    # few rows, none, and even splits are left where they are
+    for name, rows in (("small", 100), ("none", 0)):
+        events_table(spark, f"{tmp_path}/{name}", rows)
+        df = read_dealt(spark, f"{tmp_path}/{name}", "events")
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == rows
+    spark.read.parquet(f"{tmp_path}/large/events.parquet").repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(f"{tmp_path}/even/events.parquet")
+    assert read_dealt(spark, f"{tmp_path}/even", "events").count() == n

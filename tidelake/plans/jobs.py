@@ -21,13 +21,13 @@ from tidelake.operators.sqltext import run_sql, run_template
 from tidelake.plans import matching, passthrough, profiles
 from tidelake.session import run_dir, shared_dir
 from tidelake.sources.landing import RAW_SCHEMA, epoch_ntz, event_time, hourly_load_time, landing_records, raw_from_records, write_landing
-from tidelake.sources.tables import read_heavy, read_table
+from tidelake.sources.tables import read_dealt, read_heavy, read_table
 from tidelake.streaming import ingest
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw events table as an hourly loader would have filled it."""
-    records = landing_records(read_heavy(spark, sf_dir, "events"))
+    records = landing_records(read_dealt(spark, sf_dir, "events"))
     return raw_from_records(records, hourly_load_time(F.col("event_ts")))
 
 
