@@ -74,3 +74,15 @@ def test_indented_json_as_asserted(spark):
     got = [r[0] for r in df.orderBy("i").select(W.indented_json(F.parse_json("t"))).collect()]
     assert got == ["null", "true", "-17", "123.12", '"Om ara pa ca na dhih"', "[\n  -1,\n  12,\n  289,\n  2188,\n  false\n]",
                    '{\n  "x": "abc",\n  "y": false,\n  "z": 10\n}']
+
+
+def test_indented_json_of_few_row_groups_is_shared_out(spark, tmp_path):
+    """One row group is one task's; its rows are dealt before each becomes text and is read back."""
+    from tidelake.plans import profiles
+    from tidelake.sources.tables import TASK_ROWS
+
+    spark.range(0, 4 * TASK_ROWS, 1, 1).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), (F.col("id") % 9).alias("user_id"),
+                                               F.lit('{"k": 1}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    got = profiles.indented_json_events(spark, str(tmp_path))
+    n, back = got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count_if("reads_back").alias("back")).agg(F.count(F.lit(1)), F.sum("back")).first()
+    assert n == min(4, spark.sparkContext.defaultParallelism) and back == 4 * TASK_ROWS

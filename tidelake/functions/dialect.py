@@ -62,8 +62,9 @@ def _replacement_body() -> str:
     return expr
 
 
-# One token of compact JSON text: an escape, a quote, an empty container, a mark, or text between them.
-_JSON_TOKEN = r'\\.|"|\{\}|\[\]|[{}\[\],:]|[^\\"{}\[\],:]+'
+# Stand-ins while JSON text is taken apart. Compact JSON text holds no control characters, since strings escape them.
+_JSON_ESCAPES = (("\\\\", "\x01"), ('\\"', "\x02"))
+_JSON_MARKS, _JSON_HIDDEN = "{}[],:", "\x03\x04\x05\x06\x07\x08"
 _JSON_BLOCK = 256
 
 
@@ -73,25 +74,32 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _indented_body() -> str:
-    """Tokens in blocks; what a block does to the depth and to being inside a string is summed first, so
-    that no more than a block's text is ever appended to."""
-    deeper = "CASE WHEN t IN ('{', '[') THEN 1 WHEN t IN ('}', ']') THEN -1 ELSE 0 END"
-    quote = "IF(t = '\"', 1 - s.q, s.q)"
-    scan = ("aggregate(b, named_struct('q', 0, 'out', 0, 'ins', 0), (s, t) -> named_struct("
-            f"'q', {quote}, 'out', s.out + IF(s.q = 0, {deeper}, 0), 'ins', s.ins + IF(s.q = 1, {deeper}, 0)))")
-    start = ("aggregate(slice(sums, 1, k), named_struct('q', 0, 'd', 0), (s, x) -> "
-             "named_struct('q', (s.q + x.q) % 2, 'd', s.d + IF(s.q = 0, x.out, x.ins)))")
-    line = "concat('\\n', repeat('  ', {}))"
-    piece = (f"CASE WHEN s.q = 1 THEN t WHEN t IN ('{{', '[') THEN concat(t, {line.format('s.d + 1')}) "
-             f"WHEN t IN ('}}', ']') THEN concat({line.format('s.d - 1')}, t) "
-             f"WHEN t = ',' THEN concat(t, {line.format('s.d')}) WHEN t = ':' THEN ': ' ELSE t END")
-    render = (f"aggregate(b, named_struct('q', st.q, 'd', st.d, 'text', ''), (s, t) -> named_struct("
-              f"'q', {quote}, 'd', s.d + IF(s.q = 0, {deeper}, 0), 'text', concat(s.text, {piece})), s -> s.text)")
-    whole = _let("sums", f"transform(blocks, b -> {scan})",
-                 f"array_join(transform(blocks, (b, k) -> {_let('st', start, render)}), '')")
-    blocks = f"transform(sequence(0, (size(tokens) - 1) div {_JSON_BLOCK}), n -> slice(tokens, n * {_JSON_BLOCK} + 1, {_JSON_BLOCK}))"
-    return ("CASE WHEN v IS NULL THEN NULL ELSE "
-            + _let("tokens", f"regexp_extract_all(to_json(v), {_sql_str(_JSON_TOKEN)}, 0)", _let("blocks", blocks, whole)) + " END")
+    """Lines first, then their depths. Escapes are replaced, so that every quote left starts or ends a string;
+    marks inside strings are hidden, so that every mark left is structure, and the text is cut into lines by
+    replacements over the whole of it. Lines are taken in blocks; what a block does to the depth is summed
+    first, so that no more than a block's text is ever appended to."""
+    replaced, restored = "to_json(v)", f"translate(out, {_sql_str(_JSON_HIDDEN)}, {_sql_str(_JSON_MARKS)})"
+    for escape, mark in _JSON_ESCAPES:
+        replaced, restored = f"replace({replaced}, {_sql_str(escape)}, {_sql_str(mark)})", f"replace({restored}, {_sql_str(mark)}, {_sql_str(escape)})"
+    hidden = (f"array_join(transform(split({replaced}, '\"'), (p, i) -> "
+              f"IF(i % 2 = 1, translate(p, {_sql_str(_JSON_MARKS)}, {_sql_str(_JSON_HIDDEN)}), p)), '\"')")
+    cut = f"replace(replace({hidden}, ':', ': '), ',', ',\n')"
+    for pattern, put in ((r"([{\[])(?![}\]])", "$1\n"), (r"(?<![{\[])([}\]])", "\n$1")):
+        cut = f"regexp_replace({cut}, {_sql_str(pattern)}, {_sql_str(put)})"
+    opens = "IF(endswith(t, '{') OR endswith(t, '['), 1, 0)"
+    closes = "IF(startswith(t, '}') OR startswith(t, ']'), 1, 0)"
+
+    def render(some: str, depth: str) -> str:
+        return (f"aggregate({some}, named_struct('d', {depth}, 'text', ''), (s, t) -> named_struct('d', s.d + {opens} - {closes}, "
+                f"'text', concat(s.text, '\n', repeat('  ', s.d - {closes}), t)), s -> s.text)")
+
+    blocks = f"transform(sequence(0, (size(lines) - 1) div {_JSON_BLOCK}), n -> slice(lines, n * {_JSON_BLOCK} + 1, {_JSON_BLOCK}))"
+    steps = f"transform(blocks, b -> aggregate(b, 0, (s, t) -> s + {opens} - {closes}))"
+    depth = "aggregate(slice(steps, 1, k), 0, (s, x) -> s + x)"
+    many = _let("blocks", blocks, _let("steps", steps, f"array_join(transform(blocks, (b, k) -> {render('b', depth)}), '')"))
+    text = f"CASE WHEN size(lines) <= {_JSON_BLOCK} THEN {render('lines', '0')} ELSE {many} END"
+    whole = _let("lines", f"split({cut}, '\n')", _let("out", f"substr({text}, 2)", restored))
+    return f"CASE WHEN v IS NULL THEN NULL ELSE {whole} END"
 
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 import tidelake.functions as W
 from tidelake.operators import profile
 from tidelake.sources.landing import landing_records
-from tidelake.sources.tables import read_heavy, read_table
+from tidelake.sources.tables import read_dealt, read_table
 
 SAMPLE = 64
 
 
 def json_path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of every path of the raw records, members of objects and elements of arrays."""
-    records = landing_records(read_heavy(spark, sf_dir, "events")).select(F.parse_json("record").alias("record"))
+    records = landing_records(read_dealt(spark, sf_dir, "events")).select(F.parse_json("record").alias("record"))
     return profile.path_types(records, "record")
 
 
@@ -24,7 +24,7 @@ def indented_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.to_json(F.struct(F.col("event_type").alias("a"), F.parse_json("props").alias("b"),
                              F.array(F.struct(F.col("user_id").cast("string").alias("id")), F.struct(F.lit('{"[,:]}').alias("id"))).alias("c"),
                              F.array().cast("array<string>").alias("d")))
-    values = read_heavy(spark, sf_dir, "events").select("event_id", F.parse_json(doc).alias("v")).select(
+    values = read_dealt(spark, sf_dir, "events").select("event_id", F.parse_json(doc).alias("v")).select(
         "event_id", "v", W.indented_json("v").alias("text"))
     return values.select("event_id", "text", (F.to_json(F.parse_json("text")) == F.to_json("v")).alias("reads_back"))
 
